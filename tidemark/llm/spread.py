@@ -12,10 +12,14 @@ TEXT_PARTITION_BYTES = 24 * 2**20
 
 
 def partitions(df: DataFrame, bytes_each: int = TEXT_PARTITION_BYTES) -> int:
-    """Partitions for a shuffle of df: the session's count, or more if the optimizer's size of df asks for it."""
-    spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // bytes_each, 200_000))
+    """Partitions for a shuffle of df: the session's count, or more if the size of the tables that it reads asks for it.
+
+    Tables of unknown size (such as checkpoints) don't count.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(s for s in sizes if s < 2**60)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), known // bytes_each)
 
 
 def order_key(doc_id: str = "doc_id", text: str = "text") -> Column:
