@@ -9,8 +9,9 @@ one occurrence of an anchor lie side by side; the stretch that they cover togeth
 
 * Buckets: spans are grouped by anchor hash. Equal spans hold equal windows: all but those of the smallest
   document go as a whole. If a bucket holds one span only, nothing is left to compare.
-* Other buckets hold spans that agree in part. Their first occurrences list their windows, and windows are
-  grouped once more.
+* Other buckets hold spans that agree in part. Their first occurrences are cut into blocks of windows, which
+  are filed under what the windows of a block have in common, and compared in the same way.
+* Where blocks still agree in part, windows are grouped one by one.
 
 Every grouping is a Spark aggregation to the smallest id of a key, combined before the shuffle, and the answer
 goes back as lists of first occurrences keyed by document. So no group of copies ever meets in one task, and
@@ -40,14 +41,15 @@ class Spans:
         self.rolling, n = Rolling(values), len(values) - length + 1
         self.length, self.ends, width = length, ends, length - gram + 1
         if n <= 0:
-            self.low = self.high = self.text = np.zeros(0, np.int64)
+            self.low = self.high = self.text = self.anchor = np.zeros(0, np.int64)
             self.gram = self.span = np.zeros(0, np.uint64)
             return
         grams = self.rolling.every(gram)
         least = sliding(grams, width)
         edge = np.zeros(width - 1, np.uint64)
-        picked = np.flatnonzero(sliding(np.concatenate([edge, least, edge]), width, np.maximum) == grams)
-        at = np.searchsorted(picked, np.arange(n))
+        least_here = sliding(np.concatenate([edge, least, edge]), width, np.maximum) == grams
+        picked = np.flatnonzero(least_here)
+        at = np.cumsum(least_here[:n]) - least_here[:n]  # anchors before each start
         open_ = np.flatnonzero(grams[picked[at]] != least)
         while len(open_):
             at[open_] += 1
@@ -61,10 +63,29 @@ class Spans:
         last = np.concatenate([first[1:], [len(starts)]]) - 1 if len(first) else first
         self.low, self.high, anchor = starts[first], starts[last], anchor[first]
         self.text = np.searchsorted(ends, self.low, side="right") - 1
-        self.gram = grams[anchor]
+        self.anchor, self.gram = anchor, grams[anchor]
         place = ((anchor - self.low).astype(np.uint64) << np.uint64(32)) | (self.high - self.low).astype(np.uint64)
         self.span = mix(self.rolling.at(self.low, self.high + length) ^ mix(place + np.uint64(1)))
 
+    def split(self, chosen: np.ndarray, block: int) -> Spans:
+        """Chosen spans cut into blocks of windows by their distance from the anchor, as spans that are filed under their core.
+
+        The core of a block is what all windows at those distances have in common. Equal windows have equal
+        cores, also where one block is cut short by the end of its span.
+        """
+        out = object.__new__(Spans)
+        out.rolling, out.length, out.ends = self.rolling, self.length, self.ends
+        near, far = self.anchor[chosen] - self.high[chosen], self.anchor[chosen] - self.low[chosen]
+        count = far // block - near // block + 1
+        number = np.repeat(near // block, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        out.anchor, out.text = np.repeat(self.anchor[chosen], count), np.repeat(self.text[chosen], count)
+        from_, to = np.maximum(number * block, np.repeat(near, count)), np.minimum((number + 1) * block - 1, np.repeat(far, count))
+        out.low, out.high = out.anchor - to, out.anchor - from_
+        core = self.rolling.at(out.anchor - number * block, out.anchor - (number + 1) * block + 1 + self.length)
+        out.gram = mix(core ^ mix(number.astype(np.uint64)))
+        out.span = mix(self.rolling.at(out.low, out.high + self.length) ^ mix((from_.astype(np.uint64) << np.uint64(32)) | to.astype(np.uint64)))
+        return out
+
     def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The windows of chosen spans: start and number of the span."""
         size = self.high[chosen] - self.low[chosen] + 1
@@ -105,62 +126,83 @@ def _listed(text: np.ndarray, key: np.ndarray, column: pa.Array) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, asked), len(known) - 1)] == asked
 
 
-def _open(spans: Spans, piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Which spans go as a whole, and which are first and must be looked at window by window."""
+def _open(spans: Spans, piece: pa.RecordBatch, level: str = "") -> tuple[np.ndarray, np.ndarray]:
+    """Which spans go as a whole, and which are first and must be looked at more closely."""
     once = _once(spans.text, spans.span)
-    alone, shared = (_listed(spans.text, spans.span, piece.column(c)) for c in ("alone", "shared"))
-    return ~once | ~(alone | shared), once & shared
+    alone, shared = (_listed(spans.text, spans.span, piece.column(c + level)) for c in ("alone", "shared"))
+    return np.flatnonzero(~once | ~(alone | shared)), np.flatnonzero(once & shared)
+
+
+def _rows(parts: list[tuple[np.ndarray, ...]], names: list[str]) -> pa.RecordBatch:
+    """Hashes and, last, ids of documents as a batch: for each hash (the last but one) its smallest document only."""
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    keep = _least(columns[-2], columns[-1])
+    return pa.record_batch([pa.array(c[keep].view(np.int64)) for c in columns], names)
+
+
+def _firsts(spans: DataFrame, n: int, level: str = "") -> DataFrame:
+    """For each document the spans that it has first: those alone in their bucket, and those that share it with others."""
+    bucket = Window.partitionBy("gram")
+    first = spans.repartition(n, "gram").groupBy("gram", "span").agg(F.min("k").alias("k"))
+    first = first.select("k", "span", (F.min("span").over(bucket) != F.max("span").over(bucket)).alias("many"))
+    pick = lambda c: F.collect_list(F.when(c, F.col("span")))
+    return first.groupBy("k").agg(pick(~F.col("many")).alias(f"alone{level}"), pick(F.col("many")).alias(f"shared{level}")).hint("shuffle_hash")
 
 
-def repeated(docs: DataFrame, units: Units, length: int, gram: int, finish: Callable, schema: str) -> DataFrame:
+def repeated(docs: DataFrame, units: Units, length: int, gram: int, finish: Callable, schema: str, block: int) -> DataFrame:
     """Rows of ``schema`` that ``finish(piece, data, ends, gone, unit_ends)`` makes of each piece of texts.
 
-    docs: doc_id, text. gone: for each unit, whether a dropped window covers it.
+    docs: doc_id, text. gone: for each unit, whether a dropped window covers it. block: windows that are looked
+    at together before they are looked at one by one.
     """
     n = partitions(docs)
     base = docs.select(order_key().alias("k"), "doc_id", "text").repartition(n, "k")
 
+    def each(batch: pa.RecordBatch):
+        for piece, data, ends in pieces(batch):
+            values, unit_ends = units(data, ends)
+            yield piece, data, ends, values, unit_ends, Spans(values, unit_ends, length, gram), np.asarray(piece.column("k"))
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece, data, ends in pieces(batch):
-                s = Spans(*units(data, ends), length, gram)
-                own = np.asarray(piece.column("k"))[s.text]
-                keep = _least(s.span, own)
-                yield pa.record_batch([signed(s.gram[keep]), signed(s.span[keep]), pa.array(own[keep])], ["gram", "span", "k"])
+            if parts := [(s.gram, s.span, k[s.text]) for *_, s, k in each(batch)]:
+                yield _rows(parts, ["gram", "span", "k"])
+
+    def emit_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for piece, *_, s, k in each(batch):
+                b = s.split(_open(s, piece)[1], block)
+                parts.append((b.gram, b.span, k[b.text]))
+            if parts:
+                yield _rows(parts, ["gram", "span", "k"])
 
     def emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece, data, ends in pieces(batch):
-                s = Spans(*units(data, ends), length, gram)
-                starts, which = s.windows(np.flatnonzero(_open(s, piece)[1]))
-                key, own = s.hashes(starts), np.asarray(piece.column("k"))[s.text[which]]
-                keep = _least(key, own)
-                yield pa.record_batch([signed(key[keep]), pa.array(own[keep])], ["window", "k"])
+            parts = []
+            for piece, *_, s, k in each(batch):
+                b = s.split(_open(s, piece)[1], block)
+                starts, which = b.windows(_open(b, piece, "_blocks")[1])
+                parts.append((b.hashes(starts), k[b.text[which]]))
+            if parts:
+                yield _rows(parts, ["window", "k"])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece, data, ends in pieces(batch):
-                values, unit_ends = units(data, ends)
-                s = Spans(values, unit_ends, length, gram)
+            for piece, data, ends, values, unit_ends, s, _ in each(batch):
                 whole, part = _open(s, piece)
-                starts, _ = s.windows(np.flatnonzero(whole))
-                some, which = s.windows(np.flatnonzero(part))
-                text, key = s.text[which], s.hashes(some)
-                first = _once(text, key) & _listed(text, key, piece.column("windows"))
-                gone = covered(np.concatenate([starts, some[~first]]), length, len(values))
-                yield finish(piece, data, ends, gone, unit_ends)
-
-    spans = base.mapInArrow(emit, "gram long, span long, k long")
-    bucket = Window.partitionBy("gram")
-    firsts = (
-        spans.repartition(partitions(docs), "gram")
-        .groupBy("gram", "span")
-        .agg(F.min("k").alias("k"))
-        .select("k", "span", (F.min("span").over(bucket) != F.max("span").over(bucket)).alias("many"))
-        .groupBy("k")
-        .agg(F.collect_list(F.when(~F.col("many"), F.col("span"))).alias("alone"), F.collect_list(F.when(F.col("many"), F.col("span"))).alias("shared"))
-    )
-    told = base.join(firsts.hint("shuffle_hash"), "k", "left")
-    windows = told.where(F.size("shared") > 0).mapInArrow(emit_windows, "window long, k long")
-    firsts_of_windows = windows.groupBy("window").agg(F.min("k").alias("k")).groupBy("k").agg(F.collect_list("window").alias("windows"))
-    return told.join(firsts_of_windows.hint("shuffle_hash"), "k", "left").mapInArrow(remove, schema)
+                b = s.split(part, block)
+                whole_blocks, part = _open(b, piece, "_blocks")
+                starts, which = b.windows(part)
+                text, key = b.text[which], b.hashes(starts)
+                stays = _once(text, key) & _listed(text, key, piece.column("windows"))
+                gone = np.concatenate([s.windows(whole)[0], b.windows(whole_blocks)[0], starts[~stays]])
+                yield finish(piece, data, ends, covered(gone, length, len(values)), unit_ends)
+
+    kinds = "gram long, span long, k long"
+    told = base.join(_firsts(base.mapInArrow(emit, kinds), n), "k", "left")
+    blocks = told.where(F.size("shared") > 0).mapInArrow(emit_blocks, kinds)
+    told = told.join(_firsts(blocks, n, "_blocks"), "k", "left")
+    windows = told.where(F.size("shared_blocks") > 0).mapInArrow(emit_windows, "window long, k long")
+    firsts = windows.groupBy("window").agg(F.min("k").alias("k")).groupBy("k").agg(F.collect_list("window").alias("windows"))
+    return told.join(firsts.hint("shuffle_hash"), "k", "left").mapInArrow(remove, schema)

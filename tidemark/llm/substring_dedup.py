@@ -20,6 +20,8 @@ from tidemark.llm.spread import with_text
 
 WINDOW_WORDS = 20
 ANCHOR_WORDS = 8
+#: Windows that are extended together.
+BLOCK_WINDOWS = 4
 
 
 def remove_repeated_passages(docs: DataFrame, window: int = WINDOW_WORDS, anchor: int = ANCHOR_WORDS) -> DataFrame:
@@ -46,4 +48,4 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW_WORDS, anchor
             texts.append(b" ".join(compress(own, ~out) if removed[i] else own).decode())
         return pa.record_batch([piece.column("doc_id"), pa.array(texts, pa.string()), pa.array(np.diff(offsets)), pa.array(removed)], ["doc_id", "text", "n_words", "n_removed"])
 
-    return repeated(with_text(docs), units, window, anchor, finish, "doc_id long, text string, n_words long, n_removed long")
+    return repeated(with_text(docs), units, window, anchor, finish, "doc_id long, text string, n_words long, n_removed long", min(BLOCK_WINDOWS, window))

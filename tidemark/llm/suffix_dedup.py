@@ -4,7 +4,7 @@ A full suffix array of a corpus is a row for each byte, which no shuffle budget
 sampled: of each 100-byte window the one that starts with the least-hashed 32-gram. As in bucket-pointer
 refinement, sampled suffixes first fall into buckets by their initial q-gram; a bucket that isn't settled is
 refined by the identifiers of the stretches at later offsets (here of the whole span that the suffix stands
-for), and what is still unsettled is refined once more by window. Identifiers are hashes instead of ranks:
+for), and what is still unsettled is refined in turn, by blocks of windows and then by window. Identifiers are hashes instead of ranks:
 removal asks only which suffixes agree to depth 100, never which comes first in the alphabet. Each refinement
 works on what the one before has left, and reuses its identifiers. See ``repeats`` for the steps.
 """
@@ -20,6 +20,8 @@ from tidemark.llm.spread import with_text
 
 LENGTH_BYTES = 100
 GRAM_BYTES = 32
+#: Windows that the second refinement takes together.
+BLOCK_WINDOWS = 8
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH_BYTES, gram: int = GRAM_BYTES) -> DataFrame:
@@ -47,4 +49,4 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH_BYTES, gram: int
         counts = [pa.array(x) for x in (np.diff(ends), np.diff(edge[ends]), np.diff(runs[ends]))]
         return pa.record_batch([piece.column("doc_id"), pa.array(kept, pa.binary()), *counts], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return repeated(with_text(docs), units, length, gram, finish, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return repeated(with_text(docs), units, length, gram, finish, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long", min(BLOCK_WINDOWS, length))
