@@ -6,9 +6,10 @@ over them (one for a segment indexed as it is, two for one indexed with its one-
 leaves one segment at least that two similar sets agree on. A cost model picks the allocation of each band.
 Classes that share a signature form a bucket, whose pairs are verified on the sets themselves.
 
-A bucket is verified inside a task, which emits a spanning forest of its links instead of pairs. Buckets over
-a bound are merged with those that they overlap into families, and a family is cut into blocks, so that each
-task gets two blocks at most, however large a group of near copies is.
+Buckets that overlap are merged into families, so that each set is sent once instead of with every bucket. A
+family is cut into blocks, and a task compares two of them at most, however large a group of near copies is; it
+emits a spanning forest of its links instead of pairs. Should chance agreements tie very many sets into one
+family, its buckets are verified instead.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ from tidemark.llm.spread import cut, order_key, partitions, with_text
 SHINGLE_WORDS, PERCENT = 5, 80
 #: Ratio of the largest to the least set size of a band.
 BAND_RATIO = 1.25
-#: Members of a bucket that one task verifies whole; larger ones are cut into blocks of that many.
+#: Members of a family that one task verifies whole; larger ones are cut into blocks of that many.
 BLOCK = 192
+#: Members of a family whose pairs of blocks are all verified; beyond, only those of its buckets are.
+FAMILY = 32 * BLOCK
 #: Cost of a chance agreement of small segments against that of a signature.
 CHANCE = 200.0
 
@@ -225,22 +228,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, percent: int
 
     of_class = cut(base.mapInArrow(emit_classes, "k long, doc_id long, n_shingles long, c long"))
     sigs = base.select("text").mapInArrow(emit_signatures, "sig long, c long").repartition(partitions(docs), "sig")
-    members = cut(_named(sigs).dropDuplicates(["g", "c"]))
-    sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
-    large = cut(members.join(sizes.where(F.col("size") > BLOCK), "g").select("g", "c"))
-    family = components(large.select(F.col("g").alias("a"), F.col("c").alias("b")))
-    in_family = large.join(family.withColumnsRenamed({"node": "c", "component": "f"}), "c").select("f", "c").distinct()
-    blocks = in_family.groupBy("f").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
-    placed = in_family.join(blocks, "f").withColumn("own", F.pmod(F.xxhash64("c"), F.col("n")).cast("int"))
-    # Each member goes with every block once; a block with itself is a task of one side.
-    paired = placed.select("f", "c", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-    paired = paired.select(
-        F.xxhash64("f", F.least("own", "other"), F.greatest("own", "other")).alias("g"),
-        "c",
-        F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"),
-    )
-    small = members.join(sizes.where(F.col("size") <= BLOCK), "g").select("g", "c", F.lit(0).alias("side"))
-    tasks = small.unionByName(paired)
+    members = cut(_named(sigs).distinct())
+    family = cut(components(members.select(F.col("c").alias("a"), F.col("low").alias("b"))).withColumnsRenamed({"node": "c", "component": "f"}))
+    sizes = family.groupBy("f").agg(F.count(F.lit(1)).alias("size"))
+    tasks = _blocks(family.join(sizes.where(F.col("size") <= FAMILY), "f").select("f", "c", "size"))
+    beyond = family.join(sizes.where(F.col("size") > FAMILY), "f").select("c")
+    if not beyond.isEmpty():
+        tasks = tasks.unionByName(_by_bucket(members.join(beyond, "c", "left_semi")))
     wanted = members.select("c").distinct().join(of_class.groupBy("c").agg(F.min("k").alias("k")), "c")
     sets = base.select("k", "text").join(wanted, "k").select("c", "text").mapInArrow(emit_sets, "c long, shingles binary")
     sets = cut(sets.groupBy("c").agg(F.first("shingles").alias("shingles")))
@@ -254,11 +248,33 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, percent: int
 
 
 def _named(sigs: DataFrame) -> DataFrame:
-    """Members of buckets of two classes or more. A bucket is named by its members, so that many signatures of the same classes are one bucket."""
+    """Members of buckets of two classes or more, and the least one of each bucket.
+
+    A bucket is named by its members, so that many signatures of the same classes are one bucket.
+    """
     bucket = Window.partitionBy("sig")
     seen = sigs.dropDuplicates(["sig", "c"])
     both = seen.withColumns({"low": F.min("c").over(bucket), "high": F.max("c").over(bucket), "x": F.bit_xor(F.xxhash64("c")).over(bucket), "y": F.bit_xor(F.xxhash64("c", F.lit(1))).over(bucket)})
-    return both.where("low <> high").select(F.xxhash64("low", "high", "x", "y").alias("g"), "c")
+    return both.where("low <> high").select(F.xxhash64("low", "high", "x", "y").alias("g"), "c", "low")
+
+
+def _blocks(families: DataFrame) -> DataFrame:
+    """Tasks that compare all members of a family: f, c, size to g, c, side. Each member goes with every block once; a block with itself has one side."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    placed = families.withColumns({"n": blocks, "own": F.pmod(F.xxhash64("c"), blocks).cast("int")})
+    paired = placed.select("f", "c", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    name = F.xxhash64("f", F.least("own", "other"), F.greatest("own", "other"))
+    return paired.select(name.alias("g"), "c", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
+
+
+def _by_bucket(members: DataFrame) -> DataFrame:
+    """Tasks for the buckets of very large families: small buckets alone, large ones with the large ones that they overlap."""
+    sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
+    small = members.join(sizes.where(F.col("size") <= BLOCK), "g").select("g", "c", F.lit(0).alias("side"))
+    large = members.join(sizes.where(F.col("size") > BLOCK), "g").select("c", "low")
+    joined = components(large.select(F.col("c").alias("a"), F.col("low").alias("b"))).withColumnsRenamed({"node": "c", "component": "f"})
+    of = joined.groupBy("f").agg(F.count(F.lit(1)).alias("size"))
+    return small.unionByName(_blocks(joined.join(of, "f").select("f", "c", "size")))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
