@@ -42,6 +42,7 @@ def brute(rows, n, percent):
 def test_components(docs, n, percent, family, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 8)  # the group of near copies becomes a family of several blocks
     monkeypatch.setattr(ngram_join, "FAMILY", family)  # or one too large to compare whole
+    monkeypatch.setattr(ngram_join, "COMMON_IN_ALL", 4)
     rows = [tuple(r) for r in docs.select(order_key(), "text").collect()]
     got = sorted((r.k, r.n_shingles, r.component) for r in ngram_join.near_duplicates(docs, n, percent).collect())
     assert got == brute(rows, n, percent)
@@ -71,7 +72,8 @@ def test_similar_sets_share_a_signature():
                     break
                 b = c
             keys = np.concatenate([np.array(sorted(s), np.uint64) for s in (a, b)])
-            sig, who = ngram_join.signatures(keys, np.array([0, len(a), len(a) + len(b)]), percent)
+            known = keys[np.random.default_rng(size).random(len(keys)) < draw.choice([0, 0.3, 0.9])]
+            sig, who = ngram_join.signatures(keys, np.array([0, len(a), len(a) + len(b)]), percent, np.sort(known))
             assert a == b or set(sig[who == 0]) & set(sig[who == 1]), (percent, len(a), len(b))
 
 

@@ -32,11 +32,14 @@ SHINGLE_WORDS, PERCENT = 5, 80
 #: Ratio of the largest to the least set size of a band.
 BAND_RATIO = 1.25
 #: Members of a family that one task verifies whole; larger ones are cut into blocks of that many.
-BLOCK = 192
+BLOCK = 256
 #: Members of a family whose pairs of blocks are all verified; beyond, only those of its buckets are.
-FAMILY = 32 * BLOCK
+FAMILY = 64 * BLOCK
 #: Cost of a chance agreement of small segments against that of a signature.
-CHANCE = 200.0
+CHANCE = 30.0
+#: Common shingles: at most so many, of which a task has seen so many in a batch of texts, and all tasks so many.
+#: Which ones are known changes what is compared, but never what is found.
+COMMON, COMMON_IN_BATCH, COMMON_IN_ALL = 200_000, 3, 24
 
 
 @lru_cache(maxsize=4096)
@@ -106,9 +109,15 @@ def class_ids(key: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.where(size > 0, mix((sums[first[1:]] - sums[first[:-1]]) ^ mix(size)) | np.uint64(1), np.uint64(0))
 
 
-def signatures(key: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signature and number of the set for every set, in its own band and those of larger sets that may be similar."""
+def signatures(key: np.ndarray, first: np.ndarray, percent: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Signature and number of the set for every set, in its own band and those of larger sets that may be similar.
+
+    A segment is thin if it holds hardly any shingle that isn't common (a sorted array): sets would agree on it
+    by chance. Sets that agree on a segment agree on its being thin. So thin ones are left out, unless a set has
+    more of them than the band has spare segments: two similar sets then have a segment that both index.
+    """
     sizes = np.diff(first)
+    rare = np.ones(len(key)) if common is None or not len(common) else (common[np.minimum(np.searchsorted(common, key), len(common) - 1)] != key).astype(float)
     own, most = band_of(sizes, percent), band_of(sizes * 100 // percent, percent)
     out, who = [], []
     for number in range(int(own[sizes > 0].min()) if (sizes > 0).any() else 0, int(most.max(initial=0)) + 1):
@@ -124,13 +133,12 @@ def signatures(key: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.nda
         value = mix(h + salt)
         sums = np.zeros(len(chosen) * m, np.uint64)
         np.add.at(sums, cell, value)
-        count = np.bincount(cell, minlength=len(sums))
         part = mix((np.arange(len(sums)) % m).astype(np.uint64) + salt)
         if deep:
             out += [mix(sums ^ part), mix((sums[cell] - value) ^ part[cell])]
             who += [np.repeat(chosen, m), chosen[which]]
             continue
-        thin = count < least_size(band(number, percent)[0] / m)
+        thin = np.bincount(cell, weights=rare[at], minlength=len(sums)) < max(1, least_size(band(number, percent)[0] / m) - 1)
         many = thin.reshape(-1, m).sum(1) > spare  # then sets that agree on thin segments only index those, too
         keep = ~thin | np.repeat(many, m)
         out.append(mix(sums ^ part)[keep])
@@ -202,10 +210,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, percent: int
     base = with_text(docs).select(order_key().alias("k"), "doc_id", "text")
 
     def emit_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text; and for each shingle common in a batch a row without k, with its number of sets below zero."""
+        names = ["k", "doc_id", "n_shingles", "c"]
         for batch in batches:
+            keys = [np.zeros(0, np.uint64)]
             for piece, data, ends in pieces(batch):
                 key, first = shingles(data, ends, shingle)
-                yield pa.record_batch([piece.column("k"), piece.column("doc_id"), pa.array(np.diff(first)), signed(class_ids(key, first))], ["k", "doc_id", "n_shingles", "c"])
+                c = class_ids(key, first)
+                yield pa.record_batch([piece.column("k"), piece.column("doc_id"), pa.array(np.diff(first)), signed(c)], names)
+                keys.append(np.concatenate([key[first[i] : first[i + 1]] for i in np.unique(c, return_index=True)[1]] or keys[:1]))
+            key, n = np.unique(np.concatenate(keys), return_counts=True)
+            key, n = key[n >= COMMON_IN_BATCH], n[n >= COMMON_IN_BATCH]
+            yield pa.record_batch([pa.nulls(len(key), pa.int64()), pa.nulls(len(key), pa.int64()), pa.array(-n), signed(key)], names)
 
     def emit_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,7 +231,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, percent: int
                 new = np.unique(c, return_index=True)[1]  # copies in a piece have the same signatures
                 n = np.diff(first)[new]
                 at = np.repeat(first[:-1][new] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                sig, who = signatures(key[at], np.concatenate([[0], np.cumsum(n)]), percent)
+                sig, who = signatures(key[at], np.concatenate([[0], np.cumsum(n)]), percent, common.value)
                 yield pa.record_batch([signed(sig), signed(c[new][who])], ["sig", "c"])
 
     def emit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +242,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, percent: int
                 sets = [key[first[i] : first[i + 1]].tobytes() for i in meant]
                 yield pa.record_batch([piece.column("c").take(pa.array(meant)), pa.array(sets, pa.binary())], ["c", "shingles"])
 
-    of_class = cut(base.mapInArrow(emit_classes, "k long, doc_id long, n_shingles long, c long"))
+    seen = cut(base.mapInArrow(emit_classes, "k long, doc_id long, n_shingles long, c long"))
+    of_class = seen.where("n_shingles >= 0")
+    often = seen.where("n_shingles < 0").groupBy("c").agg(F.sum("n_shingles").alias("n")).where(F.col("n") <= -COMMON_IN_ALL)
+    top = often.orderBy("n", "c").limit(COMMON).select("c").toArrow().column("c")  # bounded
+    common = docs.sparkSession.sparkContext.broadcast(np.sort(np.asarray(top).astype(np.int64).view(np.uint64)))
     sigs = base.select("text").mapInArrow(emit_signatures, "sig long, c long").repartition(partitions(docs), "sig")
     members = cut(_named(sigs).distinct())
     family = cut(components(members.select(F.col("c").alias("a"), F.col("low").alias("b"))).withColumnsRenamed({"node": "c", "component": "f"}))
