@@ -15,13 +15,13 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps: each round points every node at the least of its neighbours,
     until no link changes. Rounds grow with the logarithm of the nodes. Neighbours are aggregated to their
-    least before anything is joined, so a hub costs its links and no more.
+    least before anything is joined, so a hub costs its links and no more, and skewed joins can split those.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(ROUNDS):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        least = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))  # read again, the join below can split a hub's links
         # large star: larger neighbours to the least of the neighbourhood
         edges = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: smaller neighbours, and the node itself, to the least of them
