@@ -207,8 +207,8 @@ def retained(trips: DataFrame, as_of_us: int, retain_minutes: int = RETAIN_MINUT
     if retain_minutes < widest:
         raise TidemarkError(f"a retention of {retain_minutes} minutes is less than the widest window, {widest}")
     seen = finished(trips).where(F.col("d_us") <= as_of_us)
-    newest = seen.agg(F.max("d_us").alias("newest"))
-    held = seen.join(F.broadcast(newest)).where(F.col("d_us") > F.col("newest") - retain_minutes * MINUTE_US)
+    newest = seen.agg(F.max("d_us")).first()[0] or 0
+    held = seen.where(F.col("d_us") > newest - retain_minutes * MINUTE_US)
     return held.groupBy("driver_id").agg(F.countDistinct("trip_id").alias("held"))
 
 
