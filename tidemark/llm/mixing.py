@@ -39,7 +39,7 @@ def cumulative(rate: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, source: str = "source") -> DataFrame:
-    """For each source: rows, weight, target share, mean number of copies of a row, and its distribution.
+    """For each source: rows, weight, target share, mean number of copies of a row, and its distribution; marked for broadcast if few.
 
     Without weights a source weighs its size to the power TEMPERATURE. A source that the weights leave out
     gets no rows. total: rows to aim at; the rows there are, if not given.
@@ -54,11 +54,12 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float
         for name, w in weights.items():
             weight = F.when(F.col("mix_source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(weight)
     weighed = sizes.withColumn("mix_weight", weight)
-    sums = weighed.agg(F.sum("mix_weight").alias("mix_all"), F.sum("mix_rows").alias("mix_total"))
-    share = F.coalesce(F.try_divide(F.col("mix_weight"), F.col("mix_all")), F.lit(0.0))
-    goal = F.lit(float(total)) if total is not None else F.col("mix_total").cast("double")
-    out = weighed.join(F.broadcast(sums)).withColumn("mix_share", share)  # sums is one row
-    return out.withColumn("mix_rate", F.col("mix_share") * goal / F.col("mix_rows")).withColumn("mix_cdf", cumulative(F.col("mix_rate"))).drop("mix_all", "mix_total")
+    count, rows, all_weights = weighed.agg(F.count(F.lit(1)), F.sum("mix_rows"), F.sum("mix_weight")).first()
+    share = F.col("mix_weight") / all_weights if all_weights else F.lit(0.0)
+    goal = float(total if total is not None else rows or 0)
+    rate = F.col("mix_share") * goal / F.col("mix_rows")
+    out = weighed.withColumn("mix_share", share).withColumn("mix_rate", rate).withColumn("mix_cdf", cumulative(F.col("mix_rate")))
+    return F.broadcast(out) if count <= BROADCAST_SOURCES else out
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, seed: int = SEED, key: str = "doc_id", source: str = "source") -> DataFrame:
@@ -70,8 +71,6 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total:
     """
     rows = docs.select(F.struct("*").alias("row"), F.col(source).alias("at_source"), F.coalesce(F.col(key).cast("string"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).alias("at_key"))
     table = rates(docs, weights, total, source).select("mix_source", "mix_cdf")
-    sources = docs.select(F.approx_count_distinct(source, 0.02)).first()[0] if source in docs.columns else 0
-    table = F.broadcast(table) if sources <= BROADCAST_SOURCES else table
     u = uniform(seed, F.col("at_key"))
     copies = F.size(F.filter("mix_cdf", lambda c: c <= u))
     out = (
