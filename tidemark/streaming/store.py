@@ -2,7 +2,7 @@
 
 A trip enters twice: as a probe at its assignment, and as history at its delivery. State is kept for each entity;
 a probe is answered once the watermark has passed its instant, so that history which arrives late, but within the
-allowed delay, is in. Answers depend on event times alone, never on the order of arrival, and equal the batch ones.
+allowed delay, is in. Answers depend on event times alone, never on the order in which rows come, and equal the batch ones.
 """
 
 from __future__ import annotations
