@@ -31,10 +31,11 @@ from tidemark.llm.spread import cut, order_key, partitions, with_text
 SHINGLE_WORDS, PERCENT = 5, 80
 #: Ratio of the largest to the least set size of a band.
 BAND_RATIO = 1.25
-#: Members of a family that one task verifies whole; larger ones are cut into blocks of that many.
-BLOCK = 256
+#: Members of a family that one task verifies whole. Larger ones are cut into blocks of that many, but into no
+#: more than so many blocks, as each member is sent with each block; beyond FAMILY, blocks stay as large as there.
+BLOCK, MOST_BLOCKS = 96, 24
 #: Members of a family whose pairs of blocks are all verified; beyond, only those of its buckets are.
-FAMILY = 64 * BLOCK
+FAMILY = 12_288
 #: Cost of a chance agreement of small segments against that of a signature.
 CHANCE = 30.0
 #: Common shingles: at most so many, of which a task has seen so many in a batch of texts, and all tasks so many.
@@ -280,7 +281,8 @@ def _named(sigs: DataFrame) -> DataFrame:
 
 def _blocks(families: DataFrame) -> DataFrame:
     """Tasks that compare all members of a family: f, c, size to g, c, side. Each member goes with every block once; a block with itself has one side."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    size = F.col("size")
+    blocks = F.least(F.ceil(size / BLOCK), F.greatest(F.lit(MOST_BLOCKS), F.ceil(size * MOST_BLOCKS / FAMILY))).cast("int")
     placed = families.withColumns({"n": blocks, "own": F.pmod(F.xxhash64("c"), blocks).cast("int")})
     paired = placed.select("f", "c", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
     name = F.xxhash64("f", F.least("own", "other"), F.greatest("own", "other"))
