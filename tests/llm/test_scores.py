@@ -177,6 +177,25 @@ def test_recall_when_few_of_a_block_are_reranked(spark):
     assert sum((i, j) in pairs for i, f in want.items() for _, j in f) >= 0.9 * sum(map(len, want.values()))
 
 
+@pytest.mark.parametrize("noise", [0.0, 1e-9, 1e-3])
+def test_groups_of_copies_larger_than_what_is_reranked(spark, noise):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((6000, 16))
+    x[2000:] = x[0] + noise * rng.standard_normal((4000, 16))
+    ids = rng.permutation(6000)
+    rows = [(int(i), v) for i, v in zip(ids, x, strict=True)]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    got = nearest.nearest(vectors, F.col("vec_id") % 200 == 0, k=10).orderBy("query_id", "rank").collect()
+    want = exact(rows, [r for r in rows if r[0] % 200 == 0], 10)
+    assert [(r.query_id, r.vec_id) for r in got] == [(i, j) for i in sorted(want) for _, j in want[i]]
+
+
+def test_equal_rows_are_candidates_each(spark):
+    rows = [(i, [1.0, 0.5]) for i in range(30)] + [(1, [1.0, 0.5])] * 3 + [(0, [1.0, 0.5])] * 20 + [(100, [1.0, 0.4])]
+    got = nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, k=6).orderBy("query_id", "rank").collect()
+    assert [r.vec_id for r in got] == [1, 1, 1, 1, 2, 3] + [0] * 6
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.5]), (2, [0.0, 0.0]), (3, None), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 0.5]), (8, [1.0]), (None, [1.0, 1.0]), (0, [1.0, 0.1])]

@@ -3,10 +3,13 @@
 Least Euclidean distance is turned into a largest inner product: q.x - |x|^2 / 2. Codes are four bits for each
 pair of dimensions. They are trained and chosen to penalise the part of the residual that is parallel to the
 vector more than the rest, as that part moves the large inner products. A scan adds up table entries for two
-codes (a byte) at a time; the best of each block are measured again on the original vectors.
+codes (a byte) at a time; the best of each block are measured again on the original vectors. So is every other
+row whose score, by the length of its residual, may reach that of the last neighbour among these. What is left
+out is farther for certain, so the k nearest are those of a search through all vectors.
 
-Every vector is coded and scanned. Vectors are dealt to blocks by a hash; a group of queries goes to each
-block, so that a task holds one block and one bounded group of queries.
+Every vector is coded and scanned, but of equal ones only those with the k + 1 least ids, as no query needs
+more. Vectors are dealt to blocks by a hash; a group of queries goes to each block, so that a task holds one
+block and one bounded group of queries.
 """
 
 from __future__ import annotations
@@ -25,8 +28,10 @@ BLOCK_ROWS, GROUP_QUERIES, SAMPLE_ROWS = 16_384, 8_192, 16_384
 CENTRES, ITERATIONS, SEED = 16, 6, 3
 #: Share of a vector's norm that an inner product of interest reaches; sets the weight of parallel errors.
 THRESHOLD = 0.25
-#: Rows of a block that are reranked for each query, as a multiple of the neighbours asked for.
+#: Rows of a block that are measured first for each query, as a multiple of the neighbours asked for. They set the bound for the others.
 RERANK = 6
+#: Pairs of a query and a row that are measured at a time.
+PAIRS = 65_536
 
 
 class Quantiser:
@@ -104,6 +109,12 @@ class Quantiser:
             out += both[:, packed[:, j]]
         return out
 
+    def residual(self, x: np.ndarray, packed: np.ndarray) -> np.ndarray:
+        """Lengths of what the codes of vectors leave out."""
+        codes = np.stack([packed >> 4, packed & 15], 2).reshape(len(packed), -1)[:, : self.parts]
+        coded = self.books[np.arange(self.parts), codes].reshape(len(x), -1)
+        return np.linalg.norm(self.padded(x) - coded, axis=1)
+
 
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and x (array of doubles) of the vectors that take part: with an id, finite, not zero, of the commonest length (of several, the least)."""
@@ -116,7 +127,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 10, block_rows: int = BLOCK_ROWS, rerank: int = RERANK, sample: int = SAMPLE_ROWS) -> DataFrame:
-    """query_id, rank (from 1), vec_id and score (Euclidean distance, double) of the k nearest found of each query.
+    """query_id, rank (from 1), vec_id and score (Euclidean distance, double) of the k nearest of each query.
 
     queries: a condition on vec_id that picks the queries among the vectors. Every other row is a candidate;
     rows that share a query's id are not. Equal rows are candidates each; ties go to the smaller id. Vectors
@@ -147,25 +158,47 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, block_rows: int =
         out = [[], [], []]
         if len(ids) and right.num_rows:
             packed = np.stack([np.frombuffer(c.as_py(), np.uint8) for c in left.column("code")])
-            half, every, names = (x * x).sum(1) / 2, matrix(right.column("x")), np.asarray(right.column("vec_id"))
+            every, names = matrix(right.column("x")), np.asarray(right.column("vec_id"))
+            half = (x * x).sum(1) / 2
+            lengths, lost = np.sqrt(2 * half), q.residual(x, packed)
             for at in range(0, len(names), 128):
                 own, name = every[at : at + 128], names[at : at + 128]
-                likely = q.scan(own, packed) - half.astype(np.float32)
-                likely[name[:, None] == ids] = -np.inf
+                likely, other = q.scan(own, packed) - half, name[:, None] != ids
+                likely[~other] = -np.inf
                 n = min(len(ids), k * rerank)
                 best = np.argpartition(-likely, n - 1, axis=1)[:, :n]
                 distance = np.sqrt(((x[best] - own[:, None]) ** 2).sum(2))
                 distance[name[:, None] == ids[best]] = np.inf
-                order = np.lexsort((ids[best], distance), axis=1)[:, :k]
-                who, score = np.take_along_axis(ids[best], order, 1), np.take_along_axis(distance, order, 1)
-                real = np.isfinite(score)
-                out[0].append(np.repeat(name, order.shape[1]).reshape(order.shape)[real])
-                out[1].append(who[real])
-                out[2].append(score[real])
+                last = np.partition(distance, k - 1, axis=1)[:, k - 1] if n >= k else np.full(len(own), np.inf)
+                square = (own * own).sum(1)
+                fuzz = (x.shape[1] + 8) * 2.0**-50 * (square[:, None] + half)  # of sums in double precision, more than enough
+                single = (q.parts + 8) * 2.0**-23 * (lengths + lost)  # of the scan's, which are in single precision
+                reach = np.sqrt(square)[:, None] * (lost + single) + 1e-42 * (1 + lengths + lost) + 2 * fuzz
+                bound = (square - last**2) / 2
+                open_ = other & ~(likely + reach < np.where(np.isfinite(bound), bound, -np.inf)[:, None])
+                some = np.flatnonzero(open_.any(0))
+                if not len(some):
+                    continue
+                open_, fuzz = open_[:, some], fuzz[:, some]
+                exact = np.where(open_, own @ x[some].T - half[some], -np.inf)
+                n = min(len(some), k)
+                bound = -np.partition(fuzz - exact, n - 1, axis=1)[:, n - 1]
+                who, which = np.nonzero(open_ & ~(exact + fuzz < bound[:, None]))
+                which = some[which]
+                parts = [np.sqrt(((x[which[i : i + PAIRS]] - own[who[i : i + PAIRS]]) ** 2).sum(1)) for i in range(0, len(who), PAIRS)]
+                score = np.concatenate(parts)
+                order = np.lexsort((ids[which], score, who))
+                order = order[(np.arange(len(who)) - np.searchsorted(who, who) < k) & np.isfinite(score[order])]
+                out[0].append(name[who[order]])
+                out[1].append(ids[which[order]])
+                out[2].append(score[order])
         return pa.table([pa.array(np.concatenate(o) if o else [], t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
 
     number = F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(blocks)).cast("int")
-    data = whole.mapInArrow(code, schema).withColumn("block", number).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    nth = F.row_number().over(Window.partitionBy("x").orderBy("vec_id"))
+    first = whole.groupBy("x", "vec_id").agg(F.count(F.lit(1)).alias("n")).withColumn("nth", nth).where(F.col("nth") <= k + 1)
+    fewer = first.select("vec_id", "x", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)))).alias("copy")).select("vec_id", "x")
+    data = fewer.mapInArrow(code, schema).withColumn("block", number).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     own = whole.where(queries).dropDuplicates(["vec_id"]).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(SEED + 1)), F.lit(groups)).cast("int"))
     sent = own.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     found = data.groupBy("block", "part").cogroup(sent.groupBy("block", "part")).applyInArrow(search, result)
