@@ -54,6 +54,17 @@ def test_keep_one_takes_the_least_id(docs):
     assert ngram_join.keep_one(docs).columns == docs.columns
 
 
+def test_keep_one_takes_one_row_of_repeated_ones(docs, spark):
+    a, b, c, d, e = ("".join(f"{x}{i} " for i in range(30)) for x in "abcde")
+    rows = [(1, a), (1, a), (2, a), (1, b), (None, c), (None, c), (3, ""), (3, ""), (4, ""), (5, d), (0, d), (5, e), (1, f"{a} a0 a1"), (6, None), (None, b)]
+    got = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    left = sorted((str(r.doc_id), r.text or "") for r in got if r.text not in (a, f"{a} a0 a1"))
+    assert left == sorted([("1", b), ("None", c), ("3", ""), ("4", ""), ("0", d), ("5", e), ("6", "")])
+    assert [r.doc_id for r in got if r.text in (a, f"{a} a0 a1")] == [1]
+    once = sorted(map(repr, ngram_join.keep_one(docs).collect()))
+    assert sorted(map(repr, ngram_join.keep_one(docs.unionAll(docs)).collect())) == once
+
+
 def test_similar_sets_share_a_signature():
     """For pairs at the very threshold, at many sizes."""
     draw = random.Random(1)

@@ -20,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrays import LOWER, Rolling, mix, pieces, signed, words
@@ -206,23 +206,28 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, percent: int
     share an id are members like any others. Other columns are left out; tables may be empty, texts of any
     length. Sets, classes and signatures are compared by 64-bit hashes, pairs by the shingles' hashes.
     """
+    return _grouped(docs, shingle, percent).select("doc_id", "k", "n_shingles", "component")
+
+
+def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """What near_duplicates returns, with t, a hash of the text, and group, which names the component by its classes (null for texts without words)."""
     if not 50 <= percent <= 100 or shingle < 1:
         raise ValueError("similarity is from 50 to 100 percent, and a shingle has a word at least")
-    base = with_text(docs).select(order_key().alias("k"), "doc_id", "text")
+    base = with_text(docs).select(order_key().alias("k"), "doc_id", "text", _text_key().alias("t"))
 
     def emit_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each text; and for each shingle common in a batch a row without k, with its number of sets below zero."""
-        names = ["k", "doc_id", "n_shingles", "c"]
+        names = ["k", "doc_id", "t", "n_shingles", "c"]
         for batch in batches:
             keys = [np.zeros(0, np.uint64)]
             for piece, data, ends in pieces(batch):
                 key, first = shingles(data, ends, shingle)
                 c = class_ids(key, first)
-                yield pa.record_batch([piece.column("k"), piece.column("doc_id"), pa.array(np.diff(first)), signed(c)], names)
+                yield pa.record_batch([piece.column("k"), piece.column("doc_id"), piece.column("t"), pa.array(np.diff(first)), signed(c)], names)
                 keys.append(np.concatenate([key[first[i] : first[i + 1]] for i in np.unique(c, return_index=True)[1]] or keys[:1]))
             key, n = np.unique(np.concatenate(keys), return_counts=True)
             key, n = key[n >= COMMON_IN_BATCH], n[n >= COMMON_IN_BATCH]
-            yield pa.record_batch([pa.nulls(len(key), pa.int64()), pa.nulls(len(key), pa.int64()), pa.array(-n), signed(key)], names)
+            yield pa.record_batch([*[pa.nulls(len(key), pa.int64())] * 3, pa.array(-n), signed(key)], names)
 
     def emit_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,7 +248,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, percent: int
                 sets = [key[first[i] : first[i + 1]].tobytes() for i in meant]
                 yield pa.record_batch([piece.column("c").take(pa.array(meant)), pa.array(sets, pa.binary())], ["c", "shingles"])
 
-    seen = cut(base.mapInArrow(emit_classes, "k long, doc_id long, n_shingles long, c long"))
+    seen = cut(base.mapInArrow(emit_classes, "k long, doc_id long, t long, n_shingles long, c long"))
     of_class = seen.where("n_shingles >= 0")
     often = seen.where("n_shingles < 0").groupBy("c").agg(F.sum("n_shingles").alias("n")).where(F.col("n") <= -COMMON_IN_ALL)
     top = often.orderBy("n", "c").limit(COMMON).select("c").toArrow().column("c")  # bounded
@@ -264,8 +269,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, percent: int
     label = of_class.groupBy("c").agg(F.min("k").alias("least")).where("c <> 0")
     label = label.join(found, label.c == found.node, "left").select("c", "least", F.coalesce("component", "c").alias("group"))
     lowest = label.groupBy("group").agg(F.min("least").alias("component"))
-    named = label.join(lowest, "group").select("c", "component")
-    return of_class.join(named, "c", "left").select("doc_id", "k", "n_shingles", F.coalesce("component", "k").alias("component"))
+    named = label.join(lowest, "group").select("c", "group", "component")
+    return of_class.join(named, "c", "left").select("doc_id", "k", "t", "n_shingles", "group", F.coalesce("component", "k").alias("component"))
+
+
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def _named(sigs: DataFrame) -> DataFrame:
@@ -300,7 +309,15 @@ def _by_bucket(members: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each group of near copies: the one with the least id (all, if several rows have it). Texts without words stay."""
-    kept = near_duplicates(docs, shingle, percent).where("k = component").select(F.col("k").alias("kept_key")).distinct()
-    whole = docs.select(F.struct("*").alias("row"), order_key().alias("key"))
-    return whole.join(kept, whole.key == kept.kept_key, "left_semi").select("row.*")
+    """docs with one document of each group of near copies: the one with the least id. Texts without words stay.
+
+    If texts of a group share the least id, the one with the least hash stays. Rows of one id and text, or of no
+    id and one text, with or without words, are one document, of which the row with the least hash stays.
+    """
+    alone = F.when(F.col("group").isNull(), F.col("t")).alias("alone")
+    least = _grouped(docs, shingle, percent).where("k = component").groupBy("k", "group", alone).agg(F.min("t").alias("t"))
+    kept = least.select(F.col("k").alias("kept_key"), F.col("t").alias("kept_text"))
+    hashed = [F.col(f"`{name}`") for name, kind in docs.dtypes if "map<" not in kind]  # maps have no hash
+    whole = docs.select(F.struct("*").alias("row"), order_key().alias("key"), _text_key().alias("t"), F.xxhash64(*hashed).alias("h"))
+    once = whole.groupBy("key", "t").agg(F.min_by("row", "h").alias("row"))  # before the join, which needs the same shuffle
+    return once.join(kept, (once.key == kept.kept_key) & (once.t == kept.kept_text), "left_semi").select("row.*")
