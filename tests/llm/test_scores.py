@@ -60,6 +60,24 @@ def test_quality_takes_any_text(docs, empty, spark):
     assert quality.train(docs, labels.where("quality = 1")) is not None
 
 
+def learned(monkeypatch, docs, labels, **more):
+    """Bags and labels that training learns from."""
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda bags, y: seen.append((bags, y)))
+    quality.train(docs, labels, **more)
+    return seen[0]
+
+
+def test_training_takes_all_passages(spark, monkeypatch):
+    texts = [" ".join(f"{'odd' if p == i else 'w'}{j}" for p in range(40) for j in range(quality.PASSAGE_WORDS)) for i in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    bags, y = learned(monkeypatch, docs, labels)
+    assert [len(b) for b in bags] == [40] * 12 and list(y) == [0, 1] * 6
+    monkeypatch.setattr(quality, "SAMPLE_PASSAGES", 100)
+    assert [len(b) for b in learned(monkeypatch, docs, labels)[0]] == [40] * 3  # fewer rows, but whole ones
+
+
 def test_passages_are_encoded_alike_anywhere():
     texts = ["alpha beta " * 90, "", "   ", "Gamma!", "ünï " * 70]
     raw = [t.encode() for t in texts]

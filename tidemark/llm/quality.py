@@ -4,7 +4,8 @@ A document is a bag of passages. Each passage is encoded by a small network, gat
 encodings (tanh and sigmoid branches, softmax over the document's passages), and a logistic unit scores their
 weighted sum. Only documents have labels; encoder, attention and scorer are learned from those together.
 
-Training reads a bounded sample of labelled rows and so runs on the driver; scoring is a pass over all rows.
+Training reads a bounded sample of labelled rows, each with all its passages, and so runs on the driver; scoring
+is a pass over all rows.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.arrays import LOWER, SPACE, Rolling, pieces, words
+from tidemark.llm.spread import cut
 
 #: Words of a passage.
 PASSAGE_WORDS = 64
-#: Labelled rows that training takes at most, and passages of each; the sample is even over rows and passages.
-SAMPLE_ROWS, SAMPLE_PASSAGES = 6_000, 24
+#: Labelled rows that training takes at most, and passages of all of them after which it takes no more rows.
+SAMPLE_ROWS, SAMPLE_PASSAGES = 6_000, 144_000
 HIDDEN, ATTENTION, EPOCHS, BATCH, SEED = 24, 12, 30, 256, 5
 #: Share of passages' words that are hashed into that many slots.
 SLOTS = 32
@@ -134,27 +136,31 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS, label:
     """A model from at most ``sample`` labelled documents: those whose hashed ids are least, so that any size of input is sampled evenly.
 
     fold: a condition on doc_id that rows must meet to be learned from. Null labels and ids are left out; of
-    several labels of one document the least counts, as does the text that comes first in order.
+    several labels of one document the least counts, as does the text that comes first in order. Rows are taken
+    with all passages, until SAMPLE_PASSAGES are reached.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     known = known.where(fold) if fold is not None else known
     known = known.groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(sample)  # a bounded sample
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("y", T.IntegerType()), T.StructField("bag", T.BinaryType())])
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("y", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("bag", T.BinaryType())])
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece, data, ends in pieces(batch):
                 x, first = encode(data, ends)
-                out = []
-                for a, b in zip(first[:-1], first[1:], strict=True):
-                    even = np.unique(np.linspace(a, b - 1, min(b - a, SAMPLE_PASSAGES)).round().astype(np.int64))
-                    out.append(x[even].tobytes())
-                yield pa.record_batch([piece.column("doc_id"), piece.column("y"), pa.array(out, pa.binary())], schema.names)
-
-    rows = texts.select("doc_id", "y", "text").mapInArrow(bags, schema).collect()
-    rows = sorted({(r.doc_id, r.y, bytes(r.bag)) for r in rows})[: 2 * sample]
+                out = [x[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+                yield pa.record_batch([piece.column("doc_id"), piece.column("y"), pa.array(np.diff(first)), pa.array(out, pa.binary())], schema.names)
+
+    place = F.struct(F.xxhash64("doc_id", F.lit(SEED)).alias("h"), "doc_id")
+    whole = cut(texts.select("doc_id", "y", "text").mapInArrow(bags, schema).withColumn("place", place))
+    sizes = whole.select("place", "n").orderBy("place").collect()
+    before = np.cumsum([0, *(r.n for r in sizes)])[:-1]
+    if (taken := int((before < SAMPLE_PASSAGES).sum())) < len(sizes):
+        h, last = sizes[taken - 1].place
+        whole = whole.where((F.col("place.h") < h) | ((F.col("place.h") == h) & (F.col("place.doc_id") <= last)))
+    rows = sorted({(r.doc_id, r.y, bytes(r.bag)) for r in whole.select("doc_id", "y", "bag").collect()})[: 2 * sample]
     return fit([np.frombuffer(r[2], np.float32).reshape(-1, N_FEATURES) for r in rows], np.array([r[1] for r in rows]))
 
 
