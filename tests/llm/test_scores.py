@@ -78,6 +78,14 @@ def test_training_takes_all_passages(spark, monkeypatch):
     assert [len(b) for b in learned(monkeypatch, docs, labels)[0]] == [40] * 3  # fewer rows, but whole ones
 
 
+def test_training_takes_one_row_of_a_document(spark, monkeypatch):
+    rows = [(0, f"b{i} " * (65 + i)) for i in range(50)] + [(0, "a b"), (0, None), (1, "c"), (2, "d " * 200), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)] + [(1, 0)], "doc_id long, quality int")
+    bags, y = learned(monkeypatch, docs, labels, sample=4)
+    assert [len(b) for b in bags] == [1, 1, 4, 1] and list(y) == [0, 0, 0, 1]
+
+
 def test_passages_are_encoded_alike_anywhere():
     texts = ["alpha beta " * 90, "", "   ", "Gamma!", "ünï " * 70]
     raw = [t.encode() for t in texts]

@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS, label:
     known = known.where(fold) if fold is not None else known
     known = known.groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(sample)  # a bounded sample
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text"))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("y", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("bag", T.BinaryType())])
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,8 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS, label:
     if (taken := int((before < SAMPLE_PASSAGES).sum())) < len(sizes):
         h, last = sizes[taken - 1].place
         whole = whole.where((F.col("place.h") < h) | ((F.col("place.h") == h) & (F.col("place.doc_id") <= last)))
-    rows = sorted({(r.doc_id, r.y, bytes(r.bag)) for r in whole.select("doc_id", "y", "bag").collect()})[: 2 * sample]
-    return fit([np.frombuffer(r[2], np.float32).reshape(-1, N_FEATURES) for r in rows], np.array([r[1] for r in rows]))
+    rows = whole.orderBy("doc_id").select("y", "bag").collect()
+    return fit([np.frombuffer(r.bag, np.float32).reshape(-1, N_FEATURES) for r in rows], np.array([r.y for r in rows]))
 
 
 def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
