@@ -38,10 +38,10 @@ def brute(rows, n, percent):
     return sorted((key, len(sets[i]), least[find(i)]) for i, (key, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize(("n", "percent", "family"), [(3, 90, 1000), (5, 80, 12), (1, 60, 4)])
-def test_components(docs, n, percent, family, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK", 8)  # the group of near copies becomes a family of several blocks
-    monkeypatch.setattr(ngram_join, "FAMILY", family)  # or one too large to compare whole
+@pytest.mark.parametrize(("n", "percent", "block"), [(3, 90, 384), (5, 80, 8), (5, 80, 3), (1, 60, 2)])
+def test_components(docs, n, percent, block, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)  # with few, the group of near copies is a family of several blocks
+    monkeypatch.setattr(ngram_join, "HUBS", 2)
     monkeypatch.setattr(ngram_join, "COMMON_IN_ALL", 4)
     rows = [tuple(r) for r in docs.select(order_key(), "text").collect()]
     got = sorted((r.k, r.n_shingles, r.component) for r in ngram_join.near_duplicates(docs, n, percent).collect())

@@ -5,34 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.spread import cut
+from tidemark.llm.spread import cut, delete, scratch
 
 ROUNDS = 60
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node and component (the least node reachable) for the ends a and b of links.
+    """node and component (the least node reachable) for the ends a and b of links, as a written table.
 
     Alternating large-star and small-star steps: each round points every node at the least of its neighbours,
     until no link changes. Rounds grow with the logarithm of the nodes. Neighbours are aggregated to their
     least before anything is joined, so a hub costs its links and no more, and skewed joins can split those.
+    A round's tables are deleted when the next has been written.
     """
-    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    for _ in range(ROUNDS):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))  # read again, the join below can split a hub's links
-        # large star: larger neighbours to the least of the neighbourhood
-        edges = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # small star: smaller neighbours, and the node itself, to the least of them
-        low = edges.groupBy("a").agg(F.min("b").alias("m"))
-        edges = cut(edges.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct())
-        state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError("components have not settled")
-    node = edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
-    root = node.select(F.col("component").alias("node"), "component").distinct()
-    return node.unionByName(root)
+    spark = links.sparkSession
+    with scratch(spark) as keep:
+        edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        before = None
+        for _ in range(ROUNDS):
+            with scratch(spark) as keep_edges:
+                both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+                least = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))  # read again, the join below can split a hub's links
+                # large star: larger neighbours to the least of the neighbourhood
+                large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+                # small star: smaller neighbours, and the node itself, to the least of them
+                low = large.groupBy("a").agg(F.min("b").alias("m"))
+                ends = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+                after = keep_edges(large.join(low, "a").select(F.explode(ends).alias("e")).select("e.*").where("a <> b").distinct())
+            for path in {f.rpartition("/")[0] for f in edges.inputFiles()}:
+                delete(spark, path)
+            edges = after
+            state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
+            if state == before:
+                break
+            before = state
+        else:
+            raise RuntimeError("components have not settled")
+        node = edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
+        root = node.select(F.col("component").alias("node"), "component").distinct()
+        return keep(node.unionByName(root))

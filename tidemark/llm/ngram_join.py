@@ -7,9 +7,11 @@ leaves one segment at least that two similar sets agree on. A cost model picks t
 Classes that share a signature form a bucket, whose pairs are verified on the sets themselves.
 
 Buckets that overlap are merged into families, so that each set is sent once instead of with every bucket. A
-family is cut into blocks, and a task compares two of them at most, however large a group of near copies is; it
-emits a spanning forest of its links instead of pairs. Should chance agreements tie very many sets into one
-family, its buckets are verified instead.
+family that one task can hold is compared whole. In a larger one links are first looked for within blocks of
+members and with a few hubs that every block gets, which joins up groups of near copies. What is left are buckets
+whose members aren't all connected. There, counts of shingles by bin tell which sets may be similar at all, and
+members of different components that may be are compared block by block: those of the largest component with
+each block of the rest, not with each other. Tasks emit connected members, never all pairs.
 """
 
 from __future__ import annotations
@@ -20,22 +22,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrays import LOWER, Rolling, mix, pieces, signed, words
 from tidemark.llm.components import components
-from tidemark.llm.spread import cut, order_key, partitions, with_text
+from tidemark.llm.spread import cut, order_key, partitions, scratch, whole_runs, with_text
 
 #: Shingle size and similarity that near-duplicate operators take unless told otherwise.
 SHINGLE_WORDS, PERCENT = 5, 80
 #: Ratio of the largest to the least set size of a band.
 BAND_RATIO = 1.25
-#: Members of a family that one task verifies whole. Larger ones are cut into blocks of that many, but into no
-#: more than so many blocks, as each member is sent with each block; beyond FAMILY, blocks stay as large as there.
-BLOCK, MOST_BLOCKS = 96, 24
-#: Members of a family whose pairs of blocks are all verified; beyond, only those of its buckets are.
-FAMILY = 12_288
+#: Sets that one task compares with each other, and about how many hubs each block of a larger family gets.
+BLOCK, HUBS = 384, 16
+#: Bins that the shingles of a set are counted in: the counts of two sets differ by no more than the sets do.
+BINS = 64
 #: Cost of a chance agreement of small segments against that of a signature.
 CHANCE = 30.0
 #: Common shingles: at most so many, of which a task has seen so many in a batch of texts, and all tasks so many.
@@ -149,11 +150,27 @@ def signatures(key: np.ndarray, first: np.ndarray, percent: int, common: np.ndar
     return np.concatenate(out), np.concatenate(who)
 
 
-def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> tuple[list, list]:
-    """Links of a spanning forest of the similar pairs. left: marks members of the first of two blocks, between which pairs are looked for."""
-    n, size = len(ids), np.array([len(s) for s in sets])
+def connected(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a symmetric matrix of links, a member's row and the row of the first member that it is connected with."""
+    n = len(linked)
+    root, left = np.arange(n), linked.any(1)
+    while left.any():
+        first = int(np.argmax(left))
+        front = np.zeros(n, bool)
+        front[first], left[first] = True, False
+        while front.any():
+            front = linked[front].any(0) & left
+            left &= ~front
+            root[front] = first
+    rows = np.flatnonzero(root != np.arange(n))
+    return rows, root[rows]
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections."""
+    n = len(sets)
     keys, column = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(n), size)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
     used = np.bincount(column, minlength=len(keys)) > 1  # a shingle of one set adds to no intersection
     number = np.cumsum(used) - 1
     row, column = row[used[column]], number[column[used[column]]]
@@ -165,36 +182,62 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int, left: np.ndarr
         m = np.zeros((n, min(4096, int(used.sum()) - low)), np.float32)
         m[row[a:b], column[a:b] - low] = 1
         shared += m @ m.T
-    shared = shared.astype(np.int64)
-    union = size[:, None] + size[None, :] - shared
-    linked = np.triu(100 * shared >= percent * union, 1)
-    if left is not None:
-        linked &= left[:, None] != left[None, :]
-    root = np.arange(n)
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    a, b = [], []
-    for i, j in zip(*np.nonzero(linked), strict=True):
-        if (x := find(i)) != (y := find(j)):
-            root[max(x, y)] = min(x, y)
-            a.append(ids[i])
-            b.append(ids[j])
-    return a, b
-
-
-def verify(percent: int):
-    def links(table: pa.Table) -> pa.Table:
-        ids, sides = np.asarray(table.column("c")), np.asarray(table.column("side"))
-        sets = [np.frombuffer(s.as_py(), np.uint64) for s in table.column("shingles")]
-        a, b = forest(ids, sets, percent, sides == 0 if sides.any() else None)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return links
+    return shared.astype(np.int64)
+
+
+def similar(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    size, shared = np.array([len(s) for s in sets]), overlaps(sets)
+    linked = 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
+    np.fill_diagonal(linked, False)
+    return linked
+
+
+def bins(key: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How many shingles of each set fall into each bin, 255 standing for more."""
+    n = len(first) - 1
+    cell = np.repeat(np.arange(n), np.diff(first)) * BINS + (mix(key) % np.uint64(BINS)).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=n * BINS).reshape(n, BINS), 255).astype(np.uint8)
+
+
+def possible(counts: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs may be similar: those whose bins, and so whose sets, needn't differ by more than similar ones do."""
+    out = np.zeros((len(size), len(size)), bool)
+    wide = counts.astype(np.int16)
+    for low in range(0, len(size), 32):
+        apart = np.abs(wide[low : low + 32, None] - wide[None]).sum(2, dtype=np.int64)
+        both = size[low : low + 32, None] + size[None, :]
+        out[low : low + 32] = (100 - percent) * both >= (100 + percent) * apart
+    np.fill_diagonal(out, False)
+    return out
+
+
+def compare(links_of, names: tuple[str, ...] = ("c",)):
+    """A function over a task sorted by g that emits, for each group, pairs a, b of connected members.
+
+    links_of gives the matrix of links of a part of the table. Members with a label are linked only if theirs
+    differ, and if they are on different sides where the group has two. names: the columns to emit of a member.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, ends in whole_runs(batches, "g"):
+            side, label = np.asarray(table.column("side")), np.asarray(table.column("l"))
+            rows, roots = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                if b - a < 2:
+                    continue
+                linked = links_of(table.slice(a, b - a))
+                linked &= label[a:b, None] != label[None, a:b]
+                if side[a:b].any():
+                    linked &= side[a:b, None] != side[None, a:b]
+                row, root = connected(linked)
+                rows.append(a + row)
+                roots.append(a + root)
+            row, root = np.concatenate(rows), np.concatenate(roots)
+            value = [np.asarray(table.column(c)) for c in names]
+            columns = [v[at] for v in value for at in (row, root)]
+            yield pa.record_batch([pa.array(x) for x in columns], [f"{end}{'' if c == 'c' else c}" for c in names for end in "ab"])
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -217,17 +260,17 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
 
     def emit_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each text; and for each shingle common in a batch a row without k, with its number of sets below zero."""
-        names = ["k", "doc_id", "t", "n_shingles", "c"]
+        names = ["k", "doc_id", "t", "n_shingles", "c", "bins"]
         for batch in batches:
             keys = [np.zeros(0, np.uint64)]
             for piece, data, ends in pieces(batch):
                 key, first = shingles(data, ends, shingle)
                 c = class_ids(key, first)
-                yield pa.record_batch([piece.column("k"), piece.column("doc_id"), piece.column("t"), pa.array(np.diff(first)), signed(c)], names)
+                yield pa.record_batch([piece.column("k"), piece.column("doc_id"), piece.column("t"), pa.array(np.diff(first)), signed(c), pa.array([x.tobytes() for x in bins(key, first)], pa.binary())], names)
                 keys.append(np.concatenate([key[first[i] : first[i + 1]] for i in np.unique(c, return_index=True)[1]] or keys[:1]))
             key, n = np.unique(np.concatenate(keys), return_counts=True)
             key, n = key[n >= COMMON_IN_BATCH], n[n >= COMMON_IN_BATCH]
-            yield pa.record_batch([*[pa.nulls(len(key), pa.int64())] * 3, pa.array(-n), signed(key)], names)
+            yield pa.record_batch([*[pa.nulls(len(key), pa.int64())] * 3, pa.array(-n), signed(key), pa.nulls(len(key), pa.binary())], names)
 
     def emit_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,64 +291,126 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                 sets = [key[first[i] : first[i + 1]].tobytes() for i in meant]
                 yield pa.record_batch([piece.column("c").take(pa.array(meant)), pa.array(sets, pa.binary())], ["c", "shingles"])
 
-    seen = cut(base.mapInArrow(emit_classes, "k long, doc_id long, t long, n_shingles long, c long"))
+    seen = cut(base.mapInArrow(emit_classes, "k long, doc_id long, t long, n_shingles long, c long, bins binary"))
     of_class = seen.where("n_shingles >= 0")
-    often = seen.where("n_shingles < 0").groupBy("c").agg(F.sum("n_shingles").alias("n")).where(F.col("n") <= -COMMON_IN_ALL)
-    top = often.orderBy("n", "c").limit(COMMON).select("c").toArrow().column("c")  # bounded
-    common = docs.sparkSession.sparkContext.broadcast(np.sort(np.asarray(top).astype(np.int64).view(np.uint64)))
-    sigs = base.select("text").mapInArrow(emit_signatures, "sig long, c long").repartition(partitions(docs), "sig")
-    members = cut(_named(sigs).distinct())
-    family = cut(components(members.select(F.col("c").alias("a"), F.col("low").alias("b"))).withColumnsRenamed({"node": "c", "component": "f"}))
-    sizes = family.groupBy("f").agg(F.count(F.lit(1)).alias("size"))
-    tasks = _blocks(family.join(sizes.where(F.col("size") <= FAMILY), "f").select("f", "c", "size"))
-    beyond = family.join(sizes.where(F.col("size") > FAMILY), "f").select("c")
-    if not beyond.isEmpty():
-        tasks = tasks.unionByName(_by_bucket(members.join(beyond, "c", "left_semi")))
-    wanted = members.select("c").distinct().join(of_class.groupBy("c").agg(F.min("k").alias("k")), "c")
-    sets = base.select("k", "text").join(wanted, "k").select("c", "text").mapInArrow(emit_sets, "c long, shingles binary")
-    sets = cut(sets.groupBy("c").agg(F.first("shingles").alias("shingles")))
-    links = tasks.join(sets, "c").groupBy("g").applyInArrow(verify(percent), "a long, b long")
-    found = components(cut(links.distinct()))
-    label = of_class.groupBy("c").agg(F.min("k").alias("least")).where("c <> 0")
-    label = label.join(found, label.c == found.node, "left").select("c", "least", F.coalesce("component", "c").alias("group"))
-    lowest = label.groupBy("group").agg(F.min("least").alias("component"))
-    named = label.join(lowest, "group").select("c", "group", "component")
+    with scratch(docs.sparkSession) as keep:
+        often = seen.where("n_shingles < 0").groupBy("c").agg(F.sum("n_shingles").alias("n")).where(F.col("n") <= -COMMON_IN_ALL)
+        top = often.orderBy("n", "c").limit(COMMON).select("c").toArrow().column("c")  # bounded
+        common = docs.sparkSession.sparkContext.broadcast(np.sort(np.asarray(top).astype(np.int64).view(np.uint64)))
+        n = partitions(docs)
+        members = cut(buckets(base.select("text").mapInArrow(emit_signatures, "sig long, c long"), n))
+        family = components(members.select(F.col("c").alias("a"), F.col("low").alias("b"))).withColumnsRenamed({"node": "c", "component": "f"})
+        first_k = of_class.groupBy("c").agg(F.min("k").alias("k"))
+        wanted = family.join(first_k, "c").select("c", "k")
+        sets = base.select("k", "text").join(wanted, "k").select("c", "text").mapInArrow(emit_sets, "c long, shingles binary")
+        sets = cut(sets.groupBy("c").agg(F.first("shingles").alias("shingles")))
+        found = _linked(of_class, members, family, sets, percent, n)
+        label = of_class.groupBy("c").agg(F.min("k").alias("least")).where("c <> 0")
+        label = label.join(found, "c", "left").select("c", "least", F.coalesce("l", "c").alias("group"))
+        lowest = label.groupBy("group").agg(F.min("least").alias("component"))
+        named = keep(label.join(lowest, "group").select("c", "group", "component"))
     return of_class.join(named, "c", "left").select("doc_id", "k", "t", "n_shingles", "group", F.coalesce("component", "k").alias("component"))
 
 
+def _linked(of_class: DataFrame, members: DataFrame, family: DataFrame, sets: DataFrame, percent: int, n: int) -> DataFrame:
+    """c and l, the name of its component, for classes that are linked with another."""
+
+    def links(tasks: DataFrame, names: tuple[str, ...] = ("c",)) -> DataFrame:
+        both = tasks.join(sets, "c").repartition(n, "g").sortWithinPartitions("g")
+        of = lambda table: similar([np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")], percent)
+        return both.mapInArrow(compare(of, names), "a long, b long" if names == ("c",) else "al long, bl long")
+
+    sizes = family.groupBy("f").agg(F.count(F.lit(1)).alias("size"))
+    sized = family.join(sizes, "f")
+    small, large = sized.where(F.col("size") <= BLOCK), cut(sized.where(F.col("size") > BLOCK))
+    tasks = small.select(F.col("f").alias("g"), "c").unionByName(_blocks(large))
+    near = components(links(tasks.select("g", "c", F.lit(0).alias("side"), F.col("c").alias("l")))).select(F.col("node").alias("c"), F.col("component").alias("l"))
+    if large.isEmpty():
+        return near
+    of_large = large.select("c").join(near, "c", "left").select("c", F.coalesce("l", "c").alias("l"))
+    here = of_class.groupBy("c").agg(F.first("bins").alias("bins"), F.first("n_shingles").alias("size"))
+    apart = _crosswise(members.select("g", "c").distinct().join(of_large, "c").select("g", "c", "l"))
+
+    def may_link(table: pa.Table) -> np.ndarray:
+        counts = np.frombuffer(b"".join(x.as_py() for x in table.column("bins")), np.uint8).reshape(-1, BINS)
+        return possible(counts, np.asarray(table.column("size")), percent)
+
+    may = apart.join(here.join(of_large.select("c"), "c"), "c").repartition(n, "g").sortWithinPartitions("g").mapInArrow(compare(may_link), "a long, b long")
+    again = components(may).select(F.col("component").alias("g"), F.col("node").alias("c")).join(of_large, "c")
+    more = links(_crosswise(again.select("g", "c", "l")), ("l",)).select(F.col("al").alias("a"), F.col("bl").alias("b"))
+    joined = components(more).select(F.col("node").alias("l"), F.col("component").alias("m"))
+    left = near.unionByName(of_large.select("c", "l")).distinct()
+    return left.join(joined, "l", "left").select("c", F.coalesce("m", "l").alias("l"))
+
+
 def _text_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-def _named(sigs: DataFrame) -> DataFrame:
-    """Members of buckets of two classes or more, and the least one of each bucket.
+def buckets(sigs: DataFrame, n: int) -> DataFrame:
+    """g, c and low for the classes c of each bucket g of two classes or more; low links all members of a bucket.
 
-    A bucket is named by its members, so that many signatures of the same classes are one bucket.
+    Signatures are dealt out by ranges of (sig, c), so a signature of very many classes is spread over tasks. What
+    a task sees of its first and its last signature may go on elsewhere: those buckets take the signature as their
+    name and as a node of its own. Others are named by their members, so that many signatures of the same classes
+    are one bucket.
     """
-    bucket = Window.partitionBy("sig")
-    seen = sigs.dropDuplicates(["sig", "c"])
-    both = seen.withColumns({"low": F.min("c").over(bucket), "high": F.max("c").over(bucket), "x": F.bit_xor(F.xxhash64("c")).over(bucket), "y": F.bit_xor(F.xxhash64("c", F.lit(1))).over(bucket)})
-    return both.where("low <> high").select(F.xxhash64("low", "high", "x", "y").alias("g"), "c", "low")
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.asarray(b.column("sig")), np.asarray(b.column("c"))) for b in batches]  # a partition's two columns
+        sig, c = (np.concatenate([h[i] for h in held] or [np.zeros(0, np.int64)]) for i in (0, 1))
+        order = np.lexsort((c, sig))
+        sig, c = sig[order], c[order]
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (c[1:] != c[:-1])
+        sig, c = sig[new], c[new]
+        if not len(sig):
+            return
+        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        size = np.diff(np.append(first, len(sig)))
+        open_ = (sig[first] == sig[0]) | (sig[first] == sig[-1])
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(c.view(np.uint64) + np.uint64(1)))])
+        whole = mix((sums[first + size] - sums[first]) ^ mix(c[first].view(np.uint64)) ^ size.astype(np.uint64)).view(np.int64)
+        own = mix(sig[first].view(np.uint64) ^ np.uint64(0xB0C4E7)).view(np.int64)
+        g, low = np.where(open_, own, whole), np.where(open_, own, c[first])
+        take = np.flatnonzero(open_ | (size > 1))
+        take = take[np.sort(np.unique(g[take], return_index=True)[1])]  # of buckets with the same members, one
+        n = size[take]
+        at = np.repeat(first[take] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        yield pa.record_batch([pa.array(x) for x in (np.repeat(g[take], n), c[at], np.repeat(low[take], n))], ["g", "c", "low"])
+
+    dealt = sigs.repartitionByRange(n, "sig", "c")
+    return dealt.mapInArrow(name, "g long, c long, low long")
 
 
 def _blocks(families: DataFrame) -> DataFrame:
-    """Tasks that compare all members of a family: f, c, size to g, c, side. Each member goes with every block once; a block with itself has one side."""
-    size = F.col("size")
-    blocks = F.least(F.ceil(size / BLOCK), F.greatest(F.lit(MOST_BLOCKS), F.ceil(size * MOST_BLOCKS / FAMILY))).cast("int")
-    placed = families.withColumns({"n": blocks, "own": F.pmod(F.xxhash64("c"), blocks).cast("int")})
-    paired = placed.select("f", "c", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-    name = F.xxhash64("f", F.least("own", "other"), F.greatest("own", "other"))
-    return paired.select(name.alias("g"), "c", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
-
-
-def _by_bucket(members: DataFrame) -> DataFrame:
-    """Tasks for the buckets of very large families: small buckets alone, large ones with the large ones that they overlap."""
-    sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
-    small = members.join(sizes.where(F.col("size") <= BLOCK), "g").select("g", "c", F.lit(0).alias("side"))
-    large = members.join(sizes.where(F.col("size") > BLOCK), "g").select("c", "low")
-    joined = components(large.select(F.col("c").alias("a"), F.col("low").alias("b"))).withColumnsRenamed({"node": "c", "component": "f"})
-    of = joined.groupBy("f").agg(F.count(F.lit(1)).alias("size"))
-    return small.unionByName(_blocks(joined.join(of, "f").select("f", "c", "size")))
+    """Tasks g, c within blocks of families that are too large for one (f, c, size): every member once, hubs with every block."""
+    count = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("c"), count).cast("int")
+    hub = F.pmod(F.xxhash64("c", F.lit(1)), F.ceil(F.col("size") / HUBS)) == 0
+    of = F.when(hub, F.sequence(F.lit(0), count - 1)).otherwise(F.array(own))
+    return families.select("f", "c", F.explode(of).alias("block")).select(F.xxhash64("f", "block").alias("g"), "c")
+
+
+def _crosswise(groups: DataFrame) -> DataFrame:
+    """Tasks g, c, side, l that compare members c of a group g across labels l; groups of one label need none.
+
+    Members of a group's largest label are only compared with the rest, which is cut into blocks: each of the
+    largest goes with every block of the rest, and each of the rest with every block of both.
+    """
+    counted = groups.groupBy("g", "l").agg(F.count(F.lit(1)).alias("n")).groupBy("g").agg(F.max_by("l", F.struct("n", "l")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"))
+    mixed = groups.join(counted.where("n_main < n_all"), "g")
+    main, one = F.col("l") == F.col("main"), F.col("n_all") <= BLOCK
+    at_most = lambda n: F.when(one, 1).otherwise(F.ceil(n / BLOCK)).cast("int")
+    placed = mixed.withColumns({"mains": at_most(F.col("n_main")), "rests": at_most(F.col("n_all") - F.col("n_main")), "is_main": main & ~one})
+    h = F.xxhash64("c", F.lit(2))
+    placed = placed.withColumn("own", F.pmod(h, F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("rests"))).cast("int"))
+    pair = lambda kind, x, y, side: F.struct(F.xxhash64("g", F.lit(kind), x, y).alias("t"), side.cast("int").alias("side"))
+    with_rest = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda j: pair("r", F.least("own", j), F.greatest("own", j), F.col("own") > j))
+    with_main = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda j: pair("m", F.col("own"), j, F.lit(0)))
+    of_main = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda j: pair("m", j, F.col("own"), F.lit(1)))
+    tasks = F.when(one, F.array(pair("o", F.lit(0), F.lit(0), F.lit(0)))).when(F.col("is_main"), of_main).otherwise(F.concat(with_rest, with_main))
+    return placed.select("c", "l", F.explode(tasks).alias("task")).select(F.col("task.t").alias("g"), "c", "task.side", "l")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:

@@ -1,9 +1,15 @@
-"""Spark helpers shared by the text operators: row keys, partition counts, durable cut points."""
+"""Spark helpers shared by the text operators: row keys, partition counts, durable cut points, runs of a key."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,17 +39,71 @@ def order_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, which all machines share; set to a new one only if unset."""
+    """The folder that spark.checkpoint.dir names, which all machines share. Only a local session may do without."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master or "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
+_folder: ContextVar[str | None] = ContextVar("folder", default=None)
+
+
+def cut(df: DataFrame, folder: str | None = None) -> DataFrame:
     """df, written to the checkpoint folder and read from there: its lineage ends here."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{folder or _folder.get() or checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What ``cut`` writes within goes at the end, but for tables written by the function that this yields."""
+    outer = _folder.get() or checkpoint_dir(spark)
+    inner = f"{outer}/{uuid.uuid4().hex}"
+    before = _folder.set(inner)
+    try:
+        yield lambda df: cut(df, outer)
+    finally:
+        _folder.reset(before)
+        delete(spark, inner)
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], key: str, rows: int = 4096) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows of a task that is sorted by key, as tables that hold whole runs of it, with the runs' offsets.
+
+    A table has about so many rows, or one run, so memory is bounded where runs are.
+    """
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def whole(last: bool) -> Iterator[tuple[pa.Table, np.ndarray]]:
+        nonlocal held, size
+        table = pa.Table.from_batches(held)
+        value = np.asarray(table.column(key))
+        first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        end = len(value) if last else int(first[-1])
+        held, size = table.slice(end).to_batches(), len(value) - end
+        if end:
+            yield table.slice(0, end), np.append(first[first < end], end)
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= rows:
+                yield from whole(False)
+    if held:
+        yield from whole(True)
 
 
 def with_text(docs: DataFrame) -> DataFrame:
