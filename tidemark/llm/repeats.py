@@ -1,100 +1,102 @@
-"""Removal of long repeats, exact for every window, shared by the two substring operators.
+"""Removal of long repeats: seeds, their buckets, and what is common to the two substring operators around them.
 
 A *window* is ``length`` consecutive units (words or bytes) of one document. It is dropped if the same units
 also start earlier: in a document with a smaller id, or earlier in the same document.
 
-Each window is filed under its *anchor*, the leftmost of the least-hashed q-grams in it, as winnowing picks
-them. Equal windows have equal anchors, so only windows of one anchor hash need comparing. Windows that share
-one occurrence of an anchor lie side by side; the stretch that they cover together is its *span*.
+Each window is filed under its *seed*, the leftmost of the least-hashed q-grams in it, as winnowing picks them.
+Equal windows have equal seeds, so only windows of one seed need comparing. Windows that share one occurrence of
+a seed lie side by side; the stretch that they cover together is its *span*.
 
-* Buckets: spans are grouped by anchor hash. Equal spans hold equal windows: all but those of the smallest
-  document go as a whole. If a bucket holds one span only, nothing is left to compare.
-* Other buckets hold spans that agree in part. Their first occurrences are cut into blocks of windows, which
-  are filed under what the windows of a block have in common, and compared in the same way.
-* Where blocks still agree in part, windows are grouped one by one.
+* Spans are dealt out by ranges of (seed, span), so all spans of a seed meet, unless they are very many. Equal
+  spans hold equal windows: all but those of the smallest document go as a whole. A seed of which there is one
+  span only is settled.
+* The other spans go, with their text, to their seed's bucket, where ``decide`` compares the text itself: by
+  extending matches (``substring_dedup``) or by refining buckets of suffixes (``suffix_dedup``).
+* Seeds of more spans than a bucket may hold, and those that the ranges cut, aren't gathered anywhere. Their
+  windows are grouped one by one, by two 64-bit hashes, in an aggregation combined before the shuffle.
 
-Every grouping is a Spark aggregation to the smallest id of a key, combined before the shuffle, and the answer
-goes back as lists of first occurrences keyed by document. So no group of copies ever meets in one task, and
-no pairs are made. Texts are shuffled once, by document; later steps join lists to that same exchange.
+Answers go back as lists of first occurrences keyed by document. So no group of copies ever meets in one task,
+and no pairs leave one. Texts are shuffled once, by document; later steps join lists to that same exchange.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrays import Rolling, covered, inside_texts, lists, mix, pieces, signed, sliding
-from tidemark.llm.spread import order_key, partitions
+from tidemark.llm.arrays import Rolling, covered, inside_texts, lists, mix, pieces, sliding
+from tidemark.llm.spread import order_key, partitions, whole_runs
 
-#: Gives the values of a piece's units and their offsets by text.
-Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+ALONE, SHARED, CROWDED = 0, 1, 2
+
+
+class Units(NamedTuple):
+    """A piece's units: their values, offsets by text, and first and last byte."""
+
+    values: np.ndarray
+    offsets: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+
+
+class Bucketed(NamedTuple):
+    """Spans of whole buckets in the order of their seeds: text, place of the seed in units, windows, document, and the buckets' offsets."""
+
+    bodies: list[bytes]
+    seed: np.ndarray
+    windows: np.ndarray
+    owner: np.ndarray
+    buckets: np.ndarray
 
 
 class Spans:
-    """Anchors of a run of units with their spans: text, first and last window, hashes of the q-gram and the span."""
+    """Seeds of a run of units with their spans: text, first and last window, hashes of the q-gram and the span."""
 
     def __init__(self, values: np.ndarray, ends: np.ndarray, length: int, gram: int):
-        self.rolling, n = Rolling(values), len(values) - length + 1
-        self.length, self.ends, width = length, ends, length - gram + 1
+        self.values, self.rolling, n = values, Rolling(values), len(values) - length + 1
+        self.length, width = length, length - gram + 1
         if n <= 0:
-            self.low = self.high = self.text = self.anchor = np.zeros(0, np.int64)
-            self.gram = self.span = np.zeros(0, np.uint64)
+            self.low = self.high = self.text = self.seed = np.zeros(0, np.int64)
+            self.gram = self.span = np.zeros(0, np.int64)
             return
         grams = self.rolling.every(gram)
         least = sliding(grams, width)
         edge = np.zeros(width - 1, np.uint64)
         least_here = sliding(np.concatenate([edge, least, edge]), width, np.maximum) == grams
         picked = np.flatnonzero(least_here)
-        at = np.cumsum(least_here[:n]) - least_here[:n]  # anchors before each start
+        at = np.cumsum(least_here[:n]) - least_here[:n]  # seeds before each start
         open_ = np.flatnonzero(grams[picked[at]] != least)
         while len(open_):
             at[open_] += 1
             open_ = open_[grams[picked[at[open_]]] != least[open_]]
         starts = np.flatnonzero(inside_texts(ends, length, n))
-        anchor = picked[at[starts]]
+        seed = picked[at[starts]]
         if not len(starts):
             first = np.zeros(0, np.int64)
         else:
-            first = np.flatnonzero(np.concatenate([[True], (np.diff(anchor) != 0) | (np.diff(starts) != 1)]))
+            first = np.flatnonzero(np.concatenate([[True], (np.diff(seed) != 0) | (np.diff(starts) != 1)]))
         last = np.concatenate([first[1:], [len(starts)]]) - 1 if len(first) else first
-        self.low, self.high, anchor = starts[first], starts[last], anchor[first]
+        self.low, self.high, self.seed = starts[first], starts[last], seed[first]
         self.text = np.searchsorted(ends, self.low, side="right") - 1
-        self.anchor, self.gram = anchor, grams[anchor]
-        place = ((anchor - self.low).astype(np.uint64) << np.uint64(32)) | (self.high - self.low).astype(np.uint64)
-        self.span = mix(self.rolling.at(self.low, self.high + length) ^ mix(place + np.uint64(1)))
-
-    def split(self, chosen: np.ndarray, block: int) -> Spans:
-        """Chosen spans cut into blocks of windows by their distance from the anchor, as spans that are filed under their core.
-
-        The core of a block is what all windows at those distances have in common. Equal windows have equal
-        cores, also where one block is cut short by the end of its span.
-        """
-        out = object.__new__(Spans)
-        out.rolling, out.length, out.ends = self.rolling, self.length, self.ends
-        near, far = self.anchor[chosen] - self.high[chosen], self.anchor[chosen] - self.low[chosen]
-        count = far // block - near // block + 1
-        number = np.repeat(near // block, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        out.anchor, out.text = np.repeat(self.anchor[chosen], count), np.repeat(self.text[chosen], count)
-        from_, to = np.maximum(number * block, np.repeat(near, count)), np.minimum((number + 1) * block - 1, np.repeat(far, count))
-        out.low, out.high = out.anchor - to, out.anchor - from_
-        core = self.rolling.at(out.anchor - number * block, out.anchor - (number + 1) * block + 1 + self.length)
-        out.gram = mix(core ^ mix(number.astype(np.uint64)))
-        out.span = mix(self.rolling.at(out.low, out.high + self.length) ^ mix((from_.astype(np.uint64) << np.uint64(32)) | to.astype(np.uint64)))
-        return out
-
-    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The windows of chosen spans: start and number of the span."""
+        self.gram = grams[self.seed].view(np.int64)
+        place = ((self.seed - self.low).astype(np.uint64) << np.uint64(32)) | (self.high - self.low).astype(np.uint64)
+        self.span = mix(self.rolling.at(self.low, self.high + length) ^ mix(place + np.uint64(1))).view(np.int64)
+
+    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The windows of chosen spans: start, number of the span among the chosen, and number within it."""
         size = self.high[chosen] - self.low[chosen] + 1
-        which = np.repeat(chosen, size)
+        which = np.repeat(np.arange(len(chosen)), size)
         within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        return self.low[which] + within, which
+        return self.low[chosen][which] + within, which, within
 
     def hashes(self, starts: np.ndarray) -> np.ndarray:
-        return self.rolling.at(starts, starts + self.length)
+        return self.rolling.at(starts, starts + self.length).view(np.int64)
 
 
 def _once(text: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -115,94 +117,127 @@ def _least(key: np.ndarray, own: np.ndarray) -> np.ndarray:
     return order[new]
 
 
-def _listed(text: np.ndarray, key: np.ndarray, column: pa.Array) -> np.ndarray:
-    """Whether a text's list holds the key."""
-    values, ends = lists(column)
+def _found(text: np.ndarray, key: np.ndarray, values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The place of a key in its text's list, or -1."""
+    if not len(values):
+        return np.full(len(key), -1)
     owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-    known = np.sort(mix(values.view(np.uint64) ^ mix(owner.astype(np.uint64) + np.uint64(7))))
-    asked = mix(key ^ mix(text.astype(np.uint64) + np.uint64(7)))
-    if not len(known):
-        return np.zeros(len(key), bool)
-    return known[np.minimum(np.searchsorted(known, asked), len(known) - 1)] == asked
-
+    of = lambda k, t: mix(k.view(np.uint64) ^ mix(t.astype(np.uint64) + np.uint64(7)))
+    known, asked = of(values, owner), of(key, text)
+    order = np.argsort(known)
+    at = order[np.minimum(np.searchsorted(known[order], asked), len(known) - 1)]
+    return np.where(known[at] == asked, at, -1)
 
-def _open(spans: Spans, piece: pa.RecordBatch, level: str = "") -> tuple[np.ndarray, np.ndarray]:
-    """Which spans go as a whole, and which are first and must be looked at more closely."""
-    once = _once(spans.text, spans.span)
-    alone, shared = (_listed(spans.text, spans.span, piece.column(c + level)) for c in ("alone", "shared"))
-    return np.flatnonzero(~once | ~(alone | shared)), np.flatnonzero(once & shared)
 
+def _listed(text: np.ndarray, key: np.ndarray, column: pa.Array) -> np.ndarray:
+    return _found(text, key, *lists(column)) >= 0
 
-def _rows(parts: list[tuple[np.ndarray, ...]], names: list[str]) -> pa.RecordBatch:
-    """Hashes and, last, ids of documents as a batch: for each hash (the last but one) its smallest document only."""
-    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-    keep = _least(columns[-2], columns[-1])
-    return pa.record_batch([pa.array(c[keep].view(np.int64)) for c in columns], names)
 
+def _masks(spans: Spans, chosen: np.ndarray, column: pa.Array, width: int) -> np.ndarray:
+    """Flags of the windows of chosen spans that their buckets have found to be first."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
+    ends, told = np.concatenate([[0], np.cumsum(sizes)]), column.flatten()
+    at = _found(spans.text[chosen], spans.span[chosen], np.asarray(told.field("span")).astype(np.int64), ends)
+    size = -(-width // 8)
+    raw = np.frombuffer(b"".join(told.field("mask").to_pylist()), np.uint8).reshape(-1, size)
+    return np.unpackbits(raw[at], axis=1, count=width).astype(bool) if len(chosen) else np.zeros((0, width), bool)
 
-def _firsts(spans: DataFrame, n: int, level: str = "") -> DataFrame:
-    """For each document the spans that it has first: those alone in their bucket, and those that share it with others."""
-    bucket = Window.partitionBy("gram")
-    first = spans.repartition(n, "gram").groupBy("gram", "span").agg(F.min("k").alias("k"))
-    first = first.select("k", "span", (F.min("span").over(bucket) != F.max("span").over(bucket)).alias("many"))
-    pick = lambda c: F.collect_list(F.when(c, F.col("span")))
-    return first.groupBy("k").agg(pick(~F.col("many")).alias(f"alone{level}"), pick(F.col("many")).alias(f"shared{level}")).hint("shuffle_hash")
 
+def bucket_kinds(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """For a range of (gram, span): k, span and kind of the first occurrence of each span.
 
-def repeated(docs: DataFrame, units: Units, length: int, gram: int, finish: Callable, schema: str, block: int) -> DataFrame:
+    The first and the last seed of a range may go on in another, so they count as crowded.
+    """
+    held = [[np.asarray(b.column(c)) for c in ("gram", "span", "k")] for b in batches]  # a partition's three columns
+    gram, span, k = (np.concatenate([h[i] for h in held] or [np.zeros(0, np.int64)]) for i in range(3))
+    if not len(gram):
+        return
+    order = np.lexsort((k, span, gram))
+    gram, span, k = gram[order], span[order], k[order]
+    new = np.ones(len(gram), bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (span[1:] != span[:-1])
+    gram, span, k = gram[new], span[new], k[new]
+    first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    size = np.diff(np.append(first, len(gram)))
+    kind = np.where(size == 1, ALONE, np.where(size <= limit, SHARED, CROWDED))
+    kind[[0, -1]] = CROWDED
+    yield pa.record_batch([pa.array(k), pa.array(span), pa.array(np.repeat(kind, size).astype(np.int32))], ["k", "span", "kind"])
+
+
+def repeated(docs: DataFrame, units: Callable[[np.ndarray, np.ndarray], Units], length: int, gram: int, decide: Callable[[Bucketed], np.ndarray], limit: int, finish: Callable, schema: str) -> DataFrame:
     """Rows of ``schema`` that ``finish(piece, data, ends, gone, unit_ends)`` makes of each piece of texts.
 
-    docs: doc_id, text. gone: for each unit, whether a dropped window covers it. block: windows that are looked
-    at together before they are looked at one by one.
+    docs: doc_id, text. decide gives, for each span of some buckets, flags of the windows that come up in no
+    smaller document. limit: spans that a bucket may hold. gone: for each unit, whether a dropped window covers it.
     """
-    n = partitions(docs)
+    n, width = partitions(docs), length - gram + 1
     base = docs.select(order_key().alias("k"), "doc_id", "text").repartition(n, "k")
 
     def each(batch: pa.RecordBatch):
         for piece, data, ends in pieces(batch):
-            values, unit_ends = units(data, ends)
-            yield piece, data, ends, values, unit_ends, Spans(values, unit_ends, length, gram), np.asarray(piece.column("k"))
+            u = units(data, ends)
+            yield piece, data, ends, u, Spans(u.values, u.offsets, length, gram), np.asarray(piece.column("k"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if parts := [(s.gram, s.span, k[s.text]) for *_, s, k in each(batch)]:
-                yield _rows(parts, ["gram", "span", "k"])
+                columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+                keep = _least(columns[1], columns[2])
+                yield pa.record_batch([pa.array(c[keep]) for c in columns], ["gram", "span", "k"])
 
-    def emit_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def emit_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for piece, *_, s, k in each(batch):
-                b = s.split(_open(s, piece)[1], block)
-                parts.append((b.gram, b.span, k[b.text]))
-            if parts:
-                yield _rows(parts, ["gram", "span", "k"])
+            for piece, data, _, u, s, k in each(batch):
+                at = np.flatnonzero(_listed(s.text, s.span, piece.column("shared")))
+                at = at[_once(s.text[at], s.span[at])]
+                bodies = [data[a:b].tobytes() for a, b in zip(u.start[s.low[at]], u.end[s.high[at] + length - 1], strict=True)]
+                whole = [s.gram[at], s.span[at], k[s.text[at]], s.seed[at] - s.low[at], s.high[at] - s.low[at] + 1]
+                yield pa.record_batch([*map(pa.array, whole), pa.array(bodies, pa.binary())], ["gram", "span", "k", "seed", "windows", "body"])
 
     def emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
             for piece, *_, s, k in each(batch):
-                b = s.split(_open(s, piece)[1], block)
-                starts, which = b.windows(_open(b, piece, "_blocks")[1])
-                parts.append((b.hashes(starts), k[b.text[which]]))
-            if parts:
-                yield _rows(parts, ["window", "k"])
+                starts, which, _ = s.windows(at := np.flatnonzero(_listed(s.text, s.span, piece.column("crowded"))))
+                one, two = s.hashes(starts), Rolling(mix(s.values.astype(np.uint64))).at(starts, starts + length).view(np.int64)
+                own = k[s.text[at]][which]
+                keep = _least(one, own)
+                yield pa.record_batch([pa.array(x[keep]) for x in (one, two, own)], ["one", "two", "k"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, ends in whole_runs(batches, "gram"):
+            column = lambda c, table=table: np.asarray(table.column(c))
+            flags = decide(Bucketed(table.column("body").to_pylist(), column("seed"), column("windows"), column("k"), ends))
+            bits = np.packbits(flags, axis=1)
+            yield pa.record_batch([pa.array(column("k")), pa.array(column("span")), pa.array([b.tobytes() for b in bits], pa.binary())], ["k", "span", "mask"])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece, data, ends, values, unit_ends, s, _ in each(batch):
-                whole, part = _open(s, piece)
-                b = s.split(part, block)
-                whole_blocks, part = _open(b, piece, "_blocks")
-                starts, which = b.windows(part)
-                text, key = b.text[which], b.hashes(starts)
-                stays = _once(text, key) & _listed(text, key, piece.column("windows"))
-                gone = np.concatenate([s.windows(whole)[0], b.windows(whole_blocks)[0], starts[~stays]])
-                yield finish(piece, data, ends, covered(gone, length, len(values)), unit_ends)
-
-    kinds = "gram long, span long, k long"
-    told = base.join(_firsts(base.mapInArrow(emit, kinds), n), "k", "left")
-    blocks = told.where(F.size("shared") > 0).mapInArrow(emit_blocks, kinds)
-    told = told.join(_firsts(blocks, n, "_blocks"), "k", "left")
-    windows = told.where(F.size("shared_blocks") > 0).mapInArrow(emit_windows, "window long, k long")
-    firsts = windows.groupBy("window").agg(F.min("k").alias("k")).groupBy("k").agg(F.collect_list("window").alias("windows"))
-    return told.join(firsts.hint("shuffle_hash"), "k", "left").mapInArrow(remove, schema)
+            for piece, data, ends, u, s, _ in each(batch):
+                once = _once(s.text, s.span)
+                alone, shared, crowded = (_listed(s.text, s.span, piece.column(c)) & once for c in ("alone", "shared", "crowded"))
+                whole, part, open_ = np.flatnonzero(~(alone | shared | crowded)), np.flatnonzero(shared), np.flatnonzero(crowded)
+                starts, which, within = s.windows(part)
+                first = _masks(s, part, piece.column("masks"), width)[which, within]
+                more, of, _ = s.windows(open_)
+                text = np.concatenate([s.text[part][which], s.text[open_][of]])
+                starts = np.concatenate([starts, more])
+                key = s.hashes(starts)
+                first = np.concatenate([first, _listed(text[len(first) :], key[len(first) :], piece.column("firsts"))])
+                stay = np.flatnonzero(first)
+                at = np.lexsort((starts[stay], text[stay]))
+                stay = stay[at[_once(text[stay[at]], key[stay[at]])]]  # of windows first here, those that this text has first
+                goes = np.ones(len(starts), bool)
+                goes[stay] = False
+                gone = np.concatenate([s.windows(whole)[0], starts[goes]])
+                yield finish(piece, data, ends, covered(gone, length, len(u.values)), u.offsets)
+
+    seeds = base.mapInArrow(emit, "gram long, span long, k long").repartitionByRange(n, "gram", "span")
+    kinds = seeds.mapInArrow(lambda b: bucket_kinds(b, limit), "k long, span long, kind int")
+    listed = [F.collect_list(F.when(F.col("kind") == kind, F.col("span"))).alias(name) for kind, name in ((ALONE, "alone"), (SHARED, "shared"), (CROWDED, "crowded"))]
+    told = base.join(kinds.groupBy("k").agg(*listed).hint("shuffle_hash"), "k", "left")
+    spans = told.where(F.size("shared") > 0).mapInArrow(emit_spans, "gram long, span long, k long, seed long, windows long, body binary")
+    masks = spans.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(answer, "k long, span long, mask binary")
+    masks = masks.groupBy("k").agg(F.collect_list(F.struct("span", "mask")).alias("masks"))
+    windows = told.where(F.size("crowded") > 0).mapInArrow(emit_windows, "one long, two long, k long")
+    firsts = windows.groupBy("one", "two").agg(F.min("k").alias("k")).groupBy("k").agg(F.collect_list("one").alias("firsts"))
+    return told.join(masks.hint("shuffle_hash"), "k", "left").join(firsts.hint("shuffle_hash"), "k", "left").mapInArrow(remove, schema)
