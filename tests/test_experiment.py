@@ -58,11 +58,11 @@ def outcomes(spark, control, treatment, fallback=0.0):
 
 def test_verdicts(spark):
     better = e.analyse(outcomes(spark, 10.0, 8.0), "s").first()
-    assert better.conclusive and better.verdict == "treatment wins" and not better.should_stop and better.effect > 1.5
+    assert better.conclusive and better.verdict.startswith("treatment wins by 1.9") and "detectable from" in better.verdict and not better.should_stop and better.effect > 1.5
     worse = e.analyse(outcomes(spark, 10.0, 10.5), "s").first()
-    assert worse.verdict == "control wins"
+    assert worse.verdict.startswith("control wins by 0.")
     level = e.analyse(outcomes(spark, 10.0, 10.001), "s").first()
-    assert not level.conclusive and level.verdict == "inconclusive" and level.mde > 0
+    assert not level.conclusive and level.verdict.startswith("inconclusive: an effect of 0.") and level.mde > 0
 
 
 def test_guardrails(spark):
@@ -81,4 +81,4 @@ def test_too_few_to_say(spark):
 def test_no_variance_is_conclusive_at_nothing(spark):
     same = ids(spark, 50).select("entity_id", F.lit(3.0).alias("error"), F.lit(False).alias("fallback"))
     got = e.analyse(same, "s").first()
-    assert (got.effect, got.mde, got.conclusive, got.verdict) == (0, 0, True, "control wins")
+    assert (got.effect, got.mde, got.conclusive, got.verdict) == (0, 0, True, "control wins by 0.00 minutes, detectable from 0.00")

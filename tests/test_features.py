@@ -1,5 +1,6 @@
 """Point-in-time windows: boundaries, cold starts, leaks, and a brute-force comparison."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.model import COLD_START_PACK_MINUTES, LeakageError, TidemarkError
 from tidemark.operators import features as f
-from tidemark.sources.trips import from_events, generate, generate_at_scale, with_micros
+from tidemark.sources.trips import from_events, generate, load, with_micros
 
 BASE = datetime(2026, 9, 1, 9)
 
@@ -20,11 +21,7 @@ def table(spark, *rows, promised=19):
         start = BASE + timedelta(minutes=at)
         out.append((id_, "S", "D", start, distance, promised, None if took is None else start + timedelta(minutes=took), None if took is None else float(took)))
     schema = "trip_id string, store_id string, driver_id string, assigned_at timestamp_ntz, distance_m int, promised_minutes int, delivered_at timestamp_ntz, tat_minutes double"
-    return prepared(spark.createDataFrame(out, schema))
-
-
-def prepared(trips):
-    return with_micros(trips).withColumn("tat", F.col("tat_minutes").cast("decimal(18,3)"))
+    return with_micros(spark.createDataFrame(out, schema))
 
 
 def probe(df, id_="probe"):
@@ -91,7 +88,7 @@ def test_leaky_lifetime_reads_the_future(spark):
 def test_guard(spark):
     trips = table(spark, ("a", 0, 40), ("probe", 20, 20))
     assert f.guard(trips) is trips
-    with pytest.raises(LeakageError, match="driver window"):
+    with pytest.raises(LeakageError, match="trip (a|probe): the driver window of 120 minutes at .* holds trip (a|probe)"):
         f.guard(trips, "a_us")
 
 
@@ -154,10 +151,68 @@ def test_one_shuffle_for_an_entity(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
-def test_generators(spark):
-    a, b = generate(spark, 300, seed=5, days=3, drivers=6), generate(spark, 300, seed=5, days=3, drivers=6)
-    assert a.collect() == b.collect() and a.agg(F.countDistinct("driver_id")).first()[0] <= 6
-    big = generate_at_scale(spark, 20_000)
-    small = generate(spark, 3_000)
-    assert big.schema.names == small.schema.names and big.where("tat_minutes < 4").count() == 0
-    assert abs(big.agg(F.avg("tat_minutes")).first()[0] - small.agg(F.avg("tat_minutes")).first()[0]) < 2
+def test_repeated_ids_multiply_nothing(spark):
+    trips = table(spark, ("a", 0, 5), ("probe", 30, 5), ("probe", 30, 5), ("probe", 31, 5))
+    spec = (f.Trailing("n", "store", 120, "count"),)
+    assert sorted((r.a_us, r.n) for r in f.running(trips, trips, spec).collect()) == sorted((r.a_us, r.n) for r in f.trailing(trips, trips, spec).collect())
+    assert f.running(trips, trips, spec).count() == 4
+
+
+def test_dense_windows_against_brute_force(spark):
+    """Many ties, windows of several widths and slices that end within windows."""
+    draw = random.Random(9)
+    rows = [(f"t{i:03d}", draw.randrange(900), draw.choice([None, 0, 5, 5, 30, 61, 200]), draw.randrange(0, 5000)) for i in range(400)]
+    trips = table(spark, *rows)
+    specs = tuple(f.Trailing(f"{k}_{w}", "store", w, k) for k in ("mean", "count", "median") for w in (20, 60))
+    specs += (f.Trailing("far", "store", 45, "custom", "", lambda: F.col("distance_m").cast("double"), F.max),)
+    got, local = {r.trip_id: r for r in f.trailing(trips, trips, specs).collect()}, trips.collect()
+    assert len(got) == 400
+    for s in specs[:-1]:
+        want = brute(local, "store_id", s.window_minutes, s.kind)
+        assert all(same(got[k][s.name], v) for k, v in want.items()), s
+    for p in local:
+        inside = [h.distance_m for h in local if h.d_us is not None and p.a_us - 45 * 60_000_000 < h.d_us <= p.a_us]
+        assert got[p.trip_id].far == (max(inside) if inside else None)
+
+
+def test_catalogues_of_ones_own(spark):
+    own = (f.Derived("far", "", lambda: (F.col("distance_m") > 1000).cast("double")), f.Trailing("longest", "driver", 60, "custom", "", lambda: F.col("tat").cast("double"), F.max, lambda: F.lit(-1.0)))
+    trips = table(spark, ("a", 0, 10), ("b", 1, 25), ("probe", 30, 500))
+    assert (probe(f.historical(trips, own)).far, probe(f.historical(trips, own)).longest) == (1.0, 25.0)
+    assert probe(f.historical(trips, own), "a").longest == -1.0 and probe(f.leaky_lifetime(trips, own), "a").longest == 500.0
+    assert f.vectors(f.historical(trips, own), ("far", "longest")).where("trip_id = 'b'").first()["values"] == {"far": 1.0, "longest": -1.0}
+    for bad in ({"kind": "custom"}, {"kind": "mode"}, {"kind": "mean", "aggregate": F.max}):
+        with pytest.raises(TidemarkError):
+            f.Trailing("x", "driver", 60, **bad)
+
+
+def test_replay_as_of_another_instant(spark):
+    trips = table(spark, ("a", 0, 40), ("probe", 20, 500))
+    assert probe(f.historical(trips)).driver_trips_120m == 0
+    later = probe(f.historical(trips, as_of=F.col("a_us") + 20 * 60_000_000))
+    assert later.driver_trips_120m == 1 and later.as_of_us == later.a_us + 20 * 60_000_000
+
+
+def test_generator(spark):
+    a, b = generate(spark, 3_000, seed=5, days=3, drivers=6), generate(spark, 3_000, seed=5, days=3, drivers=6)
+    assert sorted(a.collect()) == sorted(b.repartition(3).collect()) and a.agg(F.countDistinct("driver_id")).first()[0] == 6
+    assert a.where("tat_minutes < 4 or delivered_at <= assigned_at").count() == 0
+    rush = F.hour("assigned_at").isin(12, 13, 19, 20, 21)
+    means = {r.rush: r.t for r in a.groupBy(rush.alias("rush")).agg(F.avg("tat_minutes").alias("t")).collect()}
+    assert 1.15 < means[True] / means[False] < 1.35
+    by_store = {r.store_id: r.t for r in a.groupBy("store_id").agg(F.avg("tat_minutes").alias("t")).collect()}
+    assert 3 < by_store["NORTHGATE"] - by_store["RIVERSIDE"] < 8
+
+
+def test_one_schema_from_sources_to_operators(spark, tmp_path):
+    """The warehouse's table, the generator that stands in for it, and what a user does with either."""
+    made = load(spark, str(tmp_path / "nothing"), n=500)
+    fact = made.drop("a_us", "d_us", "tat").withColumn("completeness", F.when(F.col("trip_id") < "T-000000000100", "partial").otherwise("complete"))
+    fact.withColumn("tat_minutes", F.when(F.col("trip_id") != "T-000000000200", F.col("tat_minutes"))).write.parquet(str(tmp_path / "fact"))
+    read = load(spark, str(tmp_path / "fact"))
+    assert read.columns == made.columns and read.count() == 399
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "completeness,complete" in plan.replace(" ", "").replace("EqualTo(", "")
+    assert f.historical(read).count() == 399
+    for trips in (from_events(spark.read.parquet("/root/testdata/sf0.001/events.parquet")), made):
+        assert {c for c in made.columns} <= set(trips.columns)

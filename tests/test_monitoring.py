@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.model import TidemarkError
 from tidemark.operators import drift, monitoring, serving
-from tidemark.sources.trips import from_payloads, latest, observable, require_unique
+from tidemark.sources.trips import from_payloads, latest, outcomes_of, require_unique
 
 MINUTE = 60_000_000
 LOG = "trip_id long, pred_minutes double, served_us long, fallback boolean, actual_minutes double, label_us long"
@@ -108,8 +108,56 @@ def test_payloads(spark):
     assert got[0].error is None and got[0].distance_m == 1200 and str(got[0].assigned_at) == "2026-09-01 09:00:00"
     assert [r.error for r in got[1:]] == ["request field is unreadable: distance_m", "request is missing driver_id", "request is missing trip_id", "request field is unreadable: assigned_at"]
     assert all(r.trip_id is None for r in got[1:])
-    kept, dead = observable(from_payloads(spark.createDataFrame([(0, good)], "i int, body string")))
-    assert kept.count() == 0 and dead.count() == 1
+    assert serving.observe(from_payloads(spark.createDataFrame([(0, good)], "i int, body string"))).refused.first().reason == "no duration yet"
+
+
+def test_observed_trips(spark, tmp_path):
+    trips = spark.createDataFrame([(1, 0, 5 * MINUTE, 5.0), (2, 0, None, 6.0), (3, 0, 7 * MINUTE, None), (4, 0, None, None)], "trip_id long, a_us long, d_us long, tat double").withColumn("tat", F.col("tat").cast("decimal(18,3)"))
+    ids = lambda df: sorted(r.trip_id for r in df.collect())
+    alone = serving.observe(trips)
+    assert (ids(alone.told), ids(alone.unobserved), ids(alone.refused)) == ([], [1, 2], [3, 4])
+    store = str(tmp_path / "store")
+    for times in (1, 2):
+        kept = serving.observe(trips, store)
+        assert ids(spark.read.parquet(store)) == [1] * times
+    assert (ids(kept.unobserved), {r.trip_id: r.reason for r in kept.refused.collect()}) == ([], {2: "no delivery known", 3: "no duration yet", 4: "no duration yet"})
+    assert {r.trip_id: r.delivered_us for r in outcomes_of(trips).collect()} == {1: 5 * MINUTE, 2: 6 * MINUTE}
+
+
+def test_served_takes_the_last_prediction(spark):
+    log = spark.createDataFrame([(1, 30.0, 5), (1, 40.0, 9), (2, 20.0, 1), (2, 21.0, 1)], "trip_id long, pred_minutes double, served_us long")
+    outcomes = spark.createDataFrame([(1, 33.0, 60), (7, 1.0, 1)], "trip_id long, actual_minutes double, delivered_us long")
+    rows = [sorted(map(tuple, monitoring.served(log.repartition(n), outcomes, 0).collect())) for n in (1, 3)]
+    assert rows[0] == rows[1] and len(rows[0]) == 2 and rows[0][0] == (1, 40.0, 9, 33.0, 60)
+
+
+def test_health(spark):
+    """Before anything, before any label, and later: with a feature that drifts and one that is gone."""
+    log = outage(spark, 200, 60.0)
+    vector = F.map_from_arrays(F.array(F.lit("a"), F.lit("b")), F.array((F.col("id") % 50).cast("double"), F.lit(1.0)))
+    now = spark.range(200).select((F.col("id") * MINUTE).alias("a_us"), F.map_filter(vector, lambda k, v: k == "a").alias("values"))
+    then = spark.range(500).select((F.col("id") * MINUTE).alias("a_us"), F.transform_values(vector, lambda k, v: v + 40).alias("values"))
+    early, first, later = monitoring.health(log, log.where(F.col("served_us") < 60 * MINUTE), [-5 * MINUTE, 0, 120 * MINUTE], 60, now, then).orderBy("as_of_us").collect()
+    assert math.isnan(early.label_lag_minutes) and early.blind_minutes == math.inf and early.scored_through_us is None
+    assert (early.n_served, early.labels_pending, early.realised_n, early.realised_mae, early.feature_psi, early.missing_features) == (200, 200, 0, None, {}, [])
+    assert first.feature_psi == {} and first.missing_features == ["b"]
+    assert (later.realised_n, later.labels_pending, later.label_lag_minutes, later.blind_minutes, later.fallback_rate) == (86, 114, 35, 35, 0)
+    assert set(later.feature_psi) == {"a"} and later.feature_psi["a"] > 1 and later.missing_features == ["b"] and later.prediction_psi is not None
+    nothing = monitoring.health(log.limit(0), log, [0]).first()
+    assert nothing.n_served == 0 and nothing.fallback_rate == 0 and math.isnan(nothing.label_lag_minutes)
+
+
+def test_counts_against_each_row(spark):
+    draw = random.Random(4)
+    rows = [(i, 1.0, draw.randrange(100), draw.random() < 0.2, draw.choice([None, 2.0]), draw.choice([None, draw.randrange(140)])) for i in range(300)]
+    at = [70, 10, 0, 139, 70]
+    got = {r.as_of_us: r for r in monitoring.counted(spark.createDataFrame(rows, LOG), at).collect()}
+    assert set(got) == set(at)
+    for t, r in got.items():
+        known = [a is not None and x is not None and x <= t for *_, a, x in rows]
+        assert r.labels_pending == known.count(False) and r.n == 300
+        assert r.pending_served == sum(not k and row[2] <= t for k, row in zip(known, rows, strict=True))
+        assert r.scored_through_us == max((row[2] for k, row in zip(known, rows, strict=True) if k), default=None)
 
 
 def test_the_last_prediction_counts(spark):

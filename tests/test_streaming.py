@@ -47,6 +47,13 @@ def test_retention_covers_the_windows(spark, tmp_path):
         store.online_features(None, f.TRAILING)
 
 
+def test_unfinished_trips_are_kept_aside(spark, tmp_path):
+    trips = from_events(spark.read.parquet(EVENTS)).withColumn("d_us", F.when(F.col("trip_id") % 9 != 0, F.col("d_us")))
+    got = played(store.unfinished(feed(spark, trips, tmp_path / "in", 2, False))).groupBy("reason").count().collect()
+    want = trips.groupBy((F.col("tat").isNull()).alias("open"), F.col("d_us").isNull().alias("lost")).count().collect()
+    assert {r.reason: r["count"] for r in got} == {"no duration yet": sum(r["count"] for r in want if r.open), "no delivery known": sum(r["count"] for r in want if r.lost and not r.open)}
+
+
 def test_labels_join_as_they_come(spark, tmp_path):
     trips = from_events(spark.read.parquet(EVENTS))
     predictions_of(trips).write.parquet(str(tmp_path / "p"))

@@ -1,17 +1,18 @@
 import json
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.model import TidemarkError
-from tidemark.operators import registry, training
-from tidemark.plans.runs import comparison_table, report, train
-from tidemark.sources.trips import generate, with_micros
+from tidemark.operators import experiment, monitoring, registry, serving, training
+from tidemark.plans.runs import report, train
+from tidemark.sources.trips import generate
 
 
 @pytest.fixture(scope="module")
 def trips(spark):
-    return with_micros(generate(spark, 2000, seed=21, days=10, drivers=8)).withColumn("tat", F.col("tat_minutes").cast("decimal(18,3)")).persist()
+    return generate(spark, 2000, seed=21, days=10, drivers=8).persist()
 
 
 @pytest.fixture(scope="module")
@@ -56,7 +57,8 @@ def test_collinear_features_are_refused_without_penalty(spark):
 
 def test_constant_features_have_unit_scale(spark):
     rows = spark.range(50).select(F.lit(4.0).alias("x"), F.col("id").cast("double").alias("label"))
-    assert training.moments(rows, ("x",))[1] == (1.0,)
+    got = training.normal_equations(rows, ("x",)).first()
+    assert (got.s_0, got.m_0, got.g_0_0, got.n) == (1.0, 4.0, 1.0, 50)
 
 
 def test_predictions_have_a_floor(spark):
@@ -77,34 +79,61 @@ def test_ridge_beats_the_promise_and_the_leak_flatters(run):
     assert mae["leaky_in_flight"] < 0.98 * mae["honest"]
     gap = run.gaps().first()
     assert abs(gap.honest_lift - (mae["baseline"] - mae["honest"])) < 1e-9
-    assert "honest" in comparison_table(run) and "held-out" in report(run)
+    assert "| honest |" in report(run) and "held-out" in report(run)
+
+
+def test_report_parts(run, spark):
+    minute = 60_000_000
+    log = lambda wrong: spark.createDataFrame([(i, wrong if i >= 60 else 35.5, i * minute, False, 35.0, (i + 35) * minute) for i in range(200)], "trip_id long, pred_minutes double, served_us long, fallback boolean, actual_minutes double, label_us long")
+    outage = monitoring.outage(log(35.5), log(70.0), [m * minute for m in (80, 100, 120)])
+    latency = serving.latency(spark.createDataFrame([(10.0,)] * 95 + [(2000.0,)] * 5, "ms double"))
+    outcomes = spark.range(400).select(F.concat(F.lit("d"), "id").alias("entity_id"), (F.col("id") % 9).cast("double").alias("error"), F.lit(False).alias("fallback"))
+    page = report(run, outage, latency, experiment.analyse(outcomes, "eta"))
+    assert "after 20 minutes" in page and "2000.0 ms" in page and "an effect of" in page
+    assert page.count("## ") == 3
 
 
 def test_unlabelled_sides_are_refused(spark):
-    none = spark.createDataFrame([], "promised double")
+    none = spark.createDataFrame([], "promised double, x double, label double")
     with pytest.raises(TidemarkError):
         training.Baseline.fit(none)
+    with pytest.raises(TidemarkError):
+        training.Ridge.fit(none, ("x",))
+
+
+def test_a_fit_reads_its_rows_once(spark):
+    plan = training.normal_equations(spark.createDataFrame([(1.0, 2.0, 3.0)], "x double, z double, label double"), ("x", "z"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1
 
 
 def test_registry(run, tmp_path, spark):
-    root, model = tmp_path / "models", run.models["honest"]
+    root, model, window = str(tmp_path / "models"), run.models["honest"], run.training_window
     with pytest.raises(TidemarkError):
-        registry.latest(root)
-    version = registry.save(model, {"mae": 1.0}, run.training_window, root)
-    assert len(version) == 12 and registry.save(model, {"mae": 2.0}, run.training_window, root) == version
-    assert registry.read_card(version, root)["metrics"] == {"mae": 1.0}
-    assert registry.load(version, root) == model
-    second = registry.save(run.models["baseline"], {}, run.training_window, root)
-    assert registry.versions(root) == [version, second] and registry.latest(root) == second
-    assert registry.load(second, root) == run.models["baseline"]
-    assert [r.version for r in registry.cards(spark, str(root)).collect()] == [version, second]
-    path = root / version / "model.json"
+        registry.latest(spark, root)
+    version = registry.save(spark, model, {"mae": 1.0}, window, root)
+    assert len(version) == 12 and registry.save(spark, model, {"mae": 2.0}, window, root) == version
+    assert registry.read_card(spark, version, root)["metrics"] == {"mae": 1.0}
+    assert registry.load(spark, version, root) == model
+    second = registry.save(spark, run.models["baseline"], {}, window, root)
+    assert registry.versions(spark, root) == [version, second] and registry.latest(spark, root) == second
+    assert registry.load(spark, second, root) == run.models["baseline"]
+    path = tmp_path / "models" / version / registry.CARD
     card = json.loads(path.read_text())
-    card["payload"]["intercept"] = 0.0
-    path.write_text(json.dumps(card))
+    path.with_name(f".{registry.CARD}.crc").unlink(missing_ok=True)
+    path.write_text(json.dumps(card | {"payload": card["payload"].replace("ridge", "other")}))
     with pytest.raises(TidemarkError):
-        registry.save(model, {}, run.training_window, root)
+        registry.save(spark, model, {}, window, root)
     with pytest.raises(TidemarkError):
-        registry.load("nothing", root)
+        registry.load(spark, "nothing", root)
     with pytest.raises(TidemarkError):
         training.from_payload({"kind": "forest"})
+
+
+def test_versions_tell_models_and_windows_apart(spark, tmp_path):
+    start, root = datetime(2026, 9, 1), str(tmp_path)
+    september, october = (start, start + timedelta(days=7)), (start + timedelta(days=30), start + timedelta(days=37))
+    of = lambda minutes, window: registry.version_of(training.Baseline(minutes).payload(), window)
+    assert of(19.0, september) == of(19.0, september) and of(19.0, september) != of(21.0, september)
+    assert of(19.0, september) != of(19.0, october)
+    saved = [registry.save(spark, training.Baseline(19.0), {}, w, root) for w in (september, october)]
+    assert registry.versions(spark, root) == saved and len(set(saved)) == 2

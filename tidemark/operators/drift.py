@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.quantiles import inner_edges
@@ -16,29 +16,29 @@ def long_form(wide: DataFrame, names: list[str]) -> DataFrame:
     return wide.select(F.explode(pairs).alias("p")).select("p.*").where("value is not null")
 
 
-def psi(reference: DataFrame, current: DataFrame, by: list[str], bins: int = PSI_BINS) -> DataFrame:
-    """Stability index of ``value`` for each group: ``by`` and psi.
+def psi(reference: DataFrame, current: DataFrame, by: list[str], bins: int = PSI_BINS, over: tuple[str, ...] = ()) -> DataFrame:
+    """Stability index of ``value`` for each group: ``by``, ``over`` and psi.
 
-    Bins are equally filled by the reference, closed above, and fewer if values tie; both sides' shares have a
-    floor. Groups need two reference values and a current one, else they are left out.
+    over: keys that only the current side has, such as the instant that it is seen from. The reference's edges and
+    counts are made once for all of them. Bins are equally filled by the reference, closed above, and fewer if
+    values tie; both sides' shares have a floor. Groups need two reference values and a current one, else they
+    are left out.
     """
     if bins < 2:
         raise TidemarkError("stability needs two bins at least")
-    edges = reference.groupBy(*by).agg(inner_edges(F.col("value"), bins).alias("edges"), F.count(F.lit(1)).alias("n_ref")).where("n_ref >= 2")
-    sides = reference.select(*by, "value", F.lit(1).alias("r"), F.lit(0).alias("c")).unionByName(current.select(*by, "value", F.lit(0).alias("r"), F.lit(1).alias("c")))
-    # The table of edges has a row for each group, which the optimizer sees to.
-    counted = sides.join(edges, by).groupBy(*by, "edges", bin_of(F.col("edges"), F.col("value")).alias("bin")).agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-    filled = counted.groupBy(*by, "edges").agg(F.sum("r").alias("nr"), F.sum("c").alias("nc"), F.map_from_entries(F.collect_list(F.struct("bin", F.struct("r", "c")))).alias("at"))
-    floor = F.lit(PSI_FLOOR)
-
-    def term(i: Column) -> Column:
-        here = F.try_element_at("at", i)
-        ref = F.greatest(F.coalesce(here["r"], F.lit(0)) / F.col("nr"), floor)
-        cur = F.greatest(F.coalesce(here["c"], F.lit(0)) / F.col("nc"), floor)
-        return (cur - ref) * F.ln(cur / ref)
+    edges = reference.groupBy(*by).agg(inner_edges(F.col("value"), bins).alias("edges"), F.count(F.lit(1)).alias("n_ref")).where("n_ref >= 2").drop("n_ref")
 
+    def filled(side: DataFrame, keys: list[str], name: str) -> DataFrame:
+        # The table of edges has a row for each group, which the optimizer sees to.
+        counted = side.join(edges, by).groupBy(*keys, "edges", bin_of(F.col("edges"), F.col("value")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+        at = F.map_from_entries(F.collect_list(F.struct("bin", "n")))
+        return counted.groupBy(*keys, "edges").agg(F.sum("n").alias(f"n_{name}"), at.alias(name))
+
+    both = filled(reference, by, "ref").join(filled(current, [*by, *over], "cur").drop("edges"), by)
+    share = lambda side, i: F.greatest(F.coalesce(F.try_element_at(side, i), F.lit(0)) / F.col(f"n_{side}"), F.lit(PSI_FLOOR))
+    term = lambda i: (share("cur", i) - share("ref", i)) * F.ln(share("cur", i) / share("ref", i))
     total = F.aggregate(F.transform(F.sequence(F.lit(0), F.size("edges")), term), F.lit(0.0), lambda a, x: a + x)
-    return filled.where("nc >= 1").select(*by, total.alias("psi"))
+    return both.select(*by, *over, total.alias("psi"))
 
 
 def feature_drift(reference: DataFrame, current: DataFrame, bins: int = PSI_BINS) -> DataFrame:

@@ -110,11 +110,11 @@ def analyse(outcomes: DataFrame, name: str, split: float = 0.5, salt: str | None
         }
     )
     out = out.withColumns({"conclusive": enough & (F.abs("effect") >= F.col("mde")), "should_stop": F.size("breaches") > 0})
+    figures = F.format_string("%.2f minutes, detectable from %.2f", F.abs("effect"), F.col("mde"))
     verdict = (
         F.when(F.col("should_stop"), F.concat(F.lit("stop: "), F.array_join("breaches", "; ")))
-        .when(~F.col("conclusive"), "inconclusive")
-        .when(F.col("effect") > 0, "treatment wins")
-        .otherwise("control wins")
+        .when(~F.col("conclusive"), F.when(enough, F.concat(F.lit("inconclusive: an effect of "), figures)).otherwise("inconclusive: too few outcomes"))
+        .otherwise(F.concat(F.when(F.col("effect") > 0, TREATMENT).otherwise(CONTROL), F.lit(" wins by "), figures))
     )
     return out.select(
         F.lit(name).alias("name"),

@@ -1,16 +1,23 @@
-"""Point-in-time features: a catalogue of declarations, compiled to columns and range windows.
+"""Point-in-time features: a catalogue of declarations, compiled to columns and windows over time.
 
 Every window aggregate of a trip is over trips of the same entity *delivered* in (as_of - W, as_of], where
-as_of is the instant the trip was assigned. History is ordered by delivery and probes by assignment, so both
-are put on one time line and a RANGE frame looks back over it.
+as_of is the instant the trip was assigned, or another one to replay it at. History is ordered by delivery and
+probes by as_of, so both are put on one time line, and each probe looks back over it.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import deque
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.scalar import implied_pack, rush_hour
 from tidemark.model import COLD_START_PACK_MINUTES, MINUTE_US, RETAIN_MINUTES, LeakageError, TidemarkError
@@ -27,56 +34,60 @@ def entity_column(entity: str) -> str:
 
 @dataclass(frozen=True)
 class Derived:
-    """A feature of the trip alone."""
+    """A feature of the trip alone: of() is an expression over its columns."""
 
     name: str
     description: str
+    of: Callable[[], Column]
 
     entity = "trip"
     window_minutes = None
 
-    def column(self) -> Column:
-        hour = F.hour("assigned_at")
-        return {
-            "distance_m": F.col("distance_m").cast("double"),
-            "log_distance": F.log1p(F.col("distance_m").cast("double")),
-            "hour_of_day": hour.cast("double"),
-            "is_rush_hour": rush_hour(hour),
-            "day_of_week": F.weekday("assigned_at").cast("double"),
-        }[self.name]
-
 
 @dataclass(frozen=True)
 class Trailing:
-    """An aggregate over the trailing window of an entity. kind: mean (of the time taken), count, or median (of the pack time)."""
+    """An aggregate over the trailing window of an entity.
+
+    kind: mean (of the time taken), count, median (of the pack time), or custom: aggregate(column) of value(), an
+    expression over a finished trip's columns. cold() stands for the value if the window is empty; the built-in
+    kinds have one of their own.
+    """
 
     name: str
     entity: str
     window_minutes: int
     kind: str
     description: str = ""
+    value: Callable[[], Column] | None = None
+    aggregate: Callable[[Column], Column] | None = None
+    cold: Callable[[], Column] | None = None
 
-    def aggregate(self) -> Column:
-        return {"mean": F.sum("h_tat").cast("double") / F.count("h_tat"), "count": F.count("h_tat").cast("double"), "median": F.expr("percentile(h_pack, 0.5D)")}[self.kind]
+    def __post_init__(self) -> None:
+        if self.kind not in ("mean", "count", "median", "custom") or (self.kind == "custom") != (self.aggregate is not None):
+            raise TidemarkError(f"{self.name}: a kind is mean, count, median, or custom with an aggregate")
 
-    def over(self, window) -> Column:
-        if self.kind == "mean":
-            n = F.count("h_tat").over(window)
-            return F.try_divide(F.sum("h_tat").over(window).cast("double"), n)
-        return F.count("h_tat").over(window).cast("double") if self.kind == "count" else F.expr("percentile(h_pack, 0.5D)").over(window)
+    def whole(self) -> Column:
+        """The aggregate over all rows of a group, for history columns as _history names them."""
+        if self.kind == "custom":
+            return self.aggregate(F.col(f"h_{self.name}"))
+        return {"mean": F.sum("h_tat").cast("double") / F.count("h_tat"), "count": F.count("h_tat").cast("double"), "median": F.percentile("h_pack", 0.5)}[self.kind]
 
     def warm(self, value: Column) -> Column:
         """The value, or what stands for it when the window is empty."""
-        cold = {"mean": F.col("promised_minutes").cast("double"), "count": F.lit(0.0), "median": F.lit(COLD_START_PACK_MINUTES)}[self.kind]
-        return F.coalesce(value, cold)
+        usual = {"mean": lambda: F.col("promised_minutes").cast("double"), "count": lambda: F.lit(0.0), "median": lambda: F.lit(COLD_START_PACK_MINUTES), "custom": lambda: F.lit(None).cast("double")}[self.kind]
+        return F.coalesce(value, (self.cold or usual)())
+
+
+def _hour() -> Column:
+    return F.hour("assigned_at")
 
 
 DERIVED = (
-    Derived("distance_m", "metres to the customer"),
-    Derived("log_distance", "logarithm of one plus the metres"),
-    Derived("hour_of_day", "hour of assignment"),
-    Derived("is_rush_hour", "1 at lunch and dinner"),
-    Derived("day_of_week", "0 on Mondays"),
+    Derived("distance_m", "metres to the customer", lambda: F.col("distance_m").cast("double")),
+    Derived("log_distance", "logarithm of one plus the metres", lambda: F.log1p(F.col("distance_m").cast("double"))),
+    Derived("hour_of_day", "hour of assignment", lambda: _hour().cast("double")),
+    Derived("is_rush_hour", "1 at lunch and dinner", lambda: rush_hour(_hour())),
+    Derived("day_of_week", "0 on Mondays", lambda: F.weekday("assigned_at").cast("double")),
 )
 TRAILING = (
     Trailing("store_pack_p50_60m", "store", 60, "median", "median implied packing time of the store"),
@@ -88,110 +99,183 @@ CATALOGUE = DERIVED + TRAILING
 FEATURE_NAMES = tuple(f.name for f in CATALOGUE)
 
 
-def catalogue(spark: SparkSession) -> DataFrame:
-    rows = [(i, f.name, f.entity, f.window_minutes, "double", f.description) for i, f in enumerate(CATALOGUE)]
+def trailing_of(catalogue: tuple) -> dict[str, tuple[Trailing, ...]]:
+    """The windowed features of a catalogue by entity."""
+    own = [f for f in catalogue if isinstance(f, Trailing)]
+    return {e: tuple(f for f in own if f.entity == e) for e in dict.fromkeys(f.entity for f in sorted(own, key=lambda f: f.entity))}
+
+
+def catalogue(spark: SparkSession, features: tuple = CATALOGUE) -> DataFrame:
+    rows = [(i, f.name, f.entity, f.window_minutes, "double", f.description) for i, f in enumerate(features)]
     return spark.createDataFrame(rows, "position int, name string, entity string, window_minutes int, dtype string, description string")
 
 
-def derived(trips: DataFrame) -> DataFrame:
-    return trips.withColumns({f.name: f.column() for f in DERIVED})
+def derived(trips: DataFrame, features: tuple = DERIVED) -> DataFrame:
+    return trips.withColumns({f.name: f.of() for f in features if isinstance(f, Derived)})
+
+
+def instant(trips: DataFrame) -> Column:
+    """What a row is seen as of: as_of_us where it has one (a replay), its assignment otherwise."""
+    return F.col("as_of_us" if "as_of_us" in trips.columns else "a_us")
 
 
-def _history(trips: DataFrame, entity: str, at: str) -> DataFrame:
+def _history(trips: DataFrame, entity: str, at: str, features: tuple[Trailing, ...] = ()) -> DataFrame:
     """Finished trips as values at an instant (delivery, or assignment for the leaky variant)."""
-    return finished(trips).select(F.col(entity_column(entity)).alias("h_key"), F.col(at).alias("h_t"), F.col("tat").alias("h_tat"), implied_pack(F.col("tat"), F.col("distance_m")).alias("h_pack"), F.col("d_us").alias("h_d"))
+    own = [f.value().alias(f"h_{f.name}") for f in features if f.kind == "custom"]
+    return finished(trips).select(F.col(entity_column(entity)).alias("h_key"), F.col(at).alias("h_t"), F.col("tat").alias("h_tat"), implied_pack(F.col("tat"), F.col("distance_m")).alias("h_pack"), F.col("d_us").alias("h_d"), F.col("trip_id").alias("h_trip"), *own)
 
 
 #: Widths of the widest window in a slice of time. History that a later slice looks back on is copied there.
 SLICE_WINDOWS = 4
 
 
-def trailing(probes: DataFrame, trips: DataFrame, features: tuple[Trailing, ...], history_at: str = "d_us", audit: str | None = None) -> DataFrame:
+def _line(probes: DataFrame, known: DataFrame, entity: str, widest: int, leaves: list[int]) -> DataFrame:
+    """Probes and history on one time line for each entity and slice of time, in order; at one instant history comes first.
+
+    One shuffle serves all features of an entity, and an entity with a third of all rows is spread over as many
+    tasks as it has slices. A trip enters at h_t (h_w is 0) and, for each width in ``leaves``, leaves once more
+    when it falls out of a window of that width (h_w is the width), unless the slice ends before.
+    """
+    width = widest * SLICE_WINDOWS
+    known = known.withColumn("h_slice", F.explode(F.sequence(F.floor(F.col("h_t") / width), F.floor((F.col("h_t") + (widest - 1)) / width))))
+    steps = F.array(*(F.struct((F.col("h_t") + w).alias("h_t"), F.lit(w).cast("long").alias("h_w")) for w in (0, *leaves)))
+    step = F.explode(F.filter(steps, lambda s: s["h_t"] < (F.col("h_slice") + 1) * width)).alias("step")
+    known = known.select(*(c for c in known.columns if c != "h_t"), step).select("*", "step.*").drop("step").withColumn("h_probe", F.lit(False))
+    at = instant(probes)
+    asked = probes.withColumns({"h_key": F.col(entity_column(entity)), "h_t": at, "h_slice": F.floor(at / width), "h_probe": F.lit(True)})
+    return asked.unionByName(known, allowMissingColumns=True).repartition("h_key", "h_slice").sortWithinPartitions("h_key", "h_slice", "h_t", "h_probe")
+
+
+def trailing(probes: DataFrame, trips: DataFrame, features: tuple[Trailing, ...], history_at: str = "d_us") -> DataFrame:
     """probes with a column for each feature (null where its window is empty); all features of one entity.
 
-    Probes and history are laid on one time line for each entity and slice of time, so one shuffle serves all
-    features, and an entity with a third of all rows is spread over as many tasks as it has slices. audit names
-    a column for the latest delivery that the widest window holds.
+    Means and counts are running totals along the time line, of trips that enter and leave, so a row costs the same
+    however much its window holds; they are exact, because times are decimals. Medians keep the window's values in
+    order (see ``_medians``). Custom aggregates use RANGE frames, whose work grows with the window.
     """
     if len({f.entity for f in features}) != 1:
         raise TidemarkError("features of one entity at a time")
-    widest = max(f.window_minutes for f in features) * MINUTE_US
-    width = widest * SLICE_WINDOWS
-    key = entity_column(features[0].entity)
-    known = _history(trips, features[0].entity, history_at)
-    slices = F.sequence(F.floor(F.col("h_t") / width), F.floor((F.col("h_t") + (widest - 1)) / width))
-    known = known.withColumn("h_slice", F.explode(slices)).withColumn("h_probe", F.lit(False))
-    asked = probes.withColumns({"h_key": F.col(key), "h_t": F.col("a_us"), "h_slice": F.floor(F.col("a_us") / width), "h_probe": F.lit(True)})
-    line = asked.unionByName(known, allowMissingColumns=True)
-    place = Window.partitionBy("h_key", "h_slice").orderBy("h_t")
-    frame = lambda minutes: place.rangeBetween(-(minutes * MINUTE_US - 1), 0)
-    columns = {f.name: f.over(frame(f.window_minutes)) for f in features}
-    if audit:
-        columns[audit] = F.max("h_d").over(frame(widest // MINUTE_US))
-    return line.withColumns(columns).where("h_probe").select(*probes.columns, *columns)
+    entity, us = features[0].entity, lambda f: f.window_minutes * MINUTE_US
+    summed = [f for f in features if f.kind in ("mean", "count")]
+    line = _line(probes, _history(trips, entity, history_at, features), entity, max(map(us, features)), sorted({us(f) for f in summed}))
+    place = Window.partitionBy("h_key", "h_slice")
+    so_far = place.orderBy("h_t", "h_probe").rangeBetween(Window.unboundedPreceding, 0)
+    inside = lambda f, v: F.sum(F.when(F.col("h_w") == 0, v).when(F.col("h_w") == us(f), -v)).over(so_far)
+    columns = {}
+    for f in features:
+        if f in summed:
+            n = inside(f, F.lit(1))
+            columns[f.name] = F.when(n > 0, inside(f, F.col("h_tat")).cast("double") / n) if f.kind == "mean" else F.coalesce(n, F.lit(0)).cast("double")
+        elif f.kind == "custom":
+            frame = place.orderBy("h_t").rangeBetween(1 - us(f), 0)
+            columns[f.name] = f.aggregate(F.when(F.col("h_w") == 0, F.col(f"h_{f.name}"))).over(frame)
+    out = line.withColumns(columns) if columns else line
+    middle = [f for f in features if f.kind == "median"]
+    if middle:
+        needed = out.where(F.col("h_probe") | (F.col("h_w") == 0)).select(*probes.columns, *columns, "h_key", "h_slice", "h_t", "h_probe", "h_pack")
+        out = _medians(needed.sortWithinPartitions("h_key", "h_slice", "h_t", "h_probe"), {f.name: us(f) for f in middle})
+    return out.where("h_probe").select(*probes.columns, *(f.name for f in features))
+
+
+def _medians(line: DataFrame, widths: dict[str, int]) -> DataFrame:
+    """The probes of a time line with the interpolated median of h_pack over each width.
+
+    Values enter a sorted list as their trips come up and leave it as they fall out of the window, so a row costs
+    two searches. The line streams through in batches; what is held is one window of one entity.
+    """
+    schema = T.StructType([*line.schema, *(T.StructField(n, T.DoubleType()) for n in widths)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held = None, {}
+        for batch in batches:
+            column = lambda c, batch=batch: batch.column(batch.schema.get_field_index(c))
+            probe = np.asarray(column("h_probe").to_numpy(zero_copy_only=False), bool)
+            found: dict[str, list] = {n: [] for n in widths}
+            for key, part, t, ask, pack in zip(column("h_key").to_pylist(), column("h_slice").to_pylist(), column("h_t").to_pylist(), probe.tolist(), column("h_pack").to_pylist(), strict=True):
+                if (key, part) != place:
+                    place, held = (key, part), {n: (deque(), []) for n in widths}
+                for name, width in widths.items():
+                    queue, values = held[name]
+                    while queue and queue[0][0] <= t - width:
+                        del values[bisect_left(values, queue.popleft()[1])]
+                    if not ask:
+                        queue.append((t, pack))
+                        insort(values, pack)
+                        continue
+                    n = len(values)
+                    found[name].append((values[(n - 1) // 2] + values[n // 2]) / 2 if n else None)
+            kept = batch.filter(pa.array(probe))
+            yield pa.record_batch([*kept.columns, *(pa.array(v, pa.float64()) for v in found.values())], schema.names)
+
+    return line.mapInArrow(run, schema)
 
 
 def running(probes: DataFrame, trips: DataFrame, features: tuple[Trailing, ...], slice_minutes: int = 1440) -> DataFrame:
-    """As ``trailing``, for means and counts over windows that hold very many rows.
+    """As ``trailing``, for means and counts over windows that are long against the table's span.
 
-    A sliding frame costs rows times the window's rows. Here each probe asks twice for totals up to an instant,
-    at as_of and at as_of - W, and subtracts: totals grow along the line, exact because times are decimals.
-    Entities are cut into slices of time as there, and the totals of whole slices before are added from a small table.
+    Slices there are as long as windows, here as short as one likes: each probe asks twice for totals up to an
+    instant, at as_of and at as_of - W, and subtracts. The totals of whole slices before are added from a small table.
+    Rows that share an id, entity and instant get the same answer each.
     """
-    if any(f.kind == "median" for f in features) or len({f.entity for f in features}) != 1:
+    if any(f.kind not in ("mean", "count") for f in features) or len({f.entity for f in features}) != 1:
         raise TidemarkError("running totals serve means and counts of one entity")
     key, width = entity_column(features[0].entity), slice_minutes * MINUTE_US
     known = _history(trips, features[0].entity, "d_us").select("h_key", "h_t", "h_tat").withColumn("h_slice", F.floor(F.col("h_t") / width))
     totals = known.groupBy("h_key", "h_slice").agg(F.sum("h_tat").alias("s"), F.count("h_tat").alias("n"))
     before = Window.partitionBy("h_key").orderBy("h_slice").rowsBetween(Window.unboundedPreceding, -1)
     # The slices of a probe may hold no history: the line of slices has those as well.
-    asks = F.array(F.struct(F.lit(0).alias("w"), F.col("a_us").alias("h_t")), *(F.struct(F.lit(w).alias("w"), (F.col("a_us") - w * MINUTE_US).alias("h_t")) for w in sorted({f.window_minutes for f in features})))
-    asked = probes.select("trip_id", F.col(key).alias("h_key"), F.explode(asks).alias("ask")).select("trip_id", "h_key", "ask.*").withColumn("h_slice", F.floor(F.col("h_t") / width))
+    at_us = instant(probes)
+    asks = F.array(F.struct(F.lit(0).alias("w"), at_us.alias("h_t")), *(F.struct(F.lit(w).alias("w"), (at_us - w * MINUTE_US).alias("h_t")) for w in sorted({f.window_minutes for f in features})))
+    asked = probes.select(F.col("trip_id").alias("p_id"), F.col(key).alias("h_key"), at_us.alias("p_us"), F.explode(asks).alias("ask")).select("p_id", "h_key", "p_us", "ask.*").withColumn("h_slice", F.floor(F.col("h_t") / width))
     slices = asked.select("h_key", "h_slice").distinct().unionByName(totals.select("h_key", "h_slice")).distinct().join(totals, ["h_key", "h_slice"], "left")
     opening = slices.select("h_key", "h_slice", F.sum("s").over(before).alias("s0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
     line = asked.unionByName(known, allowMissingColumns=True).unionByName(opening.withColumn("h_t", F.col("h_slice") * width - 1), allowMissingColumns=True)
     so_far = Window.partitionBy("h_key", "h_slice").orderBy("h_t").rangeBetween(Window.unboundedPreceding, 0)
-    upto = line.select("trip_id", "w", (F.coalesce(F.sum("h_tat").over(so_far), F.lit(0)) + F.coalesce(F.sum("s0").over(so_far), F.lit(0))).alias("s"), (F.count("h_tat").over(so_far) + F.coalesce(F.sum("n0").over(so_far), F.lit(0))).alias("n")).where(F.col("w").isNotNull())
+    upto = line.select("p_id", "h_key", "p_us", "w", (F.coalesce(F.sum("h_tat").over(so_far), F.lit(0)) + F.coalesce(F.sum("s0").over(so_far), F.lit(0))).alias("s"), (F.count("h_tat").over(so_far) + F.coalesce(F.sum("n0").over(so_far), F.lit(0))).alias("n")).where(F.col("w").isNotNull())
     at = lambda what, w: F.max(F.when(F.col("w") == w, F.col(what)))
     columns = []
     for f in features:
         n = at("n", 0) - at("n", f.window_minutes)
         mean = F.when(n > 0, (at("s", 0) - at("s", f.window_minutes)).cast("double") / n)
         columns.append((mean if f.kind == "mean" else n.cast("double")).alias(f.name))
-    return probes.join(upto.groupBy("trip_id").agg(*columns), "trip_id")
+    answers = upto.groupBy("p_id", "h_key", "p_us").agg(*columns)
+    same = probes["trip_id"].eqNullSafe(answers["p_id"]) & probes[key].eqNullSafe(answers["h_key"]) & at_us.eqNullSafe(answers["p_us"])
+    return probes.join(answers, same).drop("p_id", "h_key", "p_us")
 
 
-def historical(trips: DataFrame) -> DataFrame:
-    """Every trip with all declared features, as of its own assignment."""
-    return _vectors(trips, "d_us")
+def historical(trips: DataFrame, features: tuple = CATALOGUE, as_of: Column | None = None) -> DataFrame:
+    """Every trip with all features of a catalogue, as of its own assignment or, to replay it, of another instant (as_of_us)."""
+    return _vectors(trips, "d_us", features, as_of)
 
 
-def leaky_in_flight(trips: DataFrame) -> DataFrame:
+def leaky_in_flight(trips: DataFrame, features: tuple = CATALOGUE) -> DataFrame:
     """The wrong way: finished trips count from their assignment on, before anyone could know how they end; the trip itself, too."""
-    return _vectors(trips, "a_us")
+    return _vectors(trips, "a_us", features)
 
 
-def _vectors(trips: DataFrame, history_at: str) -> DataFrame:
-    out = trips
-    for entity in ("driver", "store"):
-        own = tuple(f for f in TRAILING if f.entity == entity)
+def _warm(trips: DataFrame, features: tuple) -> DataFrame:
+    return derived(trips.withColumns({f.name: f.warm(F.col(f.name)) for f in features if isinstance(f, Trailing)}), features)
+
+
+def _vectors(trips: DataFrame, history_at: str, features: tuple, as_of: Column | None = None) -> DataFrame:
+    out = trips if as_of is None else trips.withColumn("as_of_us", as_of)
+    for own in trailing_of(features).values():
         out = trailing(out, trips, own, history_at)
-    return derived(out.withColumns({f.name: f.warm(F.col(f.name)) for f in TRAILING}))
+    return _warm(out, features)
 
 
-def leaky_lifetime(trips: DataFrame) -> DataFrame:
+def leaky_lifetime(trips: DataFrame, features: tuple = CATALOGUE) -> DataFrame:
     """The other wrong way: an entity's whole history, the future included."""
     out = trips
-    for entity in ("driver", "store"):
-        own = [f for f in TRAILING if f.entity == entity]
-        whole = _history(trips, entity, "d_us").groupBy("h_key").agg(*(f.aggregate().alias(f.name) for f in own))
+    for entity, own in trailing_of(features).items():
+        whole = _history(trips, entity, "d_us", own).groupBy("h_key").agg(*(f.whole().alias(f.name) for f in own))
         out = out.join(whole, out[entity_column(entity)] == whole.h_key, "left").drop("h_key")
-    return derived(out.withColumns({f.name: f.warm(F.col(f.name)) for f in TRAILING}))
+    return _warm(out, features)
 
 
-def vectors(featured: DataFrame) -> DataFrame:
+def vectors(featured: DataFrame, names: tuple[str, ...] = FEATURE_NAMES) -> DataFrame:
     """Trip, instant and the features as a map, for edges that want vectors; a missing column is an analysis error."""
-    return featured.select("trip_id", F.col("assigned_at").alias("as_of"), F.map_from_arrays(F.array(*map(F.lit, FEATURE_NAMES)), F.array(*map(F.col, FEATURE_NAMES))).alias("values"))
+    return featured.select("trip_id", F.col("assigned_at").alias("as_of"), instant(featured).alias("a_us"), F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(F.col, names))).alias("values"))
 
 
 def online(trips: DataFrame, entity: str, window_minutes: int, as_of_us: int) -> DataFrame:
@@ -212,22 +296,29 @@ def retained(trips: DataFrame, as_of_us: int, retain_minutes: int = RETAIN_MINUT
     return held.groupBy("driver_id").agg(F.countDistinct("trip_id").alias("held"))
 
 
-def leak_audit(trips: DataFrame, history_at: str = "d_us") -> DataFrame:
-    """For each entity: probes, and probes whose window holds a trip delivered after the probe's instant."""
+def _latest(trips: DataFrame, entity: str, widest: int, history_at: str) -> DataFrame:
+    """trips with ``latest``: delivery and id of the trip in their window that was delivered last."""
+    line = _line(trips, _history(trips, entity, history_at), entity, widest, [])
+    frame = Window.partitionBy("h_key", "h_slice").orderBy("h_t").rangeBetween(1 - widest, 0)
+    last = F.max(F.when(F.col("h_d").isNotNull(), F.struct("h_d", "h_trip"))).over(frame)
+    return line.withColumn("latest", last).where("h_probe").select(*trips.columns, "latest")
+
+
+def leak_audit(trips: DataFrame, history_at: str = "d_us", features: tuple = CATALOGUE) -> DataFrame:
+    """For each entity: probes, and probes whose widest window holds a trip delivered after the probe's instant."""
     parts = []
-    for entity in ("driver", "store"):
-        own = tuple(f for f in TRAILING if f.entity == entity)
-        seen = trailing(trips, trips, own, history_at, audit="latest")
-        parts.append(seen.agg(F.lit(entity).alias("entity"), F.count(F.lit(1)).alias("probes"), F.count_if(F.col("latest") > F.col("a_us")).alias("leaks")))
-    return parts[0].unionByName(parts[1])
-
-
-def guard(trips: DataFrame, history_at: str = "d_us") -> DataFrame:
-    """trips, if no feature of theirs would read the future; LeakageError names a trip that would."""
-    for entity in ("driver", "store"):
-        own = tuple(f for f in TRAILING if f.entity == entity)
-        found = trailing(trips, trips, own, history_at, audit="latest").where(F.col("latest") > F.col("a_us")).select("trip_id", "a_us", "latest").limit(1).collect()
+    for entity, own in sorted(trailing_of(features).items()):
+        seen = _latest(trips, entity, max(f.window_minutes for f in own) * MINUTE_US, history_at)
+        parts.append(seen.agg(F.lit(entity).alias("entity"), F.count(F.lit(1)).alias("probes"), F.count_if(F.col("latest.h_d") > instant(trips)).alias("leaks")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def guard(trips: DataFrame, history_at: str = "d_us", features: tuple = CATALOGUE) -> DataFrame:
+    """trips, if no feature of theirs would read the future; LeakageError names a trip that would, the window and the trip that it holds."""
+    for entity, own in sorted(trailing_of(features).items()):
+        minutes = max(f.window_minutes for f in own)
+        at = instant(trips)
+        found = _latest(trips, entity, minutes * MINUTE_US, history_at).where(F.col("latest.h_d") > at).select("trip_id", at.alias("at"), "latest.*").first()
         if found:
-            trip, at, latest = found[0]
-            raise LeakageError(f"trip {trip}: the {entity} window at {at} us holds a trip that is delivered at {latest} us")
+            raise LeakageError(f"trip {found['trip_id']}: the {entity} window of {minutes} minutes at {found['at']} us holds trip {found['h_trip']}, which is delivered at {found['h_d']} us")
     return trips

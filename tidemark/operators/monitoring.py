@@ -9,97 +9,158 @@ from tidemark.functions.quantiles import interpolated_median, nearest_rank
 from tidemark.functions.scalar import minutes_between, within
 from tidemark.model import DRIFT_WINDOW_MINUTES, MINUTE_US
 from tidemark.operators.drift import psi
+from tidemark.sources.trips import latest
+
+
+NAN, INF = float("nan"), float("inf")
 
 
 def served(predictions: DataFrame, outcomes: DataFrame, label_delay_minutes: float = 10.0) -> DataFrame:
-    """The prediction log with outcomes where there are any; a label arrives so many minutes after delivery."""
+    """The prediction log, a row for each trip (its last prediction), with the outcome where there is one.
+
+    A label arrives so many minutes after delivery. Outcomes of trips that were never predicted are left out.
+    """
     late = outcomes.select("trip_id", "actual_minutes", (F.col("delivered_us") + int(label_delay_minutes * MINUTE_US)).alias("label_us"))
-    return predictions.join(late, "trip_id", "left")
+    return latest(predictions).join(late, "trip_id", "left")
 
 
-def known() -> Column:
-    """Whether the label had arrived at as_of."""
-    return F.coalesce(F.col("actual_minutes").isNotNull() & (F.col("label_us") <= F.col("as_of_us")), F.lit(False))
+def grid(instants: list[int]) -> Column:
+    return F.array(*(F.lit(i).cast("long") for i in instants))
 
 
-def at_instants(log: DataFrame, instants: list[int]) -> DataFrame:
-    """The log as seen from each instant; the grid is a literal, so no join."""
-    return log.withColumn("as_of_us", F.explode(F.array(*(F.lit(i).cast("long") for i in instants))))
+def _rows(log: DataFrame, instants: list[int]) -> DataFrame:
+    return log.sparkSession.createDataFrame([(i,) for i in instants], "as_of_us long")
 
 
-def seen_from(log: DataFrame, instants: list[int], served_only: bool = False) -> DataFrame:
-    """at_instants; served_only leaves out predictions that hadn't been made yet, which count as pending otherwise."""
-    out = at_instants(log, instants)
-    return out.where(F.col("served_us") <= F.col("as_of_us")) if served_only else out
+def known_at(log: DataFrame, instants: list[int]) -> DataFrame:
+    """The rows whose label had arrived, once for each instant by which it had: no others are made."""
+    labelled = log.where(F.col("actual_minutes").isNotNull() & (F.col("label_us") <= max(instants)))
+    return labelled.withColumn("as_of_us", F.explode(F.filter(grid(instants), lambda i: i >= F.col("label_us"))))
 
 
-def realised(log: DataFrame, instants: list[int]) -> DataFrame:
-    """Accuracy at each instant over the predictions with a label by then; no row where there is none."""
+def in_window(log: DataFrame, instants: list[int], minutes: float = DRIFT_WINDOW_MINUTES, moment: str = "served_us") -> DataFrame:
+    """The rows of each instant's window. What is in none of them goes before anything is copied."""
+    at, width = F.col(moment), int(minutes * MINUTE_US)
+    near = log.where((at > min(instants) - width) & (at <= max(instants)))
+    return near.withColumn("as_of_us", F.explode(F.filter(grid(instants), lambda i: within(at, i, minutes))))
+
+
+def counted(log: DataFrame, instants: list[int]) -> DataFrame:
+    """For each instant: n, labels_pending, pending_served (of predictions made by then) and scored_through_us.
+
+    Rows are mapped to the first instant by which they are served and labelled and counted by these two numbers,
+    in one pass that combines before the shuffle; the small table of counts is then looked at from each instant.
+    """
+    times = sorted(set(instants))
+    first = lambda at: F.size(F.filter(grid(times), lambda i: i < at))
+    label = F.when(F.col("actual_minutes").isNotNull() & F.col("label_us").isNotNull(), first(F.col("label_us"))).otherwise(len(times))
+    flag = F.coalesce(F.col("fallback").cast("long"), F.lit(0)) if "fallback" in log.columns else F.lit(0)
+    by_first = log.groupBy(first(F.col("served_us")).alias("made"), label.alias("known")).agg(F.count(F.lit(1)).alias("n"), F.sum(flag).alias("fallbacks"), F.max("served_us").alias("last"))
+    seen = by_first.select("*", F.posexplode(grid(times)).alias("j", "as_of_us"))
+    pending = F.col("known") > F.col("j")
+    total = lambda c, x="n": F.coalesce(F.sum(F.when(c, F.col(x))), F.lit(0))
+    out = seen.groupBy("as_of_us").agg(
+        F.sum("n").alias("n"),
+        F.sum("fallbacks").alias("fallbacks"),
+        total(pending).alias("labels_pending"),
+        total(pending & (F.col("made") <= F.col("j"))).alias("pending_served"),
+        F.max(F.when(~pending, F.col("last"))).alias("scored_through_us"),
+    )
+    return _rows(log, times).join(out, "as_of_us", "left").fillna(0, ["n", "fallbacks", "labels_pending", "pending_served"])
+
+
+def accuracy() -> list[Column]:
+    """n, mae, rmse, p50_error, p90_error and breach_rate over rows of pred_minutes and actual_minutes."""
     err = F.abs(F.col("pred_minutes") - F.col("actual_minutes"))
-    known_rows = at_instants(log, instants).where(known()).withColumn("err", err)
-    return known_rows.groupBy("as_of_us").agg(
+    text = "abs(pred_minutes - actual_minutes)"
+    return [
         F.count(F.lit(1)).alias("n"),
-        F.avg("err").alias("mae"),
-        F.sqrt(F.avg(F.col("err") * F.col("err"))).alias("rmse"),
-        nearest_rank("err", 50).alias("p50_error"),
-        nearest_rank("err", 90).alias("p90_error"),
+        F.avg(err).alias("mae"),
+        F.sqrt(F.avg(err * err)).alias("rmse"),
+        nearest_rank(text, 50).alias("p50_error"),
+        nearest_rank(text, 90).alias("p90_error"),
         F.avg((F.col("actual_minutes") > F.col("pred_minutes")).cast("double")).alias("breach_rate"),
-    )
+    ]
+
+
+def realised(log: DataFrame, instants: list[int]) -> DataFrame:
+    """Accuracy at each instant over the predictions with a label by then; no row where there is none."""
+    return known_at(log, instants).groupBy("as_of_us").agg(*accuracy())
 
 
 def pending(log: DataFrame, instants: list[int], served_only: bool = False) -> DataFrame:
-    return seen_from(log, instants, served_only).groupBy("as_of_us").agg(F.count_if(~known()).alias("labels_pending"))
+    """Predictions without a label at each instant. served_only leaves out those that hadn't been made yet."""
+    return counted(log, instants).select("as_of_us", F.col("pending_served" if served_only else "labels_pending").alias("labels_pending"))
+
+
+def _lag() -> Column:
+    return interpolated_median(minutes_between(F.col("label_us"), F.col("served_us"))).alias("label_lag_minutes")
 
 
 def label_lag(log: DataFrame, instants: list[int]) -> DataFrame:
     """Median minutes from serving to label, of labels that have arrived; NaN if none has."""
-    lag = F.when(known(), minutes_between(F.col("label_us"), F.col("served_us")))
-    return at_instants(log, instants).groupBy("as_of_us").agg(F.coalesce(interpolated_median(lag), F.lit(float("nan"))).alias("label_lag_minutes"))
+    lags = known_at(log, instants).groupBy("as_of_us").agg(_lag())
+    return _rows(log, instants).join(lags, "as_of_us", "left").select("as_of_us", F.coalesce("label_lag_minutes", F.lit(NAN)).alias("label_lag_minutes"))
+
+
+def _blind() -> Column:
+    return F.coalesce(minutes_between(F.col("as_of_us"), F.col("scored_through_us")), F.lit(INF)).alias("blind_minutes")
 
 
 def blind(log: DataFrame, instants: list[int]) -> DataFrame:
     """The latest prediction that has a label, and the minutes since then; infinite if there is none."""
-    last = F.max(F.when(known(), F.col("served_us")))
-    gap = F.coalesce(minutes_between(F.col("as_of_us"), F.col("scored_through_us")), F.lit(float("inf")))
-    return at_instants(log, instants).groupBy("as_of_us").agg(last.alias("scored_through_us")).withColumn("blind_minutes", gap)
+    return counted(log, instants).select("as_of_us", "scored_through_us", _blind())
 
 
-def in_window(log: DataFrame, instants: list[int], minutes: float = DRIFT_WINDOW_MINUTES, moment: str = "served_us") -> DataFrame:
-    return at_instants(log, instants).where(within(F.col(moment), F.col("as_of_us"), minutes))
+def _enough(recent: DataFrame) -> DataFrame:
+    """The rows of instants whose windows hold two at least."""
+    many = recent.groupBy("as_of_us").agg(F.count(F.lit(1)).alias("n_now")).where("n_now >= 2").select("as_of_us")
+    return recent.join(many, "as_of_us", "left_semi")
 
 
 def prediction_drift(log: DataFrame, reference: DataFrame, instants: list[int], minutes: float = DRIFT_WINDOW_MINUTES) -> DataFrame:
     """psi of the predictions in each instant's window against reference predictions; two are needed in the window."""
-    recent = in_window(log, instants, minutes).select("as_of_us", F.col("pred_minutes").alias("value"))
-    enough = recent.groupBy("as_of_us").agg(F.count(F.lit(1)).alias("n_now")).where("n_now >= 2").select("as_of_us")
-    base = at_instants(reference, instants).select("as_of_us", F.col("pred_minutes").alias("value"))
-    return psi(base, recent.join(enough, "as_of_us", "left_semi"), ["as_of_us"])
-
-
-def health(log: DataFrame, reference: DataFrame, instants: list[int], minutes: float = DRIFT_WINDOW_MINUTES) -> DataFrame:
-    """A row for each instant: everything above, from one pass over the log but for the drift."""
-    err = F.when(known(), F.abs(F.col("pred_minutes") - F.col("actual_minutes")))
-    lag = F.when(known(), minutes_between(F.col("label_us"), F.col("served_us")))
-    report = (
-        at_instants(log, instants)
-        .withColumn("err", err)
-        .groupBy("as_of_us")
-        .agg(
-            F.count(F.lit(1)).alias("n_served"),
-            F.coalesce(F.avg(F.col("fallback").cast("double")), F.lit(0.0)).alias("fallback_rate"),
-            F.count_if(~known()).alias("labels_pending"),
-            interpolated_median(lag).alias("label_lag_minutes"),
-            F.max(F.when(known(), F.col("served_us"))).alias("scored_through_us"),
-            F.count("err").alias("realised_n"),
-            F.avg("err").alias("realised_mae"),
-            F.sqrt(F.avg(F.col("err") * F.col("err"))).alias("realised_rmse"),
-            nearest_rank("err", 50).alias("realised_p50_error"),
-            nearest_rank("err", 90).alias("realised_p90_error"),
-            F.avg(F.when(known(), (F.col("actual_minutes") > F.col("pred_minutes")).cast("double"))).alias("realised_breach_rate"),
-        )
-    )
+    value = [F.lit("pred_minutes").alias("of"), F.col("pred_minutes").alias("value")]
+    recent = _enough(in_window(log, instants, minutes)).select("as_of_us", *value)
+    return psi(reference.select(*value), recent, ["of"], over=("as_of_us",)).drop("of")
+
+
+def feature_drift(vectors: DataFrame, reference: DataFrame, instants: list[int], minutes: float = DRIFT_WINDOW_MINUTES) -> DataFrame:
+    """psi of each feature in each instant's window against reference vectors; two vectors are needed in the window.
+
+    Vectors have a_us and a map ``values``. Features that one side lacks have no row; see ``missing_at``.
+    """
+    each = F.explode("values").alias("feature", "value")
+    return psi(reference.select(each), _enough(in_window(vectors, instants, minutes, "a_us")).select("as_of_us", each), ["feature"], over=("as_of_us",))
+
+
+def missing_at(vectors: DataFrame, reference: DataFrame, instants: list[int], minutes: float = DRIFT_WINDOW_MINUTES) -> DataFrame:
+    """as_of_us and the sorted names of features that the reference has and the window lacks; a row for each window with a vector."""
+    names = reference.select(F.explode(F.map_keys("values")).alias("feature")).agg(F.sort_array(F.collect_set("feature"))).first()[0]  # a catalogue's names
+    seen = in_window(vectors, instants, minutes, "a_us").select("as_of_us", F.explode(F.map_keys("values")).alias("feature"))
+    wanted = F.array(*map(F.lit, names)).cast("array<string>")
+    return seen.groupBy("as_of_us").agg(F.array_except(wanted, F.collect_set("feature")).alias("missing_features"))
+
+
+def health(log: DataFrame, reference: DataFrame, instants: list[int], minutes: float = DRIFT_WINDOW_MINUTES, vectors: DataFrame | None = None, reference_vectors: DataFrame | None = None) -> DataFrame:
+    """A row for each instant with everything above: NaN where no label has arrived, infinite blindness, null figures of no rows.
+
+    With vectors there are feature_psi, a map, and missing_features; both are empty where the window is.
+    """
+    made = counted(log, instants)
+    rate = F.when(F.col("n") > 0, F.col("fallbacks") / F.col("n")).otherwise(0.0)
+    out = made.select("as_of_us", F.col("n").alias("n_served"), rate.alias("fallback_rate"), "labels_pending", "scored_through_us", _blind())
+    known = known_at(log, instants).groupBy("as_of_us").agg(*(c.alias(f"realised_{name}") for c, name in zip(accuracy(), ("n", "mae", "rmse", "p50_error", "p90_error", "breach_rate"), strict=True)), _lag())
     drift = prediction_drift(log, reference, instants, minutes).withColumnRenamed("psi", "prediction_psi")
-    return report.join(drift, "as_of_us", "left").withColumn("blind_minutes", minutes_between(F.col("as_of_us"), F.col("scored_through_us")))
+    out = out.join(known, "as_of_us", "left").join(drift, "as_of_us", "left")
+    out = out.withColumns({"realised_n": F.coalesce("realised_n", F.lit(0)), "label_lag_minutes": F.coalesce("label_lag_minutes", F.lit(NAN))})
+    if vectors is None:
+        return out
+    base = vectors if reference_vectors is None else reference_vectors
+    each = feature_drift(vectors, base, instants, minutes).groupBy("as_of_us").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("feature", "psi")))).alias("feature_psi"))
+    out = out.join(each, "as_of_us", "left").join(missing_at(vectors, base, instants, minutes), "as_of_us", "left")
+    none = F.create_map().cast("map<string,double>")
+    return out.withColumns({"feature_psi": F.coalesce("feature_psi", none), "missing_features": F.coalesce("missing_features", F.array().cast("array<string>"))})
 
 
 def outage(healthy: DataFrame, broken: DataFrame, instants: list[int]) -> DataFrame:

@@ -1,16 +1,20 @@
-"""Batch scoring with flagged fallbacks, and what the serving log says about itself."""
+"""Batch scoring with flagged fallbacks, what becomes of finished trips, and what the serving log says about itself."""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.quantiles import nearest_rank
 from tidemark.functions.scalar import finite
+from tidemark.operators.features import instant
+from tidemark.sources.trips import finished
 
 
 def predict(featured: DataFrame, minutes: Column, names: tuple[str, ...], version: str, variant: str = "control") -> DataFrame:
-    """A prediction for each trip, as of its assignment; the promise, flagged and with the reason, where there is none to give.
+    """A prediction for each trip, as of its assignment (or as_of_us, in a replay); the promise, flagged and with the reason, where there is none to give.
 
     A missing feature is a failure of the store, a missing, infinite or non-positive estimate one of the model.
     """
@@ -28,12 +32,38 @@ def predict(featured: DataFrame, minutes: Column, names: tuple[str, ...], versio
         F.when(fallback, F.col("promised_minutes").cast("double")).otherwise(F.col("raw")).alias("pred_minutes"),
         F.lit(version).alias("model_version"),
         F.lit(variant).alias("variant"),
-        F.col("a_us").alias("served_us"),
+        instant(featured).alias("served_us"),
         fallback.alias("fallback"),
         "fallback_reason",
     )
 
 
+class Observed(NamedTuple):
+    """What became of trips handed back: told to the store, kept because there is no store to tell, or refused (with a reason)."""
+
+    told: DataFrame
+    unobserved: DataFrame
+    refused: DataFrame
+
+
+def observe(trips: DataFrame, store: str | None = None) -> Observed:
+    """Hands finished trips back, so that the next prediction can see them: appended to the store's table, if there is one.
+
+    Trips without a label are refused, and by a store those without a delivery, too: it orders history by delivery.
+    Without a store labelled trips are unobserved, for whoever counts or replays them.
+    """
+    reason = F.when(F.col("tat").isNull(), "no duration yet")
+    if store is not None:
+        reason = reason.when(F.col("d_us").isNull(), "no delivery known")
+    refused = trips.withColumn("reason", reason).where("reason is not null")
+    labelled, none = trips.where(F.col("tat").isNotNull()), trips.limit(0)
+    if store is None:
+        return Observed(none, labelled, refused)
+    told = finished(trips)
+    told.write.mode("append").parquet(store)
+    return Observed(told, none, refused)
+
+
 def latency(log: DataFrame, ms: str = "ms", by: tuple[str, ...] = ()) -> DataFrame:
     """n, p50, p99, max and mean of a column of milliseconds; zeros if there are no requests."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
@@ -49,7 +79,7 @@ def health(log: DataFrame, ms: str = "ms") -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return log.agg(
         (F.count("model_version") > 0).alias("ok"),
-        F.max_by("model_version", "served_us").alias("model_version"),
+        F.max_by("model_version", F.struct("served_us", "model_version")).alias("model_version"),
         F.count(F.lit(1)).alias("requests"),
         F.count_if("fallback").alias("fallbacks"),
         fallback_rate().alias("fallback_rate"),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +13,10 @@ from tidemark.model import HOLDOUT, MINIMUM_MINUTES, PIVOT_TOLERANCE, RIDGE_ALPH
 from tidemark.operators.features import FEATURE_NAMES
 
 
+#: Ranges of time that one round of the search for the boundary counts.
+SPLIT_RANGES = 20_000
+
+
 def split_key(trips: DataFrame, holdout: float = HOLDOUT) -> tuple[int, object]:
     """Instant and id of the last training trip in the order of (assigned, id).
 
@@ -21,13 +25,12 @@ def split_key(trips: DataFrame, holdout: float = HOLDOUT) -> tuple[int, object]:
     """
     if not 0.0 < holdout < 1.0:
         raise TidemarkError("the holdout is a share between 0 and 1")
-    n = trips.count()
-    cut = int(n * (1.0 - holdout))
+    n, low, high = trips.agg(F.count(F.lit(1)), F.min("a_us"), F.max("a_us")).first()
+    cut, before = int(n * (1.0 - holdout)), 0
     if cut == 0 or cut == n:
         raise TidemarkError("one side of the split would be empty")
-    low, high, before, width = *trips.agg(F.min("a_us"), F.max("a_us")).first(), 0, 1
-    while low < high:  # each round looks at a 1,000th of the range that is left
-        width = max(1, -(-(high - low + 1) // 1000))
+    while low < high:  # a round looks at a 20,000th of the range that is left: two or three do
+        width = -(-(high - low + 1) // SPLIT_RANGES)
         part = trips.where(F.col("a_us").between(low, high)).groupBy(F.floor((F.col("a_us") - low) / width).alias("i")).count().orderBy("i").collect()
         for row in part:
             if before + row["count"] >= cut:
@@ -50,12 +53,6 @@ def dataset(featured: DataFrame, trips: DataFrame) -> DataFrame:
     return featured.select("trip_id", *FEATURE_NAMES).join(labels, "trip_id")
 
 
-def _filled(rows: DataFrame, what: str = "rows") -> DataFrame:
-    if rows.isEmpty():
-        raise TidemarkError(f"there are no labelled {what}")
-    return rows
-
-
 @dataclass(frozen=True)
 class Baseline:
     """The median promise, for every trip."""
@@ -66,7 +63,10 @@ class Baseline:
 
     @classmethod
     def fit(cls, train: DataFrame) -> Baseline:
-        return cls(_filled(train).agg(interpolated_median(F.col("promised"))).first()[0])
+        middle = train.agg(interpolated_median(F.col("promised"))).first()[0]
+        if middle is None:
+            raise TidemarkError("there are no labelled rows")
+        return cls(middle)
 
     def predict(self) -> Column:
         return F.lit(self.flat_minutes)
@@ -89,13 +89,14 @@ class Ridge:
 
     @classmethod
     def fit(cls, train: DataFrame, names: tuple[str, ...] = FEATURE_NAMES, alpha: float = RIDGE_ALPHA) -> Ridge:
-        """Moments in two passes over the rows, each an aggregation to one row; the small system is solved here."""
+        """One aggregation over the rows; the small system is solved here."""
         names = tuple(names)
-        means, scales, n = moments(_filled(train), names)
-        row = gram(train, names, scales, alpha).first()
-        k = len(names)
-        a = [[row[f"g_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]
-        return cls(names, tuple(solve(a, [row[f"b_{i}"] for i in range(k)])), row["mean_label"], means, scales, alpha)
+        k = range(len(names))
+        row = normal_equations(train, names, alpha).first()
+        if not row["n"]:
+            raise TidemarkError("there are no labelled rows")
+        weights = solve([[row[f"g_{min(i, j)}_{max(i, j)}"] for j in k] for i in k], [row[f"b_{i}"] for i in k])
+        return cls(names, tuple(weights), row["mean_label"], tuple(row[f"m_{i}"] for i in k), tuple(row[f"s_{i}"] for i in k), alpha)
 
     def predict(self) -> Column:
         """One expression, inside code generation; never below the least time."""
@@ -116,38 +117,30 @@ def from_payload(payload: dict) -> Baseline | Ridge:
     raise TidemarkError(f"a model of kind {payload.get('kind')!r} is unknown")
 
 
-def moments(train: DataFrame, names: tuple[str, ...]) -> tuple[tuple[float, ...], tuple[float, ...], int]:
-    """Mean and population deviation of each feature (1 where it doesn't vary), and the number of rows."""
-    row = train.agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"m_{c}") for c in names), *(F.stddev_pop(c).alias(f"s_{c}") for c in names)).first()
-    return tuple(row[f"m_{c}"] for c in names), tuple(row[f"s_{c}"] or 1.0 for c in names), row["n"]
-
+def normal_equations(train: DataFrame, names: tuple[str, ...], alpha: float = RIDGE_ALPHA) -> DataFrame:
+    """Everything that a fit needs, from one aggregation to one row.
 
-def gram(train: DataFrame, names: tuple[str, ...], scales: tuple[float, ...], alpha: float = RIDGE_ALPHA) -> DataFrame:
-    """The normal equations of standardised features against the centred label, in one row: g_i_j (i <= j), b_i, mean_label."""
-    n = F.count(F.lit(1)).cast("double")
-    cells = []
-    for i, a in enumerate(names):
-        for j in range(i, len(names)):
-            cell = n * F.covar_pop(F.col(a), F.col(names[j])) / F.lit(scales[i] * scales[j])
-            cells.append((cell + alpha if i == j else cell).alias(f"g_{i}_{j}"))
-        cells.append((n * F.covar_pop(F.col(a), F.col("label")) / F.lit(scales[i])).alias(f"b_{i}"))
-    return train.agg(F.avg("label").alias("mean_label"), *cells)
+    n, mean_label, mean (m_i) and population deviation (s_i; 1 where a feature doesn't vary) of each feature, and
+    the normal equations of standardised features against the centred label: g_i_j (i <= j) and b_i.
+    """
+    k = range(len(names))
+    raw = [F.count(F.lit(1)).alias("n"), F.avg("label").alias("mean_label")]
+    raw += [F.avg(c).alias(f"m_{i}") for i, c in enumerate(names)] + [F.var_pop(c).alias(f"v_{i}") for i, c in enumerate(names)]
+    raw += [F.covar_pop(F.col(names[i]), F.col(names[j])).alias(f"c_{i}_{j}") for i in k for j in k if i < j]
+    raw += [F.covar_pop(F.col(c), F.col("label")).alias(f"l_{i}") for i, c in enumerate(names)]
+    n = F.col("n").cast("double")
+    scale = [F.when(F.col(f"v_{i}") > 0, F.sqrt(f"v_{i}")).otherwise(1.0) for i in k]
+    cell = lambda i, j: n * F.col(f"v_{i}") / (scale[i] * scale[i]) + alpha if i == j else n * F.col(f"c_{i}_{j}") / (scale[i] * scale[j])
+    cells = [cell(i, j).alias(f"g_{i}_{j}") for i in k for j in k if i <= j] + [(n * F.col(f"l_{i}") / scale[i]).alias(f"b_{i}") for i in k]
+    return train.agg(*raw).select("n", "mean_label", *(f"m_{i}" for i in k), *(s.alias(f"s_{i}") for i, s in enumerate(scale)), *cells)
 
 
 def solve(a: list[list[float]], b: list[float]) -> list[float]:
-    """A small linear system, by elimination with the largest pivot first."""
-    rows, n = [[*r, x] for r, x in zip(a, b, strict=True)], len(b)
-    for i in range(n):
-        rows[i:] = sorted(rows[i:], key=lambda r: -abs(r[i]))
-        if abs(rows[i][i]) < PIVOT_TOLERANCE:
-            raise TidemarkError("the system is singular: a feature is a combination of others")
-        for r in rows[i + 1 :]:
-            f = r[i] / rows[i][i]
-            r[i:] = [x - f * y for x, y in zip(r[i:], rows[i][i:], strict=True)]
-    out = [0.0] * n
-    for i in reversed(range(n)):
-        out[i] = (rows[i][n] - math.fsum(rows[i][j] * out[j] for j in range(i + 1, n))) / rows[i][i]
-    return out
+    """A small linear system. One whose smallest singular value is next to nothing is refused."""
+    a = np.array(a)
+    if np.linalg.svd(a, compute_uv=False).min() < PIVOT_TOLERANCE * max(1.0, np.abs(a).max()):
+        raise TidemarkError("the system is singular: a feature is a combination of others")
+    return np.linalg.solve(a, np.array(b)).tolist()
 
 
 def metrics(rows: DataFrame, by: tuple[str, ...] = (), median: str = "interpolated") -> DataFrame:

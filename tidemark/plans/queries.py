@@ -8,13 +8,14 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 from datetime import UTC, datetime
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.quantiles import nearest_rank
 from tidemark.functions.scalar import bucket, parse_timestamp
-from tidemark.model import MINUTE_US, PSI_BINS, RIDGE_ALPHA
+from tidemark.model import MINUTE_US, PSI_BINS, RIDGE_ALPHA, TidemarkError
 from tidemark.operators import drift, experiment, features, monitoring, serving, training
 from tidemark.plans.runs import train
 from tidemark.sources import trips as sources
@@ -78,7 +79,7 @@ SPLIT_SQL = "split AS (SELECT *, row_number() OVER (ORDER BY a_us, trip_id) <= C
 LATE = "assigned_at >= TIMESTAMP '2024-01-20 00:00:00'"
 PREDICTIONS = f"""predictions AS (SELECT trip_id, CASE WHEN trip_id % 20 = 0 THEN 36.0::DOUBLE ELSE (36.0::DOUBLE + 0.5::DOUBLE * ((trip_id % 7) - 3)) * (CASE WHEN {LATE} THEN 2 ELSE 1 END) END AS pred_minutes,
         a_us AS served_us, trip_id % 20 = 0 AS fallback, CASE WHEN {LATE} THEN 'v1-bad' ELSE 'v1' END AS model_version,
-        CASE WHEN trip_id % 2 = 0 THEN 'control' ELSE 'treatment' END AS variant, promised_minutes::DOUBLE AS promised_minutes, tat::DOUBLE AS actual_minutes, d_us + {10 * MINUTE_US} AS label_us, driver_id FROM trips)"""
+        CASE WHEN trip_id % 2 = 0 THEN 'control' ELSE 'treatment' END AS variant, promised_minutes::DOUBLE AS promised_minutes, tat::DOUBLE AS actual_minutes, coalesce(CASE WHEN trip_id % 13 <> 1 THEN d_us END, a_us + CAST(tat * {MINUTE_US} AS BIGINT)) + {10 * MINUTE_US} AS label_us, driver_id FROM trips)"""
 SEEN = f"""seen AS (SELECT p.*, g.as_of_us, actual_minutes IS NOT NULL AND label_us <= g.as_of_us AS known, abs(pred_minutes - actual_minutes) AS err
         FROM predictions p, (SELECT unnest([{", ".join(map(str, INSTANTS))}]) AS as_of_us) g)"""
 OUTCOMES = "outcomes AS (SELECT CAST(driver_id AS VARCHAR) AS entity_id, abs(pred_minutes - actual_minutes) AS error, fallback FROM predictions WHERE actual_minutes IS NOT NULL)"
@@ -117,6 +118,13 @@ def src_trips(spark, sf_dir):
     return kept.select("trip_id", "driver_id", "store_id", "a_us", F.col("tat").cast("double").alias("tat"), "d_us", "distance_m", "promised_minutes")
 
 
+@query(sql(TRIPS, select="SELECT trip_id, tat::DOUBLE AS tat, a_us, d_us FROM trips WHERE tat IS NOT NULL AND trip_id % 7 <> 0"))
+def src_dispatch(spark, sf_dir):
+    """The scan of a warehouse's fact table, some of whose trips aren't complete."""
+    fact = trips_of(spark, sf_dir).withColumn("completeness", F.when(F.col("trip_id") % 7 == 0, "partial").otherwise("complete"))
+    return sources.from_dispatch(fact).select("trip_id", F.col("tat").cast("double").alias("tat"), "a_us", "d_us")
+
+
 @query(sql(TRIPS, select="SELECT trip_id, d_us FROM trips WHERE d_us IS NOT NULL AND tat IS NOT NULL"))
 def src_finished(spark, sf_dir):
     return sources.finished(trips_of(spark, sf_dir)).select("trip_id", "d_us")
@@ -204,6 +212,36 @@ def feat_leaky_in_flight(spark, sf_dir):
     return rounded(features.leaky_in_flight(trips_of(spark, sf_dir)).select("trip_id", *features.FEATURE_NAMES))
 
 
+_REPLAY = 30 * MINUTE_US
+
+
+@query(sql(TRIPS, line_sql("by_driver", "driver_id").replace("a_us AS t", f"a_us + {_REPLAY} AS t"), select="SELECT trip_id, coalesce(round(sum_120::DOUBLE / n_120, 6), 36.0::DOUBLE) AS driver_mean_tat_120m, n_120::DOUBLE AS driver_trips_120m, t AS as_of_us FROM by_driver"))
+def feat_replay(spark, sf_dir):
+    """Features as of half an hour after the assignment."""
+    own = tuple(f for f in features.TRAILING if f.entity == "driver")
+    seen = features.historical(trips_of(spark, sf_dir), own, as_of=F.col("a_us") + _REPLAY)
+    return rounded(seen.select("trip_id", *(f.name for f in own), "as_of_us"))
+
+
+_HOUR = f"(PARTITION BY k ORDER BY t RANGE BETWEEN {60 * MINUTE_US - 1} PRECEDING AND CURRENT ROW)"
+
+
+@query(
+    sql(
+        TRIPS,
+        f"line AS (SELECT trip_id, probe, max(m) OVER {_HOUR} AS far FROM (SELECT store_id AS k, a_us AS t, trip_id, true AS probe, NULL::BIGINT AS m FROM trips UNION ALL SELECT store_id, d_us, trip_id, false, distance_m FROM trips WHERE d_us IS NOT NULL))",
+        select="SELECT l.trip_id, coalesce(far, 0)::DOUBLE AS store_farthest_60m, (promised_minutes * 60)::DOUBLE AS promised_seconds FROM line l JOIN trips USING (trip_id) WHERE probe",
+    )
+)
+def feat_custom(spark, sf_dir):
+    """A catalogue of the user's own: an aggregate and a derived feature that are column functions."""
+    own = (
+        features.Trailing("store_farthest_60m", "store", 60, "custom", "farthest trip from the store", lambda: F.col("distance_m").cast("double"), F.max, lambda: F.lit(0.0)),
+        features.Derived("promised_seconds", "the promise", lambda: (F.col("promised_minutes") * 60).cast("double")),
+    )
+    return features.historical(trips_of(spark, sf_dir), own).select("trip_id", "store_farthest_60m", "promised_seconds")
+
+
 @query(
     sql(
         TRIPS,
@@ -316,7 +354,7 @@ def train_window(spark, sf_dir):
 
 def labelled(spark, sf_dir):
     trips = split_trips(spark, sf_dir)
-    return training.dataset(features.historical(trips), trips).join(trips.select("trip_id", "is_train"), "trip_id")
+    return features.historical(trips).where("tat is not null").select("trip_id", "is_train", *features.FEATURE_NAMES, F.col("tat").cast("double").alias("label"), F.col("promised_minutes").cast("double").alias("promised"))
 
 
 @query(sql(TRIPS, features_sql(), select="SELECT feats.*, tat::DOUBLE AS label, promised_minutes::DOUBLE AS promised FROM feats JOIN trips USING (trip_id) WHERE tat IS NOT NULL"))
@@ -375,8 +413,9 @@ def score_ridge(spark, sf_dir):
     )
 )
 def ridge_moments(spark, sf_dir):
-    means, scales, _ = training.moments(labelled(spark, sf_dir).where("is_train"), features.FEATURE_NAMES)
-    return rounded(spark.createDataFrame(list(zip(features.FEATURE_NAMES, means, scales, strict=True)), "feature string, mean double, scale double"))
+    row = training.normal_equations(labelled(spark, sf_dir).where("is_train"), features.FEATURE_NAMES)
+    each = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"m_{i}").alias("mean"), F.col(f"s_{i}").alias("scale")) for i, c in enumerate(features.FEATURE_NAMES)))
+    return rounded(row.select(F.inline(each)))
 
 
 _PAIRS = [(i, j) for i in range(9) for j in range(i, 9)]
@@ -397,15 +436,15 @@ _PAIRS = [(i, j) for i in range(9) for j in range(i, 9)]
 )
 def ridge_gram(spark, sf_dir):
     """The normal equations of the honest model, a row for each cell."""
-    rows = labelled(spark, sf_dir).where("is_train").persist()
-    _, scales, _ = training.moments(rows, features.FEATURE_NAMES)
-    return rounded(training.gram(rows, features.FEATURE_NAMES, scales).unpivot([], None, "cell", "value"), 4)
+    row = training.normal_equations(labelled(spark, sf_dir).where("is_train"), features.FEATURE_NAMES)
+    cells = [c for c in row.columns if c[:2] in ("g_", "b_") or c == "mean_label"]
+    return rounded(row.unpivot([], cells, "cell", "value"), 4)
 
 
 @query()
 def ridge_weights(spark, sf_dir):
     """The fitted weights; SQL has no solver."""
-    model = training.Ridge.fit(labelled(spark, sf_dir).where("is_train").persist())
+    model = training.Ridge.fit(labelled(spark, sf_dir).where("is_train"))
     rows = [*zip(model.feature_names, model.weights, strict=True), ("intercept", model.intercept)]
     return rounded(spark.createDataFrame(rows, "feature string, weight double"))
 
@@ -446,6 +485,13 @@ def srv_fallback(spark, sf_dir):
     return serving.predict(trips, raw, ("driver_trips_120m",), "v").select("trip_id", "pred_minutes", "fallback", "fallback_reason")
 
 
+@query(sql(TRIPS, select="SELECT trip_id, CASE WHEN tat IS NULL THEN 'no duration yet' ELSE 'unobserved' END AS fate FROM trips"))
+def srv_observe(spark, sf_dir):
+    """Trips handed back where there is no store to tell."""
+    out = serving.observe(trips_of(spark, sf_dir))
+    return out.unobserved.select("trip_id", F.lit("unobserved").alias("fate")).unionByName(out.refused.select("trip_id", F.col("reason").alias("fate")))
+
+
 def request_log(spark, sf_dir):
     """The prediction log with a latency for each request."""
     return sources.predictions_of(trips_of(spark, sf_dir)).withColumn("ms", F.when(F.col("trip_id") % 20 == 0, 2000.0).otherwise(10.0) + (F.col("trip_id") % 13).cast("double"))
@@ -474,7 +520,8 @@ def srv_health(spark, sf_dir):
 
 
 def log_of(spark, sf_dir):
-    trips = trips_of(spark, sf_dir)
+    """The prediction log with outcomes; of some labelled trips the delivery isn't known."""
+    trips = trips_of(spark, sf_dir).withColumn("d_us", F.when(F.col("trip_id") % 13 != 1, F.col("d_us")))
     return monitoring.served(sources.predictions_of(trips), sources.outcomes_of(trips))
 
 
@@ -514,6 +561,7 @@ def mon_window_filter(spark, sf_dir):
 def psi_sql(values: str, by: str, name: str = "psi") -> str:
     """values: a CTE v of by, value and side (r or c)."""
     steps = ", ".join(f"{i / PSI_BINS}::DOUBLE" for i in range(1, PSI_BINS))
+    by = by.strip()
     return sql(
         *([values] if isinstance(values, str) else values),
         f"e AS (SELECT {by}, list_sort(list_distinct(quantile_cont(value, [{steps}]))) AS edges FROM v WHERE side = 'r' GROUP BY ALL HAVING count(*) >= 2)",
@@ -564,6 +612,31 @@ def mon_pred_psi(spark, sf_dir):
     return rounded(monitoring.prediction_drift(log, log.where(F.col("served_us") < MID_US), INSTANTS, DAY))
 
 
+
+
+def windows_sql(instants: list[int], minutes: int) -> str:
+    """Vectors v of as_of_us, feature, value and side: current ones of each instant's window that holds two, reference ones before MID_US."""
+    names = ", ".join(features.FEATURE_NAMES)
+    grid = f"(SELECT unnest([{', '.join(map(str, instants))}]) AS as_of_us) g"
+    return f"""wide AS (SELECT feats.*, a_us FROM feats JOIN trips USING (trip_id)),
+        now AS (SELECT * FROM (SELECT g.as_of_us, {names}, count(*) OVER (PARTITION BY as_of_us) AS m FROM wide, {grid} WHERE a_us > as_of_us - {minutes * MINUTE_US} AND a_us <= as_of_us) WHERE m >= 2),
+        v AS (""" + " UNION ALL ".join(f"SELECT as_of_us, '{c}' AS feature, {c} AS value, 'c' AS side FROM now UNION ALL SELECT as_of_us, '{c}', {c}, 'r' FROM wide, {grid} WHERE a_us < {MID_US}" for c in features.FEATURE_NAMES) + ")"
+
+
+_FEATURE_PSI = (TRIPS, RAW_FEATURES, windows_sql(INSTANTS, DAY))
+
+
+def vectors_of(spark, sf_dir):
+    return features.vectors(features.historical(trips_of(spark, sf_dir)))
+
+
+@query(psi_sql(_FEATURE_PSI, "as_of_us, feature"))
+def mon_feature_drift(spark, sf_dir):
+    """Stability of each feature in the day before each instant."""
+    vectors = vectors_of(spark, sf_dir)
+    return rounded(monitoring.feature_drift(vectors, vectors.where(F.col("a_us") < MID_US), INSTANTS, DAY))
+
+
 @query("SELECT * FROM (VALUES ('driver_trips_120m')) t(feature)")
 def mon_missing(spark, sf_dir):
     """Features that the reference's vectors have and current ones lack."""
@@ -572,24 +645,33 @@ def mon_missing(spark, sf_dir):
     return drift.missing_keys(features.vectors(wide.where(F.col("a_us") < MID_US)), now)
 
 
+#: An instant before any label, besides the others.
+EARLY_US = us("2023-12-01T00:00:00")
+
+
 @query(
     sql(
         TRIPS,
         PREDICTIONS,
-        SEEN,
+        SEEN.replace("unnest([", f"unnest([{EARLY_US}, "),
         "drift AS (" + psi_sql(_PRED_PSI, "as_of_us", "prediction_psi") + ")",
+        "features_now AS (" + psi_sql(_FEATURE_PSI, "as_of_us, feature") + ")",
+        "joined AS (SELECT as_of_us, string_agg(printf('%s=%.3f', feature, psi), ',' ORDER BY feature) AS feature_psi FROM features_now GROUP BY 1)",
         """h AS (SELECT as_of_us, count(*) AS n_served, round(avg(fallback::INT::DOUBLE), 6) AS fallback_rate, count(*) FILTER (WHERE NOT coalesce(known, false)) AS labels_pending,
-        round(quantile_cont((label_us - served_us) / 60000000::DOUBLE, 0.5) FILTER (WHERE known), 6) AS label_lag_minutes, max(served_us) FILTER (WHERE known) AS scored_through_us,
+        coalesce(round(quantile_cont((label_us - served_us) / 60000000::DOUBLE, 0.5) FILTER (WHERE known), 6), 'NaN'::DOUBLE) AS label_lag_minutes, max(served_us) FILTER (WHERE known) AS scored_through_us,
         count(*) FILTER (WHERE known) AS realised_n, round(avg(err) FILTER (WHERE known), 6) AS realised_mae, round(sqrt(avg(err * err) FILTER (WHERE known)), 6) AS realised_rmse,
         round(quantile_disc(err, 0.5) FILTER (WHERE known), 6) AS realised_p50_error, round(quantile_disc(err, 0.9) FILTER (WHERE known), 6) AS realised_p90_error,
-        round(avg((actual_minutes > pred_minutes)::INT::DOUBLE) FILTER (WHERE known), 6) AS realised_breach_rate, round((as_of_us - max(served_us) FILTER (WHERE known)) / 60000000::DOUBLE, 6) AS blind_minutes FROM seen GROUP BY 1)""",
-        select="SELECT h.*, prediction_psi FROM h LEFT JOIN drift USING (as_of_us)",
+        round(avg((actual_minutes > pred_minutes)::INT::DOUBLE) FILTER (WHERE known), 6) AS realised_breach_rate,
+        coalesce(round((as_of_us - max(served_us) FILTER (WHERE known)) / 60000000::DOUBLE, 6), 'inf'::DOUBLE) AS blind_minutes FROM seen GROUP BY 1)""",
+        select="SELECT h.*, prediction_psi, coalesce(feature_psi, '') AS feature_psi, '' AS missing_features FROM h LEFT JOIN drift USING (as_of_us) LEFT JOIN joined USING (as_of_us)",
     )
 )
 def mon_health(spark, sf_dir):
-    """A row of everything for each instant."""
-    log = log_of(spark, sf_dir)
-    return rounded(monitoring.health(log, log.where(F.col("served_us") < MID_US), INSTANTS, DAY))
+    """A row of everything for each instant: also one before any label, where there is no lag and blindness has no end."""
+    log, vectors = log_of(spark, sf_dir), vectors_of(spark, sf_dir)
+    out = monitoring.health(log, log.where(F.col("served_us") < MID_US), [EARLY_US, *INSTANTS], DAY, vectors, vectors.where(F.col("a_us") < MID_US))
+    each = F.transform(F.sort_array(F.map_entries("feature_psi")), lambda e: F.format_string("%s=%.3f", e["key"], e["value"]))
+    return rounded(out.withColumns({"feature_psi": F.array_join(each, ","), "missing_features": F.array_join("missing_features", ",")}))
 
 
 @query(
@@ -692,7 +774,7 @@ def exp_guardrail(spark, sf_dir):
         f"m AS (SELECT *, c_mean - t_mean AS effect, {Z!r}::DOUBLE * pooled_std * sqrt(1 / c_n::DOUBLE + 1 / t_n::DOUBLE) AS mde, t_fallback > 0.5 OR t_mean / c_mean > 1.5 AS stop FROM pooled)",
         select="""SELECT 'eta-v2' AS name, 0.5::DOUBLE AS split, c_n AS n_control, t_n AS n_treatment, round(c_mean, 6) AS mean_control, round(t_mean, 6) AS mean_treatment, round(effect, 6) AS effect, round(mde, 6) AS mde,
         round(pooled_std, 6) AS pooled_std, abs(effect) >= mde AS conclusive, stop AS should_stop,
-        CASE WHEN abs(effect) < mde THEN 'inconclusive' WHEN effect > 0 THEN 'treatment wins' ELSE 'control wins' END AS verdict FROM m""",
+        (CASE WHEN abs(effect) < mde THEN 'inconclusive: an effect of ' WHEN effect > 0 THEN 'treatment wins by ' ELSE 'control wins by ' END) || printf('%.2f minutes, detectable from %.2f', abs(effect), mde) AS verdict FROM m""",
     )
 )
 def exp_analyse(spark, sf_dir):
@@ -709,11 +791,16 @@ def stream_of(spark, sf_dir):
 
 
 def played(stream: DataFrame) -> DataFrame:
-    """A stream run to its end into Parquet, and that read back. The folder is the session's checkpoint folder, or a new one."""
-    from uuid import uuid4
+    """A stream run to its end into Parquet, and that read back, in the session's checkpoint folder.
 
+    Only a local session may do without one; its folder is a new one.
+    """
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise TidemarkError("spark.checkpoint.dir must name a folder that all machines share")
+        root = tempfile.mkdtemp(prefix="spark-")
     folder = f"{root}/stream-{uuid4().hex}"
     run = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,12 +36,23 @@ def time_line(trips: DataFrame, entity: str) -> DataFrame:
     return line.where("t is not null").withColumn("at", F.timestamp_micros("t"))
 
 
+def unfinished(trips: DataFrame) -> DataFrame:
+    """A stream of the trips that can't become history, with the reason: for a dead-letter table, beside the features' stream.
+
+    They are probes all the same. A row that comes again, finished, counts then.
+    """
+    reason = F.when(F.col("tat").isNull(), "no duration yet").when(F.col("d_us").isNull(), "no delivery known")
+    return trips.withColumn("reason", reason).where("reason is not null")
+
+
 def online_features(trips: DataFrame, features: tuple[Trailing, ...], late: str = "2 hours", retain_minutes: int = RETAIN_MINUTES) -> DataFrame:
     """A stream of trip_id, t, and the features (null where the window is empty) of probes that the watermark has passed."""
     if len({f.entity for f in features}) != 1:
         raise TidemarkError("features of one entity at a time")
     if retain_minutes < (widest := max(f.window_minutes for f in features)):
         raise TidemarkError(f"a retention of {retain_minutes} minutes is less than the widest window, {widest}")
+    if any(f.kind == "custom" for f in features):
+        raise TidemarkError("the stream's state serves means, counts and medians")
     names = [f.name for f in features]
 
     def answer(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -53,27 +65,29 @@ def online_features(trips: DataFrame, features: tuple[Trailing, ...], late: str
             h_cents += history.cents.astype("int64").tolist()
             h_pack += history.pack.tolist()
         passed = state.getCurrentWatermarkMs() * 1000
-        history = pd.DataFrame({"t": h_t, "cents": h_cents, "pack": h_pack}).sort_values("t", ignore_index=True)
-        ready = sorted((t, i) for t, i in zip(p_t, p_id, strict=True) if t < passed)
-        out = []
-        for t, trip in ready:
-            values = []
-            for f in features:
-                low, high = history.t.searchsorted([t - f.window_minutes * MINUTE_US, t], side="right")
-                held = history.iloc[low:high]
-                mean = held.cents.sum() / 100 / len(held) if len(held) else None
-                values.append({"mean": mean, "count": float(len(held)), "median": held.pack.median() if len(held) else None}[f.kind])
-            out.append((trip, t, *values))
-        waiting = [(t, i) for t, i in zip(p_t, p_id, strict=True) if t >= passed]
-        # What a probe still to come may look back on: it isn't older than the watermark.
-        kept = history[history.t > min([passed, *(t for t, _ in waiting)]) - retain_minutes * MINUTE_US]
-        if len(kept) or waiting:
-            state.update((kept.t.tolist(), kept.cents.tolist(), kept.pack.tolist(), [i for _, i in waiting], [t for t, _ in waiting]))
-            next_ms = min(t for t, _ in waiting) // 1000 + 1 if waiting else int(kept.t.max()) // 1000 + retain_minutes * 60_000
+        order = np.argsort(np.array(h_t, np.int64), kind="stable")
+        t, cents, pack = np.array(h_t, np.int64)[order], np.array(h_cents, np.int64)[order], np.array(h_pack, float)[order]
+        totals = np.concatenate([[0], np.cumsum(cents)])
+        ready = sorted((at, i) for at, i in zip(p_t, p_id, strict=True) if at < passed)
+        at = np.array([x for x, _ in ready], np.int64)
+        out = {"trip_id": [i for _, i in ready], "t": at}
+        for f in features:
+            low, high = np.searchsorted(t, at - f.window_minutes * MINUTE_US, side="right"), np.searchsorted(t, at, side="right")
+            n = (high - low).astype(float)
+            if f.kind == "median":
+                out[f.name] = [float(np.median(pack[a:b])) if a < b else None for a, b in zip(low, high, strict=True)]
+            else:
+                out[f.name] = n if f.kind == "count" else np.where(n > 0, (totals[high] - totals[low]) / 100 / np.maximum(n, 1), np.nan)
+        waiting = [(x, i) for x, i in zip(p_t, p_id, strict=True) if x >= passed]
+        # What a probe still to come may look back on: it isn't older than the watermark. The rest goes from the front.
+        keep = slice(int(np.searchsorted(t, min([passed, *(x for x, _ in waiting)]) - retain_minutes * MINUTE_US, side="right")), None)
+        if len(t[keep]) or waiting:
+            state.update((t[keep].tolist(), cents[keep].tolist(), pack[keep].tolist(), [i for _, i in waiting], [x for x, _ in waiting]))
+            next_ms = min(x for x, _ in waiting) // 1000 + 1 if waiting else int(t[-1]) // 1000 + retain_minutes * 60_000
             state.setTimeoutTimestamp(max(next_ms, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=["trip_id", "t", *names]).astype({n: "float64" for n in names})
+        yield pd.DataFrame(out).astype({n: "float64" for n in names})
 
     schema = ", ".join(["trip_id string", "t long", *(f"{n} double" for n in names)])
     line = time_line(trips, features[0].entity).withWatermark("at", late)
