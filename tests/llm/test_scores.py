@@ -1,6 +1,7 @@
 """Classifier, language model and nearest neighbours: held-out figures and brute force."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -132,7 +133,7 @@ def test_empty_corpus(empty):
 def small_model(seed=0):
     rng = np.random.default_rng(seed)
     norm = lambda x: x / x.sum(-1, keepdims=True)
-    return hmm.Model(norm(rng.random(hmm.STATES)), norm(rng.random((hmm.STATES, hmm.STATES))), norm(rng.random((hmm.STATES, hmm.CLASSES))), norm(rng.random(hmm.STATES)))
+    return hmm.Model(norm(rng.random(hmm.STATES)), norm(rng.random((hmm.STATES, hmm.STATES))), norm(rng.random((hmm.STATES, hmm.CLASSES))))
 
 
 def test_forward_recursion_is_the_sum_over_paths():
@@ -145,25 +146,85 @@ def test_forward_recursion_is_the_sum_over_paths():
         assert abs(value - math.log10(paths.sum())) < 1e-9
 
 
+def plain_counts(m, text):
+    """Expected counts of one text, by forward and backward recursion without scaling, and its probability."""
+    n, k = len(text), range(hmm.STATES)
+    fore, back = np.zeros((n, hmm.STATES), np.longdouble), np.ones((n, hmm.STATES), np.longdouble)
+    for t in range(n):
+        fore[t] = (m.start if t == 0 else [sum(fore[t - 1][i] * m.move[i, j] for i in k) for j in k]) * m.emit[:, text[t]]
+    for t in range(n - 2, -1, -1):
+        back[t] = [sum(m.move[i, j] * m.emit[j, text[t + 1]] * back[t + 1][j] for j in k) for i in k]
+    p = fore[-1].sum()
+    share = fore * back / p
+    move, by_class = np.zeros((hmm.STATES, hmm.STATES)), np.zeros((hmm.STATES, hmm.CLASSES))
+    for t in range(n):
+        by_class[:, text[t]] += share[t]
+        if t:
+            move += fore[t - 1][:, None] * m.move * (m.emit[:, text[t]] * back[t])[None] / p
+    return np.concatenate([share[0], move.ravel(), by_class.ravel()]), p
+
+
+@pytest.mark.parametrize("segment", [1, 7, 1 << 16])
+def test_expected_counts_of_whole_texts(segment, monkeypatch):
+    monkeypatch.setattr(hmm, "SEGMENT", segment)
+    rng, m = np.random.default_rng(2), small_model(3)
+    texts = [rng.integers(0, 6, n).astype(np.uint16) for n in (1, 90, 3, 3, 150, 20)]
+    ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    want = sum(plain_counts(m, t)[0] for t in texts).astype(float)
+    assert np.allclose(m.expected(np.concatenate(texts), ends), want, atol=1e-9)
+    assert m.expected(np.zeros(0, np.uint16), np.array([0])).sum() == 0
+    assert [b - a for a, b in hmm.groups(ends, 95)] == [3, 1, 1, 1]
+
+
 def test_baum_welch_never_lowers_the_likelihood():
     rng = np.random.default_rng(2)
-    text = rng.integers(0, 6, 40).astype(np.uint16)
-    seen, first = hmm.stretches(text, np.array([0, 40]))
+    text, ends = rng.integers(0, 6, 300).astype(np.uint16), np.array([0, 300])
     m, before = small_model(3), -np.inf
     for _ in range(6):
-        now = m.log10(text, np.array([0, 40]))[0]
+        now = m.log10(text, ends)[0]
         assert now >= before - 1e-9
-        before, c = now, m.expected(seen, first)
-        assert abs(c[: hmm.STATES].sum() - 1) < 1e-9 and abs(c[hmm.STATES : hmm.STATES + hmm.STATES**2].sum() - 39) < 1e-9
-        start, move, emit = c[: hmm.STATES], c[hmm.STATES : hmm.STATES + hmm.STATES**2].reshape(hmm.STATES, -1), c[hmm.STATES + hmm.STATES**2 :].reshape(hmm.STATES, -1)
-        m = hmm.Model(start, move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True), m.usual)
+        before, c = now, m.expected(text, ends)
+        start, move, emit = np.split(c, [hmm.STATES, hmm.STATES + hmm.STATES**2])
+        assert abs(start.sum() - 1) < 1e-9 and abs(move.sum() - 299) < 1e-9
+        move, emit = move.reshape(hmm.STATES, -1), emit.reshape(hmm.STATES, -1)
+        m = hmm.Model(start, move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
+
+
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_scores_against_the_plain_model(spark, rounds):
+    """Classes, masses, Baum-Welch and likelihood made anew with loops; words that are known, joined, and unknown."""
+    draw = random.Random(5)
+    word = lambda: f"w{min(int(draw.expovariate(0.01)), 700)}"
+    rows = [(i, " ".join(word() for _ in range(draw.choice([0, 1, 5, 40, 90])))) for i in range(40)] + [(99, "never seen W1"), (98, None)]
+    learn = lambda i: i < 30
+    got = hmm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 30, rounds=rounds, sent=300).collect()
+    counts = Counter(t for i, x in rows if learn(i) for t in tokens(x) if t is not None)
+    code = {t: hmm.word_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0][0] for i, x in rows for t in tokens(x) if t is not None}
+    own = {t: c for c, t in enumerate(sorted(counts, key=lambda t: (-counts[t], np.int64(code[t].view(np.int64))))[: hmm.OWN_CLASSES])}
+    of = lambda t: hmm.END if t is None else own.get(t, hmm.OWN_CLASSES + int(code[t]) % hmm.SHARED_CLASSES)
+    mass = np.array([1.0 if c >= hmm.OWN_CLASSES or c >= len(own) else 0.0 for c in range(hmm.CLASSES)])
+    for t, n in counts.items():
+        mass[of(t)] += n + 1
+    n_end = sum(learn(i) for i, _ in rows)
+    mass[hmm.END] = n_end + 1
+    m = hmm.Model.first(mass)
+    for _ in range(rounds):
+        m = hmm.Model.of_counts(sum(plain_counts(m, [of(t) for t in tokens(x)])[0] for i, x in rows if learn(i)).astype(float), mass)
+    want = {}
+    for i, x in rows:
+        own_tokens = tokens(x)
+        p = float(np.log10(plain_counts(m, [of(t) for t in own_tokens])[1]))
+        want[i] = p + sum(math.log10(((n_end if t is None else counts[t]) + 1) / mass[of(t)]) for t in own_tokens)
+    assert all(abs(r.score - want[r.doc_id]) < 1e-6 for r in got) and len(got) == len(rows)
 
 
 def test_shares_of_classes_add_up(spark):
-    """Every known word, an unknown one for each shared class and the end: one in all under the counts."""
-    docs = spark.createDataFrame([(1, "a b b c c c d d d d"), (2, "e a e a")], "doc_id long, text string")
-    out = hmm.score_texts(docs, F.lit(True), rounds=0).collect()
-    assert all(r.score < 0 and math.isfinite(r.score) for r in out)
+    """Of all texts of one word, known or standing for a shared class, and the empty one: their probabilities by the model are shares of one."""
+    texts = ["a b c c d", "e a e a", ""]
+    single = ["", *"abcde"]
+    docs = spark.createDataFrame([*enumerate(texts), *((10 + i, t) for i, t in enumerate(single))], "doc_id long, text string")
+    got = {r.doc_id: 10**r.score for r in hmm.score_texts(docs, F.col("doc_id") < 3, rounds=2).collect()}
+    assert all(0 < got[10 + i] < 1 for i in range(6)) and 0 < sum(got[10 + i] for i in range(6)) < 1
 
 
 def exact(vectors, queries, k):

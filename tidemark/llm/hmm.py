@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.arrays import LOWER, Rolling, pieces, signed, words
-from tidemark.llm.spread import cut
+from tidemark.llm.spread import cut, partitions, scratch
 
 #: Words share classes by their hash's lowest bits, so the number of shared classes is a power of two.
 STATES, OWN_CLASSES, SHARED_CLASSES = 8, 255, 256
-#: Rounds of Baum-Welch, and tokens of the stretches that texts are cut into for it.
-ROUNDS, STRETCH, SEED = 3, 64, 11
+#: Rounds of Baum-Welch; tokens of texts that run side by side in it, and of a segment of time that is held at once.
+ROUNDS, TOGETHER, SEGMENT, SEED = 3, 1 << 19, 1 << 16, 11
+#: Different words that a task counts before it passes the counts on.
+HELD_WORDS = 1 << 19
 #: Counts of so many of the commonest words are sent to every task; the others are joined.
 SENT_WORDS = 200_000
 END = OWN_CLASSES + SHARED_CLASSES
@@ -62,8 +64,8 @@ class Classes:
 class Model:
     """Start, transition and emission probabilities."""
 
-    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, usual: np.ndarray):
-        self.start, self.move, self.emit, self.usual = start, move, emit, usual
+    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
+        self.start, self.move, self.emit = start, move, emit
 
     @classmethod
     def first(cls, mass: np.ndarray, seed: int = SEED) -> Model:
@@ -72,8 +74,7 @@ class Model:
         emit = mass / mass.sum() * rng.lognormal(0, 0.5, (STATES, len(mass)))
         move = np.full((STATES, STATES), 0.2 / (STATES - 1))
         np.fill_diagonal(move, 0.8)
-        even = np.full(STATES, 1 / STATES)
-        return cls(even, move, emit / emit.sum(1, keepdims=True), even)
+        return cls(np.full(STATES, 1 / STATES), move, emit / emit.sum(1, keepdims=True))
 
     @classmethod
     def of_counts(cls, counts: np.ndarray, mass: np.ndarray) -> Model:
@@ -82,31 +83,54 @@ class Model:
         start = start + SMOOTH
         move = move.reshape(STATES, STATES) + SMOOTH
         emit = emit.reshape(STATES, -1) + SMOOTH + mass / mass.sum()
-        return cls(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True), emit.sum(1) / emit.sum())
-
-    def expected(self, seen: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Expected counts over stretches. seen: time by stretch, padded with CLASSES; first: which begin a text."""
-        steps, n = seen.shape
-        emit = np.vstack([self.emit.T, np.ones(STATES)])  # padding says nothing
-        forward, scale = np.empty((steps, n, STATES)), np.empty((steps, n, 1))
-        now = np.where(first[:, None], self.start, self.usual) * emit[seen[0]]
-        for t in range(steps):
-            if t:
-                now = forward[t - 1] @ self.move * emit[seen[t]]
-            scale[t] = now.sum(1, keepdims=True)
-            forward[t] = now / scale[t]
-        move, back = np.zeros((STATES, STATES)), np.ones((n, STATES))
-        share = np.empty((steps, n, STATES))
-        share[-1] = forward[-1]
-        for t in range(steps - 1, 0, -1):
-            ahead = back * emit[seen[t]] / scale[t]
-            real = (seen[t] < CLASSES)[:, None]
-            move += forward[t - 1].T @ (ahead * real)
-            back = ahead @ self.move.T
-            share[t - 1] = forward[t - 1] * back
-        at, share = seen.ravel(), share.reshape(-1, STATES)
-        by_class = np.stack([np.bincount(at, weights=share[:, k], minlength=CLASSES + 1)[:CLASSES] for k in range(STATES)])
-        return np.concatenate([share[: seen.shape[1]][first].sum(0), (move * self.move).ravel(), by_class.ravel()])
+        return cls(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
+
+    def expected(self, tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Expected counts of starts, moves and emissions, by forward and backward recursion over whole texts.
+
+        Texts run side by side, the longest first. The forward pass keeps its state where a segment of time
+        begins; going back, each segment is run forward again from there, so that memory is bounded by a segment,
+        however long a text is. The backward state is carried from segment to segment.
+        """
+        order = np.argsort(-np.diff(ends), kind="stable")
+        begin, size = ends[:-1][order], np.diff(ends)[order]
+        active = np.searchsorted(-size, -np.arange(1, int(size.max(initial=0)) + 1), side="right")
+        emit = np.ascontiguousarray(self.emit.T)
+        cells = np.concatenate([[0], np.cumsum(active)])
+        cuts = [*np.unique(np.searchsorted(cells, np.arange(0, cells[-1], SEGMENT), side="left")), len(active)]
+
+        def forward(low: int, high: int, state: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            for t in range(low, high):
+                seen = tokens[begin[: active[t]] + t]
+                state = (state[: active[t]] @ self.move if t else np.tile(self.start, (active[t], 1))) * emit[seen]
+                scale = state.sum(1, keepdims=True)
+                state = state / scale
+                yield state, scale, seen
+
+        begins, state = [], np.zeros((0, STATES))
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            begins.append(state)
+            for state, _, _ in forward(low, high, state):  # noqa: B007
+                pass
+        start, move, by_class = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES))
+        ahead = np.zeros((0, STATES))  # of the next step: backward state times emission over scale
+        for low, high, state in zip(cuts[-2::-1], cuts[:0:-1], begins[::-1], strict=True):
+            steps, shares = list(forward(low, high, state)), []
+            for t in range(high - 1, low - 1, -1):
+                now, scale, seen = steps[t - low]
+                back = np.ones_like(now)
+                n = len(ahead)
+                if n:
+                    move += now[:n].T @ ahead
+                    back[:n] = ahead @ self.move.T
+                shares.append(now * back)
+                ahead = back * emit[seen] / scale
+            share, at = np.concatenate(shares), np.concatenate([x[2] for x in steps[::-1]])
+            for k in range(STATES):
+                by_class[k] += np.bincount(at, weights=share[:, k], minlength=CLASSES)
+            if low == 0:
+                start = shares[-1].sum(0)
+        return np.concatenate([start, (move * self.move).ravel(), by_class.ravel()])
 
     def log10(self, tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The probability of each text's classes, by the scaled forward recursion over the whole text."""
@@ -127,15 +151,13 @@ class Model:
         return out
 
 
-def stretches(tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts cut into stretches of STRETCH tokens, as columns padded with CLASSES; and which ones begin a text."""
-    parts = -(-np.diff(ends) // STRETCH)
-    rank = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-    at = np.repeat(ends[:-1], parts) + rank * STRETCH + np.arange(STRETCH)[:, None]
-    out = np.full(at.shape, CLASSES, np.int64)
-    inside = at < np.repeat(ends[1:], parts)
-    out[inside] = tokens[at[inside]]
-    return out, rank == 0
+def groups(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about so many tokens; a longer text is one of its own."""
+    at = 0
+    while at < len(ends) - 1:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+        yield at, to
+        at = to
 
 
 def score_texts(docs: DataFrame, learn: Column, rounds: int = ROUNDS, sent: int = SENT_WORDS) -> DataFrame:
@@ -143,24 +165,38 @@ def score_texts(docs: DataFrame, learn: Column, rounds: int = ROUNDS, sent: int
 
     Tokens are ASCII-lower-cased words and one end a text; null and empty texts are an end alone. base_score adds
     log10((c + 1) / (N + 1 * (V + 1))) over tokens; score is the model's log10 probability of the text. Rows
-    are scored alone, repeated ids or not; null ids are kept. Other columns are left out. An empty table gives
-    an empty result; with nothing to learn from, every word is unknown.
+    are scored alone, repeated ids or not; null ids are kept. Very long texts are learned from and scored whole,
+    like any other. Other columns are left out. An empty table gives an empty result; with nothing to learn from,
+    every word is unknown.
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(learn, F.lit(False)).alias("train"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            key, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return key, np.bincount(back, weights=np.concatenate([n for _, n in held])).astype(np.int64)
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for batch in batches:
-            kept = []
             for _, data, ends in pieces(batch):
                 key, offsets = word_hashes(data, ends)
-                kept.append(np.unique(np.concatenate([key, np.full(len(offsets) - 1, END_HASH)]), return_counts=True))
-            if kept:
-                key, back = np.unique(np.concatenate([k for k, _ in kept]), return_inverse=True)
-                n = np.bincount(back, weights=np.concatenate([n for _, n in kept])).astype(np.int64)
-                yield pa.record_batch([signed(key), pa.array(n)], ["h", "n"])
-
-    counts = cut(base.where("train").select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+                held.append(np.unique(np.concatenate([key, np.full(len(offsets) - 1, END_HASH)]), return_counts=True))
+                size += len(held[-1][0])
+                if size > HELD_WORDS:
+                    held = [summed()]
+                    size = len(held[0][0])
+                    if size > HELD_WORDS // 2:
+                        yield pa.record_batch([signed(held[0][0]), pa.array(held[0][1])], ["h", "n"])
+                        held, size = [], 0
+        if held:
+            key, n = summed()
+            yield pa.record_batch([signed(key), pa.array(n)], ["h", "n"])
+
+    # A task adds up its own counts, so they go to the shuffle as they are, into as many partitions as the input asks for.
+    n_parts = partitions(base)
+    counts = cut(base.where("train").select("text").mapInArrow(count, "h long, n long").repartition(n_parts, "h").groupBy("h").agg(F.sum("n").alias("n")))
     end = int(END_HASH.view(np.int64))
     n_all, n_words, n_end = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("h") == end, F.col("n"))), F.lit(0))).first()
     top = counts.where(F.col("h") != end).orderBy(F.desc("n"), "h").limit(sent).toArrow()  # bounded
@@ -212,9 +248,9 @@ def score_texts(docs: DataFrame, learn: Column, rounds: int = ROUNDS, sent: int
         def gather(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             total = np.zeros(STATES + STATES**2 + STATES * CLASSES)
             for batch in batches:
-                seen, first = stretches(*tokens_of(batch.column("tokens")))
-                for at in range(0, len(first), 2048):
-                    total += now.value.expected(seen[:, at : at + 2048], first[at : at + 2048])
+                tokens, ends = tokens_of(batch.column("tokens"))
+                for a, b in groups(ends, TOGETHER):
+                    total += now.value.expected(tokens[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
             yield pa.record_batch([pa.array(np.arange(len(total))), pa.array(total)], ["slot", "v"])
 
         rows = texts.where("train").select("tokens").mapInArrow(gather, "slot long, v double").groupBy("slot").agg(F.sum("v").alias("v")).toArrow()
@@ -229,8 +265,8 @@ def score_texts(docs: DataFrame, learn: Column, rounds: int = ROUNDS, sent: int
             yield pa.record_batch([*(batch.column(c) for c in out), pa.array(final.value.log10(*tokens_of(batch.column("tokens"))))], [*out, "model"])
 
     scored = texts.select(*out, "tokens").mapInArrow(recur, "row long, doc_id long, n_tokens long, n_known long, log_counts double, log_masses double, model double")
-    rare = texts.select("row", F.explode("rare").alias("h"))
-    found = rare.join(counts.where(F.col("n") <= least), "h").groupBy("row").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("extra"))
+    rare = texts.select("row", F.explode("rare").alias("h")).repartition(n_parts, "h")
+    found = rare.join(counts.where(F.col("n") <= least).repartition(n_parts, "h"), "h").groupBy("row").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("extra"))
     logs = F.col("log_counts") + F.coalesce("extra", F.lit(0.0))
     return scored.join(found, "row", "left").select(
         "doc_id",
