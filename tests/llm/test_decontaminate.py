@@ -1,3 +1,4 @@
+import pickle
 import random
 import re
 
@@ -26,7 +27,7 @@ def brute(docs, items, window):
             for i in range(len(w) - size + 1):
                 if own := patterns.get(tuple(w[i : i + size])):
                     hit |= set(range(i, i + size))
-                    found |= own
+                    found |= own - {None}
         out.append((str(doc), len(w), len(hit), sorted(found)))
     return sorted(out)
 
@@ -34,9 +35,9 @@ def brute(docs, items, window):
 def tables(seed):
     draw = random.Random(seed)
     text = lambda n: "".join(draw.choice(["aa", "Bb", "cc", "é", "d1"]) + draw.choice([" ", ", ", "\n", "--"]) for _ in range(n))
-    items = [(i, text(draw.randrange(1, 14))) for i in range(25)] + [(90, ""), (91, None), (92, "?!"), (3, text(12)), (93, "zz")]
+    items = [(i, text(draw.randrange(1, 14))) for i in range(25)] + [(90, ""), (91, None), (92, "?!"), (3, text(12)), (93, "zz"), (None, text(9)), (94, text(400))]
     docs = [(i, text(draw.randrange(0, 300))) for i in range(30)] + [(40, None), (41, ""), (None, items[0][1]), (42, text(2000)), (0, "zz"), (43, "x" * 50_000)]
-    docs += [(50 + i, f"{text(20)} {t} {text(9)}") for i, t in items if t]
+    docs += [(50 + (45 if i is None else i), f"{text(20)} {t} {text(9)}") for i, t in items if t]
     return docs, items
 
 
@@ -61,6 +62,21 @@ def test_tables_skip(spark):
     assert t.shift.max() == 9 and (t.shift == 0).sum() == 1
 
 
+def test_tables_are_arrays():
+    """A benchmark of a block's size takes a bounded multiple of its text, and equal windows are one pattern."""
+    draw = random.Random(1)
+    items = [(i, " ".join(f"w{draw.randrange(5000)}" for _ in range(2000))) for i in range(40)]
+    size = sum(len(t) for _, t in items)
+    assert len(pickle.dumps(decontaminate.tables(items, 10))) < 13 * size + 2**20
+    same = decontaminate.tables([(i, "a b c d e") for i in range(900)] + [(None, "a b c d e")], 5)[0]
+    assert len(same.at) == 1 and sorted(same.items(0)) == list(range(900))
+
+
+def test_items_without_id_contaminate(spark, docs):
+    kept = decontaminate.drop_contaminated(docs, spark.createDataFrame([(None, "one")], "item_id long, text string"))
+    assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in kept.collect()} == {403, 404}
+
+
 def test_clean_rows_keep_their_columns(spark, docs):
     items = spark.createDataFrame([(1, "one")], "item_id long, text string")
     kept = decontaminate.drop_contaminated(docs, items)

@@ -12,47 +12,76 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrays import LOWER, NOT_ALNUM, Rolling, mix, pieces, words
+from tidemark.llm.spread import cut
 
 WINDOW_WORDS = 10
-#: Text of benchmark items that is sent to every task at once. A larger benchmark is searched block by block.
-BLOCK_BYTES = 32 * 2**20
+#: Text of benchmark items that is sent to every task at once; tables take up to ten times that. A larger
+#: benchmark is searched block by block, a job each.
+BLOCK_BYTES = 8 * 2**20
 #: Words of text for each cursor of the search.
 STRIDE = 256
-TABLE_BITS = 18
+#: Bits of a shift table, for few and for very many patterns.
+LEAST_BITS, MOST_BITS = 18, 24
 
 
-def normal(text: str | None) -> list[bytes]:
-    """The words of a text: letters and digits, lower-cased if ASCII, and anything beyond ASCII."""
-    data = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
-    raw = data.tobytes()
-    start, end, _ = words(data, np.array([0, len(data)]), NOT_ALNUM)
-    return [raw[a:b] for a, b in zip(start, end, strict=True)]
+def narrow(a: np.ndarray) -> np.ndarray:
+    """Whole numbers in four bytes, if they fit."""
+    return a.astype(np.int32) if not len(a) or a.max() < 2**31 else a
+
+
+class Benchmark:
+    """The words of some items: one buffer of bytes, the words' places in it, and the items' offsets and ids (null: -1)."""
+
+    def __init__(self, items: list[tuple[int | None, str | None]]):
+        raw = [(t or "").encode() for _, t in items]
+        self.ids = np.array([-1 if i is None else i for i, _ in items], np.int64)
+        self.bytes = LOWER[np.frombuffer(b"".join(raw), np.uint8)]
+        self.start, self.end, self.offsets = words(self.bytes, np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64), NOT_ALNUM)
+        self.hashes = Rolling(self.bytes).at(self.start, self.end)
+        self.start, self.end = narrow(self.start), narrow(self.end)
+
+    def text(self, word: int, length: int) -> list[bytes]:
+        return [self.bytes[a:b].tobytes() for a, b in zip(self.start[word : word + length], self.end[word : word + length], strict=True)]
 
 
 class Tables:
-    """Wu-Manber tables for patterns of one length in words."""
-
-    def __init__(self, length: int, patterns: dict[tuple[bytes, ...], list[int]]):
-        self.length, self.texts = length, list(patterns)
-        self.items = list(patterns.values())
-        joined = np.frombuffer(b"".join(w for p in self.texts for w in p), np.uint8)
-        ends = np.concatenate([[0], np.cumsum([len(w) for p in self.texts for w in p])])
-        self.words = Rolling(joined).at(ends[:-1], ends[1:]).reshape(-1, length)
-        self.block = min(2, length)
-        self.shift = np.full(1 << TABLE_BITS, length - self.block + 1, np.int64)
-        for at in range(self.block - 1, length):
-            key = self.key(self.words[:, at], self.words[:, at - 1])
-            self.shift[key] = np.minimum(self.shift[key], length - 1 - at)
-        suffix = self.suffix(self.words[:, -1], self.words[:, -self.block])
+    """Wu-Manber tables for patterns of one length in words. A pattern is a word to begin with; equal ones are one."""
+
+    def __init__(self, length: int, bench: Benchmark, at: np.ndarray, item: np.ndarray):
+        """at: first words of the patterns, item: their items' numbers."""
+        self.length, self.bench, self.block = length, bench, min(2, length)
+        whole = Rolling(bench.hashes).at(at, at + length)
+        order = np.lexsort((item, whole))
+        at, item, whole = at[order], item[order], whole[order]
+        new = np.ones(len(at), bool)
+        new[1:] = whole[1:] != whole[:-1]
+        for i in range(length):  # equal hashes of other words are patterns of their own
+            new[1:] |= bench.hashes[at[1:] + i] != bench.hashes[at[:-1] + i]
+        first = np.flatnonzero(new)
+        self.at, self.item, self.item_ends = narrow(at[first]), narrow(item), narrow(np.append(first, len(at)))
+        bits = min(MOST_BITS, max(LEAST_BITS, int(2 * len(first) * length).bit_length()))
+        self.down = np.uint64(64 - bits)
+        self.shift = np.full(1 << bits, length - self.block + 1, np.uint8 if length < 256 else np.int64)
+        word = bench.hashes
+        for i in range(self.block - 1, length):
+            key = self.key(word[self.at + i], word[self.at + max(i - 1, 0)])
+            self.shift[key] = np.minimum(self.shift[key], length - 1 - i)
+        suffix = self.suffix(word[self.at + length - 1], word[self.at + length - self.block])
         order = np.argsort(suffix, kind="stable")
-        self.order, self.sorted = order, suffix[order]
+        self.order, self.sorted = narrow(order), suffix[order]
+
+    def items(self, pattern: int) -> np.ndarray:
+        """Ids of the items that hold a pattern; those without an id have none to tell."""
+        ids = self.bench.ids[self.item[self.item_ends[pattern] : self.item_ends[pattern + 1]]]
+        return ids[ids >= 0]
 
     def key(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
-        return (self.suffix(last, before) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        return (self.suffix(last, before) >> self.down).astype(np.int64)
 
     def suffix(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
         return mix(last + mix(before)) if self.block == 2 else mix(last)
@@ -67,7 +96,7 @@ class Tables:
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         while len(at):
             last, before = text[at], text[at - self.block + 1]
-            step = self.shift[self.key(last, before)]
+            step = self.shift[self.key(last, before)].astype(np.int64)
             if len(here := np.flatnonzero(step == 0)):
                 suffix = self.suffix(last[here], before[here])
                 low, high = np.searchsorted(self.sorted, suffix, "left"), np.searchsorted(self.sorted, suffix, "right")
@@ -75,7 +104,7 @@ class Tables:
                 which = self.order[np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
                 start = np.repeat(at[here], many) - m + 1
                 for i in range(m):
-                    same = text[start + i] == self.words[which, i]
+                    same = text[start + i] == self.bench.hashes[self.at[which] + i]
                     start, which = start[same], which[same]
                 found.append((start, which))
             at = at + np.maximum(step, 1)
@@ -83,64 +112,73 @@ class Tables:
         return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
 
-def tables(items: list[tuple[int, str | None]], window: int) -> list[Tables]:
+def tables(items: list[tuple[int | None, str | None]], window: int) -> list[Tables]:
     """Tables for the windows of items, a set for each length of pattern."""
-    by_length: dict[int, dict[tuple[bytes, ...], list[int]]] = {}
-    for item, text in items:
-        own = normal(text)
-        for at in range(max(1, len(own) - window + 1) if own else 0):
-            pattern = tuple(own[at : at + window])
-            by_length.setdefault(len(pattern), {}).setdefault(pattern, []).append(item)
-    return [Tables(length, patterns) for length, patterns in sorted(by_length.items())]
+    bench = Benchmark(items)
+    sizes = np.diff(bench.offsets)
+    length = np.minimum(sizes, window)
+    many = np.where(sizes > 0, sizes - length + 1, 0)
+    item = np.repeat(np.arange(len(sizes)), many)
+    at = bench.offsets[:-1][item] + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return [Tables(int(n), bench, at[length[item] == n], item[length[item] == n]) for n in np.unique(length[item])]
+
+
+HITS, ITEMS = "array<struct<start: long, length: long>>", "array<long>"
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with n_words, hits (first word and number of words of each occurrence) and items (sorted ids) added.
 
     An item with fewer words than a window is one window; an item or text without words matches nothing, as
-    do nulls. Items may repeat: each id is reported. docs needs a text column and may have any others, except
-    that columns named n_words, hits and items are replaced. Rows, repeated or not, are judged alone, and
+    do nulls. Items may repeat: each id is reported. Windows of items without an id are hits like any others, but
+    there is no id to report. docs needs a text column and may have any others, except that columns named n_words,
+    hits and items are replaced. Rows, repeated or not, are judged alone, very long texts are searched whole, and
     empty tables are fine.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(size // block_bytes) + 1
     taken = docs.drop("n_words", "hits", "items")
-    columns = taken.columns
-    out = taken.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.lit(None).cast("array<struct<start: long, length: long>>"), "items": F.lit(None).cast("array<long>")})
-    schema = out.schema
-    for block in range(blocks):  # one block, unless the benchmark is larger than the bound
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        sent = spark.sparkContext.broadcast(tables([tuple(r) for r in part.collect()], window))
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for piece, data, ends in pieces(batch):
-                    data = LOWER[data]
-                    start, end, offsets = words(data, ends, NOT_ALNUM)
-                    text = Rolling(data).at(start, end)
-                    found = [(piece.column("hits")[i].as_py() or [], piece.column("items")[i].as_py() or []) for i in range(len(piece))] if blocks > 1 else None
-                    hits: dict[int, set] = {}
-                    names: dict[int, set] = {}
-                    for t in sent.value:
-                        for at, which in zip(*t.search(text, offsets), strict=True):
-                            if b" ".join(data[a:b].tobytes() for a, b in zip(start[at : at + t.length], end[at : at + t.length], strict=True)) == b" ".join(t.texts[which]):
-                                doc = int(np.searchsorted(offsets, at, side="right")) - 1
-                                hits.setdefault(doc, set()).add((int(at - offsets[doc]), t.length))
-                                names.setdefault(doc, set()).update(t.items[which])
-                    for doc, (old_hits, old_items) in enumerate(found or ()):
-                        if old_items:
-                            hits.setdefault(doc, set()).update((h["start"], h["length"]) for h in old_hits)
-                            names.setdefault(doc, set()).update(old_items)
-                    spans = [[{"start": a, "length": n} for a, n in sorted(hits.get(i, ()))] for i in range(len(piece))]
-                    added = [pa.array(np.diff(offsets)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), pa.array([sorted(names.get(i, ())) for i in range(len(piece))], pa.list_(pa.int64()))]
-                    yield pa.record_batch([*(piece.column(c) for c in columns), *added], [*columns, "n_words", "hits", "items"])
-
-        out = out.mapInArrow(search, schema)
+    out = taken.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.lit(None).cast(HITS), "items": F.lit(None).cast(ITEMS)})
+    if blocks == 1:
+        return _searched(out, items, window)
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    for block in range(blocks):  # each a job of its own, so a task holds the tables of one block
+        out = cut(_searched(out, items.where(part == block), window))
     return out
 
 
+def _searched(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """docs with what the items' windows hit added to n_words, hits and items."""
+    columns = docs.columns[:-3]
+    sent = docs.sparkSession.sparkContext.broadcast(tables([tuple(r) for r in items.collect()], window))  # bounded by block_bytes
+    kinds = [pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.list_(pa.int64())]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece, data, ends in pieces(batch):
+                data = LOWER[data]
+                start, end, offsets = words(data, ends, NOT_ALNUM)
+                text = Rolling(data).at(start, end)
+                hits: dict[int, set] = {}
+                names: dict[int, set] = {}
+                found = lambda c, piece=piece: piece.column(piece.schema.get_field_index(c))
+                for doc in np.flatnonzero(np.asarray(pc.fill_null(pc.list_value_length(found("hits")), 0))):  # by blocks before
+                    hits[doc] = {(h["start"], h["length"]) for h in found("hits")[int(doc)].as_py()}
+                    names[doc] = set(found("items")[int(doc)].as_py())
+                for t in sent.value:
+                    for at, which in zip(*t.search(text, offsets), strict=True):
+                        if [data[a:b].tobytes() for a, b in zip(start[at : at + t.length], end[at : at + t.length], strict=True)] == t.bench.text(t.at[which], t.length):
+                            doc = int(np.searchsorted(offsets, at, side="right")) - 1
+                            hits.setdefault(doc, set()).add((int(at - offsets[doc]), t.length))
+                            names.setdefault(doc, set()).update(t.items(which).tolist())
+                spans = [[{"start": a, "length": n} for a, n in sorted(hits.get(i, ()))] for i in range(len(piece))]
+                added = [np.diff(offsets), spans, [sorted(names.get(i, ())) for i in range(len(piece))]]
+                yield pa.record_batch([*piece.columns[:-3], *(pa.array(x, kind) for x, kind in zip(added, kinds, strict=True))], [*columns, "n_words", "hits", "items"])
+
+    return docs.mapInArrow(search, docs.schema)
+
+
 def hit_words() -> F.Column:
     """How many words of a document lie in its hits, which may overlap; sorted by start."""
     state = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
@@ -156,4 +194,4 @@ def hit_words() -> F.Column:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     """The documents in which no window of the benchmark occurs, with the columns that they came with."""
     whole = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))  # no name can clash
-    return find_items(whole, benchmark, window).where(F.size("items") == 0).select("row.*")
+    return find_items(whole, benchmark, window).where(F.size("hits") == 0).select("row.*")
