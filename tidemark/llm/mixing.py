@@ -69,7 +69,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total:
     id share a number per source and text. A null source is a source of its own. Empty texts are rows like
     any other, an empty table gives an empty result, and a column that is named copy is replaced.
     """
-    rows = docs.select(F.struct("*").alias("row"), F.col(source).alias("at_source"), F.coalesce(F.col(key).cast("string"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).alias("at_key"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(source).alias("at_source"), F.coalesce(F.col(key).cast("string"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).alias("at_key"), F.col(key).isNull().alias("no_id"))
     table = rates(docs, weights, total, source).select("mix_source", "mix_cdf")
     u = uniform(seed, F.col("at_key"))
     copies = F.size(F.filter("mix_cdf", lambda c: c <= u))
@@ -77,9 +77,10 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total:
         rows.join(table, F.col("at_source").eqNullSafe(F.col("mix_source")), "left")
         .withColumn("n", copies)
         .where("n > 0")
-        .select("row", "at_key", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
-        .withColumn("place", F.xxhash64(F.lit(seed), "at_key", "copy"))
+        .select("row", "at_key", "no_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
+        .withColumn("place", F.xxhash64(F.lit(seed), "at_key", "copy", F.when(F.col("no_id"), F.monotonically_increasing_id())))
     )
     # Any row may go to any partition, and the order in a partition is by the same hash: a shuffle of the whole.
+    # Rows without an id are told apart by where they stand, so that many of one text don't go to one task.
     kept = [F.col("row")[c].alias(c) for c in docs.columns if c != "copy"]
     return out.repartition(partitions(docs), "place").sortWithinPartitions("place").select(*kept, "copy")
