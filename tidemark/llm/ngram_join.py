@@ -35,6 +35,8 @@ SHINGLE_WORDS, PERCENT = 5, 80
 BAND_RATIO = 1.25
 #: Sets that one task compares with each other, and about how many hubs each block of a larger family gets.
 BLOCK, HUBS = 384, 16
+#: Parts that members of a component are dealt to where its least id comes back to them.
+SALTS = 16
 #: Bins that the shingles of a set are counted in: the counts of two sets differ by no more than the sets do.
 BINS = 64
 #: Cost of a chance agreement of small segments against that of a signature.
@@ -305,10 +307,12 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         sets = base.select("k", "text").join(wanted, "k").select("c", "text").mapInArrow(emit_sets, "c long, shingles binary")
         sets = cut(sets.groupBy("c").agg(F.first("shingles").alias("shingles")))
         found = _linked(of_class, members, family, sets, percent, n)
-        label = of_class.groupBy("c").agg(F.min("k").alias("least")).where("c <> 0")
-        label = label.join(found, "c", "left").select("c", "least", F.coalesce("l", "c").alias("group"))
-        lowest = label.groupBy("group").agg(F.min("least").alias("component"))
-        named = keep(label.join(lowest, "group").select("c", "group", "component"))
+        least = of_class.groupBy("c").agg(F.min("k").alias("least")).where("c <> 0")
+        label = least.join(found, "c", "left")
+        linked = label.where("l is not null").withColumn("part", F.pmod(F.xxhash64("c"), F.lit(SALTS)))
+        lowest = linked.groupBy("l").agg(F.min("least").alias("component")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        of_linked = linked.join(lowest, ["l", "part"]).select("c", F.col("l").alias("group"), "component")  # a large component is dealt to several tasks
+        named = keep(label.where("l is null").select("c", F.col("c").alias("group"), F.col("least").alias("component")).unionByName(of_linked))
     return of_class.join(named, "c", "left").select("doc_id", "k", "t", "n_shingles", "group", F.coalesce("component", "k").alias("component"))
 
 
