@@ -1,18 +1,41 @@
+import random
 
 import numpy as np
 import pytest
 
 from tidemark.llm import line_dedup
+from tidemark.llm.arrays import Rolling, mix
 from tidemark.llm.spread import order_key
 
 
 def chunks_of(text, roll, mean):
-    """Chunks of one text, found alone: lists of lines."""
-    data = np.frombuffer(text.encode(), np.uint8)
-    a, b, _, start, stop = line_dedup.chunks(data, np.array([0, len(data)]), roll, mean)
+    """Chunks of one text by the rule, a line at a time: a chunk ends where the mixed hashes of the last lines say so, and at the end."""
     lines = text.split("\n")
-    assert len(start) == len(lines) and [data[x:y].tobytes().decode() for x, y in zip(start, stop, strict=True)] == lines
-    return [lines[x:y] for x, y in zip(a, b, strict=True)]
+    plain = lambda x: mix(np.array([x % 2**64], np.uint64))
+    code = [Rolling(np.frombuffer(x.encode(), np.uint8)).at(np.array([0]), np.array([len(x.encode())]))[0] for x in lines]
+    out, now = [], []
+    for i, line in enumerate(lines):
+        now.append(line)
+        rolled = int(code[i])
+        for back in range(1, roll):
+            if i >= back:
+                rolled = int(plain(rolled + int(plain(int(code[i - back]) + back)[0]))[0])
+        if (i >= roll - 1 and rolled % mean == 0) or i == len(lines) - 1:
+            out.append(now)
+            now = []
+    return out
+
+
+def test_boundaries_by_the_rule():
+    """Those of many texts side by side are those that the rule gives for each alone."""
+    draw = random.Random(3)
+    for roll, mean in ((2, 4), (1, 3), (3, 2)):
+        texts = ["\n".join(draw.choice(["a", "b", "", "cc"]) for _ in range(draw.randrange(1, 40))) for _ in range(60)]
+        raw = [t.encode() for t in texts]
+        a, b, which, _, _ = line_dedup.chunks(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]), roll, mean)
+        lines = [x for t in texts for x in t.split("\n")]
+        got = [[lines[x:y] for x, y, w in zip(a, b, which, strict=True) if w == i] for i in range(len(texts))]
+        assert got == [chunks_of(t, roll, mean) for t in texts]
 
 
 def brute(rows, roll=line_dedup.ROLL_LINES, mean=line_dedup.MEAN_LINES, least=line_dedup.LEAST_LINES):

@@ -1,3 +1,4 @@
+import hashlib
 import math
 from collections import Counter
 
@@ -55,8 +56,28 @@ def test_order_is_shuffled(sourced):
 
 
 def test_any_rows(docs, empty):
+    """Null, empty and very long texts, repeated and missing ids: each as often as the distribution at its number says."""
     out = mixing.mix_sources(docs)
     assert out.columns == [*docs.columns, "copy"]
+    rows, got = docs.collect(), Counter((r.doc_id, r.text, r.source) for r in out.collect())
+    sizes = Counter(r.source for r in rows)
+    total = sum(n**0.5 for n in sizes.values())
+    want = Counter()
+    for r in rows:
+        rate = sizes[r.source] ** 0.5 / total * len(rows) / sizes[r.source]
+        key = hashlib.sha256((r.text or "").encode()).hexdigest() if r.doc_id is None else str(r.doc_id)
+        u = int(hashlib.sha256(f"{mixing.SEED}:{key}".encode()).hexdigest()[:13], 16) / 2**52
+        want[(r.doc_id, r.text, r.source)] += sum(c <= u for c in poisson_cdf(rate, 60))
+    assert got == +want
+
+
+def test_rows_without_id_are_spread(spark):
+    same = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("u").alias("text"), F.lit("s").alias("source"))
+    where = mixing.mix_sources(same, total=12_000).groupBy(F.spark_partition_id()).count().collect()
+    assert len(where) == 4 and max(r["count"] for r in where) < 2 * sum(r["count"] for r in where) / 4
+
+
+def test_refuses_negative_weights(docs, empty):
     assert mixing.mix_sources(empty).collect() == []
     with pytest.raises(ValueError):
         mixing.mix_sources(docs, {"s0": -1.0})

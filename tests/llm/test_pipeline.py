@@ -34,3 +34,45 @@ def test_stages_and_run(spark, tmp_path):
     again = sorted((r.doc_id, r.copy) for r in p.run(spark, SF).collect())
     assert again == sorted((r.doc_id, r.copy) for r in docs.collect())
     assert p.ORACLE_SQL is None
+
+
+def odd_tables(spark, path):
+    """documents with nulls, blanks, a very long text, ties, repeats, missing ids and columns whose names operators use; small other tables."""
+    page = lambda seed, n=60: "\n".join(f"line {seed} {i} of some page, with words of its own." for i in range(n))
+    rows = [(i, page(i), f"s{i % 2}") for i in range(20)] + [(3, page(3), "s1"), (3, "other text " * 30, "s0"), (None, page(40), "s0"), (None, page(40), "s0"), (None, None, None)]
+    rows += [(50, "", "s0"), (51, None, "s0"), (52, " \n\t\n", None), (53, "word", "s1"), (54, page(7), "s0"), (55, page(9, 4000), "s1"), (56, page(7) + "\nmore", "s0")]
+    rows += [(60, f"{page(61, 3)} one two three four five six seven eight nine ten eleven", "s0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = docs.selectExpr("*", "CAST(length(text) AS BIGINT) AS n_chars", "1 AS k", "'r' AS row", "0.5 AS score", "array(1) AS hits", "2 AS n_words", "'g' AS `group`", "map('a', 1) AS bag")
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(0, "One, two three four five six seven eight nine ten!"), (None, "nowhere to be found at all in any of these texts"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(10)] + [(None, 1), (3, 0), (4, None)], "doc_id long, quality int").write.parquet(f"{path}/labels.parquet")
+    return docs
+
+
+def test_stages_take_any_rows(spark, tmp_path):
+    docs = odd_tables(spark, tmp_path)
+    key = lambda r: (str(r.doc_id), r.text)
+    before = sorted(map(key, docs.collect()), key=str)
+    stages = dict(p.STAGES)
+    kept = stages["line dedup"](spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    lines = {str(r.doc_id): r for r in kept.where("doc_id is not null").collect()}
+    assert {"50", "51", "52", "53"} <= set(lines) and len(lines["54"].text) < 0.5 * len(lines["7"].text) and lines["56"].text.endswith("more") and lines["56"].n_chars == len(lines["56"].text)
+    one = stages["n-gram Jaccard join"](spark, docs, str(tmp_path))
+    assert one.columns == docs.columns
+    got = sorted(str(r.doc_id) for r in one.collect())
+    assert got == sorted([*(str(i) for i in range(20)), "3", "None", "None", "50", "51", "52", "53", "55", "60"])  # 54 and 56 are copies of 7
+    clean = stages["benchmark decontamination"](spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns and sorted(map(key, clean.collect()), key=str) == [x for x in before if x[0] != "60"]
+    mixed = stages["mixing sources"](spark, docs, str(tmp_path))
+    assert mixed.columns == [*docs.columns, "copy"] and {key(r) for r in mixed.collect()} <= set(before)
+    judged = stages["quality classifier"](spark, docs, str(tmp_path))
+    assert judged.columns == docs.columns and {key(r) for r in judged.collect()} <= set(before)
+    assert p.run(spark, str(tmp_path)).columns == [*docs.columns, "copy"]
+
+
+def test_stages_take_empty_tables(spark, tmp_path):
+    docs = odd_tables(spark, tmp_path).limit(0)
+    for _, stage in p.STAGES:
+        assert stage(spark, docs, str(tmp_path)).collect() == []

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +53,27 @@ def test_quality_gradient():
         model.p[k][i] = at
 
 
+def test_attention_against_loops():
+    """The score of a document by the formulas: encodings, gated attention over its passages, weighted sum, logistic unit."""
+    rng = np.random.default_rng(4)
+    model = quality.Model(rng.random(quality.N_FEATURES), 0.5 + rng.random(quality.N_FEATURES))
+    model.p = {k: rng.standard_normal(v.shape) * 0.4 for k, v in model.p.items()}
+    p, sizes = model.p, [1, 4, 2]
+    x, first = rng.random((7, quality.N_FEATURES)), np.concatenate([[0], np.cumsum(sizes)])
+    want = []
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        encoded, weights = [], []
+        for row in x[a:b]:
+            z = [max(-6.0, min(6.0, (v - m) / s)) for v, m, s in zip(row, model.mean, model.scale, strict=True)]
+            h = [math.tanh(sum(v * p["E"][i, j] for i, v in enumerate(z)) + p["e"][j]) for j in range(quality.HIDDEN)]
+            gate = [math.tanh(sum(v * p["V"][i, j] for i, v in enumerate(h))) / (1 + math.exp(-sum(v * p["U"][i, j] for i, v in enumerate(h)))) for j in range(quality.ATTENTION)]
+            encoded.append(h)
+            weights.append(math.exp(sum(g * w for g, w in zip(gate, p["w"], strict=True))))
+        bag = [sum(w * h[j] for w, h in zip(weights, encoded, strict=True)) / sum(weights) for j in range(quality.HIDDEN)]
+        want.append(1 / (1 + math.exp(-sum(v * c for v, c in zip(bag, p["c"], strict=True)) - p["b"][0])))
+    assert np.allclose(model.forward(x, first)[-1], want, atol=1e-9)
+
+
 def test_quality_takes_any_text(docs, empty, spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, None), (None, 1), (2, 0)], "doc_id long, quality int")
     out = quality.score(docs, quality.train(docs, labels))
@@ -277,6 +299,22 @@ def test_groups_of_copies_larger_than_what_is_reranked(spark, noise):
     assert [(r.query_id, r.vec_id) for r in got] == [(i, j) for i in sorted(want) for _, j in want[i]]
 
 
+def test_a_whole_block_against_all_pairs(spark):
+    """Unit vectors without structure, the hardest for codes, in blocks as large as they get."""
+    x = np.random.default_rng(11).standard_normal((20_000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    vectors = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)})).repartition(4)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = nearest.nearest(vectors, F.col("vec_id") % 1000 == 0, k=10).orderBy("query_id", "rank").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for q in range(0, 20_000, 1000):
+        away = np.sqrt(((x - x[q]) ** 2).sum(1))
+        away[q] = np.inf
+        assert [r.vec_id for r in got if r.query_id == q] == np.lexsort((np.arange(len(x)), away))[:10].tolist()
+
+
 def test_equal_rows_are_candidates_each(spark):
     rows = [(i, [1.0, 0.5]) for i in range(30)] + [(1, [1.0, 0.5])] * 3 + [(0, [1.0, 0.5])] * 20 + [(100, [1.0, 0.4])]
     got = nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, k=6).orderBy("query_id", "rank").collect()
