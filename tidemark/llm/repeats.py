@@ -12,8 +12,10 @@ a seed lie side by side; the stretch that they cover together is its *span*.
   span only is settled.
 * The other spans go, with their text, to their seed's bucket, where ``decide`` compares the text itself: by
   extending matches (``substring_dedup``) or by refining buckets of suffixes (``suffix_dedup``).
-* Seeds of more spans than a bucket may hold, and those that the ranges cut, aren't gathered anywhere. Their
-  windows are grouped one by one, by two 64-bit hashes, in an aggregation combined before the shuffle.
+* Seeds of more spans than a bucket may hold, and those that the ranges cut, aren't gathered anywhere. What lies
+  beside such a seed, to few depths on either side, is grouped by its hash first: where only one document goes on
+  like that, none of its windows that reach so far can come up elsewhere. The other windows are grouped one by one,
+  by two 64-bit hashes. Both are aggregations combined before the shuffle.
 
 Answers go back as lists of first occurrences keyed by document. So no group of copies ever meets in one task,
 and no pairs leave one. Texts are shuffled once, by document; later steps join lists to that same exchange.
@@ -60,7 +62,7 @@ class Spans:
 
     def __init__(self, values: np.ndarray, ends: np.ndarray, length: int, gram: int):
         self.values, self.rolling, n = values, Rolling(values), len(values) - length + 1
-        self.length, width = length, length - gram + 1
+        self.length, self.gram_length, width = length, gram, length - gram + 1
         if n <= 0:
             self.low = self.high = self.text = self.seed = np.zeros(0, np.int64)
             self.gram = self.span = np.zeros(0, np.int64)
@@ -95,10 +97,31 @@ class Spans:
         within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         return self.low[chosen][which] + within, which, within
 
+    def side(self, seed: np.ndarray, depth: np.ndarray, left: bool) -> np.ndarray:
+        """Hashes of the seeds with what lies beside them to some depth."""
+        low, high = (seed - depth, seed + self.gram_length) if left else (seed, seed + self.gram_length + depth)
+        return mix(self.rolling.at(low, high) + np.uint64(1 + left)).view(np.int64)
+
+    def lone(self, chosen: np.ndarray, starts: np.ndarray, which: np.ndarray, column: pa.Array) -> np.ndarray:
+        """Which windows of chosen spans reach so far beside their seed that only this document goes on like that."""
+        seed, text = self.seed[chosen][which], self.text[chosen][which]
+        out, levels = np.zeros(len(starts), bool), depths(self.length, self.gram_length)
+        for left, room in ((True, seed - starts), (False, starts + self.length - seed - self.gram_length)):
+            level = np.searchsorted(levels, room, side="right") - 1
+            far = np.flatnonzero(level >= 0)
+            out[far] |= _listed(text[far], self.side(seed[far], levels[level[far]], left), column)
+        return out
+
     def hashes(self, starts: np.ndarray) -> np.ndarray:
         return self.rolling.at(starts, starts + self.length).view(np.int64)
 
 
+def depths(length: int, gram: int) -> np.ndarray:
+    """Depths, each twice the one before, to which the surroundings of a crowded seed are compared."""
+    least = max(1, (length - gram) // 16)
+    return least << np.arange(max(1, (length - gram) // least).bit_length())
+
+
 def _once(text: np.ndarray, key: np.ndarray) -> np.ndarray:
     """True where a key comes up for the first time in its text."""
     order = np.lexsort((key, text))
@@ -194,10 +217,28 @@ def repeated(docs: DataFrame, units: Callable[[np.ndarray, np.ndarray], Units],
                 whole = [s.gram[at], s.span[at], k[s.text[at]], s.seed[at] - s.low[at], s.high[at] - s.low[at] + 1]
                 yield pa.record_batch([*map(pa.array, whole), pa.array(bodies, pa.binary())], ["gram", "span", "k", "seed", "windows", "body"])
 
+    def emit_sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for piece, *_, s, k in each(batch):
+                at = np.flatnonzero(_listed(s.text, s.span, piece.column("crowded")))
+                at = at[_once(s.text[at], s.span[at])]
+                seed = s.seed[at]
+                for left, room in ((True, seed - s.low[at]), (False, s.high[at] + length - seed - gram)):
+                    for depth in depths(length, gram):
+                        far = room >= depth
+                        hashes.append(s.side(seed[far], np.full(far.sum(), depth), left))
+                        owners.append(k[s.text[at]][far])
+            h, own = np.concatenate(hashes), np.concatenate(owners)
+            low, high = _least(h, own), _least(h, -own)
+            yield pa.record_batch([pa.array(x) for x in (h[low], own[low], own[high])], ["h", "low", "high"])
+
     def emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece, *_, s, k in each(batch):
                 starts, which, _ = s.windows(at := np.flatnonzero(_listed(s.text, s.span, piece.column("crowded"))))
+                here = ~s.lone(at, starts, which, piece.column("lone"))
+                starts, which = starts[here], which[here]
                 one, two = s.hashes(starts), Rolling(mix(s.values.astype(np.uint64))).at(starts, starts + length).view(np.int64)
                 own = k[s.text[at]][which]
                 keep = _least(one, own)
@@ -222,7 +263,8 @@ def repeated(docs: DataFrame, units: Callable[[np.ndarray, np.ndarray], Units],
                 text = np.concatenate([s.text[part][which], s.text[open_][of]])
                 starts = np.concatenate([starts, more])
                 key = s.hashes(starts)
-                first = np.concatenate([first, _listed(text[len(first) :], key[len(first) :], piece.column("firsts"))])
+                lone = s.lone(open_, more, of, piece.column("lone"))
+                first = np.concatenate([first, lone | _listed(text[len(first) :], key[len(first) :], piece.column("firsts"))])
                 stay = np.flatnonzero(first)
                 at = np.lexsort((starts[stay], text[stay]))
                 stay = stay[at[_once(text[stay[at]], key[stay[at]])]]  # of windows first here, those that this text has first
@@ -238,6 +280,11 @@ def repeated(docs: DataFrame, units: Callable[[np.ndarray, np.ndarray], Units],
     spans = told.where(F.size("shared") > 0).mapInArrow(emit_spans, "gram long, span long, k long, seed long, windows long, body binary")
     masks = spans.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(answer, "k long, span long, mask binary")
     masks = masks.groupBy("k").agg(F.collect_list(F.struct("span", "mask")).alias("masks"))
-    windows = told.where(F.size("crowded") > 0).mapInArrow(emit_windows, "one long, two long, k long")
+    crowded = told.where(F.size("crowded") > 0)
+    sides = crowded.mapInArrow(emit_sides, "h long, low long, high long").groupBy("h").agg(F.min("low").alias("k"), F.max("high").alias("high"))
+    lone = sides.where("k = high").groupBy("k").agg(F.collect_list("h").alias("lone"))
+    windows = crowded.join(lone.hint("shuffle_hash"), "k", "left").mapInArrow(emit_windows, "one long, two long, k long")
     firsts = windows.groupBy("one", "two").agg(F.min("k").alias("k")).groupBy("k").agg(F.collect_list("one").alias("firsts"))
-    return told.join(masks.hint("shuffle_hash"), "k", "left").join(firsts.hint("shuffle_hash"), "k", "left").mapInArrow(remove, schema)
+    for lists_ in (masks, lone, firsts):
+        told = told.join(lists_.hint("shuffle_hash"), "k", "left")
+    return told.mapInArrow(remove, schema)
