@@ -592,7 +592,7 @@ def mon_psi(spark, sf_dir):
 )
 def mon_feature_psi(spark, sf_dir):
     """Stability of all features in one job."""
-    wide = features.historical(trips_of(spark, sf_dir)).select("trip_id", "a_us", *features.FEATURE_NAMES)
+    wide = features.historical(trips_of(spark, sf_dir)).select("trip_id", "a_us", *features.FEATURE_NAMES).persist()
     return rounded(drift.feature_drift(wide.where(F.col("a_us") < MID_US).drop("a_us"), wide.where(F.col("a_us") >= MID_US).drop("a_us")))
 
 
@@ -627,7 +627,8 @@ _FEATURE_PSI = (TRIPS, RAW_FEATURES, windows_sql(INSTANTS, DAY))
 
 
 def vectors_of(spark, sf_dir):
-    return features.vectors(features.historical(trips_of(spark, sf_dir)))
+    """Vectors, kept: monitoring reads them more than once."""
+    return features.vectors(features.historical(trips_of(spark, sf_dir))).persist()
 
 
 @query(psi_sql(_FEATURE_PSI, "as_of_us, feature"))
@@ -640,9 +641,9 @@ def mon_feature_drift(spark, sf_dir):
 @query("SELECT * FROM (VALUES ('driver_trips_120m')) t(feature)")
 def mon_missing(spark, sf_dir):
     """Features that the reference's vectors have and current ones lack."""
-    wide = features.historical(trips_of(spark, sf_dir))
-    now = features.vectors(wide.where(F.col("a_us") >= MID_US)).withColumn("values", F.map_filter("values", lambda k, v: k != "driver_trips_120m"))
-    return drift.missing_keys(features.vectors(wide.where(F.col("a_us") < MID_US)), now)
+    vectors = vectors_of(spark, sf_dir)
+    now = vectors.where(F.col("a_us") >= MID_US).withColumn("values", F.map_filter("values", lambda k, v: k != "driver_trips_120m"))
+    return drift.missing_keys(vectors.where(F.col("a_us") < MID_US), now)
 
 
 #: An instant before any label, besides the others.
@@ -668,7 +669,7 @@ EARLY_US = us("2023-12-01T00:00:00")
 )
 def mon_health(spark, sf_dir):
     """A row of everything for each instant: also one before any label, where there is no lag and blindness has no end."""
-    log, vectors = log_of(spark, sf_dir), vectors_of(spark, sf_dir)
+    log, vectors = log_of(spark, sf_dir).persist(), vectors_of(spark, sf_dir)
     out = monitoring.health(log, log.where(F.col("served_us") < MID_US), [EARLY_US, *INSTANTS], DAY, vectors, vectors.where(F.col("a_us") < MID_US))
     each = F.transform(F.sort_array(F.map_entries("feature_psi")), lambda e: F.format_string("%s=%.3f", e["key"], e["value"]))
     return rounded(out.withColumns({"feature_psi": F.array_join(each, ","), "missing_features": F.array_join("missing_features", ",")}))
