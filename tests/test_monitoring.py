@@ -101,6 +101,12 @@ def test_fallbacks(spark):
     assert got[2].fallback_reason.startswith("features") and all(got[i].fallback_reason.startswith("model") for i in range(3, 7))
 
 
+def test_predictions_of_a_replay(spark):
+    rows = spark.createDataFrame([(1, 19, 5, 9, 1.0)], "trip_id long, promised_minutes int, a_us long, as_of_us long, x double")
+    assert serving.predict(rows, F.col("x"), ("x",), "v").first().served_us == 9
+    assert serving.predict(rows.drop("as_of_us"), F.col("x"), ("x",), "v").first().served_us == 5
+
+
 def test_payloads(spark):
     good = '{"trip_id": "t", "store_id": "s", "driver_id": "d", "assigned_at": "2026-09-01T09:00:00Z", "distance_m": "1200", "promised_minutes": 19}'
     bodies = [good, good.replace('"1200"', '"far"'), good.replace('"driver_id": "d", ', ""), "{", good.replace("2026-09-01T09", "yesterday")]
