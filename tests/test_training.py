@@ -1,6 +1,7 @@
 import json
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,8 +58,29 @@ def test_collinear_features_are_refused_without_penalty(spark):
 
 def test_constant_features_have_unit_scale(spark):
     rows = spark.range(50).select(F.lit(4.0).alias("x"), F.col("id").cast("double").alias("label"))
-    got = training.normal_equations(rows, ("x",)).first()
-    assert (got.s_0, got.m_0, got.g_0_0, got.n) == (1.0, 4.0, 1.0, 50)
+    got = training.normal_equations(rows, ("x",))
+    assert (got.scales[0], got.means[0], got.gram[0, 0], got.n) == (1.0, 4.0, 1.0, 50)
+
+
+def test_features_far_from_zero(spark):
+    """Where sums about zero would lose all digits, and where a feature that isn't a binary fraction doesn't vary."""
+    rows = spark.range(400).select((F.lit(1.7e9) + F.col("id") % 40).alias("x"), (F.col("id") % 7).cast("double").alias("z"), F.lit(0.1).alias("same"))
+    rows = rows.withColumn("label", 3 * (F.col("x") - 1.7e9) - 2 * F.col("z") + 10)
+    model = training.Ridge.fit(rows, ("x", "z", "same"), alpha=0.001)
+    assert abs(model.scales[0] - np.std(np.arange(400) % 40)) < 1e-6 and model.scales[2] == 1.0 and abs(model.means[2] - 0.1) < 1e-12 and model.weights[2] == 0
+    got = spark.createDataFrame([(1.7e9 + 10, 3.0, 0.1)], "x double, z double, same double").select(model.predict()).first()[0]
+    assert abs(got - 34.0) < 0.1
+
+
+def test_normal_equations_against_numpy(spark):
+    draw = np.random.default_rng(3)
+    x, y = draw.standard_normal((300, 3)) * [1, 50, 0.2] + [5, -100, 3], draw.standard_normal(300) + 30
+    rows = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y, strict=True)], "a double, b double, c double, label double")
+    z = (x - x.mean(0)) / x.std(0)
+    for about in (None, (5.0, -100.0, 3.0)):
+        got = training.normal_equations(rows, ("a", "b", "c"), 2.0, about)
+        assert np.allclose(got.gram, z.T @ z + 2.0 * np.eye(3), atol=1e-7) and np.allclose(got.right, z.T @ (y - y.mean()), atol=1e-7)
+        assert np.allclose(got.means, x.mean(0)) and np.allclose(got.scales, x.std(0)) and abs(got.mean_label - y.mean()) < 1e-9
 
 
 def test_predictions_have_a_floor(spark):
@@ -102,7 +124,7 @@ def test_unlabelled_sides_are_refused(spark):
 
 
 def test_a_fit_reads_its_rows_once(spark):
-    plan = training.normal_equations(spark.createDataFrame([(1.0, 2.0, 3.0)], "x double, z double, label double"), ("x", "z"))._jdf.queryExecution().optimizedPlan().toString()
+    plan = training.products(spark.createDataFrame([(1.0, 2.0, 3.0)], "x double, z double, label double"), ("x", "z"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1
 
 

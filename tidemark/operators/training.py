@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,8 @@ from tidemark.model import HOLDOUT, MINIMUM_MINUTES, PIVOT_TOLERANCE, RIDGE_ALPH
 from tidemark.operators.features import FEATURE_NAMES
 
 
+#: Deviation of a feature, as a share of its mean, from which on sums about zero keep ten digits or so.
+SPREAD = 1e-3
 #: Ranges of time that one round of the search for the boundary counts.
 SPLIT_RANGES = 20_000
 
@@ -91,12 +94,8 @@ class Ridge:
     def fit(cls, train: DataFrame, names: tuple[str, ...] = FEATURE_NAMES, alpha: float = RIDGE_ALPHA) -> Ridge:
         """One aggregation over the rows; the small system is solved here."""
         names = tuple(names)
-        k = range(len(names))
-        row = normal_equations(train, names, alpha).first()
-        if not row["n"]:
-            raise TidemarkError("there are no labelled rows")
-        weights = solve([[row[f"g_{min(i, j)}_{max(i, j)}"] for j in k] for i in k], [row[f"b_{i}"] for i in k])
-        return cls(names, tuple(weights), row["mean_label"], tuple(row[f"m_{i}"] for i in k), tuple(row[f"s_{i}"] for i in k), alpha)
+        eq = normal_equations(train, names, alpha)
+        return cls(names, tuple(solve(eq.gram, eq.right)), eq.mean_label, tuple(eq.means.tolist()), tuple(eq.scales.tolist()), alpha)
 
     def predict(self) -> Column:
         """One expression, inside code generation; never below the least time."""
@@ -117,30 +116,57 @@ def from_payload(payload: dict) -> Baseline | Ridge:
     raise TidemarkError(f"a model of kind {payload.get('kind')!r} is unknown")
 
 
-def normal_equations(train: DataFrame, names: tuple[str, ...], alpha: float = RIDGE_ALPHA) -> DataFrame:
-    """Everything that a fit needs, from one aggregation to one row.
+def products(train: DataFrame, names: tuple[str, ...], about: tuple[float, ...] | None = None) -> DataFrame:
+    """The sums that a fit needs, from one aggregation to one row: of the label, of each feature, of their products.
 
-    n, mean_label, mean (m_i) and population deviation (s_i; 1 where a feature doesn't vary) of each feature, and
-    the normal equations of standardised features against the centred label: g_i_j (i <= j) and b_i.
+    Sums of products cost a sixth of covariances. ``about`` gives the features' centres where values lie so far from
+    zero that such sums lose digits.
     """
     k = range(len(names))
-    raw = [F.count(F.lit(1)).alias("n"), F.avg("label").alias("mean_label")]
-    raw += [F.avg(c).alias(f"m_{i}") for i, c in enumerate(names)] + [F.var_pop(c).alias(f"v_{i}") for i, c in enumerate(names)]
-    raw += [F.covar_pop(F.col(names[i]), F.col(names[j])).alias(f"c_{i}_{j}") for i in k for j in k if i < j]
-    raw += [F.covar_pop(F.col(c), F.col("label")).alias(f"l_{i}") for i, c in enumerate(names)]
-    n = F.col("n").cast("double")
-    scale = [F.when(F.col(f"v_{i}") > 0, F.sqrt(f"v_{i}")).otherwise(1.0) for i in k]
-    cell = lambda i, j: n * F.col(f"v_{i}") / (scale[i] * scale[i]) + alpha if i == j else n * F.col(f"c_{i}_{j}") / (scale[i] * scale[j])
-    cells = [cell(i, j).alias(f"g_{i}_{j}") for i in k for j in k if i <= j] + [(n * F.col(f"l_{i}") / scale[i]).alias(f"b_{i}") for i in k]
-    return train.agg(*raw).select("n", "mean_label", *(f"m_{i}" for i in k), *(s.alias(f"s_{i}") for i, s in enumerate(scale)), *cells)
-
-
-def solve(a: list[list[float]], b: list[float]) -> list[float]:
+    x = [F.col(c).cast("double") - F.lit(float(about[i])) if about else F.col(c).cast("double") for i, c in enumerate(names)]
+    y = F.col("label").cast("double")
+    sums = [f(x[i]).alias(f"{name}_{i}") for i in k for name, f in (("x", F.sum), ("lo", F.min), ("hi", F.max))]
+    sums += [F.sum(x[i] * x[j]).alias(f"q_{i}_{j}") for i in k for j in k if i <= j] + [F.sum(x[i] * y).alias(f"l_{i}") for i in k]
+    return train.agg(F.count("label").alias("n"), F.sum(y).alias("y"), *sums)
+
+
+class Equations(NamedTuple):
+    """The normal equations of standardised features against the centred label, and what standardises them."""
+
+    n: int
+    mean_label: float
+    means: np.ndarray
+    scales: np.ndarray
+    gram: np.ndarray
+    right: np.ndarray
+
+
+def normal_equations(train: DataFrame, names: tuple[str, ...], alpha: float = RIDGE_ALPHA, about: tuple[float, ...] | None = None) -> Equations:
+    """From ``products``: one pass over the rows, or a second one about the means if a feature varies little around a large one.
+
+    Deviations are those of the population, and 1 where a feature doesn't vary.
+    """
+    row, k = products(train, names, about).first(), range(len(names))
+    n = row["n"]
+    if not n:
+        raise TidemarkError("there are no labelled rows")
+    x, left = np.array([row[f"x_{i}"] for i in k]), np.array([row[f"l_{i}"] for i in k])
+    square = np.array([[row[f"q_{min(i, j)}_{max(i, j)}"] for j in k] for i in k])
+    fixed = np.array([row[f"lo_{i}"] == row[f"hi_{i}"] for i in k])
+    centred, right = square - np.outer(x, x) / n, left - x * row["y"] / n
+    centred[fixed], centred[:, fixed], right[fixed] = 0.0, 0.0, 0.0
+    means, scales = x / n + np.array(about or 0.0), np.sqrt(np.maximum(np.diag(centred), 0) / n)
+    if about is None and (scales[~fixed] <= SPREAD * np.abs(means[~fixed])).any():
+        return normal_equations(train, names, alpha, tuple(means.tolist()))
+    scales = np.where(scales > 0, scales, 1.0)
+    return Equations(n, row["y"] / n, means, scales, centred / np.outer(scales, scales) + alpha * np.eye(len(names)), right / scales)
+
+
+def solve(a: np.ndarray, b: np.ndarray) -> list[float]:
     """A small linear system. One whose smallest singular value is next to nothing is refused."""
-    a = np.array(a)
     if np.linalg.svd(a, compute_uv=False).min() < PIVOT_TOLERANCE * max(1.0, np.abs(a).max()):
         raise TidemarkError("the system is singular: a feature is a combination of others")
-    return np.linalg.solve(a, np.array(b)).tolist()
+    return np.linalg.solve(a, b).tolist()
 
 
 def metrics(rows: DataFrame, by: tuple[str, ...] = (), median: str = "interpolated") -> DataFrame:

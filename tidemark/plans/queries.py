@@ -413,9 +413,9 @@ def score_ridge(spark, sf_dir):
     )
 )
 def ridge_moments(spark, sf_dir):
-    row = training.normal_equations(labelled(spark, sf_dir).where("is_train"), features.FEATURE_NAMES)
-    each = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"m_{i}").alias("mean"), F.col(f"s_{i}").alias("scale")) for i, c in enumerate(features.FEATURE_NAMES)))
-    return rounded(row.select(F.inline(each)))
+    eq = training.normal_equations(labelled(spark, sf_dir).where("is_train"), features.FEATURE_NAMES)
+    rows = [(c, float(m), float(v)) for c, m, v in zip(features.FEATURE_NAMES, eq.means, eq.scales, strict=True)]
+    return rounded(spark.createDataFrame(rows, "feature string, mean double, scale double"))
 
 
 _PAIRS = [(i, j) for i in range(9) for j in range(i, 9)]
@@ -436,9 +436,9 @@ _PAIRS = [(i, j) for i in range(9) for j in range(i, 9)]
 )
 def ridge_gram(spark, sf_dir):
     """The normal equations of the honest model, a row for each cell."""
-    row = training.normal_equations(labelled(spark, sf_dir).where("is_train"), features.FEATURE_NAMES)
-    cells = [c for c in row.columns if c[:2] in ("g_", "b_") or c == "mean_label"]
-    return rounded(row.unpivot([], cells, "cell", "value"), 4)
+    eq = training.normal_equations(labelled(spark, sf_dir).where("is_train"), features.FEATURE_NAMES)
+    cells = [(f"g_{i}_{j}", float(eq.gram[i, j])) for i, j in _PAIRS] + [(f"b_{i}", float(x)) for i, x in enumerate(eq.right)] + [("mean_label", eq.mean_label)]
+    return rounded(spark.createDataFrame(cells, "cell string, value double"), 4)
 
 
 @query()
