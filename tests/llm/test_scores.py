@@ -7,7 +7,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,6 +194,8 @@ def test_expected_counts_of_whole_texts(segment, monkeypatch):
     want = sum(plain_counts(m, t)[0] for t in texts).astype(float)
     assert np.allclose(m.expected(np.concatenate(texts), ends), want, atol=1e-9)
     assert m.expected(np.zeros(0, np.uint16), np.array([0])).sum() == 0
+    same = np.concatenate([texts[1]] * 10)  # equal lengths: segments end where texts do
+    assert np.allclose(m.expected(same, np.arange(11) * 90), 10 * plain_counts(m, texts[1])[0].astype(float), atol=1e-8)
     assert [b - a for a, b in hmm.groups(ends, 95)] == [3, 1, 1, 1]
 
 
@@ -303,7 +304,7 @@ def test_a_whole_block_against_all_pairs(spark):
     """Unit vectors without structure, the hardest for codes, in blocks as large as they get."""
     x = np.random.default_rng(11).standard_normal((20_000, 32))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    vectors = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)})).repartition(4)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
     spark.conf.set("spark.sql.shuffle.partitions", "1")
     try:
         got = nearest.nearest(vectors, F.col("vec_id") % 1000 == 0, k=10).orderBy("query_id", "rank").collect()

@@ -23,7 +23,7 @@ from tidemark.llm.spread import cut, partitions, scratch
 #: Words share classes by their hash's lowest bits, so the number of shared classes is a power of two.
 STATES, OWN_CLASSES, SHARED_CLASSES = 8, 255, 256
 #: Rounds of Baum-Welch; tokens of texts that run side by side in it, and of a segment of time that is held at once.
-ROUNDS, TOGETHER, SEGMENT, SEED = 3, 1 << 19, 1 << 16, 11
+ROUNDS, TOGETHER, SEGMENT, SEED = 3, 1 << 18, 1 << 18, 11
 #: Different words that a task counts before it passes the counts on.
 HELD_WORDS = 1 << 19
 #: Counts of so many of the commonest words are sent to every task; the others are joined.
@@ -95,9 +95,11 @@ class Model:
         order = np.argsort(-np.diff(ends), kind="stable")
         begin, size = ends[:-1][order], np.diff(ends)[order]
         active = np.searchsorted(-size, -np.arange(1, int(size.max(initial=0)) + 1), side="right")
+        if not len(active):
+            return np.zeros(STATES + STATES**2 + STATES * CLASSES)
         emit = np.ascontiguousarray(self.emit.T)
         cells = np.concatenate([[0], np.cumsum(active)])
-        cuts = [*np.unique(np.searchsorted(cells, np.arange(0, cells[-1], SEGMENT), side="left")), len(active)]
+        cuts = np.unique([*np.searchsorted(cells, np.arange(0, cells[-1], SEGMENT)), len(active)]).tolist()
 
         def forward(low: int, high: int, state: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             for t in range(low, high):
@@ -107,11 +109,11 @@ class Model:
                 state = state / scale
                 yield state, scale, seen
 
-        begins, state = [], np.zeros((0, STATES))
-        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-            begins.append(state)
-            for state, _, _ in forward(low, high, state):  # noqa: B007
+        begins = [np.zeros((0, STATES))]
+        for low, high in zip(cuts[:-2], cuts[1:-1], strict=True):  # not the last, from which the way back begins
+            for state, _, _ in forward(low, high, begins[-1]):  # noqa: B007
                 pass
+            begins.append(state)
         start, move, by_class = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES))
         ahead = np.zeros((0, STATES))  # of the next step: backward state times emission over scale
         for low, high, state in zip(cuts[-2::-1], cuts[:0:-1], begins[::-1], strict=True):
