@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +24,7 @@ from tidemark.llm.spread import cut, partitions, scratch
 #: Words share classes by their hash's lowest bits, so the number of shared classes is a power of two.
 STATES, OWN_CLASSES, SHARED_CLASSES = 8, 255, 256
 #: Rounds of Baum-Welch; tokens of texts that run side by side in it, and of a segment of time that is held at once.
-ROUNDS, TOGETHER, SEGMENT, SEED = 3, 1 << 18, 1 << 18, 11
+ROUNDS, TOGETHER, SEGMENT, SEED = 3, 1 << 19, 1 << 17, 11
 #: Different words that a task counts before it passes the counts on.
 HELD_WORDS = 1 << 19
 #: Counts of so many of the commonest words are sent to every task; the others are joined.
@@ -250,7 +251,9 @@ def score_texts(docs: DataFrame, learn: Column, rounds: int = ROUNDS, sent: int
         def gather(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             total = np.zeros(STATES + STATES**2 + STATES * CLASSES)
             for batch in batches:
-                tokens, ends = tokens_of(batch.column("tokens"))
+                column = batch.column("tokens")
+                by_length = np.argsort(np.asarray(pc.binary_length(column)), kind="stable")  # so that texts side by side end together
+                tokens, ends = tokens_of(column.take(pa.array(by_length)))
                 for a, b in groups(ends, TOGETHER):
                     total += now.value.expected(tokens[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
             yield pa.record_batch([pa.array(np.arange(len(total))), pa.array(total)], ["slot", "v"])
