@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, hmm, line_dedup, mixing, nearest, ngram_join, pii, quality, substring_dedup, suffix_dedup
+from tidemark.llm import decontaminate, hmm, lexical, line_dedup, mixing, nearest, ngram_join, pii, quality, substring_dedup, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,14 +74,20 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", decontaminate.hit_words().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
 
 
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op2_line_dedup, op3_ngram_jaccard, op4_nearest, op5_hmm, op6_pii, op7_substring_dedup, op8_mix_sources, op9_suffix_dedup, op10_decontaminate)
+    for f in (op1_quality, op2_line_dedup, op3_ngram_jaccard, op4_nearest, op5_hmm, op6_pii, op7_substring_dedup, op8_mix_sources, op9_suffix_dedup, op10_decontaminate, op13_lexical)
 }
 
 WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+TERMS = rf"list_filter(regexp_split_to_array({LOWERED}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+
 ORACLES: dict[str, str] = {
     "op3_ngram_jaccard": rf"""
         WITH RECURSIVE d AS (SELECT doc_id, {WORDS.format(text=LOWERED)} AS w FROM documents),
@@ -140,4 +146,15 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
                sha256(unhex(coalesce(t, '') || substr(x, 2 * coalesce(rest, 0) + 1))) AS kept_sha256
         FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id LEFT JOIN head ON head.doc_id = d.doc_id""",
+    "op13_lexical": rf"""
+        WITH d AS (SELECT doc_id, unnest({TERMS}) AS t FROM documents),
+        q AS (SELECT item_id, t, count(*) AS many FROM (SELECT item_id, unnest({TERMS}) AS t FROM benchmark) GROUP BY ALL),
+        size AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+        s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS l FROM size),
+        tf AS (SELECT doc_id, t, count(*) AS tf FROM d WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+        w AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, s GROUP BY t, docs),
+        i AS (SELECT tf.doc_id, tf.t, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * docs) // l)))) AS i FROM tf JOIN size USING (doc_id) JOIN w USING (t), s),
+        scored AS (SELECT item_id, doc_id, CAST(sum(i * many) AS BIGINT) AS score FROM q JOIN i USING (t) GROUP BY ALL)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10""",
 }
