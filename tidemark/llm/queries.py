@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, hmm, lexical, line_dedup, mixing, nearest, ngram_join, pii, quality, substring_dedup, suffix_dedup
+from tidemark.llm import decontaminate, hmm, lexical, line_dedup, mixing, nearest, ngram_join, pii, prefix_trie, quality, substring_dedup, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,13 +74,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", decontaminate.hit_words().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), origin=conv - conv % 5, shared=F.crc32(conv.cast("string")) % 9, most=8)
+
+
 def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op2_line_dedup, op3_ngram_jaccard, op4_nearest, op5_hmm, op6_pii, op7_substring_dedup, op8_mix_sources, op9_suffix_dedup, op10_decontaminate, op13_lexical)
+    for f in (op1_quality, op2_line_dedup, op3_ngram_jaccard, op4_nearest, op5_hmm, op6_pii, op7_substring_dedup, op8_mix_sources, op9_suffix_dedup, op10_decontaminate, op12_prefix_trie, op13_lexical)
 }
 
 WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -88,6 +93,10 @@ LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuv
 
 TERMS = rf"list_filter(regexp_split_to_array({LOWERED}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 
+#: crc32 of an id's digits, bit by bit; 3988292384 is the reversed polynomial.
+CRC32 = """xor(4294967295::BIGINT, list_reduce(list_transform(range(0, length(c::VARCHAR) + 1), lambda i: CASE WHEN i = 0 THEN 4294967295::BIGINT ELSE ascii(substr(c::VARCHAR, i, 1))::BIGINT END),
+            lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, (x & 1) * 3988292384::BIGINT))))"""
+
 ORACLES: dict[str, str] = {
     "op3_ngram_jaccard": rf"""
         WITH RECURSIVE d AS (SELECT doc_id, {WORDS.format(text=LOWERED)} AS w FROM documents),
@@ -146,6 +155,19 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
                sha256(unhex(coalesce(t, '') || substr(x, 2 * coalesce(rest, 0) + 1))) AS kept_sha256
         FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id LEFT JOIN head ON head.doc_id = d.doc_id""",
+    "op12_prefix_trie": f"""
+        WITH t AS (SELECT conv_id AS c, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) ORDER BY turn NULLS FIRST) AS turns FROM conversations GROUP BY conv_id),
+        h AS (SELECT c, turns, {CRC32} % 9 AS h FROM t),
+        r AS (SELECT h.c, list_concat(CASE WHEN o.turns IS NULL THEN h.turns[1:0] ELSE o.turns[1:h.h] END, h.turns[h.h + 1:]) AS turns FROM h LEFT JOIN t o ON o.c = h.c - h.c % 5),
+        p AS (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS depth FROM r),
+        n AS (SELECT depth, turns[1:depth] AS prefix, min(c) AS conv_id, count(*) AS n_convs, list(c ORDER BY c) FILTER (WHERE len(turns) = depth) AS ended FROM p GROUP BY 1, 2),
+        v AS (SELECT *, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * octet_length(encode(prefix[depth].text)) END AS worth, prefix[1:depth - 1] AS above FROM n),
+        k AS (SELECT depth - 1 AS depth, above AS prefix, count(*) AS n_children FROM v WHERE depth > 0 GROUP BY 1, 2),
+        w AS (SELECT v.*, coalesce(n_children, 0) AS n_children, CASE WHEN n_children IS NULL THEN 1 ELSE 0 END AS leaf FROM v LEFT JOIN k ON k.depth = v.depth AND k.prefix = v.prefix),
+        up AS (SELECT prefix[1:d] AS prefix, d AS depth, sum(worth) AS saved, sum(leaf) AS leaves FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM w) GROUP BY 1, 2)
+        SELECT w.conv_id, w.depth, pa.conv_id AS parent_conv_id, w.n_convs, w.n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+               sha256(coalesce(array_to_string(w.ended, ','), '')) AS ends_sha256
+        FROM w JOIN up ON up.prefix = w.prefix AND up.depth = w.depth LEFT JOIN w pa ON pa.prefix = w.above AND pa.depth = w.depth - 1""",
     "op13_lexical": rf"""
         WITH d AS (SELECT doc_id, unnest({TERMS}) AS t FROM documents),
         q AS (SELECT item_id, t, count(*) AS many FROM (SELECT item_id, unnest({TERMS}) AS t FROM benchmark) GROUP BY ALL),

@@ -10,7 +10,7 @@ from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of input that one partition of a shuffled text should hold.
@@ -78,6 +78,29 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         delete(spark, inner)
 
 
+def spread_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str, limit: int) -> DataFrame:
+    """rows joined to table, which has one row for each key and in ``weight`` the number of rows that have it.
+
+    Keys of more than limit rows are dealt to several tasks. These are few (all rows by limit, at most), so they
+    are broadcast.
+    """
+    salts = F.ceil(F.col(weight) / limit).cast("int")
+    hot = F.broadcast(table.where(F.col(weight) > limit).select(*on, salts.alias("salts")))
+    salt = F.pmod(F.xxhash64(*rows.columns), F.coalesce("salts", F.lit(1))).cast("int")
+    left = rows.join(hot, on, "left").withColumn("salt", salt).drop("salts")
+    right = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
+    return left.join(right, [*on, "salt"]).drop("salt")
+
+
+def dense(keys: DataFrame, name: str) -> DataFrame:
+    """keys, written, with a number for each row: 0, 1, 2 and so on."""
+    raw = cut(keys.withColumn("raw", F.monotonically_increasing_id()))
+    part, nth = F.shiftright("raw", 33), F.col("raw").bitwiseAND(2**33 - 1)
+    before = F.sum("many").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each partition
+    base = raw.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("many")).select("part", F.coalesce(before, F.lit(0)).alias("base"))
+    return raw.withColumn("part", part).join(F.broadcast(base), "part").withColumn(name, F.col("base") + nth).drop("part", "base", "raw")
+
+
 def whole_runs(batches: Iterator[pa.RecordBatch], key: str, rows: int = 4096) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Rows of a task that is sorted by key, as tables that hold whole runs of it, with the runs' offsets.
 
