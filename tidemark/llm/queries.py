@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, hmm, lexical, line_dedup, mixing, nearest, ngram_join, pii, prefix_trie, quality, substring_dedup, suffix_dedup
+from tidemark.llm import decontaminate, hmm, html_extract, lexical, line_dedup, mixing, nearest, ngram_join, pii, prefix_trie, quality, substring_dedup, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", decontaminate.hit_words().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
 
 
+def op11_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = F.col("conv_id")
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), origin=conv - conv % 5, shared=F.crc32(conv.cast("string")) % 9, most=8)
@@ -85,7 +90,7 @@ def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op2_line_dedup, op3_ngram_jaccard, op4_nearest, op5_hmm, op6_pii, op7_substring_dedup, op8_mix_sources, op9_suffix_dedup, op10_decontaminate, op12_prefix_trie, op13_lexical)
+    for f in (op1_quality, op2_line_dedup, op3_ngram_jaccard, op4_nearest, op5_hmm, op6_pii, op7_substring_dedup, op8_mix_sources, op9_suffix_dedup, op10_decontaminate, op11_html_extract, op12_prefix_trie, op13_lexical)
 }
 
 WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
