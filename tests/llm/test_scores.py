@@ -274,17 +274,41 @@ def test_recall(spark):
     assert set(got) == set(want) and hits >= 0.9 * 10 * len(want)
 
 
-def test_recall_when_few_of_a_block_are_reranked(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    spark.conf.set("spark.sql.shuffle.partitions", "2")
-    try:
-        got = nearest.nearest(rows, F.col("vec_id") % 50 == 0, k=10).collect()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
-    all_rows = [(r.vec_id, np.array(r.embedding, float)) for r in rows.collect()]
-    want = exact(all_rows, [r for r in all_rows if r[0] % 50 == 0], 10)
-    pairs = {(r.query_id, r.vec_id) for r in got}
-    assert sum((i, j) in pairs for i, f in want.items() for _, j in f) >= 0.9 * sum(map(len, want.values()))
+def searched(x, every, parts=1, confidence=nearest.CONFIDENCE):
+    """Share of rows left open for a query, and recall among them."""
+    codes, ids = nearest.Codes(x[: nearest.SAMPLE_ROWS]), np.arange(len(x))
+    centre, packed, sizes = codes.encode(x)
+    asked, pairs = ids[::every], []
+    for part in range(parts):
+        search = nearest.Search(codes, 10, confidence, asked, x[asked])
+        for c in np.unique(centre):
+            rows = np.flatnonzero((centre == c) & (ids % parts == part))
+            if len(rows):
+                search.add(int(c), ids[rows], ids[rows], packed[rows], sizes[rows])
+        query, name, *_ = search.left()
+        pairs += zip(asked[query].tolist(), name.tolist(), strict=True)
+    hits, found = 0, set(pairs)
+    for i in asked.tolist():
+        away = ((x - x[i]) ** 2).sum(1)
+        away[i] = np.inf
+        hits += sum((i, j) in found for j in np.lexsort((ids, away))[:10].tolist())
+    return len(pairs) / len(asked) / len(x), hits / len(asked) / 10
+
+
+def test_codes_decide(spark):
+    """Few rows are left to be measured, and the nearest are among them; with an unlimited bound for certain."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()
+    rng = np.random.default_rng(11)
+    unit = rng.standard_normal((20_000, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    copies = rng.standard_normal((6_000, 16))
+    copies[2000:] = copies[0] + 1e-6 * rng.standard_normal((4_000, 16))
+    for name, x in (("table", np.array([r.embedding for r in table], float)), ("unit vectors", unit), ("a group of near copies", copies)):
+        share, recall = searched(x, 40)
+        print(f"{name}: {share:.2%} of rows measured for a query, recall {recall:.3f}")
+        assert share <= 0.1 and recall >= 0.99
+        assert searched(x, 400, confidence=math.inf)[1] == 1.0
+    assert searched(unit, 400, parts=4)[0] <= 0.1
 
 
 @pytest.mark.parametrize("noise", [0.0, 1e-9, 1e-3])
@@ -331,6 +355,19 @@ def test_vectors_that_take_no_part(spark):
     assert nearest.nearest(vectors.limit(0), F.lit(True)).collect() == []
 
 
+def test_very_large_and_small_numbers(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1e199]), (2, [1.0, 0.0]), (3, [3e200, 0.0]), (4, [1e-200, 0.0]), (5, [1e-200, 1e-201]), (6, [1.7e308, 0.0]), (7, [-1.7e308, 0.0])]
+    rows += [(10 + i, [1.0, i / 7]) for i in range(20)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest.nearest(vectors, F.col("vec_id").isin(0, 4, 6, 12), k=3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert [i for i, _ in got[0]] == [1, 2, 4] and got[0][0][1] == pytest.approx(1e199)
+    assert [i for i, _ in got[4]] == [5, 2, 10] and got[4][0][1] == pytest.approx(1e-201)
+    assert [i for i, _ in got[6]] == [0, 1, 2] and [i for i, _ in got[12]] == [11, 13, 10]
+    assert nearest.nearest(vectors.where("vec_id in (0, 1, 3)"), F.col("vec_id") == 0).count() == 2
+
+
 def test_parallel_errors_weigh_more():
     rng = np.random.default_rng(5)
     x = rng.standard_normal((3000, 16))
