@@ -38,18 +38,19 @@ def keyed(docs):
     return [tuple(r) for r in docs.select(order_key().alias("key"), "text", "doc_id").collect()]
 
 
-@pytest.mark.parametrize(("window", "anchor", "limit"), [(20, 8, 96), (20, 8, 1), (5, 2, 96), (3, 3, 2)])
-def test_passages(docs, window, anchor, limit, monkeypatch):
+@pytest.mark.parametrize(("window", "anchor", "limit", "bits"), [(20, 8, 96, 64), (20, 8, 1, 64), (5, 2, 96, 64), (3, 3, 2, 64), (20, 8, 96, 12), (20, 8, 1, 12), (5, 2, 96, 12)])
+def test_passages(docs, window, anchor, limit, bits, monkeypatch):
+    """With hashes of 12 bits, too, when many different texts share one."""
     monkeypatch.setattr(substring_dedup, "BUCKET_SPANS", limit)  # with few, most anchors are crowded
     rows = keyed(docs)
     units, gone = brute([r[:2] for r in rows], lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or ""), window)
     want = sorted((d is None, d or 0, " ".join(w for w, g in zip(u, f, strict=True) if not g), len(u), sum(f)) for (_, _, d), u, f in zip(rows, units, gone, strict=True))
-    got = sorted((r.doc_id is None, r.doc_id or 0, r.text, r.n_words, r.n_removed) for r in remove_repeated_passages(docs, window, anchor).collect())
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text, r.n_words, r.n_removed) for r in remove_repeated_passages(docs, window, anchor, bits).collect())
     assert got == want
 
 
-@pytest.mark.parametrize(("length", "gram", "limit"), [(100, 32, 4096), (100, 32, 1), (12, 5, 4096)])
-def test_bytes(docs, length, gram, limit, monkeypatch):
+@pytest.mark.parametrize(("length", "gram", "limit", "bits"), [(100, 32, 4096, 64), (100, 32, 1, 64), (12, 5, 4096, 64), (100, 32, 4096, 12), (100, 32, 1, 12)])
+def test_bytes(docs, length, gram, limit, bits, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BUCKET_SPANS", limit)
     rows = keyed(docs)
     units, gone = brute([r[:2] for r in rows], lambda t: (t or "").encode(), length)
@@ -57,7 +58,7 @@ def test_bytes(docs, length, gram, limit, monkeypatch):
     for (_, _, d), u, f in zip(rows, units, gone, strict=True):
         runs = sum(1 for i, g in enumerate(f) if g and not (i and f[i - 1]))
         want.append((d is None, d or 0, bytes(b for b, g in zip(u, f, strict=True) if not g), len(u), sum(f), runs))
-    got = [(r.doc_id is None, r.doc_id or 0, bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in remove_repeated_bytes(docs, length, gram).collect()]
+    got = [(r.doc_id is None, r.doc_id or 0, bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in remove_repeated_bytes(docs, length, gram, bits).collect()]
     assert sorted(got) == sorted(want)
 
 
@@ -147,9 +148,10 @@ def test_rounds_of_refinement():
 
 def test_a_passage_in_all_documents_meets_nowhere(spark):
     """One passage amid different words: its anchor's spans are crowded, and each range holds only a part of them."""
-    batch = lambda gram, spans: pa.record_batch([pa.array(np.full(len(spans), gram)), pa.array(spans), pa.array(spans)], ["gram", "span", "k"])
+    batch = lambda gram, spans: pa.record_batch([pa.array(np.full(len(spans), gram)), pa.array(spans), pa.array(spans), pa.array(np.full(len(spans), 1 + (gram == 7)))], ["gram", "span", "k", "many"])
     kinds = next(bucket_kinds(iter([batch(1, np.arange(3)), batch(5, np.arange(2)), batch(6, np.arange(9)), batch(7, np.arange(1)), batch(9, np.arange(4))]), 5))
     assert kinds.column("kind").to_pylist() == [CROWDED] * 3 + [SHARED] * 2 + [CROWDED] * 9 + [ALONE] + [CROWDED] * 4
+    assert kinds.column("many").to_pylist() == [False] * 14 + [True] + [False] * 4
     draw = random.Random(3)
     passage = " ".join(f"p{i}" for i in range(24))
     rows = [(i, " ".join([*(f"w{draw.randrange(10**6)}" for _ in range(15)), passage, *(f"w{draw.randrange(10**6)}" for _ in range(15))])) for i in range(600)]

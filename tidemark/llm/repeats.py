@@ -9,13 +9,14 @@ a seed lie side by side; the stretch that they cover together is its *span*.
 
 * Spans are dealt out by ranges of (seed, span), so all spans of a seed meet, unless they are very many. Equal
   spans hold equal windows: all but those of the smallest document go as a whole. A seed of which there is one
-  span only is settled.
+  span only is settled. Spans are equal if their hashes are *and their text is*: the text of all that share a hash is
+  compared by its least and greatest. Should two texts have one hash, their seeds are taken as crowded.
 * The other spans go, with their text, to their seed's bucket, where ``decide`` compares the text itself: by
   extending matches (``substring_dedup``) or by refining buckets of suffixes (``suffix_dedup``).
 * Seeds of more spans than a bucket may hold, and those that the ranges cut, aren't gathered anywhere. What lies
   beside such a seed, to few depths on either side, is grouped by its hash first: where only one document goes on
   like that, none of its windows that reach so far can come up elsewhere. The other windows are grouped one by one,
-  by two 64-bit hashes. Both are aggregations combined before the shuffle.
+  by two 64-bit hashes of different make (128 bits). Both are aggregations combined before the shuffle.
 
 Answers go back as lists of first occurrences keyed by document. So no group of copies ever meets in one task,
 and no pairs leave one. Texts are shuffled once, by document; later steps join lists to that same exchange.
@@ -32,10 +33,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import arrays
 from tidemark.llm.arrays import Rolling, covered, inside_texts, lists, mix, pieces, sliding
 from tidemark.llm.spread import order_key, partitions, whole_runs
 
 ALONE, SHARED, CROWDED = 0, 1, 2
+#: Hashes that two texts may share before the run ends with an error: by chance there are none.
+MOST_CLASHES = 10_000
 
 
 class Units(NamedTuple):
@@ -60,9 +64,9 @@ class Bucketed(NamedTuple):
 class Spans:
     """Seeds of a run of units with their spans: text, first and last window, hashes of the q-gram and the span."""
 
-    def __init__(self, values: np.ndarray, ends: np.ndarray, length: int, gram: int):
+    def __init__(self, values: np.ndarray, ends: np.ndarray, length: int, gram: int, bits: int = 64):
         self.values, self.rolling, n = values, Rolling(values), len(values) - length + 1
-        self.length, self.gram_length, width = length, gram, length - gram + 1
+        self.length, self.gram_length, self.other, width = length, gram, None, length - gram + 1
         if n <= 0:
             self.low = self.high = self.text = self.seed = np.zeros(0, np.int64)
             self.gram = self.span = np.zeros(0, np.int64)
@@ -88,7 +92,8 @@ class Spans:
         self.text = np.searchsorted(ends, self.low, side="right") - 1
         self.gram = grams[self.seed].view(np.int64)
         place = ((self.seed - self.low).astype(np.uint64) << np.uint64(32)) | (self.high - self.low).astype(np.uint64)
-        self.span = mix(self.rolling.at(self.low, self.high + length) ^ mix(place + np.uint64(1))).view(np.int64)
+        self.span = mix(self.rolling.at(self.low, self.high + length) ^ mix(place + np.uint64(1)))
+        self.span = (self.span >> np.uint64(64 - bits)).view(np.int64)
 
     def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The windows of chosen spans: start, number of the span among the chosen, and number within it."""
@@ -112,8 +117,20 @@ class Spans:
             out[far] |= _listed(text[far], self.side(seed[far], levels[level[far]], left), column)
         return out
 
-    def hashes(self, starts: np.ndarray) -> np.ndarray:
-        return self.rolling.at(starts, starts + self.length).view(np.int64)
+    def hashes(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of the windows at some starts."""
+        if self.other is None:
+            self.other = Rolling(arrays.mix(self.values.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D)))
+        return tuple(r.at(starts, starts + self.length).view(np.int64) for r in (self.rolling, self.other))
+
+    def clashes(self) -> np.ndarray:
+        """Spans that share their hash with one of another seed in their text: rare, but lists can't tell them apart."""
+        order = np.lexsort((self.gram, self.span, self.text))
+        text, span, gram = self.text[order], self.span[order], self.gram[order]
+        near = (text[1:] == text[:-1]) & (span[1:] == span[:-1]) & (gram[1:] != gram[:-1])
+        out = np.zeros(len(order), bool)
+        out[order[1:][near]] = out[order[:-1][near]] = True
+        return out
 
 
 def depths(length: int, gram: int) -> np.ndarray:
@@ -122,76 +139,115 @@ def depths(length: int, gram: int) -> np.ndarray:
     return least << np.arange(max(1, (length - gram) // least).bit_length())
 
 
-def _once(text: np.ndarray, key: np.ndarray) -> np.ndarray:
+def _once(text: np.ndarray, *key: np.ndarray) -> np.ndarray:
     """True where a key comes up for the first time in its text."""
-    order = np.lexsort((key, text))
+    order = np.lexsort((*key, text))
     new = np.ones(len(order), bool)
-    new[1:] = (np.diff(text[order]) != 0) | (key[order][1:] != key[order][:-1])
+    new[1:] = np.any([c[order][1:] != c[order][:-1] for c in (text, *key)], axis=0)
     out = np.zeros(len(order), bool)
     out[order[new]] = True  # lexsort is stable: the first of equal keys is the earliest
     return out
 
 
-def _least(key: np.ndarray, own: np.ndarray) -> np.ndarray:
+def _repeats(values: np.ndarray, starts: np.ndarray, text: np.ndarray, key: tuple[np.ndarray, ...], length: int) -> np.ndarray:
+    """Which windows, sorted by text and start, come up before in their text: those of one key, if their values are the same."""
+    order = np.lexsort((*key, text))  # stable, so earlier starts come first
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[order][1:] != c[order][:-1] for c in (text, *key)], axis=0)
+    again = np.flatnonzero(~new)
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))[again]]
+    out, again = np.zeros(len(starts), bool), order[again]
+    for i in range(0, len(again), 1 << 14):
+        one, other = (starts[x[i : i + (1 << 14)], None] + np.arange(length) for x in (again, first))
+        out[again[i : i + (1 << 14)]] = (values[one] == values[other]).all(1)
+    return out
+
+
+def _least(own: np.ndarray, *key: np.ndarray) -> np.ndarray:
     """For each key the place of its smallest document: what a task knows of it before the shuffle."""
-    order = np.lexsort((own, key))
+    order = np.lexsort((own, *key))
     new = np.ones(len(order), bool)
-    new[1:] = np.diff(key[order]) != 0
+    new[1:] = np.any([c[order][1:] != c[order][:-1] for c in key], axis=0)
     return order[new]
 
 
-def _found(text: np.ndarray, key: np.ndarray, values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _found(text: np.ndarray, key: tuple[np.ndarray, ...], values: tuple[np.ndarray, ...], ends: np.ndarray) -> np.ndarray:
     """The place of a key in its text's list, or -1."""
-    if not len(values):
-        return np.full(len(key), -1)
-    owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-    of = lambda k, t: mix(k.view(np.uint64) ^ mix(t.astype(np.uint64) + np.uint64(7)))
-    known, asked = of(values, owner), of(key, text)
+    if not len(values[0]):
+        return np.full(len(text), -1)
+    known, asked, here = np.repeat(np.arange(len(ends) - 1), np.diff(ends)), text.astype(np.int64), np.ones(len(text), bool)
+    for v, k in zip(values, key, strict=True):  # by number instead of value, so that text and key make one number
+        distinct = np.unique(v)
+        at = np.minimum(np.searchsorted(distinct, k), len(distinct) - 1)
+        here &= distinct[at] == k
+        known, asked = known * len(distinct) + np.searchsorted(distinct, v), asked * len(distinct) + at
     order = np.argsort(known)
     at = order[np.minimum(np.searchsorted(known[order], asked), len(known) - 1)]
-    return np.where(known[at] == asked, at, -1)
+    return np.where(here & (known[at] == asked), at, -1)
 
 
 def _listed(text: np.ndarray, key: np.ndarray, column: pa.Array) -> np.ndarray:
-    return _found(text, key, *lists(column)) >= 0
+    values, ends = lists(column)
+    return _found(text, (key,), (values,), ends) >= 0
+
+
+def _first(gram: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """In the order of gram and span: where another pair begins."""
+    order = np.lexsort((span, gram))
+    new = np.ones(len(order), bool)
+    new[1:] = (gram[order][1:] != gram[order][:-1]) | (span[order][1:] != span[order][:-1])
+    return new
+
+
+def _clash(gram: np.ndarray, column: pa.Array) -> np.ndarray:
+    """Which spans have a seed of which a span shares its hash with another text. The column holds one list in all rows."""
+    values = lists(column.slice(0, 1))[0]
+    return np.isin(gram, values) if len(values) else np.zeros(len(gram), bool)
+
+
+def _structs(column: pa.Array) -> tuple[pa.StructArray, np.ndarray]:
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
+    return column.flatten(), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def _masks(spans: Spans, chosen: np.ndarray, column: pa.Array, width: int) -> np.ndarray:
     """Flags of the windows of chosen spans that their buckets have found to be first."""
-    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
-    ends, told = np.concatenate([[0], np.cumsum(sizes)]), column.flatten()
-    at = _found(spans.text[chosen], spans.span[chosen], np.asarray(told.field("span")).astype(np.int64), ends)
+    told, ends = _structs(column)
+    at = _found(spans.text[chosen], (spans.span[chosen],), (np.asarray(told.field("span")).astype(np.int64),), ends)
     size = -(-width // 8)
     raw = np.frombuffer(b"".join(told.field("mask").to_pylist()), np.uint8).reshape(-1, size)
     return np.unpackbits(raw[at], axis=1, count=width).astype(bool) if len(chosen) else np.zeros((0, width), bool)
 
 
 def bucket_kinds(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """For a range of (gram, span): k, span and kind of the first occurrence of each span.
+    """For a range of (gram, span): k, span and kind of the first occurrence of each span, and whether there are more.
 
     The first and the last seed of a range may go on in another, so they count as crowded.
     """
-    held = [[np.asarray(b.column(c)) for c in ("gram", "span", "k")] for b in batches]  # a partition's three columns
-    gram, span, k = (np.concatenate([h[i] for h in held] or [np.zeros(0, np.int64)]) for i in range(3))
+    held = [[np.asarray(b.column(c)) for c in ("gram", "span", "k", "many")] for b in batches]  # a partition's columns
+    gram, span, k, many = (np.concatenate([h[i] for h in held] or [np.zeros(0, np.int64)]) for i in range(4))
     if not len(gram):
         return
     order = np.lexsort((k, span, gram))
-    gram, span, k = gram[order], span[order], k[order]
+    gram, span, k, many = gram[order], span[order], k[order], many[order]
     new = np.ones(len(gram), bool)
     new[1:] = (gram[1:] != gram[:-1]) | (span[1:] != span[:-1])
+    rows = np.flatnonzero(new)
+    many = np.add.reduceat(many, rows) > 1
     gram, span, k = gram[new], span[new], k[new]
     first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
     size = np.diff(np.append(first, len(gram)))
     kind = np.where(size == 1, ALONE, np.where(size <= limit, SHARED, CROWDED))
     kind[[0, -1]] = CROWDED
-    yield pa.record_batch([pa.array(k), pa.array(span), pa.array(np.repeat(kind, size).astype(np.int32))], ["k", "span", "kind"])
+    yield pa.record_batch([pa.array(k), pa.array(span), pa.array(np.repeat(kind, size).astype(np.int32)), pa.array(many)], ["k", "span", "kind", "many"])
 
 
-def repeated(docs: DataFrame, units: Callable[[np.ndarray, np.ndarray], Units], length: int, gram: int, decide: Callable[[Bucketed], np.ndarray], limit: int, finish: Callable, schema: str) -> DataFrame:
+def repeated(docs: DataFrame, units: Callable[[np.ndarray, np.ndarray], Units], length: int, gram: int, decide: Callable[[Bucketed], np.ndarray], plain: Callable[[bytes], bytes], limit: int, finish: Callable, schema: str, bits: int = 64) -> DataFrame:
     """Rows of ``schema`` that ``finish(piece, data, ends, gone, unit_ends)`` makes of each piece of texts.
 
     docs: doc_id, text. decide gives, for each span of some buckets, flags of the windows that come up in no
-    smaller document. limit: spans that a bucket may hold. gone: for each unit, whether a dropped window covers it.
+    smaller document. plain: a span's text, the same for equal units. limit: spans that a bucket may hold. gone: for each
+    unit, whether a dropped window covers it. bits: of a span's hash; with few, texts share hashes.
     """
     n, width = partitions(docs), length - gram + 1
     base = docs.select(order_key().alias("k"), "doc_id", "text").repartition(n, "k")
@@ -199,30 +255,55 @@ def repeated(docs: DataFrame, units: Callable[[np.ndarray, np.ndarray], Units],
     def each(batch: pa.RecordBatch):
         for piece, data, ends in pieces(batch):
             u = units(data, ends)
-            yield piece, data, ends, u, Spans(u.values, u.offsets, length, gram), np.asarray(piece.column("k"))
+            yield piece, data, ends, u, Spans(u.values, u.offsets, length, gram, bits), np.asarray(piece.column("k"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if parts := [(s.gram, s.span, k[s.text]) for *_, s, k in each(batch)]:
-                columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-                keep = _least(columns[1], columns[2])
-                yield pa.record_batch([pa.array(c[keep]) for c in columns], ["gram", "span", "k"])
+                gram_, span, k = (np.concatenate(c) for c in zip(*parts, strict=True))
+                keep = _least(k, span, gram_)
+                many = np.diff(np.append(np.flatnonzero(_first(gram_, span)), len(span)))  # by gram and span, as keep is
+                yield pa.record_batch([pa.array(c) for c in (gram_[keep], span[keep], k[keep], many)], ["gram", "span", "k", "many"])
+
+    def bodies_of(data: np.ndarray, u: Units, s: Spans, at: np.ndarray) -> list[bytes]:
+        return [data[a:b].tobytes() for a, b in zip(u.start[s.low[at]], u.end[s.high[at] + length - 1], strict=True)]
+
+    def kinds_of(s: Spans, piece: pa.RecordBatch) -> list[np.ndarray]:
+        """Which spans are, as far as their hash tells, first and alone, first and shared, first and crowded."""
+        alone, shared, crowded = (_listed(s.text, s.span, piece.column(c)) for c in ("alone", "shared", "crowded"))
+        if "clashes" in piece.schema.names:
+            clash = _clash(s.gram, piece.column("clashes"))
+            alone, shared, crowded = alone & ~clash, shared & ~clash, crowded | clash
+        return [alone, shared, crowded]
+
+    def emit_bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: set[tuple[int, int, bytes]] = set()
+            for piece, data, _, u, s, _ in each(batch):
+                at = np.flatnonzero(~np.any(kinds_of(s, piece), axis=0) | _listed(s.text, s.span, piece.column("compare")) | s.clashes())
+                seen.update(zip(s.span[at].tolist(), s.gram[at].tolist(), map(plain, bodies_of(data, u, s, at)), strict=True))
+            columns = list(zip(*seen, strict=True)) or [(), (), ()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["span", "gram", "body"])
 
     def emit_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece, data, _, u, s, k in each(batch):
-                at = np.flatnonzero(_listed(s.text, s.span, piece.column("shared")))
+                at = np.flatnonzero(kinds_of(s, piece)[1])
                 at = at[_once(s.text[at], s.span[at])]
-                bodies = [data[a:b].tobytes() for a, b in zip(u.start[s.low[at]], u.end[s.high[at] + length - 1], strict=True)]
+                bodies = bodies_of(data, u, s, at)
                 whole = [s.gram[at], s.span[at], k[s.text[at]], s.seed[at] - s.low[at], s.high[at] - s.low[at] + 1]
                 yield pa.record_batch([*map(pa.array, whole), pa.array(bodies, pa.binary())], ["gram", "span", "k", "seed", "windows", "body"])
 
+    def crowded_here(s: Spans, piece: pa.RecordBatch) -> np.ndarray:
+        """Crowded spans: the first of each hash in a text, and all of a seed with spans that share a hash but not their text."""
+        crowded = kinds_of(s, piece)[2]
+        return crowded & (_once(s.text, s.span) | _clash(s.gram, piece.column("clashes")))
+
     def emit_sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for piece, *_, s, k in each(batch):
-                at = np.flatnonzero(_listed(s.text, s.span, piece.column("crowded")))
-                at = at[_once(s.text[at], s.span[at])]
+                at = np.flatnonzero(crowded_here(s, piece))
                 seed = s.seed[at]
                 for left, room in ((True, seed - s.low[at]), (False, s.high[at] + length - seed - gram)):
                     for depth in depths(length, gram):
@@ -230,18 +311,18 @@ def repeated(docs: DataFrame, units: Callable[[np.ndarray, np.ndarray], Units],
                         hashes.append(s.side(seed[far], np.full(far.sum(), depth), left))
                         owners.append(k[s.text[at]][far])
             h, own = np.concatenate(hashes), np.concatenate(owners)
-            low, high = _least(h, own), _least(h, -own)
+            low, high = _least(own, h), _least(-own, h)
             yield pa.record_batch([pa.array(x) for x in (h[low], own[low], own[high])], ["h", "low", "high"])
 
     def emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece, *_, s, k in each(batch):
-                starts, which, _ = s.windows(at := np.flatnonzero(_listed(s.text, s.span, piece.column("crowded"))))
+                starts, which, _ = s.windows(at := np.flatnonzero(crowded_here(s, piece)))
                 here = ~s.lone(at, starts, which, piece.column("lone"))
                 starts, which = starts[here], which[here]
-                one, two = s.hashes(starts), Rolling(mix(s.values.astype(np.uint64))).at(starts, starts + length).view(np.int64)
+                one, two = s.hashes(starts)
                 own = k[s.text[at]][which]
-                keep = _least(one, own)
+                keep = _least(own, one, two)
                 yield pa.record_batch([pa.array(x[keep]) for x in (one, two, own)], ["one", "two", "k"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,36 +336,44 @@ def repeated(docs: DataFrame, units: Callable[[np.ndarray, np.ndarray], Units],
         for batch in batches:
             for piece, data, ends, u, s, _ in each(batch):
                 once = _once(s.text, s.span)
-                alone, shared, crowded = (_listed(s.text, s.span, piece.column(c)) & once for c in ("alone", "shared", "crowded"))
+                alone, shared, _ = (kind & once for kind in kinds_of(s, piece))
+                crowded = crowded_here(s, piece)
                 whole, part, open_ = np.flatnonzero(~(alone | shared | crowded)), np.flatnonzero(shared), np.flatnonzero(crowded)
                 starts, which, within = s.windows(part)
                 first = _masks(s, part, piece.column("masks"), width)[which, within]
                 more, of, _ = s.windows(open_)
                 text = np.concatenate([s.text[part][which], s.text[open_][of]])
                 starts = np.concatenate([starts, more])
-                key = s.hashes(starts)
                 lone = s.lone(open_, more, of, piece.column("lone"))
-                first = np.concatenate([first, lone | _listed(text[len(first) :], key[len(first) :], piece.column("firsts"))])
-                stay = np.flatnonzero(first)
-                at = np.lexsort((starts[stay], text[stay]))
-                stay = stay[at[_once(text[stay[at]], key[stay[at]])]]  # of windows first here, those that this text has first
+                told, ends_ = _structs(piece.column("firsts"))
+                known = tuple(np.asarray(told.field(c)).astype(np.int64) for c in ("one", "two"))
+                listed = _found(s.text[open_][of], s.hashes(more), known, ends_) >= 0
+                stay = np.flatnonzero(np.concatenate([first, lone | listed]))
+                stay = stay[np.lexsort((starts[stay], text[stay]))]
+                stay = stay[~_repeats(s.values, starts[stay], text[stay], s.hashes(starts[stay]), length)]  # of windows first here, those that this text has first
                 goes = np.ones(len(starts), bool)
                 goes[stay] = False
                 gone = np.concatenate([s.windows(whole)[0], starts[goes]])
                 yield finish(piece, data, ends, covered(gone, length, len(u.values)), u.offsets)
 
-    seeds = base.mapInArrow(emit, "gram long, span long, k long").repartitionByRange(n, "gram", "span")
-    kinds = seeds.mapInArrow(lambda b: bucket_kinds(b, limit), "k long, span long, kind int")
+    seeds = base.mapInArrow(emit, "gram long, span long, k long, many long").repartitionByRange(n, "gram", "span")
+    kinds = seeds.mapInArrow(lambda b: bucket_kinds(b, limit), "k long, span long, kind int, many boolean")
     listed = [F.collect_list(F.when(F.col("kind") == kind, F.col("span"))).alias(name) for kind, name in ((ALONE, "alone"), (SHARED, "shared"), (CROWDED, "crowded"))]
-    told = base.join(kinds.groupBy("k").agg(*listed).hint("shuffle_hash"), "k", "left")
+    compare = F.collect_list(F.when(F.col("many"), F.col("span"))).alias("compare")
+    told = base.join(kinds.groupBy("k").agg(*listed, compare).hint("shuffle_hash"), "k", "left")
+    compared = told.mapInArrow(emit_bodies, "span long, gram long, body binary").groupBy("span").agg(F.min("body").alias("least"), F.max("body").alias("greatest"), F.collect_set("gram").alias("grams"))
+    clashes = compared.where("least != greatest").select(F.explode("grams").alias("gram")).limit(MOST_CLASHES + 1).agg(F.collect_set("gram").alias("s"))
+    few = F.when(F.size("s") > MOST_CLASHES, F.raise_error(F.lit("too many texts share a hash"))).otherwise(F.col("s"))
+    told = told.drop("compare").withColumn("clashes", clashes.select(few).scalar())
+    clash = F.size("clashes") > 0
     spans = told.where(F.size("shared") > 0).mapInArrow(emit_spans, "gram long, span long, k long, seed long, windows long, body binary")
     masks = spans.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(answer, "k long, span long, mask binary")
     masks = masks.groupBy("k").agg(F.collect_list(F.struct("span", "mask")).alias("masks"))
-    crowded = told.where(F.size("crowded") > 0)
+    crowded = told.where((F.size("crowded") > 0) | clash)
     sides = crowded.mapInArrow(emit_sides, "h long, low long, high long").groupBy("h").agg(F.min("low").alias("k"), F.max("high").alias("high"))
     lone = sides.where("k = high").groupBy("k").agg(F.collect_list("h").alias("lone"))
     windows = crowded.join(lone.hint("shuffle_hash"), "k", "left").mapInArrow(emit_windows, "one long, two long, k long")
-    firsts = windows.groupBy("one", "two").agg(F.min("k").alias("k")).groupBy("k").agg(F.collect_list("one").alias("firsts"))
+    firsts = windows.groupBy("one", "two").agg(F.min("k").alias("k")).groupBy("k").agg(F.collect_list(F.struct("one", "two")).alias("firsts"))
     for lists_ in (masks, lone, firsts):
         told = told.join(lists_.hint("shuffle_hash"), "k", "left")
     return told.mapInArrow(remove, schema)

@@ -32,6 +32,8 @@ def extend(b: Bucketed, window: int, anchor: int) -> np.ndarray:
     # Words to the left of the anchor, nearest first, and to its right. Beyond a span stands what nothing else equals.
     beyond = -1 - np.arange(len(rows) * side).reshape(-1, side)
     left, right = beyond.copy(), beyond.copy()
+    core: dict[tuple[int, ...], int] = {}
+    anchors = np.array([core.setdefault(tuple(row[at : at + anchor]), len(core)) for row, at in zip(rows, b.seed.tolist(), strict=True)])
     for i, (row, at) in enumerate(zip(rows, b.seed.tolist(), strict=True)):
         before, after = row[:at][::-1][:side], row[at + anchor :][:side]
         left[i, : len(before)] = before
@@ -41,7 +43,7 @@ def extend(b: Bucketed, window: int, anchor: int) -> np.ndarray:
     many = end - np.arange(len(rows)) - 1  # pairs with spans further down the bucket
     i = np.repeat(np.arange(len(rows)), many)
     j = i + 1 + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    apart = b.owner[i] != b.owner[j]
+    apart = (b.owner[i] != b.owner[j]) & (anchors[i] == anchors[j])
     i, j = i[apart], j[apart]
     reach = [np.logical_and.accumulate(part[i] == part[j], axis=1).sum(1) for part in (left, right)]
     long = reach[0] + anchor + reach[1] >= window
@@ -54,7 +56,7 @@ def extend(b: Bucketed, window: int, anchor: int) -> np.ndarray:
     return np.cumsum(change, axis=1)[:, : side + 1] == 0
 
 
-def remove_repeated_passages(docs: DataFrame, window: int = WINDOW_WORDS, anchor: int = ANCHOR_WORDS) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, window: int = WINDOW_WORDS, anchor: int = ANCHOR_WORDS, hash_bits: int = 64) -> DataFrame:
     """Each document without the words of windows that start earlier: doc_id, text, n_words, n_removed.
 
     Words are runs of anything but ASCII white space; text has the kept ones, joined by a blank. Windows are
@@ -62,7 +64,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW_WORDS, anchor
     stay whole, and very long ones are taken whole like any other. Rows with one doc_id each count as a document
     of their own, and neither as earlier than the other; rows without doc_id come after all others, in the order
     of a hash of their text. Other columns are left out, so their names don't matter; an empty table gives an
-    empty result.
+    empty result. hash_bits: of the hashes by which repeats meet before their text is compared.
     """
     if not 0 < anchor <= window:
         raise ValueError("an anchor has at least one word and no more than a window")
@@ -80,4 +82,4 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW_WORDS, anchor
         return pa.record_batch([piece.column("doc_id"), pa.array(texts, pa.string()), pa.array(np.diff(offsets)), pa.array(removed)], ["doc_id", "text", "n_words", "n_removed"])
 
     decide = lambda b: extend(b, window, anchor)
-    return repeated(with_text(docs), units, window, anchor, decide, BUCKET_SPANS, finish, "doc_id long, text string, n_words long, n_removed long")
+    return repeated(with_text(docs), units, window, anchor, decide, lambda raw: b" ".join(raw.split()), BUCKET_SPANS, finish, "doc_id long, text string, n_words long, n_removed long", hash_bits)

@@ -87,13 +87,13 @@ def refine(b: Bucketed, length: int, width: int) -> np.ndarray:
     return out
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH_BYTES, gram: int = GRAM_BYTES) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH_BYTES, gram: int = GRAM_BYTES, hash_bits: int = 64) -> DataFrame:
     """Each document without the bytes of strings that start earlier: doc_id, kept, n_bytes, n_removed, n_spans.
 
     kept is binary, as a cut may part the bytes of one character; n_spans counts the maximal runs removed.
     Strings are judged on the input; matches don't cross documents. Null and empty texts have no bytes; texts
     shorter than ``length`` stay whole, very long ones are taken whole. Repeated and missing ids, other columns
-    and empty tables are taken as in ``substring_dedup``.
+    empty tables and hash_bits are taken as in ``substring_dedup``.
     """
     if not 0 < gram <= length:
         raise ValueError("a gram has at least one byte and no more than the length")
@@ -114,4 +114,4 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH_BYTES, gram: int
         return pa.record_batch([piece.column("doc_id"), pa.array(kept, pa.binary()), *counts], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
     decide = lambda b: refine(b, length, length - gram + 1)
-    return repeated(with_text(docs), units, length, gram, decide, BUCKET_SPANS, finish, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return repeated(with_text(docs), units, length, gram, decide, bytes, BUCKET_SPANS, finish, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long", hash_bits)
