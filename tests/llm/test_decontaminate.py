@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate
+from tidemark.llm.spread import cut
 
 ROWS = "doc_id long, text string"
 
@@ -35,9 +36,9 @@ def brute(docs, items, window):
 def tables(seed):
     draw = random.Random(seed)
     text = lambda n: "".join(draw.choice(["aa", "Bb", "cc", "é", "d1"]) + draw.choice([" ", ", ", "\n", "--"]) for _ in range(n))
-    items = [(i, text(draw.randrange(1, 14))) for i in range(25)] + [(90, ""), (91, None), (92, "?!"), (3, text(12)), (93, "zz"), (None, text(9)), (94, text(400))]
+    items = [(i - 8, text(draw.randrange(1, 14))) for i in range(25)] + [(90, ""), (91, None), (92, "?!"), (3, text(12)), (93, "zz"), (None, text(9)), (94, text(400))]
     docs = [(i, text(draw.randrange(0, 300))) for i in range(30)] + [(40, None), (41, ""), (None, items[0][1]), (42, text(2000)), (0, "zz"), (43, "x" * 50_000)]
-    docs += [(50 + (45 if i is None else i), f"{text(20)} {t} {text(9)}") for i, t in items if t]
+    docs += [(80 + (45 if i is None else i), f"{text(20)} {t} {text(9)}") for i, t in items if t]
     return docs, items
 
 
@@ -56,6 +57,23 @@ def test_blocks_find_the_same(spark):
     assert rows(block_bytes=100) == rows()
 
 
+def test_blocks_write_little(spark, monkeypatch):
+    """Ten blocks write rows of the texts that they hit, once for each text, and nothing of the others."""
+    written = []
+    monkeypatch.setattr(decontaminate, "cut", lambda df: written.append(cut(df)) or written[-1])
+    docs = [(i, f"clean text {i} " * 50) for i in range(200)] + [(900 + i, "x1 x2 x3 x4") for i in range(90)]
+    items = [(i, f"y{i} z{i}") for i in range(40)] + [(-5, "x2 x3"), (-6, "x3 x4")]
+    found = decontaminate.find_items(spark.createDataFrame(docs, ROWS), spark.createDataFrame(items, "item_id long, text string"), 2, block_bytes=22)
+    assert sorted({(r.doc_id >= 900, tuple(r["items"])) for r in found.collect()}) == [(False, ()), (True, (-6, -5))]
+    assert len(written) > 8 and sum(w.count() for w in written) <= 4
+
+
+def test_ids_of_another_type(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, None), (3, "c")], ROWS)
+    found = decontaminate.find_items(docs, spark.createDataFrame([("x-1", "a b"), ("x-0", "c"), (None, "b")], "item_id string, text string"), 2)
+    assert {r.doc_id: r["items"] for r in found.collect()} == {1: ["x-0", "x-1"], 2: [], 3: ["x-0"]}
+
+
 def test_tables_skip(spark):
     """The search looks at far fewer places than there are words."""
     t = decontaminate.tables([(1, " ".join(f"p{i}" for i in range(10)))], 10)[0]

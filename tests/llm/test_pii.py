@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -88,3 +89,21 @@ def test_query(spark):
         spans = row.spans.split(",") if row.spans else []
         assert [s for s in spans if s.split(":")[0] in pii.BASE_KINDS] == base
         assert spans == sorted(spans, key=lambda s: (pii.KINDS.index(s.split(":")[0]), int(s.split(":")[1])))
+
+
+def test_many_spans_in_one_text_take_linear_time():
+    text = "phone 555 123 4567 or a@b.example, " * 20_000
+    begin = time.time()
+    found = pii.spans_of(text)
+    assert len(found) == 40_000 and time.time() - begin < 20
+
+
+def test_added_spans_never_overlap_base_ones():
+    draw = random.Random(2)
+    parts = ["ssn 123-45-6789", "+1 555 123 4567", "phone 555 123 4567", "4111 1111 1111 1111", "a@123-45-6789.example", "iban DE89 3704 0044 0532 0130 00", " ", ", ", "1.2.3.4", "x"]
+    for _ in range(300):
+        text = "".join(draw.choices(parts, k=8))
+        base = pii.base_spans(text)
+        added = [s for s in pii.spans_of(text) if s[0] not in pii.BASE_KINDS]
+        want = [(k, a, b) for k, a, b in pii.added_spans(text) if pii.score(k, text, a) >= pii.LEAST_SCORE and not any(x < b and a < y for _, x, y in base)]
+        assert sorted(s[:3] for s in added) == sorted(want)

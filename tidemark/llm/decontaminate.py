@@ -9,15 +9,17 @@ with the text word by word. Many stretches of text are searched at once, each wi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.llm.arrays import LOWER, NOT_ALNUM, Rolling, mix, pieces, words
-from tidemark.llm.spread import cut
+from tidemark.llm.spread import cut, spread_join
 
 WINDOW_WORDS = 10
 #: Text of benchmark items that is sent to every task at once; tables take up to ten times that. A larger
@@ -35,11 +37,11 @@ def narrow(a: np.ndarray) -> np.ndarray:
 
 
 class Benchmark:
-    """The words of some items: one buffer of bytes, the words' places in it, and the items' offsets and ids (null: -1)."""
+    """The words of some items: one buffer of bytes, the words' places in it, and the items' offsets and ids."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]]):
+    def __init__(self, items: list[tuple[object, str | None]]):
         raw = [(t or "").encode() for _, t in items]
-        self.ids = np.array([-1 if i is None else i for i, _ in items], np.int64)
+        self.ids = [i for i, _ in items]
         self.bytes = LOWER[np.frombuffer(b"".join(raw), np.uint8)]
         self.start, self.end, self.offsets = words(self.bytes, np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64), NOT_ALNUM)
         self.hashes = Rolling(self.bytes).at(self.start, self.end)
@@ -75,10 +77,10 @@ class Tables:
         order = np.argsort(suffix, kind="stable")
         self.order, self.sorted = narrow(order), suffix[order]
 
-    def items(self, pattern: int) -> np.ndarray:
+    def items(self, pattern: int) -> set:
         """Ids of the items that hold a pattern; those without an id have none to tell."""
-        ids = self.bench.ids[self.item[self.item_ends[pattern] : self.item_ends[pattern + 1]]]
-        return ids[ids >= 0]
+        held = (self.bench.ids[i] for i in self.item[self.item_ends[pattern] : self.item_ends[pattern + 1]])
+        return {i for i in held if i is not None}
 
     def key(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
         return (self.suffix(last, before) >> self.down).astype(np.int64)
@@ -112,7 +114,7 @@ class Tables:
         return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
 
-def tables(items: list[tuple[int | None, str | None]], window: int) -> list[Tables]:
+def tables(items: list[tuple[object, str | None]], window: int) -> list[Tables]:
     """Tables for the windows of items, a set for each length of pattern."""
     bench = Benchmark(items)
     sizes = np.diff(bench.offsets)
@@ -123,7 +125,7 @@ def tables(items: list[tuple[int | None, str | None]], window: int) -> list[Tabl
     return [Tables(int(n), bench, at[length[item] == n], item[length[item] == n]) for n in np.unique(length[item])]
 
 
-HITS, ITEMS = "array<struct<start: long, length: long>>", "array<long>"
+HITS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -131,28 +133,36 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS
 
     An item with fewer words than a window is one window; an item or text without words matches nothing, as
     do nulls. Items may repeat: each id is reported. Windows of items without an id are hits like any others, but
-    there is no id to report. docs needs a text column and may have any others, except that columns named n_words,
+    there is no id to report. Ids keep their type, and may be negative. docs needs a text column and may have any others, except that columns named n_words,
     hits and items are replaced. Rows, repeated or not, are judged alone, very long texts are searched whole, and
     empty tables are fine.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(size // block_bytes) + 1
     taken = docs.drop("n_words", "hits", "items")
-    out = taken.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.lit(None).cast(HITS), "items": F.lit(None).cast(ITEMS)})
     if blocks == 1:
-        return _searched(out, items, window)
+        return _searched(taken, items, window)
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    for block in range(blocks):  # each a job of its own, so a task holds the tables of one block
-        out = cut(_searched(out, items.where(part == block), window))
-    return out
+    digest = F.sha2("text", 256).alias("digest")
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    once = [_searched(texts, items.where(part == block), window).where(F.size("hits") > 0) for block in range(1, blocks)]
+    # Each block is a job of its own, so a task holds the tables of one. What is written is one row for each text that is hit.
+    once = [cut(h.groupBy(digest).agg(F.first("hits").alias("hits"), F.first("items").alias("items"), F.count(F.lit(1)).alias("weight"))) for h in once]
+    each = lambda c: F.flatten(F.collect_list(c)).alias(f"more_{c}")  # noqa: E731  # one list for each block, at most
+    more = cut(reduce(DataFrame.unionByName, once).groupBy("digest").agg(each("hits"), each("items"), F.max("weight").alias("weight")))
+    whole = _searched(taken.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text")), items.where(part == 0), window)
+    limit = max(1_000, (more.agg(F.sum("weight")).first()[0] or 0) // (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    both = spread_join(whole.withColumn("digest", digest), more, ["digest"], "weight", limit, "left")
+    merged = lambda c: F.sort_array(F.array_distinct(F.concat(c, F.coalesce(f"more_{c}", F.array().cast(both.schema[c].dataType))))).alias(c)
+    return both.select("row.*", "n_words", merged("hits"), merged("items"))
 
 
 def _searched(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    """docs with what the items' windows hit added to n_words, hits and items."""
-    columns = docs.columns[:-3]
+    """docs with n_words, and what the items' windows hit in hits and items."""
+    columns, of_item = docs.columns, items.schema["item_id"].dataType
     sent = docs.sparkSession.sparkContext.broadcast(tables([tuple(r) for r in items.collect()], window))  # bounded by block_bytes
-    kinds = [pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.list_(to_arrow_type(of_item))]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,21 +172,18 @@ def _searched(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
                 text = Rolling(data).at(start, end)
                 hits: dict[int, set] = {}
                 names: dict[int, set] = {}
-                found = lambda c, piece=piece: piece.column(piece.schema.get_field_index(c))
-                for doc in np.flatnonzero(np.asarray(pc.fill_null(pc.list_value_length(found("hits")), 0))):  # by blocks before
-                    hits[doc] = {(h["start"], h["length"]) for h in found("hits")[int(doc)].as_py()}
-                    names[doc] = set(found("items")[int(doc)].as_py())
                 for t in sent.value:
                     for at, which in zip(*t.search(text, offsets), strict=True):
                         if [data[a:b].tobytes() for a, b in zip(start[at : at + t.length], end[at : at + t.length], strict=True)] == t.bench.text(t.at[which], t.length):
                             doc = int(np.searchsorted(offsets, at, side="right")) - 1
                             hits.setdefault(doc, set()).add((int(at - offsets[doc]), t.length))
-                            names.setdefault(doc, set()).update(t.items(which).tolist())
+                            names.setdefault(doc, set()).update(t.items(which))
                 spans = [[{"start": a, "length": n} for a, n in sorted(hits.get(i, ()))] for i in range(len(piece))]
                 added = [np.diff(offsets), spans, [sorted(names.get(i, ())) for i in range(len(piece))]]
-                yield pa.record_batch([*piece.columns[:-3], *(pa.array(x, kind) for x, kind in zip(added, kinds, strict=True))], [*columns, "n_words", "hits", "items"])
+                yield pa.record_batch([*piece.columns, *(pa.array(x, kind) for x, kind in zip(added, kinds, strict=True))], [*columns, "n_words", "hits", "items"])
 
-    return docs.mapInArrow(search, docs.schema)
+    schema = T.StructType([*docs.schema, T.StructField("n_words", T.LongType()), T.StructField("hits", HITS), T.StructField("items", T.ArrayType(of_item))])
+    return docs.mapInArrow(search, schema)
 
 
 def hit_words() -> F.Column:

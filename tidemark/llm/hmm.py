@@ -217,7 +217,7 @@ def score_texts(docs: DataFrame, learn: Column, rounds: int = ROUNDS, sent: int
     np.subtract.at(mass, OWN_CLASSES + (hashes[:own] % np.uint64(SHARED_CLASSES)).astype(np.int64), numbers[:own] + 1)
     mass[END] = n_end + 1
     known = spark.sparkContext.broadcast((classes, np.log10(mass)))
-    fields = [("doc_id", T.LongType()), ("train", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("log_counts", T.DoubleType()), ("log_masses", T.DoubleType()), ("tokens", T.BinaryType()), ("rare", T.ArrayType(T.LongType()))]
+    fields = [("doc_id", T.LongType()), ("train", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("log_counts", T.DoubleType()), ("log_masses", T.DoubleType()), ("tokens", T.BinaryType()), ("rare", T.ArrayType(T.LongType())), ("times", T.ArrayType(T.LongType()))]
     schema = T.StructType([T.StructField(*f) for f in fields])
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,16 +229,16 @@ def score_texts(docs: DataFrame, learn: Column, rounds: int = ROUNDS, sent: int
                 with_end = np.insert(of_class, offsets[1:], END).astype(np.uint16)
                 bounds = offsets + np.arange(len(offsets))
                 per = lambda x, at=offsets: np.diff(np.concatenate([[0], np.cumsum(x)])[at])
-                rare = [pa.array(key[a:b][n[a:b] < 0].view(np.int64)) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                rare = [np.unique(key[a:b][n[a:b] < 0].view(np.int64), return_counts=True) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 end_known = int(own.end_count > 0)
                 columns = [
                     piece.column("doc_id"), piece.column("train"), pa.array(np.diff(bounds)), pa.array(per(n >= 0).astype(np.int64) + end_known),
                     pa.array(per(np.where(n >= 0, np.log10(np.maximum(n, 0) + 1.0), 0.0)) + math.log10(own.end_count + 1)), pa.array(per(log_mass[with_end], bounds)),
-                    pa.array([with_end[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()), pa.array([r.to_pylist() for r in rare], pa.list_(pa.int64())),
+                    pa.array([with_end[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()), *(pa.array([r[i].tolist() for r in rare], pa.list_(pa.int64())) for i in (0, 1)),
                 ]
                 yield pa.record_batch(columns, schema.names)
 
-    texts = cut(base.mapInArrow(classify, schema)).withColumn("row", F.monotonically_increasing_id())
+    texts = cut(base.mapInArrow(classify, schema).withColumn("row", F.monotonically_increasing_id()))
 
     def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         raw = [np.frombuffer(t.as_py(), np.uint16) for t in column]
@@ -270,8 +270,8 @@ def score_texts(docs: DataFrame, learn: Column, rounds: int = ROUNDS, sent: int
             yield pa.record_batch([*(batch.column(c) for c in out), pa.array(final.value.log10(*tokens_of(batch.column("tokens"))))], [*out, "model"])
 
     scored = texts.select(*out, "tokens").mapInArrow(recur, "row long, doc_id long, n_tokens long, n_known long, log_counts double, log_masses double, model double")
-    rare = texts.select("row", F.explode("rare").alias("h")).repartition(n_parts, "h")
-    found = rare.join(counts.where(F.col("n") <= least).repartition(n_parts, "h"), "h").groupBy("row").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("extra"))
+    rare = texts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("h"), F.col("w.times").alias("times")).repartition(n_parts, "h")
+    found = rare.join(counts.where(F.col("n") <= least).repartition(n_parts, "h"), "h").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("extra"))
     logs = F.col("log_counts") + F.coalesce("extra", F.lit(0.0))
     return scored.join(found, "row", "left").select(
         "doc_id",

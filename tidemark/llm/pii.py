@@ -8,6 +8,7 @@ only if a word next to them says what they are. Base spans always stay; their sc
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -101,8 +102,16 @@ def spans_of(text: str | None) -> list[tuple[str, int, int, float]]:
         return []
     base = base_spans(text)
     scored = [(*s, score(s[0], text, s[1])) for s in base]
+    starts, ends = [], []  # what base spans cover, as stretches that don't touch
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     for kind, start, end in added_spans(text):
-        if (s := score(kind, text, start)) >= LEAST_SCORE and not any(a < end and start < b for _, a, b in base):
+        before = bisect_left(starts, end) - 1  # the last stretch that begins before the span's end
+        if (s := score(kind, text, start)) >= LEAST_SCORE and not (before >= 0 and ends[before] > start):
             scored.append((kind, start, end, s))
     return sorted(scored, key=lambda x: (KINDS.index(x[0]), x[1]))
 

@@ -78,7 +78,7 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         delete(spark, inner)
 
 
-def spread_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str, limit: int) -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str, limit: int, how: str = "inner") -> DataFrame:
     """rows joined to table, which has one row for each key and in ``weight`` the number of rows that have it.
 
     Keys of more than limit rows are dealt to several tasks. These are few (all rows by limit, at most), so they
@@ -89,7 +89,7 @@ def spread_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str, l
     salt = F.pmod(F.xxhash64(*rows.columns), F.coalesce("salts", F.lit(1))).cast("int")
     left = rows.join(hot, on, "left").withColumn("salt", salt).drop("salts")
     right = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
-    return left.join(right, [*on, "salt"]).drop("salt")
+    return left.join(right, [*on, "salt"], how).drop("salt")
 
 
 def dense(keys: DataFrame, name: str) -> DataFrame:
