@@ -9,8 +9,8 @@ a seed lie side by side; the stretch that they cover together is its *span*.
 
 * Spans are dealt out by ranges of (seed, span), so all spans of a seed meet, unless they are very many. Equal
   spans hold equal windows: all but those of the smallest document go as a whole. A seed of which there is one
-  span only is settled. Spans are equal if their hashes are *and their text is*: the text of all that share a hash is
-  compared by its least and greatest. Should two texts have one hash, their seeds are taken as crowded.
+  span only is settled. Spans are equal if their hashes are *and their text is*: of all that share a hash the texts'
+  128-bit BLAKE2 digests are compared. Should two texts have one hash, their seed is taken as crowded.
 * The other spans go, with their text, to their seed's bucket, where ``decide`` compares the text itself: by
   extending matches (``substring_dedup``) or by refining buckets of suffixes (``suffix_dedup``).
 * Seeds of more spans than a bucket may hold, and those that the ranges cut, aren't gathered anywhere. What lies
@@ -25,6 +25,7 @@ and no pairs leave one. Texts are shuffled once, by document; later steps join l
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -278,12 +279,15 @@ def repeated(docs: DataFrame, units: Callable[[np.ndarray, np.ndarray], Units],
 
     def emit_bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: set[tuple[int, int, bytes]] = set()
+            seen: set[tuple[int, int, bool, bytes]] = set()
             for piece, data, _, u, s, _ in each(batch):
-                at = np.flatnonzero(~np.any(kinds_of(s, piece), axis=0) | _listed(s.text, s.span, piece.column("compare")) | s.clashes())
-                seen.update(zip(s.span[at].tolist(), s.gram[at].tolist(), map(plain, bodies_of(data, u, s, at)), strict=True))
-            columns = list(zip(*seen, strict=True)) or [(), (), ()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["span", "gram", "body"])
+                clash = s.clashes()
+                at = np.flatnonzero(~np.any(kinds_of(s, piece), axis=0) | _listed(s.text, s.span, piece.column("compare")) | clash)
+                digests = (blake2b(plain(body), digest_size=16).digest() for body in bodies_of(data, u, s, at))
+                seen.update(zip(s.span[at].tolist(), s.gram[at].tolist(), clash[at].tolist(), digests, strict=True))
+            span, gram_, clash, digest = zip(*seen, strict=True) if seen else ((), (), (), ())
+            both = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
+            yield pa.record_batch([pa.array(span, pa.int64()), pa.array(gram_, pa.int64()), pa.array(clash, pa.bool_()), pa.array(both[:, 0]), pa.array(both[:, 1])], ["span", "gram", "clash", "one", "two"])
 
     def emit_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -361,10 +365,11 @@ def repeated(docs: DataFrame, units: Callable[[np.ndarray, np.ndarray], Units],
     listed = [F.collect_list(F.when(F.col("kind") == kind, F.col("span"))).alias(name) for kind, name in ((ALONE, "alone"), (SHARED, "shared"), (CROWDED, "crowded"))]
     compare = F.collect_list(F.when(F.col("many"), F.col("span"))).alias("compare")
     told = base.join(kinds.groupBy("k").agg(*listed, compare).hint("shuffle_hash"), "k", "left")
-    compared = told.mapInArrow(emit_bodies, "span long, gram long, body binary").groupBy("span").agg(F.min("body").alias("least"), F.max("body").alias("greatest"), F.collect_set("gram").alias("grams"))
-    clashes = compared.where("least != greatest").select(F.explode("grams").alias("gram")).limit(MOST_CLASHES + 1).agg(F.collect_set("gram").alias("s"))
-    few = F.when(F.size("s") > MOST_CLASHES, F.raise_error(F.lit("too many texts share a hash"))).otherwise(F.col("s"))
-    told = told.drop("compare").withColumn("clashes", clashes.select(few).scalar())
+    differ = (F.min("one") != F.max("one")) | (F.min("two") != F.max("two")) | F.max("clash")
+    compared = told.mapInArrow(emit_bodies, "span long, gram long, clash boolean, one long, two long").groupBy("span", "gram").agg(differ.alias("differ"))
+    few = F.when(F.count(F.lit(1)) > MOST_CLASHES, F.raise_error(F.lit("too many texts share a hash"))).otherwise(F.collect_set("gram")).alias("clashes")
+    clashes = compared.where("differ").limit(MOST_CLASHES + 1).agg(few).withColumn("all", F.lit(1))  # one row, a short list
+    told = told.drop("compare").withColumn("all", F.lit(1)).join(F.broadcast(clashes), "all", "left").drop("all")
     clash = F.size("clashes") > 0
     spans = told.where(F.size("shared") > 0).mapInArrow(emit_spans, "gram long, span long, k long, seed long, windows long, body binary")
     masks = spans.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(answer, "k long, span long, mask binary")
