@@ -280,11 +280,14 @@ def repeated(docs: DataFrame, units: Callable[[np.ndarray, np.ndarray], Units],
     def emit_bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[tuple[int, int, bool, bytes]] = set()
+            last: dict[int, bytes] = {}  # the text of a hash as it came up last, to leave out what is the same
             for piece, data, _, u, s, _ in each(batch):
                 clash = s.clashes()
                 at = np.flatnonzero(~np.any(kinds_of(s, piece), axis=0) | _listed(s.text, s.span, piece.column("compare")) | clash)
-                digests = (blake2b(plain(body), digest_size=16).digest() for body in bodies_of(data, u, s, at))
-                seen.update(zip(s.span[at].tolist(), s.gram[at].tolist(), clash[at].tolist(), digests, strict=True))
+                for span, gram_, differs, body in zip(s.span[at].tolist(), s.gram[at].tolist(), clash[at].tolist(), bodies_of(data, u, s, at), strict=True):
+                    if differs or last.get(span) != body:
+                        last[span] = body
+                        seen.add((span, gram_, differs, blake2b(plain(body), digest_size=16).digest()))
             span, gram_, clash, digest = zip(*seen, strict=True) if seen else ((), (), (), ())
             both = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
             yield pa.record_batch([pa.array(span, pa.int64()), pa.array(gram_, pa.int64()), pa.array(clash, pa.bool_()), pa.array(both[:, 0]), pa.array(both[:, 1])], ["span", "gram", "clash", "one", "two"])
@@ -369,7 +372,7 @@ def repeated(docs: DataFrame, units: Callable[[np.ndarray, np.ndarray], Units],
     compared = told.mapInArrow(emit_bodies, "span long, gram long, clash boolean, one long, two long").groupBy("span", "gram").agg(differ.alias("differ"))
     few = F.when(F.count(F.lit(1)) > MOST_CLASHES, F.raise_error(F.lit("too many texts share a hash"))).otherwise(F.collect_set("gram")).alias("clashes")
     clashes = compared.where("differ").limit(MOST_CLASHES + 1).agg(few).withColumn("all", F.lit(1))  # one row, a short list
-    told = told.drop("compare").withColumn("all", F.lit(1)).join(F.broadcast(clashes), "all", "left").drop("all")
+    told = told.withColumn("all", F.lit(1)).join(F.broadcast(clashes), "all", "left").drop("all")  # with all columns, so that exchanges are reused
     clash = F.size("clashes") > 0
     spans = told.where(F.size("shared") > 0).mapInArrow(emit_spans, "gram long, span long, k long, seed long, windows long, body binary")
     masks = spans.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(answer, "k long, span long, mask binary")
