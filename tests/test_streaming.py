@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.model import TidemarkError
 from tidemark.operators import features as f
 from tidemark.plans.queries import played
-from tidemark.sources.trips import from_events, outcomes_of, predictions_of
+from tidemark.sources.trips import from_events, generate, outcomes_of, predictions_of
 from tidemark.streaming import store
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
@@ -40,6 +40,45 @@ def test_parity(spark, tmp_path, shuffled):
         assert all(r[x.name] == batch[k][x.name] or abs(r[x.name] - batch[k][x.name]) < 1e-9 for x in own), k
 
 
+def test_parity_with_thousandths_of_a_minute(spark, tmp_path):
+    """Means of generated trips, whose times have three decimals, are the batch's to the last digit."""
+    trips = generate(spark, 600, 4, days=3, drivers=6).persist()
+    assert trips.where("tat * 100 != floor(tat * 100)").count() > 100
+    for entity in ("driver", "store"):
+        own = tuple(x for x in f.TRAILING if x.entity == entity)
+        got = {r.trip_id: r for r in played(store.online_features(feed(spark, trips, tmp_path / entity, 3, False), own, late="6 hours")).collect()}
+        batch = {r.trip_id: r for r in f.trailing(trips, trips, own).collect()}
+        assert len(got) > 300
+        for k, r in got.items():
+            assert [r[x.name] for x in own if x.kind != "median"] == [batch[k][x.name] for x in own if x.kind != "median"]
+            assert all(r[x.name] == pytest.approx(batch[k][x.name], abs=1e-9) for x in own if x.kind == "median")
+
+
+def test_packs_that_are_not_known_are_left_out(spark, tmp_path):
+    trips = from_events(spark.read.parquet(EVENTS)).withColumn("distance_m", F.when(F.col("trip_id") % 3 != 0, F.col("distance_m"))).persist()
+    own = f.TRAILING[:1]
+    got = {r.trip_id: r[2] for r in played(store.online_features(feed(spark, trips, tmp_path / "in", 2, False), own)).collect()}
+    batch = {str(r.trip_id): r[own[0].name] for r in f.trailing(trips, trips, own).collect()}
+    assert len(got) > 900 and all(v == pytest.approx(batch[k], abs=1e-9) for k, v in got.items())
+
+
+def test_a_trigger_touches_what_is_new_or_due(spark, tmp_path):
+    """With four times the history in the state, a trigger of as many rows updates no more of it."""
+    trips = from_events(spark.read.parquet(EVENTS))
+    own = tuple(x for x in f.TRAILING if x.entity == "store")
+    stream = store.online_features(feed(spark, trips, tmp_path / "in", 8, False), own, retain_minutes=60 * 24 * 40)
+    spark.conf.set(*store.PROVIDER)
+    try:
+        run = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        spark.conf.unset(store.PROVIDER[0])
+    steps = [(p["numInputRows"], p["stateOperators"][0]) for p in run.recentProgress if p["numInputRows"]]
+    updated = [s["numRowsUpdated"] for _, s in steps]
+    assert len(steps) == 8 and steps[-1][1]["numRowsTotal"] > 2.5 * steps[1][1]["numRowsTotal"]
+    assert max(updated[4:]) < 1.5 * max(updated[:4])
+
+
 def test_retention_covers_the_windows(spark, tmp_path):
     with pytest.raises(TidemarkError):
         store.online_features(None, f.TRAILING[:1], retain_minutes=10)

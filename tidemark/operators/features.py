@@ -7,8 +7,6 @@ probes by as_of, so both are put on one time line, and each probe looks back ove
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -23,6 +21,8 @@ from tidemark.functions.scalar import implied_pack, rush_hour
 from tidemark.model import COLD_START_PACK_MINUTES, MINUTE_US, RETAIN_MINUTES, LeakageError, TidemarkError
 from tidemark.sources.trips import finished
 
+#: Values of windows that are sorted side by side.
+MEDIAN_VALUES = 1 << 20
 ENTITY_COLUMN = {"driver": "driver_id", "store": "store_id"}
 
 
@@ -150,8 +150,8 @@ def trailing(probes: DataFrame, trips: DataFrame, features: tuple[Trailing, ...]
     """probes with a column for each feature (null where its window is empty); all features of one entity.
 
     Means and counts are running totals along the time line, of trips that enter and leave, so a row costs the same
-    however much its window holds; they are exact, because times are decimals. Medians keep the window's values in
-    order (see ``_medians``). Custom aggregates use RANGE frames, whose work grows with the window.
+    however much its window holds; they are exact, because times are decimals. Medians sort each window's values (see
+    ``_medians``). Custom aggregates use RANGE frames, whose work grows with the window.
     """
     if len({f.entity for f in features}) != 1:
         raise TidemarkError("features of one entity at a time")
@@ -178,38 +178,78 @@ def trailing(probes: DataFrame, trips: DataFrame, features: tuple[Trailing, ...]
 
 
 def _medians(line: DataFrame, widths: dict[str, int]) -> DataFrame:
-    """The probes of a time line with the interpolated median of h_pack over each width.
+    """The probes of a time line with the interpolated median of h_pack over each width. Null and NaN packs don't count.
 
-    Values enter a sorted list as their trips come up and leave it as they fall out of the window, so a row costs
-    two searches. The line streams through in batches; what is held is one window of one entity.
+    Runs of one key and slice are handled whole, in numpy; at most one of them is held. A probe's window is a stretch of
+    the run's values in the order of time. Windows of like size are looked at side by side, so many that they hold
+    at most ``MEDIAN_VALUES`` values, and each sorts its own.
     """
     schema = T.StructType([*line.schema, *(T.StructField(n, T.DoubleType()) for n in widths)])
 
+    def medians(t: np.ndarray, pack: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+        low, high = np.searchsorted(t, at - width, side="right"), np.searchsorted(t, at, side="right")
+        out, size = np.full(len(at), np.nan), high - low
+        order = np.argsort(size, kind="stable")
+        i = int(np.searchsorted(size[order], 1))
+        while i < len(order):
+            most = int(size[order[i]])
+            end = min(len(order), i + max(1, MEDIAN_VALUES // (2 * most)))
+            end = i + int(np.searchsorted(size[order[i:end]], 2 * most, side="right"))  # none holds twice as many
+            own = order[i:end]
+            place = low[own, None] + np.arange(int(size[own].max()))
+            values = np.sort(np.where(place < high[own, None], pack[np.minimum(place, len(pack) - 1)], np.inf), axis=1)
+            n, row = size[own], np.arange(len(own))
+            out[own] = (values[row, (n - 1) // 2] + values[row, n // 2]) / 2
+            i = end
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, held = None, {}
-        for batch in batches:
-            column = lambda c, batch=batch: batch.column(batch.schema.get_field_index(c))
-            probe = np.asarray(column("h_probe").to_numpy(zero_copy_only=False), bool)
-            found: dict[str, list] = {n: [] for n in widths}
-            for key, part, t, ask, pack in zip(column("h_key").to_pylist(), column("h_slice").to_pylist(), column("h_t").to_pylist(), probe.tolist(), column("h_pack").to_pylist(), strict=True):
-                if (key, part) != place:
-                    place, held = (key, part), {n: (deque(), []) for n in widths}
+        for table, ends in runs(batches, ("h_key", "h_slice")):
+            probe = np.asarray(table.column("h_probe").to_numpy(zero_copy_only=False), bool)
+            t, pack = np.asarray(table.column("h_t")), table.column("h_pack").to_numpy(zero_copy_only=False).astype(float)
+            found = {n: np.full(len(t), np.nan) for n in widths}
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                ask = a + np.flatnonzero(probe[a:b])
+                known = a + np.flatnonzero(~probe[a:b] & ~np.isnan(pack[a:b]))
                 for name, width in widths.items():
-                    queue, values = held[name]
-                    while queue and queue[0][0] <= t - width:
-                        del values[bisect_left(values, queue.popleft()[1])]
-                    if not ask:
-                        queue.append((t, pack))
-                        insort(values, pack)
-                        continue
-                    n = len(values)
-                    found[name].append((values[(n - 1) // 2] + values[n // 2]) / 2 if n else None)
-            kept = batch.filter(pa.array(probe))
-            yield pa.record_batch([*kept.columns, *(pa.array(v, pa.float64()) for v in found.values())], schema.names)
+                    if len(ask) and len(known):
+                        found[name][ask] = medians(t[known], pack[known], t[ask], width)
+            kept = table.filter(pa.array(probe))
+            columns = [pa.array(v[probe], pa.float64(), mask=np.isnan(v[probe])) for v in found.values()]
+            for batch in pa.table([*kept.columns, *columns], schema.names).to_batches():
+                yield batch
 
     return line.mapInArrow(run, schema)
 
 
+def runs(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by key as tables that hold whole runs of it, with the runs' offsets."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        whole = pa.Table.from_batches([batch])
+        held = whole if held is None else pa.concat_tables([held, whole])
+        ends = _edges(held, key)
+        if len(ends) > 2:
+            cut = int(ends[-2])
+            yield held.slice(0, cut), ends[:-1]
+            held = held.slice(cut)
+    if held is not None:
+        yield held, _edges(held, key)
+
+
+def _edges(table: pa.Table, key: tuple[str, ...]) -> np.ndarray:
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    for c in key:
+        code = table.column(c).combine_chunks().dictionary_encode(null_encoding="encode")
+        code = code.indices if isinstance(code, pa.DictionaryArray) else code.combine_chunks().indices
+        code = np.asarray(code)
+        new[1:] |= code[1:] != code[:-1]
+    return np.append(np.flatnonzero(new), table.num_rows)
+
+
 def running(probes: DataFrame, trips: DataFrame, features: tuple[Trailing, ...], slice_minutes: int = 1440) -> DataFrame:
     """As ``trailing``, for means and counts over windows that are long against the table's span.
 

@@ -19,6 +19,7 @@ from tidemark.model import MINUTE_US, PSI_BINS, RIDGE_ALPHA, TidemarkError
 from tidemark.operators import drift, experiment, features, monitoring, serving, training
 from tidemark.plans.runs import train
 from tidemark.sources import trips as sources
+from tidemark.streaming.store import PROVIDER, online_features
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -803,7 +804,11 @@ def played(stream: DataFrame) -> DataFrame:
             raise TidemarkError("spark.checkpoint.dir must name a folder that all machines share")
         root = tempfile.mkdtemp(prefix="spark-")
     folder = f"{root}/stream-{uuid4().hex}"
+    name, provider = PROVIDER
+    before = spark.conf.get(name)
+    spark.conf.set(name, provider)  # read when the stream starts
     run = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    spark.conf.set(name, before)
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
@@ -821,8 +826,20 @@ _MARK = f"mark AS (SELECT (greatest(max(a_us), max(d_us)) // 1000) * 1000 - {120
 )
 def stream_driver_features(spark, sf_dir):
     """The stateful stream's answers, for probes that its watermark has passed, equal the batch features."""
-    from tidemark.streaming.store import online_features
-
     own = tuple(f for f in features.TRAILING if f.entity == "driver")
     return rounded(played(online_features(stream_of(spark, sf_dir), own)))
 
+
+@query(
+    sql(
+        TRIPS,
+        line_sql("line", "store_id"),
+        _MARK,
+        select="SELECT CAST(trip_id AS VARCHAR) AS trip_id, t, round(p50_60, 6) AS store_pack_p50_60m, round(sum_120::DOUBLE / n_120, 6) AS store_mean_tat_120m FROM line, mark WHERE t < wm",
+    )
+)
+def stream_store_features(spark, sf_dir):
+    """The same for stores, whose windows hold hundreds of trips, with their medians."""
+    own = tuple(f for f in features.TRAILING if f.entity == "store")
+    return rounded(played(online_features(stream_of(spark, sf_dir), own)))
+

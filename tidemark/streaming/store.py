@@ -1,7 +1,7 @@
 """The online side of the features as streams: keyed state over event time, late labels, sliding health.
 
-A trip enters twice: as a probe at its assignment, and as history at its delivery. State is kept for each entity;
-a probe is answered once the watermark has passed its instant, so that history which arrives late, but within the
+A trip enters twice: as a probe at its assignment, and as history at its delivery. State is kept for each entity, in
+maps of which a trigger touches what is new or due; a probe is answered once the watermark has passed its instant, so that history which arrives late, but within the
 allowed delay, is in. Answers depend on event times alone, never on the order in which rows come, and equal the batch ones.
 """
 
@@ -13,29 +13,33 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.functions.scalar import implied_pack
 from tidemark.model import MINUTE_US, RETAIN_MINUTES, TidemarkError
 from tidemark.operators.features import Trailing, entity_column
 
-STATE = "h_t array<long>, h_cents array<long>, h_pack array<double>, p_id array<string>, p_t array<long>"
+#: The state store that the stream of features needs; set it before the stream starts.
+PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: Buckets of time that the widest window is cut into.
+WINDOW_BUCKETS = 2
 
 
 def time_line(trips: DataFrame, entity: str) -> DataFrame:
-    """Probes and history of a stream of trips on one line: key, at, t, trip_id, cents, pack (history has no trip_id)."""
-    line = trips.select(
-        F.col(entity_column(entity)).cast("string").alias("key"),
-        F.explode(
-            F.array(
-                F.struct(F.col("a_us").alias("t"), F.col("trip_id").cast("string").alias("trip_id"), F.lit(None).cast("long").alias("cents"), F.lit(None).cast("double").alias("pack")),
-                F.struct(F.when(F.col("tat").isNotNull(), F.col("d_us")).alias("t"), F.lit(None).cast("string").alias("trip_id"), (F.col("tat") * 100).cast("long").alias("cents"), implied_pack(F.col("tat"), F.col("distance_m")).alias("pack")),
-            )
-        ).alias("e"),
-    ).select("key", "e.*")
+    """Probes and history of a stream of trips on one line: key, at, t, trip_id, parts (of a minute), pack (history has no trip_id)."""
+    none = lambda kind: F.lit(None).cast(kind)
+    probe = F.struct(F.col("a_us").alias("t"), F.col("trip_id").cast("string").alias("trip_id"), none("long").alias("parts"), none("double").alias("pack"))
+    known = F.col("tat").isNotNull()
+    history = F.struct(F.when(known, F.col("d_us")).alias("t"), none("string").alias("trip_id"), (F.col("tat") * parts_of_a_minute(trips)).cast("long").alias("parts"), implied_pack(F.col("tat"), F.col("distance_m")).alias("pack"))
+    line = trips.select(F.col(entity_column(entity)).cast("string").alias("key"), F.explode(F.array(probe, history)).alias("e")).select("key", "e.*")
     return line.where("t is not null").withColumn("at", F.timestamp_micros("t"))
 
 
+def parts_of_a_minute(trips: DataFrame) -> int:
+    """The unit that times are whole multiples of: 1,000 for decimals of three places."""
+    return 10 ** trips.schema["tat"].dataType.scale
+
+
 def unfinished(trips: DataFrame) -> DataFrame:
     """A stream of the trips that can't become history, with the reason: for a dead-letter table, beside the features' stream.
 
@@ -45,8 +49,109 @@ def unfinished(trips: DataFrame) -> DataFrame:
     return trips.withColumn("reason", reason).where("reason is not null")
 
 
+class Store(StatefulProcessor):
+    """An entity's finished trips and the probes that wait for the watermark, as maps from buckets of time in the state.
+
+    A row touches the bucket that it belongs to, an answer the buckets of its windows; of the others only the numbers are
+    read. An entity has one timer, at the first instant at which a probe is due or a bucket's retention is over.
+    """
+
+    def __init__(self, features: tuple[Trailing, ...], unit: int, retain_minutes: int):
+        self.features, self.unit, self.retain_ms = features, unit, retain_minutes * 60_000
+        self.bucket_ms = max(1, max(f.window_minutes for f in features) // WINDOW_BUCKETS) * 60_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.history = handle.getMapState("history", "bucket long", "t array<long>, parts array<long>, pack array<double>")
+        self.waiting = handle.getMapState("waiting", "bucket long", "t array<long>, trip_id array<string>")
+        self.buckets = handle.getValueState("buckets", "timer long, waiting array<long>, history array<long>")
+
+    def known(self) -> tuple[int | None, set[int], set[int]]:
+        timer, waiting, history = self.buckets.get() if self.buckets.exists() else (None, [], [])
+        return timer, set(waiting), set(history)
+
+    def expiry(self, bucket: int) -> int:
+        return (bucket + 1) * self.bucket_ms + self.retain_ms
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        timer, waiting, history = self.known()
+        due = [] if timer is None else [timer]
+        for part in rows:
+            probe = part.trip_id.notna()
+            bucket_of = part.t // 1000 // self.bucket_ms
+            for bucket, own in part[probe].groupby(bucket_of):
+                self.add(self.waiting, waiting, int(bucket), (own.t.tolist(), own.trip_id.tolist()))
+                due.append(int(own.t.min()) // 1000)
+            for bucket, own in part[~probe].groupby(bucket_of):
+                self.add(self.history, history, int(bucket), (own.t.tolist(), own.parts.astype("int64").tolist(), own.pack.astype(float).tolist()))
+                due.append(self.expiry(int(bucket)))
+        self.set(timer, min(due), waiting, history)
+        yield self.table([], [], history)
+
+    @staticmethod
+    def add(state, buckets: set[int], bucket: int, new: tuple[list, ...]) -> None:
+        held = state.getValue((bucket,)) if bucket in buckets else tuple([] for _ in new)
+        state.updateValue((bucket,), tuple([*old, *more] for old, more in zip(held, new, strict=True)))
+        buckets.add(bucket)
+
+    def set(self, before: int | None, timer: int, waiting: set[int], history: set[int]) -> None:
+        if timer != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(timer)
+        self.buckets.update((timer, sorted(waiting), sorted(history)))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs()
+        _, waiting, history = self.known()
+        ready, later = [], []
+        for bucket in sorted(b for b in waiting if b * self.bucket_ms < passed):
+            probes = list(zip(*self.waiting.getValue((bucket,)), strict=True))
+            ready += [p for p in probes if p[0] < passed * 1000]
+            if left := [p for p in probes if p[0] >= passed * 1000]:
+                self.waiting.updateValue((bucket,), tuple(map(list, zip(*left, strict=True))))
+                later.append(min(t for t, _ in left) // 1000)
+            else:
+                self.waiting.removeKey((bucket,))
+                waiting.discard(bucket)
+        yield self.table([t for t, _ in ready], [i for _, i in ready], history)
+        for bucket in [b for b in history if self.expiry(b) < passed]:
+            self.history.removeKey((bucket,))
+            history.discard(bucket)
+        later += [b * self.bucket_ms for b in waiting if b * self.bucket_ms >= passed] + [self.expiry(b) for b in history]
+        if later:
+            self.handle.registerTimer(min(later))
+            self.buckets.update((min(later), sorted(waiting), sorted(history)))
+        else:
+            self.buckets.clear()
+
+    def table(self, at: list[int], ids: list[str], history: set[int]) -> pd.DataFrame:
+        """The answers of probes."""
+        at = np.array(at, np.int64)
+        out = {"trip_id": pd.Series(ids, dtype=object), "t": at}
+        widest = max(f.window_minutes for f in self.features) * MINUTE_US
+        first, last = (at - widest) // 1000 // self.bucket_ms, at // 1000 // self.bucket_ms
+        needed = {b for b in history if ((first <= b) & (b <= last)).any()}
+        held = [self.history.getValue((b,)) for b in needed]
+        t, parts, pack = (np.array([x for h in held for x in h[i]], kind) for i, kind in enumerate((np.int64, np.int64, float)))
+        order = np.argsort(t, kind="stable")
+        t, pack, total = t[order], pack[order], np.concatenate([[0], np.cumsum(parts[order])])
+        for f in self.features:
+            low, high = np.searchsorted(t, at - f.window_minutes * MINUTE_US, side="right"), np.searchsorted(t, at, side="right")
+            n = high - low
+            if f.kind == "median":
+                windows = (pack[a:b][~np.isnan(pack[a:b])] for a, b in zip(low, high, strict=True))
+                out[f.name] = np.array([np.median(w) if len(w) else np.nan for w in windows], float)
+            else:
+                out[f.name] = n.astype(float) if f.kind == "count" else np.where(n > 0, (total[high] - total[low]) / self.unit / np.maximum(n, 1), np.nan)
+        return pd.DataFrame(out)
+
+
 def online_features(trips: DataFrame, features: tuple[Trailing, ...], late: str = "2 hours", retain_minutes: int = RETAIN_MINUTES) -> DataFrame:
-    """A stream of trip_id, t, and the features (null where the window is empty) of probes that the watermark has passed."""
+    """A stream of trip_id, t, and the features (null where the window is empty) of probes that the watermark has passed.
+
+    Its state needs the store that ``PROVIDER`` names.
+    """
     if len({f.entity for f in features}) != 1:
         raise TidemarkError("features of one entity at a time")
     if retain_minutes < (widest := max(f.window_minutes for f in features)):
@@ -54,44 +159,10 @@ def online_features(trips: DataFrame, features: tuple[Trailing, ...], late: str
     if any(f.kind == "custom" for f in features):
         raise TidemarkError("the stream's state serves means, counts and medians")
     names = [f.name for f in features]
-
-    def answer(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        h_t, h_cents, h_pack, p_id, p_t = ([list(x) for x in state.get] if state.exists else [[], [], [], [], []])
-        for part in rows:
-            probes, history = part[part.trip_id.notna()], part[part.trip_id.isna()]
-            p_id += probes.trip_id.tolist()
-            p_t += probes.t.tolist()
-            h_t += history.t.tolist()
-            h_cents += history.cents.astype("int64").tolist()
-            h_pack += history.pack.tolist()
-        passed = state.getCurrentWatermarkMs() * 1000
-        order = np.argsort(np.array(h_t, np.int64), kind="stable")
-        t, cents, pack = np.array(h_t, np.int64)[order], np.array(h_cents, np.int64)[order], np.array(h_pack, float)[order]
-        totals = np.concatenate([[0], np.cumsum(cents)])
-        ready = sorted((at, i) for at, i in zip(p_t, p_id, strict=True) if at < passed)
-        at = np.array([x for x, _ in ready], np.int64)
-        out = {"trip_id": [i for _, i in ready], "t": at}
-        for f in features:
-            low, high = np.searchsorted(t, at - f.window_minutes * MINUTE_US, side="right"), np.searchsorted(t, at, side="right")
-            n = (high - low).astype(float)
-            if f.kind == "median":
-                out[f.name] = [float(np.median(pack[a:b])) if a < b else None for a, b in zip(low, high, strict=True)]
-            else:
-                out[f.name] = n if f.kind == "count" else np.where(n > 0, (totals[high] - totals[low]) / 100 / np.maximum(n, 1), np.nan)
-        waiting = [(x, i) for x, i in zip(p_t, p_id, strict=True) if x >= passed]
-        # What a probe still to come may look back on: it isn't older than the watermark. The rest goes from the front.
-        keep = slice(int(np.searchsorted(t, min([passed, *(x for x, _ in waiting)]) - retain_minutes * MINUTE_US, side="right")), None)
-        if len(t[keep]) or waiting:
-            state.update((t[keep].tolist(), cents[keep].tolist(), pack[keep].tolist(), [i for _, i in waiting], [x for x, _ in waiting]))
-            next_ms = min(x for x, _ in waiting) // 1000 + 1 if waiting else int(t[-1]) // 1000 + retain_minutes * 60_000
-            state.setTimeoutTimestamp(max(next_ms, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out).astype({n: "float64" for n in names})
-
-    schema = ", ".join(["trip_id string", "t long", *(f"{n} double" for n in names)])
     line = time_line(trips, features[0].entity).withWatermark("at", late)
-    return line.groupBy("key").applyInPandasWithState(answer, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    schema = ", ".join(["trip_id string", "t long", *(f"{n} double" for n in names)])
+    found = line.groupBy("key").transformWithStateInPandas(Store(features, parts_of_a_minute(trips), retain_minutes), schema, "Append", "EventTime")
+    return found.select("trip_id", "t", *(F.when(~F.isnan(n), F.col(n)).alias(n) for n in names))
 
 
 def labelled(predictions: DataFrame, outcomes: DataFrame, late: str = "1 hour", within_hours: int = 24) -> DataFrame:
