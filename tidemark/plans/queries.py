@@ -17,9 +17,12 @@ from tidemark.functions.quantiles import nearest_rank
 from tidemark.functions.scalar import bucket, parse_timestamp
 from tidemark.model import MINUTE_US, PSI_BINS, RIDGE_ALPHA, TidemarkError
 from tidemark.operators import drift, experiment, features, monitoring, serving, training
+from tidemark.operators.history import TripStore
 from tidemark.plans.runs import train
 from tidemark.sources import trips as sources
+from tidemark.streaming.requests import score_requests
 from tidemark.streaming.store import PROVIDER, online_features
+from tidemark.streaming.store import labelled as labelled_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -517,6 +520,32 @@ def srv_health(spark, sf_dir):
     return rounded(serving.health(request_log(spark, sf_dir)))
 
 
+@query(sql(TRIPS, features_sql(), select="SELECT * FROM feats"))
+def srv_store_asked(spark, sf_dir):
+    """The store is told of trips in parts, and asked for every trip: the features are the batch's."""
+    trips, store = trips_of(spark, sf_dir), TripStore(spark, folder_of(spark, "store"), buckets=4, days=7)
+    for part in range(3):
+        store.tell(trips.where(F.col("trip_id") % 3 == part), f"part-{part}")
+    return rounded(store.ask(trips).select("trip_id", *features.FEATURE_NAMES))
+
+
+@query(sql(TRIPS, RAW_FEATURES, select=f"SELECT feats.trip_id, round({_FIXED_SQL.replace('distance_m', 'feats.distance_m')}, 5) AS pred_minutes, 'fixed' AS model_version, 'control' AS variant, a_us AS served_us, false AS fallback FROM feats JOIN trips USING (trip_id)"))
+def srv_stream_predict(spark, sf_dir):
+    """Every trip as a request on a stream, scored from the store: the log is that of the batch."""
+    store, folder = TripStore(spark, folder_of(spark, "store"), buckets=4, days=7), folder_of(spark, "requests")
+    store.tell(trips_of(spark, sf_dir), "all")
+    run = score_requests(requests_of(stream_of(spark, sf_dir)), store, FIXED.predict(), "fixed", f"{folder}/log", f"{folder}/dead", f"{folder}/state")
+    run.awaitTermination()
+    served = spark.read.parquet(f"{folder}/log").drop("batch", "fallback_reason")
+    return rounded(served.withColumn("trip_id", F.col("trip_id").cast("bigint")), 5)
+
+
+def requests_of(trips: DataFrame) -> DataFrame:
+    """Trips as the bodies of requests."""
+    fields = (F.col("trip_id").cast("string").alias("trip_id"), F.col("store_id").cast("string").alias("store_id"), F.col("driver_id").cast("string").alias("driver_id"), F.col("assigned_at").cast("string").alias("assigned_at"), "distance_m", "promised_minutes")
+    return trips.select(F.to_json(F.struct(*fields)).alias("body"))
+
+
 # --- Monitoring -----------------------------------------------------------------------------------------------
 
 
@@ -792,18 +821,20 @@ def stream_of(spark, sf_dir):
     return sources.from_events(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
 
 
-def played(stream: DataFrame) -> DataFrame:
-    """A stream run to its end into Parquet, and that read back, in the session's checkpoint folder.
-
-    Only a local session may do without one; its folder is a new one.
-    """
-    spark = stream.sparkSession
+def folder_of(spark: SparkSession, name: str) -> str:
+    """A new folder in the session's checkpoint folder. Only a local session may do without one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise TidemarkError("spark.checkpoint.dir must name a folder that all machines share")
         root = tempfile.mkdtemp(prefix="spark-")
-    folder = f"{root}/stream-{uuid4().hex}"
+    return f"{root}/{name}-{uuid4().hex}"
+
+
+def played(stream: DataFrame) -> DataFrame:
+    """A stream run to its end into Parquet, and that read back."""
+    spark = stream.sparkSession
+    folder = folder_of(spark, "stream")
     name, provider = PROVIDER
     before = spark.conf.get(name)
     spark.conf.set(name, provider)  # read when the stream starts
@@ -843,3 +874,22 @@ def stream_store_features(spark, sf_dir):
     own = tuple(f for f in features.TRAILING if f.entity == "store")
     return rounded(played(online_features(stream_of(spark, sf_dir), own)))
 
+
+_SETTLED_MINUTES = (1 + 24) * 60 + 1  # what may be late, the bound, and one more
+
+
+@query(
+    sql(
+        TRIPS,
+        PREDICTIONS,
+        f"mark AS (SELECT least(max(a_us), max(coalesce(d_us, a_us + CAST(tat * 60000000 AS BIGINT))) FILTER (WHERE tat IS NOT NULL)) - {_SETTLED_MINUTES * MINUTE_US} AS us FROM trips)",
+        select="SELECT p.trip_id, pred_minutes, served_us, model_version, variant, fallback, p.promised_minutes, tat::DOUBLE AS actual_minutes FROM predictions p JOIN trips USING (trip_id), mark WHERE served_us < us",
+    )
+)
+def stream_labels(spark, sf_dir):
+    """Predictions of the stream that are settled, those without a label included: their outcome came, or can't come any more."""
+    predictions, outcomes_ = sources.predictions_of(stream_of(spark, sf_dir)), sources.outcomes_of(stream_of(spark, sf_dir))
+    found = played(labelled_stream(predictions, outcomes_, how="left")).drop("served_at", "delivered_at")
+    trips = trips_of(spark, sf_dir)
+    served, delivered = trips.agg(F.max("a_us")).scalar(), sources.outcomes_of(trips).agg(F.max("delivered_us")).scalar()
+    return found.where(F.col("served_us") < F.least(served, delivered) - _SETTLED_MINUTES * MINUTE_US)

@@ -165,12 +165,15 @@ def online_features(trips: DataFrame, features: tuple[Trailing, ...], late: str
     return found.select("trip_id", "t", *(F.when(~F.isnan(n), F.col(n)).alias(n) for n in names))
 
 
-def labelled(predictions: DataFrame, outcomes: DataFrame, late: str = "1 hour", within_hours: int = 24) -> DataFrame:
-    """Predictions joined to the outcomes that follow within a bound, both streams with a watermark, so that state is let go."""
+def labelled(predictions: DataFrame, outcomes: DataFrame, late: str = "1 hour", within_hours: int = 24, how: str = "inner") -> DataFrame:
+    """Predictions joined to the outcomes that follow within a bound, both streams with a watermark, so that state is let go.
+
+    With how = "left", a prediction whose outcome hasn't come when both watermarks have passed the bound comes without one.
+    """
     p = predictions.withColumn("served_at", F.timestamp_micros("served_us")).withWatermark("served_at", late)
     o = outcomes.select(F.col("trip_id").alias("o_trip"), "actual_minutes", F.timestamp_micros("delivered_us").alias("delivered_at")).withWatermark("delivered_at", late)
     bound = F.expr(f"trip_id = o_trip AND delivered_at >= served_at AND delivered_at <= served_at + INTERVAL {within_hours} HOURS")
-    return p.join(o, bound, "inner").drop("o_trip")
+    return p.join(o, bound, how).drop("o_trip")
 
 
 def sliding_health(predictions: DataFrame, minutes: int = 60, every: int = 5, late: str = "10 minutes") -> DataFrame:
