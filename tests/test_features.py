@@ -216,3 +216,16 @@ def test_one_schema_from_sources_to_operators(spark, tmp_path):
     assert f.historical(read).count() == 399
     for trips in (from_events(spark.read.parquet("/root/testdata/sf0.001/events.parquet")), made):
         assert {c for c in made.columns} <= set(trips.columns)
+
+
+def test_medians_leave_out_packs_that_are_not_known(spark):
+    """Null distances and NaN ones."""
+    rows = [("a", "s", 0, 60 + i, 10.0 + i, None if i % 3 == 0 else float("nan") if i % 3 == 1 else 220.0 * i) for i in range(30)]
+    raw = spark.createDataFrame(rows, "trip_id string, store_id string, a_min long, d_min long, took double, distance_m double")
+    trips = raw.select("trip_id", "store_id", F.lit("d").alias("driver_id"), (F.col("a_min") * 60_000_000 + 90 * 60_000_000).alias("a_us"), (F.col("d_min") * 60_000_000).alias("d_us"), F.col("took").cast("decimal(18,3)").alias("tat"), "distance_m")
+    own = (f.Trailing("m", "store", 60, "median"),)
+    found = f.trailing(trips, trips, own).select("m").distinct().collect()
+    packs = [10.0 + i - i for i in range(30) if i % 3 == 2 and 60 + i <= 90]
+    assert [r.m for r in found] == [pytest.approx(sum(packs) / len(packs))]
+    nothing = trips.withColumn("distance_m", F.lit(None).cast("double"))
+    assert f.trailing(nothing, nothing, own).where("m IS NOT NULL").count() == 0

@@ -17,8 +17,3 @@ def nearest_rank(x: str, q: float) -> Column:
     if not 0 <= q <= 100:
         raise TidemarkError(f"percentile {q} is not between 0 and 100")
     return F.expr(f"percentile_disc({q / 100!r}D) WITHIN GROUP (ORDER BY {x})")
-
-
-def inner_edges(x: Column, bins: int) -> Column:
-    """The inner edges of ``bins`` equally filled bins, each once, in order; by interpolation."""
-    return F.array_distinct(F.percentile(x, F.array(*(F.lit(i / bins) for i in range(1, bins)))))

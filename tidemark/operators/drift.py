@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.quantiles import inner_edges
 from tidemark.functions.scalar import bin_of
 from tidemark.model import PSI_BINS, PSI_FLOOR, TidemarkError
+from tidemark.operators.selection import with_percentiles
 
 
 def long_form(wide: DataFrame, names: list[str]) -> DataFrame:
@@ -26,7 +26,9 @@ def psi(reference: DataFrame, current: DataFrame, by: list[str], bins: int = PSI
     """
     if bins < 2:
         raise TidemarkError("stability needs two bins at least")
-    edges = reference.groupBy(*by).agg(inner_edges(F.col("value"), bins).alias("edges"), F.count(F.lit(1)).alias("n_ref")).where("n_ref >= 2").drop("n_ref")
+    inner = {f"edge_{i}": ("linear", i / bins) for i in range(1, bins)}
+    enough = reference.groupBy(*by).agg(F.count(F.lit(1)).alias("n_ref")).where("n_ref >= 2").drop("n_ref")
+    edges = with_percentiles(enough, reference, tuple(by), "value", inner).select(*by, F.array_distinct(F.array(*inner)).alias("edges"))
 
     def filled(side: DataFrame, keys: list[str], name: str) -> DataFrame:
         # The table of edges has a row for each group, which the optimizer sees to.

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.quantiles import interpolated_median, nearest_rank
 from tidemark.functions.scalar import minutes_between, within
 from tidemark.model import DRIFT_WINDOW_MINUTES, MINUTE_US
 from tidemark.operators.drift import psi
+from tidemark.operators.selection import percentiles, with_percentiles
 from tidemark.sources.trips import latest
 
 
@@ -69,23 +69,31 @@ def counted(log: DataFrame, instants: list[int]) -> DataFrame:
     return _rows(log, times).join(out, "as_of_us", "left").fillna(0, ["n", "fallbacks", "labels_pending", "pending_served"])
 
 
-def accuracy() -> list[Column]:
-    """n, mae, rmse, p50_error, p90_error and breach_rate over rows of pred_minutes and actual_minutes."""
-    err = F.abs(F.col("pred_minutes") - F.col("actual_minutes"))
-    text = "abs(pred_minutes - actual_minutes)"
-    return [
+#: Percentiles of errors, and of the minutes from serving to label.
+ERRORS = {"p50_error": ("nearest", 0.5), "p90_error": ("nearest", 0.9)}
+LAG = {"label_lag_minutes": ("linear", 0.5)}
+
+
+def accuracy(known: DataFrame) -> DataFrame:
+    """n, mae, rmse, p50_error, p90_error and breach_rate for each instant of rows whose label had arrived."""
+    rows = known.withColumn("err", F.abs(F.col("pred_minutes") - F.col("actual_minutes")))
+    sums = rows.groupBy("as_of_us").agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg(err).alias("mae"),
-        F.sqrt(F.avg(err * err)).alias("rmse"),
-        nearest_rank(text, 50).alias("p50_error"),
-        nearest_rank(text, 90).alias("p90_error"),
+        F.avg("err").alias("mae"),
+        F.sqrt(F.avg(F.col("err") * F.col("err"))).alias("rmse"),
         F.avg((F.col("actual_minutes") > F.col("pred_minutes")).cast("double")).alias("breach_rate"),
-    ]
+    )
+    return with_percentiles(sums, rows, ("as_of_us",), "err", ERRORS).select("as_of_us", "n", "mae", "rmse", "p50_error", "p90_error", "breach_rate")
+
+
+def lags(known: DataFrame) -> DataFrame:
+    """Median minutes from serving to label for each instant."""
+    return percentiles(known.withColumn("lag", minutes_between(F.col("label_us"), F.col("served_us"))), ("as_of_us",), "lag", LAG)
 
 
 def realised(log: DataFrame, instants: list[int]) -> DataFrame:
     """Accuracy at each instant over the predictions with a label by then; no row where there is none."""
-    return known_at(log, instants).groupBy("as_of_us").agg(*accuracy())
+    return accuracy(known_at(log, instants))
 
 
 def pending(log: DataFrame, instants: list[int], served_only: bool = False) -> DataFrame:
@@ -93,14 +101,9 @@ def pending(log: DataFrame, instants: list[int], served_only: bool = False) -> D
     return counted(log, instants).select("as_of_us", F.col("pending_served" if served_only else "labels_pending").alias("labels_pending"))
 
 
-def _lag() -> Column:
-    return interpolated_median(minutes_between(F.col("label_us"), F.col("served_us"))).alias("label_lag_minutes")
-
-
 def label_lag(log: DataFrame, instants: list[int]) -> DataFrame:
     """Median minutes from serving to label, of labels that have arrived; NaN if none has."""
-    lags = known_at(log, instants).groupBy("as_of_us").agg(_lag())
-    return _rows(log, instants).join(lags, "as_of_us", "left").select("as_of_us", F.coalesce("label_lag_minutes", F.lit(NAN)).alias("label_lag_minutes"))
+    return _rows(log, instants).join(lags(known_at(log, instants)), "as_of_us", "left").select("as_of_us", F.coalesce("label_lag_minutes", F.lit(NAN)).alias("label_lag_minutes"))
 
 
 def _blind() -> Column:
@@ -150,7 +153,9 @@ def health(log: DataFrame, reference: DataFrame, instants: list[int], minutes: f
     made = counted(log, instants)
     rate = F.when(F.col("n") > 0, F.col("fallbacks") / F.col("n")).otherwise(0.0)
     out = made.select("as_of_us", F.col("n").alias("n_served"), rate.alias("fallback_rate"), "labels_pending", "scored_through_us", _blind())
-    known = known_at(log, instants).groupBy("as_of_us").agg(*(c.alias(f"realised_{name}") for c, name in zip(accuracy(), ("n", "mae", "rmse", "p50_error", "p90_error", "breach_rate"), strict=True)), _lag())
+    arrived = known_at(log, instants)
+    figures = accuracy(arrived)
+    known = figures.select("as_of_us", *(F.col(c).alias(f"realised_{c}") for c in figures.columns[1:])).join(lags(arrived), "as_of_us", "left")
     drift = prediction_drift(log, reference, instants, minutes).withColumnRenamed("psi", "prediction_psi")
     out = out.join(known, "as_of_us", "left").join(drift, "as_of_us", "left")
     out = out.withColumns({"realised_n": F.coalesce("realised_n", F.lit(0)), "label_lag_minutes": F.coalesce("label_lag_minutes", F.lit(NAN))})

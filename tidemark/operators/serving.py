@@ -7,11 +7,14 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.quantiles import nearest_rank
 from tidemark.functions.scalar import finite
 from tidemark.operators.features import instant
+from tidemark.operators.selection import with_percentiles
 from tidemark.sources.trips import finished
 
+#: Percentiles of latencies.
+RANKS = {"p50_ms": ("nearest", 0.5), "p99_ms": ("nearest", 0.99)}
+
 
 def predict(featured: DataFrame, minutes: Column, names: tuple[str, ...], version: str, variant: str = "control") -> DataFrame:
     """A prediction for each trip, as of its assignment (or as_of_us, in a replay); the promise, flagged and with the reason, where there is none to give.
@@ -67,7 +70,9 @@ def observe(trips: DataFrame, store: str | None = None) -> Observed:
 def latency(log: DataFrame, ms: str = "ms", by: tuple[str, ...] = ()) -> DataFrame:
     """n, p50, p99, max and mean of a column of milliseconds; zeros if there are no requests."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return log.groupBy(*by).agg(F.count(ms).alias("n"), zero(nearest_rank(ms, 50)).alias("p50_ms"), zero(nearest_rank(ms, 99)).alias("p99_ms"), zero(F.max(ms)).alias("max_ms"), zero(F.avg(ms)).alias("mean_ms"))
+    sums = log.groupBy(*by).agg(F.count(ms).alias("n"), zero(F.max(ms)).alias("max_ms"), zero(F.avg(ms)).alias("mean_ms"))
+    found = with_percentiles(sums, log, by, ms, RANKS)
+    return found.select(*by, "n", *(zero(F.col(c)).alias(c) for c in RANKS), "max_ms", "mean_ms")
 
 
 def fallback_rate(flag: str = "fallback") -> Column:
@@ -77,14 +82,14 @@ def fallback_rate(flag: str = "fallback") -> Column:
 def health(log: DataFrame, ms: str = "ms") -> DataFrame:
     """One row: whether the service is up (a log with a model version), requests, fallbacks, and latency."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return log.agg(
+    sums = log.agg(
         (F.count("model_version") > 0).alias("ok"),
         F.max_by("model_version", F.struct("served_us", "model_version")).alias("model_version"),
         F.count(F.lit(1)).alias("requests"),
         F.count_if("fallback").alias("fallbacks"),
         fallback_rate().alias("fallback_rate"),
-        zero(nearest_rank(ms, 50)).alias("p50_ms"),
-        zero(nearest_rank(ms, 99)).alias("p99_ms"),
         zero(F.max(ms)).alias("max_ms"),
         zero(F.avg(ms)).alias("mean_ms"),
     )
+    found = with_percentiles(sums, log, (), ms, RANKS)
+    return found.select("ok", "model_version", "requests", "fallbacks", "fallback_rate", *(zero(F.col(c)).alias(c) for c in RANKS), "max_ms", "mean_ms")

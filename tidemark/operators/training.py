@@ -9,9 +9,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.quantiles import interpolated_median, nearest_rank
 from tidemark.model import HOLDOUT, MINIMUM_MINUTES, PIVOT_TOLERANCE, RIDGE_ALPHA, TidemarkError
 from tidemark.operators.features import FEATURE_NAMES
+from tidemark.operators.selection import percentiles, with_percentiles
 
 
 #: Deviation of a feature, as a share of its mean, from which on sums about zero keep ten digits or so.
@@ -66,7 +66,8 @@ class Baseline:
 
     @classmethod
     def fit(cls, train: DataFrame) -> Baseline:
-        middle = train.agg(interpolated_median(F.col("promised"))).first()[0]
+        found = percentiles(train, (), "promised", {"middle": ("linear", 0.5)}).first()
+        middle = found["middle"] if found else None
         if middle is None:
             raise TidemarkError("there are no labelled rows")
         return cls(middle)
@@ -176,15 +177,14 @@ def metrics(rows: DataFrame, by: tuple[str, ...] = (), median: str = "interpolat
     A trip breaches if it took longer than predicted.
     """
     rows = rows.where("label is not null and prediction is not null").withColumn("err", F.abs(F.col("prediction") - F.col("label")))
-    p50 = interpolated_median(F.col("err")) if median == "interpolated" else nearest_rank("err", 50)
-    return rows.groupBy(*by).agg(
+    scores = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("err").alias("mae"),
         F.sqrt(F.avg(F.col("err") * F.col("err"))).alias("rmse"),
-        p50.alias("p50_error"),
-        nearest_rank("err", 90).alias("p90_error"),
         F.avg((F.col("label") > F.col("prediction")).cast("double")).alias("breach_rate"),
     )
+    wanted = {"p50_error": ("linear" if median == "interpolated" else "nearest", 0.5), "p90_error": ("nearest", 0.9)}
+    return with_percentiles(scores, rows, by, "err", wanted).select(*by, "n", "mae", "rmse", "p50_error", "p90_error", "breach_rate")
 
 
 @dataclass

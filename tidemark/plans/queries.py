@@ -205,6 +205,20 @@ for _name, _key in (("driver_mean_tat_120m", "feat_driver_mean"), ("store_mean_t
     one_feature(_name, _key)
 
 
+@query(
+    sql(
+        TRIPS.replace("CAST(props->>'$.k' AS INTEGER) * 100 AS distance_m", "CASE WHEN event_id % 3 <> 1 THEN CAST(props->>'$.k' AS INTEGER) * 100 END AS distance_m"),
+        line_sql("by_store", "store_id"),
+        select="SELECT trip_id, coalesce(round(p50_60, 6), 8.0::DOUBLE) AS store_pack_p50_60m FROM by_store",
+    )
+)
+def feat_store_pack_unknown(spark, sf_dir):
+    """Median pack times where a third of all distances isn't known: such trips have no pack time and don't count."""
+    trips = trips_of(spark, sf_dir).withColumn("distance_m", F.when(F.col("trip_id") % 3 != 1, F.col("distance_m")))
+    own = tuple(f for f in features.TRAILING if f.kind == "median")
+    return rounded(features.historical(trips, own).select("trip_id", "store_pack_p50_60m"))
+
+
 @query(sql(TRIPS, features_sql(), select="SELECT * FROM feats"))
 def feat_historical(spark, sf_dir):
     """Every trip with all nine features, as of its own assignment."""
