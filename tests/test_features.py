@@ -3,6 +3,8 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from tidemark.operators import features as f
 from tidemark.sources.trips import from_events, generate, load, with_micros
 
 BASE = datetime(2026, 9, 1, 9)
+EVENTS = "/root/testdata/sf0.001/events.parquet"
 
 
 def table(spark, *rows, promised=19):
@@ -229,3 +232,41 @@ def test_medians_leave_out_packs_that_are_not_known(spark):
     assert [r.m for r in found] == [pytest.approx(sum(packs) / len(packs))]
     nothing = trips.withColumn("distance_m", F.lit(None).cast("double"))
     assert f.trailing(nothing, nothing, own).where("m IS NOT NULL").count() == 0
+
+
+def test_members_are_those_of_the_window(spark):
+    trips = from_events(spark.read.parquet(EVENTS)).persist()
+    for minutes in (20, 700):
+        got = {}
+        for r in f.members(trips, trips, "store", minutes).collect():
+            got.setdefault(r.trip_id, []).append(r.member_id)
+        own = trips.collect()
+        for p in own:
+            want = sorted(h.trip_id for h in own if h.store_id == p.store_id and h.d_us is not None and p.a_us - minutes * 60_000_000 < h.d_us <= p.a_us)
+            assert sorted(got.get(p.trip_id, [])) == want
+
+
+def test_a_guard_in_the_plan(spark):
+    trips = from_events(spark.read.parquet(EVENTS)).persist()
+    fair = f.historical(trips, guarded=True)
+    assert sorted(map(repr, fair.collect())) == sorted(map(repr, f.historical(trips).collect()))
+    with pytest.raises(Exception, match=r"trip \d+: the driver window of 120 minutes at \d+ us holds trip \d+, which is delivered at \d+ us"):
+        f.leaky_in_flight(trips, guarded=True).collect()
+    with pytest.raises(Exception, match="the store window of 60 minutes"):
+        f.trailing(trips, trips, f.TRAILING[:1], "a_us", guarded=True).collect()
+
+
+def test_python_over_a_window(spark):
+    """A pandas UDF that gets the window's trips and a column of the probe."""
+    trips = from_events(spark.read.parquet(EVENTS)).persist()
+
+    @F.pandas_udf("double")
+    def share(members: pd.Series, mine: pd.Series) -> pd.Series:
+        return pd.Series([float(np.mean([d > m for d in ds])) if len(ds) else None for ds, m in zip(members, mine, strict=True)])
+
+    farther = lambda m: F.when(F.size(m) > 0, F.size(F.filter(m, lambda d: d > F.col("distance_m"))) / F.size(m))
+    specs = [f.Trailing("x", "driver", 2880, "custom", value=lambda: F.col("distance_m"), of_members=of) for of in (farther, lambda m: share(m, F.col("distance_m")))]
+    one, two = ({r.trip_id: r.x for r in f.trailing(trips, trips, (s,)).collect()} for s in specs)
+    assert one.keys() == two.keys() and all(a == b or a == pytest.approx(b) for a, b in ((one[k], two[k]) for k in one)) and any(one.values())
+    with pytest.raises(TidemarkError):
+        f.leaky_lifetime(trips, (specs[0],))

@@ -49,7 +49,8 @@ class Trailing:
     """An aggregate over the trailing window of an entity.
 
     kind: mean (of the time taken), count, median (of the pack time), or custom: aggregate(column) of value(), an
-    expression over a finished trip's columns. cold() stands for the value if the window is empty; the built-in
+    expression over a finished trip's columns; or, if it has to see the probe, of_members(array) of the values of the
+    window's trips, an expression (a pandas UDF, too) that may use the probe's columns. cold() stands for the value if the window is empty; the built-in
     kinds have one of their own.
     """
 
@@ -61,13 +62,17 @@ class Trailing:
     value: Callable[[], Column] | None = None
     aggregate: Callable[[Column], Column] | None = None
     cold: Callable[[], Column] | None = None
+    of_members: Callable[[Column], Column] | None = None
 
     def __post_init__(self) -> None:
-        if self.kind not in ("mean", "count", "median", "custom") or (self.kind == "custom") != (self.aggregate is not None):
+        ways = (self.aggregate is not None) + (self.of_members is not None)
+        if self.kind not in ("mean", "count", "median", "custom") or (self.kind == "custom") != (ways == 1):
             raise TidemarkError(f"{self.name}: a kind is mean, count, median, or custom with an aggregate")
 
     def whole(self) -> Column:
         """The aggregate over all rows of a group, for history columns as _history names them."""
+        if self.of_members is not None:
+            raise TidemarkError(f"{self.name} needs a probe and a window")
         if self.kind == "custom":
             return self.aggregate(F.col(f"h_{self.name}"))
         return {"mean": F.sum("h_tat").cast("double") / F.count("h_tat"), "count": F.count("h_tat").cast("double"), "median": F.percentile("h_pack", 0.5)}[self.kind]
@@ -146,12 +151,13 @@ def _line(probes: DataFrame, known: DataFrame, entity: str, widest: int, leaves:
     return asked.unionByName(known, allowMissingColumns=True).repartition("h_key", "h_slice").sortWithinPartitions("h_key", "h_slice", "h_t", "h_probe")
 
 
-def trailing(probes: DataFrame, trips: DataFrame, features: tuple[Trailing, ...], history_at: str = "d_us") -> DataFrame:
+def trailing(probes: DataFrame, trips: DataFrame, features: tuple[Trailing, ...], history_at: str = "d_us", guarded: bool = False) -> DataFrame:
     """probes with a column for each feature (null where its window is empty); all features of one entity.
 
     Means and counts are running totals along the time line, of trips that enter and leave, so a row costs the same
     however much its window holds; they are exact, because times are decimals. Medians sort each window's values (see
-    ``_medians``). Custom aggregates use RANGE frames, whose work grows with the window.
+    ``_medians``). Custom aggregates use RANGE frames, whose work grows with the window. guarded: the job fails with the
+    message of ``guard`` if a window holds a trip delivered after the probe's instant; no job of its own is needed.
     """
     if len({f.entity for f in features}) != 1:
         raise TidemarkError("features of one entity at a time")
@@ -168,13 +174,38 @@ def trailing(probes: DataFrame, trips: DataFrame, features: tuple[Trailing, ...]
             columns[f.name] = F.when(n > 0, inside(f, F.col("h_tat")).cast("double") / n) if f.kind == "mean" else F.coalesce(n, F.lit(0)).cast("double")
         elif f.kind == "custom":
             frame = place.orderBy("h_t").rangeBetween(1 - us(f), 0)
-            columns[f.name] = f.aggregate(F.when(F.col("h_w") == 0, F.col(f"h_{f.name}"))).over(frame)
+            value = F.when(F.col("h_w") == 0, F.col(f"h_{f.name}"))
+            columns[f.name] = f.aggregate(value).over(frame) if f.aggregate else F.when(F.col("h_probe"), f.of_members(F.collect_list(value).over(frame)))
+    if guarded:
+        widest = max(map(us, features))
+        last = F.max(F.when(F.col("h_w") == 0, F.struct("h_d", "h_trip"))).over(place.orderBy("h_t").rangeBetween(1 - widest, 0))
+        columns["h_fair"] = F.when(F.col("h_probe") & (last["h_d"] > F.col("h_t")), F.raise_error(_leak(entity, widest // MINUTE_US, F.col("trip_id"), F.col("h_t"), last["h_trip"], last["h_d"])).cast("boolean")).otherwise(True)
     out = line.withColumns(columns) if columns else line
     middle = [f for f in features if f.kind == "median"]
     if middle:
         needed = out.where(F.col("h_probe") | (F.col("h_w") == 0)).select(*probes.columns, *columns, "h_key", "h_slice", "h_t", "h_probe", "h_pack")
         out = _medians(needed.sortWithinPartitions("h_key", "h_slice", "h_t", "h_probe"), {f.name: us(f) for f in middle})
-    return out.where("h_probe").select(*probes.columns, *(f.name for f in features))
+    return out.where("h_probe AND h_fair" if guarded else "h_probe").select(*probes.columns, *(f.name for f in features))
+
+
+def _leak(entity: str, minutes: int, trip: Column, at: Column, held: Column, delivered: Column) -> Column:
+    """What is wrong with a window that holds a trip delivered after its probe's instant."""
+    return F.concat(F.lit("trip "), trip.cast("string"), F.lit(f": the {entity} window of {minutes} minutes at "), at.cast("string"), F.lit(" us holds trip "), held.cast("string"), F.lit(", which is delivered at "), delivered.cast("string"), F.lit(" us"))
+
+
+def members(probes: DataFrame, trips: DataFrame, entity: str, minutes: int, history_at: str = "d_us") -> DataFrame:
+    """A row for each probe and finished trip in its window: trip_id and as_of_us of the probe, member_id and member_us.
+
+    An interval join: a trip is filed under the bins of time, as wide as the window, from which a probe can look back
+    on it (two at most), a probe under its own; the exact check follows. A busy entity is spread over its bins. Probes
+    with an empty window have no row.
+    """
+    key, width, at = entity_column(entity), minutes * MINUTE_US, instant(probes)
+    asked = probes.select("trip_id", F.col(key).alias("m_key"), at.alias("as_of_us"), F.floor(at / width).alias("m_bin"))
+    bins = F.sequence(F.floor(F.col("member_us") / width), F.floor((F.col("member_us") + (width - 1)) / width))
+    known = finished(trips).select(F.col("trip_id").alias("member_id"), F.col(key).alias("m_key"), F.col(history_at).alias("member_us")).withColumn("m_bin", F.explode(bins))
+    inside = (F.col("member_us") > F.col("as_of_us") - width) & (F.col("member_us") <= F.col("as_of_us"))
+    return asked.join(known, ["m_key", "m_bin"]).where(inside).select("trip_id", "as_of_us", "member_id", "member_us")
 
 
 def _medians(line: DataFrame, widths: dict[str, int]) -> DataFrame:
@@ -283,24 +314,27 @@ def running(probes: DataFrame, trips: DataFrame, features: tuple[Trailing, ...],
     return probes.join(answers, same).drop("p_id", "h_key", "p_us")
 
 
-def historical(trips: DataFrame, features: tuple = CATALOGUE, as_of: Column | None = None) -> DataFrame:
-    """Every trip with all features of a catalogue, as of its own assignment or, to replay it, of another instant (as_of_us)."""
-    return _vectors(trips, "d_us", features, as_of)
+def historical(trips: DataFrame, features: tuple = CATALOGUE, as_of: Column | None = None, guarded: bool = False) -> DataFrame:
+    """Every trip with all features of a catalogue, as of its own assignment or, to replay it, of another instant (as_of_us).
+
+    guarded: see ``trailing``.
+    """
+    return _vectors(trips, "d_us", features, as_of, guarded)
 
 
-def leaky_in_flight(trips: DataFrame, features: tuple = CATALOGUE) -> DataFrame:
+def leaky_in_flight(trips: DataFrame, features: tuple = CATALOGUE, guarded: bool = False) -> DataFrame:
     """The wrong way: finished trips count from their assignment on, before anyone could know how they end; the trip itself, too."""
-    return _vectors(trips, "a_us", features)
+    return _vectors(trips, "a_us", features, guarded=guarded)
 
 
 def _warm(trips: DataFrame, features: tuple) -> DataFrame:
     return derived(trips.withColumns({f.name: f.warm(F.col(f.name)) for f in features if isinstance(f, Trailing)}), features)
 
 
-def _vectors(trips: DataFrame, history_at: str, features: tuple, as_of: Column | None = None) -> DataFrame:
+def _vectors(trips: DataFrame, history_at: str, features: tuple, as_of: Column | None = None, guarded: bool = False) -> DataFrame:
     out = trips if as_of is None else trips.withColumn("as_of_us", as_of)
     for own in trailing_of(features).values():
-        out = trailing(out, trips, own, history_at)
+        out = trailing(out, trips, own, history_at, guarded)
     return _warm(out, features)
 
 

@@ -339,6 +339,27 @@ def feat_leak_audit_leaky(spark, sf_dir):
     """The audit finds the leak of the in-flight variant."""
     return features.leak_audit(trips_of(spark, sf_dir), "a_us")
 
+def member_sql(key: str, minutes: int) -> str:
+    """Probes joined to the trips in their window, as p and h."""
+    return f"trips p LEFT JOIN trips h ON h.{key} = p.{key} AND h.d_us IS NOT NULL AND h.d_us <= p.a_us AND h.d_us > p.a_us - {minutes * MINUTE_US}"
+
+
+@query(sql(TRIPS, select=f"SELECT p.trip_id, count(h.trip_id) AS n, max(h.d_us) AS last_us, arg_max(h.trip_id, (h.d_us, h.trip_id)) AS last_id FROM {member_sql('driver_id', 1440)} GROUP BY p.trip_id HAVING count(h.trip_id) > 0"))
+def feat_members(spark, sf_dir):
+    """How many trips each window of a day holds, and which was delivered last."""
+    trips = trips_of(spark, sf_dir)
+    found = features.members(trips, trips, "driver", 1440).groupBy("trip_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("member_us", "member_id")).alias("last"))
+    return found.select("trip_id", "n", F.col("last.member_us").alias("last_us"), F.col("last.member_id").alias("last_id"))
+
+
+@query(sql(TRIPS, select=f"SELECT p.trip_id, round(avg(CASE WHEN h.trip_id IS NOT NULL THEN (h.distance_m > p.distance_m)::INT::DOUBLE END), 6) AS farther FROM {member_sql('driver_id', 1440)} GROUP BY p.trip_id"))
+def feat_seen_by_probe(spark, sf_dir):
+    """An aggregate that sees its probe: the share of the window's trips that went farther."""
+    farther = lambda m: F.when(F.size(m) > 0, F.size(F.filter(m, lambda d: d > F.col("distance_m"))) / F.size(m))
+    own = (features.Trailing("farther", "driver", 1440, "custom", value=lambda: F.col("distance_m"), of_members=farther),)
+    return rounded(features.historical(trips_of(spark, sf_dir), own, guarded=True).select("trip_id", "farther"))
+
+
 
 # --- Training -------------------------------------------------------------------------------------------------
 
