@@ -210,11 +210,11 @@ class Search:
             self.best[some] = np.partition(best, best.shape[1] - self.k, axis=1)[:, -self.k :]
             upper = score + error
             i, j = np.nonzero((upper >= self.best[some].min(1)[:, None]) & (score > -np.inf))
-            self.hold(some[i], name[j], hashed[j], upper[i, j])
+            self.hold(some[i], name[j], hashed[j], (score - error)[i, j], upper[i, j])
 
     def take(self, queries: np.ndarray, name: np.ndarray, hashed: np.ndarray) -> None:
         i, j = np.nonzero(self.ids[queries, None] != name)
-        self.hold(queries[i], name[j], hashed[j], np.full(len(i), np.inf))
+        self.hold(queries[i], name[j], hashed[j], np.full(len(i), -np.inf), np.full(len(i), np.inf))
 
     def hold(self, *pairs: np.ndarray) -> None:
         self.open.append(pairs)
@@ -224,15 +224,16 @@ class Search:
             self.size = len(self.open[0][0])
 
     def left(self) -> tuple[np.ndarray, ...]:
-        """Query, id, hash and upper bound of the pairs that are open still."""
-        query, name, hashed, upper = map(np.concatenate, zip(*self.open, strict=True))
+        """Query, id, hash, lower and upper bound of the pairs that are open still."""
+        query, *rest, upper = map(np.concatenate, zip(*self.open, strict=True))
         keep = upper >= self.best.min(1)[query]
-        return query[keep], name[keep], hashed[keep], upper[keep]
+        return tuple(c[keep] for c in (query, *rest, upper))
 
     def found(self) -> pa.RecordBatch:
         empty = np.zeros(0, np.int64)
-        query, name, hashed, _ = self.left() if self.open else (empty, empty, empty, empty)
-        return pa.record_batch([pa.array(c.astype(np.int64)) for c in (self.ids[query] if len(query) else empty, name, hashed)], ["query_id", "vec_id", "h"])
+        query, name, hashed, lower, upper = self.left() if self.open else (empty,) * 5
+        columns = [pa.array(c.astype(np.int64)) for c in (self.ids[query] if len(query) else empty, name, hashed)]
+        return pa.record_batch([*columns, pa.array(lower.astype(float)), pa.array(upper.astype(float))], ["query_id", "vec_id", "h", "lower", "upper"])
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -264,7 +265,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, sample: int = SAMP
         held = whole.groupBy("x", "vec_id").agg(F.count(F.lit(1)).alias("n")).withColumn("nth", nth).where(F.col("nth") <= k + 1)
         held = cut(held.select("vec_id", F.xxhash64("x").alias("h"), "x", F.least("n", F.lit(k)).cast("int").alias("n")))
         asked = cut(whole.where(queries).groupBy("vec_id").agg(F.min("x").alias("x")))
-        found = cut(candidates(held, asked, Codes(matrix(fitted.column("x"))), k, confidence))
+        found = cut(still_open(cut(candidates(held, asked, Codes(matrix(fitted.column("x"))), k, confidence)), k))
         rows = found.count()
         limit = max(1_000, rows // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
         table = held.join(found.groupBy("vec_id", "h").agg(F.count(F.lit(1)).alias("weight")), ["vec_id", "h"])
@@ -278,7 +279,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, sample: int = SAMP
 
 
 def candidates(held: DataFrame, asked: DataFrame, codes: Codes, k: int, confidence: float) -> DataFrame:
-    """query_id, vec_id and h of the rows that codes leave open for each query. held: vec_id, h, x; asked: vec_id, x."""
+    """query_id, vec_id, h and bounds of the rows that a part's codes leave open for each query. held: vec_id, h, x; asked: vec_id, x."""
     spark = held.sparkSession
     sent = spark.sparkContext.broadcast(codes)
     rows, queries = held.count(), asked.count()
@@ -327,7 +328,15 @@ def candidates(held: DataFrame, asked: DataFrame, codes: Codes, k: int, confiden
         if search:
             yield search.found()
 
-    return both.repartition(groups * parts, "pair").sortWithinPartitions("pair", "kind", "centre").mapInArrow(scan, "query_id long, vec_id long, h long")
+    return both.repartition(groups * parts, "pair").sortWithinPartitions("pair", "kind", "centre").mapInArrow(scan, "query_id long, vec_id long, h long, lower double, upper double")
+
+
+def still_open(found: DataFrame, k: int) -> DataFrame:
+    """The rows that are open by the k best lower bounds of all parts."""
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lower")))
+    best = found.select("query_id", "lower").withColumn("nth", nth).where(F.col("nth") <= k).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("lower").alias("least"))
+    least = F.when(F.col("n") == k, F.col("least")).otherwise(float("-inf"))
+    return found.join(best, "query_id").where(F.col("upper") >= least).select("query_id", "vec_id", "h")
 
 
 def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
