@@ -1,5 +1,6 @@
 import math
 import random
+from bisect import bisect_left
 
 import pytest
 from pyspark.sql import functions as F
@@ -171,3 +172,19 @@ def test_the_last_prediction_counts(spark):
     assert sorted(r.v for r in latest(log).collect()) == ["b", "c"]
     with pytest.raises(TidemarkError):
         require_unique(log)
+
+
+def test_edges_from_a_sketch(spark):
+    """Shares of the reference in the bins of a sketch are even within its error, and so is the index."""
+    made = spark.range(60_000).select((F.col("id") % 3).alias("g"), F.exp(F.randn(7) + F.col("id") % 3).alias("value")).persist()
+    now = made.where("value < 3").union(made.where("value > 2"))
+    exact = {r.g: r.psi for r in drift.psi(made, now, ["g"]).collect()}
+    for size in (200, 2_000):
+        off = 2.3 / size**0.9
+        got = {r.g: r.psi for r in drift.psi(made, now, ["g"], sketch=size).collect()}
+        # A bin's share is off by two edges' errors at most, each bin's term by as much times its slope.
+        assert got.keys() == exact.keys() and all(abs(got[g] - exact[g]) < 20 * off for g in got)
+        made_of = made.groupBy("g").agg(F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double("value", size), F.array(*(F.lit(i / 10) for i in range(1, 10)))).alias("e")).collect()
+        for row in made_of:
+            values = sorted(r.value for r in made.where(F.col("g") == row.g).collect())
+            assert all(abs(bisect_left(values, e) / len(values) - i / 10) < 1.5 * off for i, e in enumerate(row.e, 1))

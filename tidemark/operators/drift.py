@@ -16,19 +16,28 @@ def long_form(wide: DataFrame, names: list[str]) -> DataFrame:
     return wide.select(F.explode(pairs).alias("p")).select("p.*").where("value is not null")
 
 
-def psi(reference: DataFrame, current: DataFrame, by: list[str], bins: int = PSI_BINS, over: tuple[str, ...] = ()) -> DataFrame:
+def psi(reference: DataFrame, current: DataFrame, by: list[str], bins: int = PSI_BINS, over: tuple[str, ...] = (), sketch: int | None = None) -> DataFrame:
     """Stability index of ``value`` for each group: ``by``, ``over`` and psi.
 
     over: keys that only the current side has, such as the instant that it is seen from. The reference's edges and
     counts are made once for all of them. Bins are equally filled by the reference, closed above, and fewer if
     values tie; both sides' shares have a floor. Groups need two reference values and a current one, else they
     are left out.
+
+    sketch: edges come from a KLL sketch of that size, made in one pass and merged over partitions, instead of exact
+    percentiles. An edge's rank is then off by some 2.3 / sketch**0.9 of the reference (0.5 % at 1,000) with 99 %
+    certainty; counts by bin, and so the shares, are exact for the edges that there are.
     """
     if bins < 2:
         raise TidemarkError("stability needs two bins at least")
-    inner = {f"edge_{i}": ("linear", i / bins) for i in range(1, bins)}
-    enough = reference.groupBy(*by).agg(F.count(F.lit(1)).alias("n_ref")).where("n_ref >= 2").drop("n_ref")
-    edges = with_percentiles(enough, reference, tuple(by), "value", inner).select(*by, F.array_distinct(F.array(*inner)).alias("edges"))
+    if sketch is None:
+        inner = {f"edge_{i}": ("linear", i / bins) for i in range(1, bins)}
+        enough = reference.groupBy(*by).agg(F.count(F.lit(1)).alias("n_ref")).where("n_ref >= 2").drop("n_ref")
+        edges = with_percentiles(enough, reference, tuple(by), "value", inner).select(*by, F.array_distinct(F.array(*inner)).alias("edges"))
+    else:
+        made = reference.where("value IS NOT NULL").groupBy(*by).agg(F.kll_sketch_agg_double("value", sketch).alias("s"), F.count(F.lit(1)).alias("n_ref"))
+        ranks = F.array(*(F.lit(i / bins) for i in range(1, bins)))
+        edges = made.where("n_ref >= 2").select(*by, F.array_distinct(F.kll_sketch_get_quantile_double("s", ranks)).alias("edges"))
 
     def filled(side: DataFrame, keys: list[str], name: str) -> DataFrame:
         # The table of edges has a row for each group, which the optimizer sees to.
