@@ -103,3 +103,45 @@ def test_empty(empty):
 def test_refuses_odd_parameters(docs):
     with pytest.raises(ValueError):
         ngram_join.near_duplicates(docs, percent=20)
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.6, 0.85, 1.0])
+def test_similar_sets_share_a_signature_where_many_shingles_are_common(percent, share):
+    """For each share of common shingles: sets at the very threshold meet, whatever units their thin segments cost them."""
+    rng = np.random.default_rng(int(share * 100) + percent)
+    common = np.sort(rng.integers(1, 2**63, 4000).astype(np.uint64))
+    sets = []
+    for _ in range(400):
+        size = int(rng.integers(1, 140))
+        draw = lambda k: np.where(rng.random(k) < share, rng.choice(common, k), rng.integers(1, 2**63, k).astype(np.uint64))
+        base = np.unique(draw(size))
+        for _ in range(3):
+            change = int(rng.integers(0, len(base) * (100 - percent) // 100 + 1))
+            cut = int(rng.integers(0, change + 1))
+            sets.append(np.unique(np.concatenate([rng.permutation(base)[cut:], draw(change - cut)])))
+    key, first = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+    value, who = ngram_join.signatures(key, first, percent, common)
+    own = [set() for _ in sets]
+    for v, w in zip(value.tolist(), who.tolist(), strict=True):
+        own[w].add(v)
+    seen = 0
+    for i in range(0, len(sets), 3):
+        for a, b in ((i, i + 1), (i, i + 2), (i + 1, i + 2)):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            either = len(sets[a]) + len(sets[b]) - both
+            if both < either and 100 * both >= percent * either:  # equal sets are one class before
+                seen += 1
+                assert own[a] & own[b]
+    assert seen > 100
+
+
+def test_neighbourhoods_stand_in_for_thin_segments():
+    """A set half of common shingles doesn't index its common segments, but neighbourhoods of the others."""
+    rng = np.random.default_rng(5)
+    common = np.sort(rng.integers(1, 2**63, 60).astype(np.uint64))
+    sets = [np.unique(np.concatenate([common, rng.integers(1, 2**63, 40).astype(np.uint64)])) for _ in range(50)]
+    value, who = ngram_join.signatures(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), 80, common)
+    assert np.bincount(who).max() > ngram_join.band(int(ngram_join.band_of(np.array([100]), 80)[0]), 80)[2]  # more than one for each segment
+    _, shared = np.unique(value, return_counts=True)
+    assert shared.max() < 5

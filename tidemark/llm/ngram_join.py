@@ -3,7 +3,8 @@
 Texts with equal shingle sets form a class. For classes whose larger set lies in a size band, at most H
 shingles differ. Hashing cuts the universe of shingles into segments, and an allocation of more than H units
 over them (one for a segment indexed as it is, two for one indexed with its one-deletion neighbourhood)
-leaves one segment at least that two similar sets agree on. A cost model picks the allocation of each band.
+leaves one segment at least that two similar sets agree on. A segment too thin to tell anything gets no unit. A
+cost model picks the allocation of each band, which may mix the three.
 Classes that share a signature form a bucket, whose pairs are verified on the sets themselves.
 
 Buckets that overlap are merged into families, so that each set is sent once instead of with every bucket. A
@@ -41,6 +42,8 @@ SALTS = 16
 BINS = 64
 #: Cost of a chance agreement of small segments against that of a signature.
 CHANCE = 30.0
+#: Steps from no segment with a one-deletion neighbourhood to all of them, of which the cost model picks one.
+SHARES = 8
 #: Common shingles: at most so many, of which a task has seen so many in a batch of texts, and all tasks so many.
 #: Which ones are known changes what is compared, but never what is found.
 COMMON, COMMON_IN_BATCH, COMMON_IN_ALL = 200_000, 3, 24
@@ -50,7 +53,9 @@ COMMON, COMMON_IN_BATCH, COMMON_IN_ALL = 200_000, 3, 24
 def band(number: int, percent: int) -> tuple[int, int, int, int, int]:
     """Of a size band: least and largest size, segments, those with one-deletion neighbourhoods, spare units.
 
-    The first of the segments are the ones with neighbourhoods: all of them or none.
+    The first of the segments are the ones with neighbourhoods for all sets; where more units are lost to sparse
+    segments than are spare, a set's other segments get neighbourhoods, too. Costs are the signatures expected of a
+    set and the chance agreements; the cheapest allocation is taken.
     """
     low = 1
     for _ in range(number):
@@ -58,16 +63,16 @@ def band(number: int, percent: int) -> tuple[int, int, int, int, int]:
     high = max(low, math.floor(low * BAND_RATIO))
     differ = (100 - percent) * 2 * high // (100 + percent)
     options = []
-    for spare in range(0, differ + 12):  # segments as they are; spare ones make up for segments too sparse to index
-        m = differ + 1 + spare
-        g = low / m
-        sparse = m * _fewer(least_size(g), g)
-        if spare >= sparse + 3 * math.sqrt(sparse):
-            options.append((m + CHANCE * m * math.exp(-g), m, 0, spare))
-            break
-    m = differ // 2 + 1
-    g = low / m
-    options.append((m * (1 + g) + CHANCE * m * math.exp(-g), m, m, 0))
+    for step in range(SHARES + 1):
+        for spare in range(0, differ + 12, max(1, differ // 64)):
+            units = differ + 1 + spare
+            deep = units // 2 * step // SHARES
+            m = units - deep
+            g = low / m
+            single, double = (m - deep) * _fewer(least_size(g), g), deep * _fewer(least_size(g) + 1, g)
+            upgraded = math.erfc((spare + 0.5 - single - 2 * double) / math.sqrt(2 * (single + 4 * double) + 1e-9)) / 2
+            signatures = m + deep * g
+            options.append((signatures + upgraded * (m - deep) * g + CHANCE * math.exp(-g) * signatures, m, deep, spare))
     _, m, deep, spare = min(options)
     return low, high, m if differ else 0, deep, spare
 
@@ -117,8 +122,10 @@ def signatures(key: np.ndarray, first: np.ndarray, percent: int, common: np.ndar
     """Signature and number of the set for every set, in its own band and those of larger sets that may be similar.
 
     A segment is thin if it holds hardly any shingle that isn't common (a sorted array): sets would agree on it
-    by chance. Sets that agree on a segment agree on its being thin. So thin ones are left out, unless a set has
-    more of them than the band has spare segments: two similar sets then have a segment that both index.
+    by chance. What is thin, also after a deletion, isn't indexed, and its units are lost. A set that loses more than
+    the band has spare indexes the neighbourhoods of all its segments that aren't thin. If even they make up too few
+    units, it indexes thin segments as well. Of two similar sets, the one that loses less decides what they agree
+    on, and the other one indexes as much.
     """
     sizes = np.diff(first)
     rare = np.ones(len(key)) if common is None or not len(common) else (common[np.minimum(np.searchsorted(common, key), len(common) - 1)] != key).astype(float)
@@ -138,15 +145,19 @@ def signatures(key: np.ndarray, first: np.ndarray, percent: int, common: np.ndar
         sums = np.zeros(len(chosen) * m, np.uint64)
         np.add.at(sums, cell, value)
         part = mix((np.arange(len(sums)) % m).astype(np.uint64) + salt)
-        if deep:
-            out += [mix(sums ^ part), mix((sums[cell] - value) ^ part[cell])]
-            who += [np.repeat(chosen, m), chosen[which]]
-            continue
-        thin = np.bincount(cell, weights=rare[at], minlength=len(sums)) < max(1, least_size(band(number, percent)[0] / m) - 1)
-        many = thin.reshape(-1, m).sum(1) > spare  # then sets that agree on thin segments only index those, too
-        keep = ~thin | np.repeat(many, m)
+        filled, least = np.bincount(cell, weights=rare[at], minlength=len(sums)), max(1, least_size(band(number, percent)[0] / m) - 1)
+        near = np.arange(len(sums)) % m < deep
+        units = lambda which: which.reshape(-1, m).sum(1)
+        lost = units((filled < least + near) * (1 + near)) > spare
+        bare = lost & (units((filled >= least) + 0 + (filled > least)) < m + deep - spare)
+        keep = (filled >= least) | np.repeat(bare, m)
         out.append(mix(sums ^ part)[keep])
         who.append(np.repeat(chosen, m)[keep])
+        if deep or lost.any():
+            rest = filled[cell] - rare[at] >= least
+            left = ((near[cell] | lost[which]) & rest) | (near[cell] & bare[which])
+            out.append(mix((sums[cell] - value) ^ part[cell])[left])
+            who.append(chosen[which][left])
     if not out:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(out), np.concatenate(who)
