@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import bin_of
@@ -22,7 +22,15 @@ def psi(reference: DataFrame, current: DataFrame, by: list[str], bins: int = PSI
     over: keys that only the current side has, such as the instant that it is seen from. The reference's edges and
     counts are made once for all of them. Bins are equally filled by the reference, closed above, and fewer if
     values tie; both sides' shares have a floor. Groups need two reference values and a current one, else they
-    are left out.
+    are left out. sketch: see ``edges_of``.
+    """
+    edges = edges_of(reference, by, bins, sketch)
+    both = _filled(reference, edges, by, by, "ref").join(_filled(current, edges, by, [*by, *over], "cur").drop("edges"), by)
+    return both.select(*by, *over, index().alias("psi"))
+
+
+def edges_of(reference: DataFrame, by: list[str], bins: int = PSI_BINS, sketch: int | None = None) -> DataFrame:
+    """The bins' inner edges, ascending, of each group that has two reference values.
 
     sketch: edges come from a KLL sketch of that size, made in one pass and merged over partitions, instead of exact
     percentiles. An edge's rank is then off by some 2.3 / sketch**0.9 of the reference (0.5 % at 1,000) with 99 %
@@ -33,23 +41,29 @@ def psi(reference: DataFrame, current: DataFrame, by: list[str], bins: int = PSI
     if sketch is None:
         inner = {f"edge_{i}": ("linear", i / bins) for i in range(1, bins)}
         enough = reference.groupBy(*by).agg(F.count(F.lit(1)).alias("n_ref")).where("n_ref >= 2").drop("n_ref")
-        edges = with_percentiles(enough, reference, tuple(by), "value", inner).select(*by, F.array_distinct(F.array(*inner)).alias("edges"))
-    else:
-        made = reference.where("value IS NOT NULL").groupBy(*by).agg(F.kll_sketch_agg_double("value", sketch).alias("s"), F.count(F.lit(1)).alias("n_ref"))
-        ranks = F.array(*(F.lit(i / bins) for i in range(1, bins)))
-        edges = made.where("n_ref >= 2").select(*by, F.array_distinct(F.kll_sketch_get_quantile_double("s", ranks)).alias("edges"))
-
-    def filled(side: DataFrame, keys: list[str], name: str) -> DataFrame:
-        # The table of edges has a row for each group, which the optimizer sees to.
-        counted = side.join(edges, by).groupBy(*keys, "edges", bin_of(F.col("edges"), F.col("value")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-        at = F.map_from_entries(F.collect_list(F.struct("bin", "n")))
-        return counted.groupBy(*keys, "edges").agg(F.sum("n").alias(f"n_{name}"), at.alias(name))
-
-    both = filled(reference, by, "ref").join(filled(current, [*by, *over], "cur").drop("edges"), by)
+        return with_percentiles(enough, reference, tuple(by), "value", inner).select(*by, F.array_distinct(F.array(*inner)).alias("edges"))
+    made = reference.where("value IS NOT NULL").groupBy(*by).agg(F.kll_sketch_agg_double("value", sketch).alias("s"), F.count(F.lit(1)).alias("n_ref"))
+    ranks = F.array(*(F.lit(i / bins) for i in range(1, bins)))
+    return made.where("n_ref >= 2").select(*by, F.array_distinct(F.kll_sketch_get_quantile_double("s", ranks)).alias("edges"))
+
+
+def profile(reference: DataFrame, by: list[str], bins: int = PSI_BINS, sketch: int | None = None) -> DataFrame:
+    """What stability needs of a reference, a row for each group: by, edges, n_ref, and ref, a map from bin to count."""
+    return _filled(reference, edges_of(reference, by, bins, sketch), by, by, "ref")
+
+
+def _filled(side: DataFrame, edges: DataFrame, by: list[str], keys: list[str], name: str) -> DataFrame:
+    # The table of edges has a row for each group, which the optimizer sees to.
+    counted = side.join(edges, by).groupBy(*keys, "edges", bin_of(F.col("edges"), F.col("value")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    at = F.map_from_entries(F.collect_list(F.struct("bin", "n")))
+    return counted.groupBy(*keys, "edges").agg(F.sum("n").alias(f"n_{name}"), at.alias(name))
+
+
+def index() -> Column:
+    """The index of a row that has edges, and n_ref, n_cur and the maps ref and cur from bin to count."""
     share = lambda side, i: F.greatest(F.coalesce(F.try_element_at(side, i), F.lit(0)) / F.col(f"n_{side}"), F.lit(PSI_FLOOR))
     term = lambda i: (share("cur", i) - share("ref", i)) * F.ln(share("cur", i) / share("ref", i))
-    total = F.aggregate(F.transform(F.sequence(F.lit(0), F.size("edges")), term), F.lit(0.0), lambda a, x: a + x)
-    return both.select(*by, *over, total.alias("psi"))
+    return F.aggregate(F.transform(F.sequence(F.lit(0), F.size("edges")), term), F.lit(0.0), lambda a, x: a + x)
 
 
 def feature_drift(reference: DataFrame, current: DataFrame, bins: int = PSI_BINS) -> DataFrame:

@@ -20,6 +20,7 @@ from tidemark.operators import drift, experiment, features, monitoring, serving,
 from tidemark.operators.history import TripStore
 from tidemark.plans.runs import train
 from tidemark.sources import trips as sources
+from tidemark.streaming.drift import sliding_psi
 from tidemark.streaming.requests import score_requests
 from tidemark.streaming.store import PROVIDER, online_features
 from tidemark.streaming.store import labelled as labelled_stream
@@ -928,3 +929,34 @@ def stream_labels(spark, sf_dir):
     trips = trips_of(spark, sf_dir)
     served, delivered = trips.agg(F.max("a_us")).scalar(), sources.outcomes_of(trips).agg(F.max("delivered_us")).scalar()
     return found.where(F.col("served_us") < F.least(served, delivered) - _SETTLED_MINUTES * MINUTE_US)
+
+
+_EVERY, _PSI_LATE = 20, 10
+_EDGES = ", ".join(f"{i / PSI_BINS}::DOUBLE" for i in range(1, PSI_BINS))
+_PANE_US = _EVERY * MINUTE_US
+
+
+@query(
+    sql(
+        TRIPS,
+        PREDICTIONS,
+        f"mark AS (SELECT ((max(served_us) - 1) // 1000) * 1000 - {_PSI_LATE * MINUTE_US} AS wm FROM predictions)",
+        f"e AS (SELECT list_sort(list_distinct(quantile_cont(pred_minutes, [{_EDGES}]))) AS edges FROM predictions WHERE served_us < {MID_US})",
+        "binned AS (SELECT served_us, len(list_filter(edges, lambda x: x < pred_minutes)) AS bin FROM predictions, e)",
+        f"r AS (SELECT bin, count(*) AS n FROM binned WHERE served_us < {MID_US} GROUP BY 1)",
+        f"""panes AS (SELECT ((served_us - 1) // {_PANE_US} + 1) * {_PANE_US} AS pane_us, bin, count(*) AS n FROM binned GROUP BY ALL)""",
+        f"""c AS (SELECT as_of_us, bin, CAST(sum(n) AS BIGINT) AS n FROM (SELECT pane_us + unnest(range(0, {DAY // _EVERY})) * {_PANE_US} AS as_of_us, bin, n FROM panes), mark WHERE as_of_us <= wm GROUP BY ALL)""",
+        "total AS (SELECT as_of_us, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1 HAVING sum(n) >= 2)",
+        "g AS (SELECT as_of_us, n, unnest(range(0, (SELECT len(edges) FROM e) + 1)) AS bin FROM total)",
+        """s AS (SELECT as_of_us, g.n, greatest(coalesce(r.n, 0) / (SELECT sum(n) FROM r)::DOUBLE, 1e-6::DOUBLE) AS pr, greatest(coalesce(c.n, 0) / g.n::DOUBLE, 1e-6::DOUBLE) AS pc
+        FROM g LEFT JOIN r USING (bin) LEFT JOIN c USING (as_of_us, bin))""",
+        select="SELECT as_of_us, n, round(sum((pc - pr) * ln(pc / pr)), 6) AS psi FROM s GROUP BY as_of_us, n",
+    )
+)
+def stream_pred_psi(spark, sf_dir):
+    """Stability of predictions in the day before each closed instant, twenty minutes apart, counted as they are served."""
+    value = F.col("pred_minutes").alias("value")
+    served = sources.predictions_of(trips_of(spark, sf_dir)).where(F.col("served_us") < MID_US)
+    stream = sources.predictions_of(stream_of(spark, sf_dir)).select(F.col("served_us").alias("at_us"), value)
+    reference = drift.profile(served.select(value, F.lit("all").alias("of")), ["of"])
+    return rounded(played(sliding_psi(stream, reference, minutes=DAY, every=_EVERY, late=f"{_PSI_LATE} minutes")))
