@@ -1,6 +1,7 @@
 """Point-in-time windows: boundaries, cold starts, leaks, and a brute-force comparison."""
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -270,3 +271,34 @@ def test_python_over_a_window(spark):
     assert one.keys() == two.keys() and all(a == b or a == pytest.approx(b) for a, b in ((one[k], two[k]) for k in one)) and any(one.values())
     with pytest.raises(TidemarkError):
         f.leaky_lifetime(trips, (specs[0],))
+
+
+def test_merged_windows_against_brute_force(spark):
+    """Maxima, minima and a merge of one's own over widths that do and don't divide a slice, with ties and a leak."""
+    draw = random.Random(5)
+    trips = table(spark, *((f"t{i:03d}", draw.randrange(1300), draw.choice([None, 0, 5, 5, 30, 61, 200]), draw.randrange(0, 5000)) for i in range(300))).persist()
+    far = lambda: F.col("distance_m").cast("double")
+    ways = {"max": (F.max, max, None), "min": (F.min, min, None), "sum": (F.sum, sum, lambda a, b: F.coalesce(a + b, a, b))}
+    specs = tuple(f.Trailing(f"{k}_{w}", "store", w, "custom", "", far, ways[k][0], merge=ways[k][2]) for k in ways for w in (7, 45, 60))
+    local = trips.collect()
+    for at in ("d_us", "a_us"):
+        got = {r.trip_id: r for r in f.trailing(trips, trips, specs, at).collect()}
+        assert len(got) == 300
+        for p in local:
+            for s in specs:
+                inside = [h.distance_m for h in local if h.d_us is not None and p.a_us - s.window_minutes * 60_000_000 < h[at] <= p.a_us]
+                assert got[p.trip_id][s.name] == (ways[s.name[:3]][1](inside) if inside else None), (p, s)
+    leaks = lambda minutes: sum(any(h.d_us is not None and p.a_us - minutes * 60_000_000 < h.a_us <= p.a_us < h.d_us for h in local) for p in local)
+    audit = {r.entity: (r.probes, r.leaks) for r in f.leak_audit(trips, "a_us").collect()}
+    assert audit["store"] == (300, leaks(120)) and {r.leaks for r in f.leak_audit(trips).collect()} == {0}
+    with pytest.raises(TidemarkError):
+        f.Trailing("x", "driver", 60, "mean", merge=F.greatest)
+
+
+def test_no_frame_slides_over_a_window_that_merges(spark):
+    """Frames that slide are computed anew for each row, so a busy entity's work grew with the square of its rows."""
+    trips = from_events(spark.read.parquet(EVENTS))
+    longest = f.Trailing("longest", "store", 60, "custom", "", lambda: F.col("tat").cast("double"), F.max)
+    for df in (f.leak_audit(trips), f.leak_audit(trips, "a_us"), f.trailing(trips, trips, (longest,)), f.trailing(trips, trips, f.TRAILING[:1], guarded=True)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "unboundedpreceding" in plan and not re.search(r"RangeFrame, -?\d", plan)

@@ -51,7 +51,8 @@ class Trailing:
     kind: mean (of the time taken), count, median (of the pack time), or custom: aggregate(column) of value(), an
     expression over a finished trip's columns; or, if it has to see the probe, of_members(array) of the values of the
     window's trips, an expression (a pandas UDF, too) that may use the probe's columns. cold() stands for the value if the window is empty; the built-in
-    kinds have one of their own.
+    kinds have one of their own. merge(a, b) gives the aggregate of a window from those of two parts of it, either of which
+    may hold no trip; with it a row costs the same however much its window holds. Maxima and minima have one.
     """
 
     name: str
@@ -63,11 +64,18 @@ class Trailing:
     aggregate: Callable[[Column], Column] | None = None
     cold: Callable[[], Column] | None = None
     of_members: Callable[[Column], Column] | None = None
+    merge: Callable[[Column, Column], Column] | None = None
 
     def __post_init__(self) -> None:
         ways = (self.aggregate is not None) + (self.of_members is not None)
         if self.kind not in ("mean", "count", "median", "custom") or (self.kind == "custom") != (ways == 1):
             raise TidemarkError(f"{self.name}: a kind is mean, count, median, or custom with an aggregate")
+        if self.merge is not None and self.aggregate is None:
+            raise TidemarkError(f"{self.name}: only an aggregate of its own is merged")
+
+    def merged(self) -> Callable[[Column, Column], Column] | None:
+        """What merges two parts of a custom aggregate, if that is known."""
+        return self.merge or {F.max: F.greatest, F.min: F.least}.get(self.aggregate)
 
     def whole(self) -> Column:
         """The aggregate over all rows of a group, for history columns as _history names them."""
@@ -134,36 +142,53 @@ def _history(trips: DataFrame, entity: str, at: str, features: tuple[Trailing, .
 SLICE_WINDOWS = 4
 
 
-def _line(probes: DataFrame, known: DataFrame, entity: str, widest: int, leaves: list[int]) -> DataFrame:
+def _line(probes: DataFrame, known: DataFrame, entity: str, widest: int, leaves: list[int], halved: tuple[int, ...] = ()) -> DataFrame:
     """Probes and history on one time line for each entity and slice of time, in order; at one instant history comes first.
 
     One shuffle serves all features of an entity, and an entity with a third of all rows is spread over as many
     tasks as it has slices. A trip enters at h_t (h_w is 0) and, for each width in ``leaves``, leaves once more
-    when it falls out of a window of that width (h_w is the width), unless the slice ends before.
+    when it falls out of a window of that width (h_w is the width), unless the slice ends before; for the widths in
+    ``halved`` (see ``_sliding``) after its end, too.
     """
     width = widest * SLICE_WINDOWS
     known = known.withColumn("h_slice", F.explode(F.sequence(F.floor(F.col("h_t") / width), F.floor((F.col("h_t") + (widest - 1)) / width))))
-    steps = F.array(*(F.struct((F.col("h_t") + w).alias("h_t"), F.lit(w).cast("long").alias("h_w")) for w in (0, *leaves)))
-    step = F.explode(F.filter(steps, lambda s: s["h_t"] < (F.col("h_slice") + 1) * width)).alias("step")
+    steps = F.array(*(F.struct((F.col("h_t") + w).alias("h_t"), F.lit(w).cast("long").alias("h_w")) for w in sorted({0, *leaves, *halved})))
+    in_time = lambda s: s["h_t"] < (F.col("h_slice") + 1) * width
+    step = F.explode(F.filter(steps, lambda s: in_time(s) | s["h_w"].isin(*halved) if halved else in_time(s))).alias("step")
     known = known.select(*(c for c in known.columns if c != "h_t"), step).select("*", "step.*").drop("step").withColumn("h_probe", F.lit(False))
     at = instant(probes)
     asked = probes.withColumns({"h_key": F.col(entity_column(entity)), "h_t": at, "h_slice": F.floor(at / width), "h_probe": F.lit(True)})
     return asked.unionByName(known, allowMissingColumns=True).repartition("h_key", "h_slice").sortWithinPartitions("h_key", "h_slice", "h_t", "h_probe")
 
 
+def _sliding(aggregate: Callable[[Column], Column], merge: Callable[[Column, Column], Column], value: Column, width: int) -> Column:
+    """An aggregate over (h_t - width, h_t] of a time line, at the same cost for each row however much a window holds.
+
+    Time is cut into stretches of one width. A window is the beginning of its own stretch and the end of the one
+    before, whose trips leave (h_w is the width) in the window's own stretch. Both are running aggregates, from either side.
+    """
+    stretch = Window.partitionBy("h_key", "h_slice", F.floor(F.col("h_t") / width))
+    begun = aggregate(F.when(F.col("h_w") == 0, value)).over(stretch.orderBy("h_t").rangeBetween(Window.unboundedPreceding, 0))
+    ending = aggregate(F.when(F.col("h_w") == width, value)).over(stretch.orderBy(F.col("h_t").desc()).rangeBetween(Window.unboundedPreceding, -1))
+    return merge(begun, ending)
+
+
 def trailing(probes: DataFrame, trips: DataFrame, features: tuple[Trailing, ...], history_at: str = "d_us", guarded: bool = False) -> DataFrame:
     """probes with a column for each feature (null where its window is empty); all features of one entity.
 
     Means and counts are running totals along the time line, of trips that enter and leave, so a row costs the same
     however much its window holds; they are exact, because times are decimals. Medians sort each window's values (see
-    ``_medians``). Custom aggregates use RANGE frames, whose work grows with the window. guarded: the job fails with the
+    ``_medians``). Custom aggregates that merge are running ones, too (see ``_sliding``); others use RANGE frames, whose
+    work grows with the window. guarded: the job fails with the
     message of ``guard`` if a window holds a trip delivered after the probe's instant; no job of its own is needed.
     """
     if len({f.entity for f in features}) != 1:
         raise TidemarkError("features of one entity at a time")
     entity, us = features[0].entity, lambda f: f.window_minutes * MINUTE_US
     summed = [f for f in features if f.kind in ("mean", "count")]
-    line = _line(probes, _history(trips, entity, history_at, features), entity, max(map(us, features)), sorted({us(f) for f in summed}))
+    widest = max(map(us, features))
+    halved = {us(f) for f in features if f.merged()} | ({widest} if guarded else set())
+    line = _line(probes, _history(trips, entity, history_at, features), entity, widest, sorted({us(f) for f in summed}), tuple(sorted(halved)))
     place = Window.partitionBy("h_key", "h_slice")
     so_far = place.orderBy("h_t", "h_probe").rangeBetween(Window.unboundedPreceding, 0)
     inside = lambda f, v: F.sum(F.when(F.col("h_w") == 0, v).when(F.col("h_w") == us(f), -v)).over(so_far)
@@ -172,13 +197,14 @@ def trailing(probes: DataFrame, trips: DataFrame, features: tuple[Trailing, ...]
         if f in summed:
             n = inside(f, F.lit(1))
             columns[f.name] = F.when(n > 0, inside(f, F.col("h_tat")).cast("double") / n) if f.kind == "mean" else F.coalesce(n, F.lit(0)).cast("double")
+        elif f.merged():
+            columns[f.name] = _sliding(f.aggregate, f.merged(), F.col(f"h_{f.name}"), us(f))
         elif f.kind == "custom":
             frame = place.orderBy("h_t").rangeBetween(1 - us(f), 0)
             value = F.when(F.col("h_w") == 0, F.col(f"h_{f.name}"))
             columns[f.name] = f.aggregate(value).over(frame) if f.aggregate else F.when(F.col("h_probe"), f.of_members(F.collect_list(value).over(frame)))
     if guarded:
-        widest = max(map(us, features))
-        last = F.max(F.when(F.col("h_w") == 0, F.struct("h_d", "h_trip"))).over(place.orderBy("h_t").rangeBetween(1 - widest, 0))
+        last = _sliding(F.max, F.greatest, F.struct("h_d", "h_trip"), widest)
         columns["h_fair"] = F.when(F.col("h_probe") & (last["h_d"] > F.col("h_t")), F.raise_error(_leak(entity, widest // MINUTE_US, F.col("trip_id"), F.col("h_t"), last["h_trip"], last["h_d"])).cast("boolean")).otherwise(True)
     out = line.withColumns(columns) if columns else line
     middle = [f for f in features if f.kind == "median"]
@@ -372,9 +398,8 @@ def retained(trips: DataFrame, as_of_us: int, retain_minutes: int = RETAIN_MINUT
 
 def _latest(trips: DataFrame, entity: str, widest: int, history_at: str) -> DataFrame:
     """trips with ``latest``: delivery and id of the trip in their window that was delivered last."""
-    line = _line(trips, _history(trips, entity, history_at), entity, widest, [])
-    frame = Window.partitionBy("h_key", "h_slice").orderBy("h_t").rangeBetween(1 - widest, 0)
-    last = F.max(F.when(F.col("h_d").isNotNull(), F.struct("h_d", "h_trip"))).over(frame)
+    line = _line(trips, _history(trips, entity, history_at), entity, widest, [], (widest,))
+    last = _sliding(F.max, F.greatest, F.struct("h_d", "h_trip"), widest)
     return line.withColumn("latest", last).where("h_probe").select(*trips.columns, "latest")
 
 
