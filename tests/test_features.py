@@ -2,13 +2,16 @@
 
 import random
 import re
+import time
 from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions.medians import stretch_medians
 from tidemark.model import COLD_START_PACK_MINUTES, LeakageError, TidemarkError
 from tidemark.operators import features as f
 from tidemark.sources.trips import from_events, generate, load, with_micros
@@ -302,3 +305,35 @@ def test_no_frame_slides_over_a_window_that_merges(spark):
     for df in (f.leak_audit(trips), f.leak_audit(trips, "a_us"), f.trailing(trips, trips, (longest,)), f.trailing(trips, trips, f.TRAILING[:1], guarded=True)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "unboundedpreceding" in plan and not re.search(r"RangeFrame, -?\d", plan)
+
+
+def test_medians_of_stretches(spark):
+    draw = np.random.default_rng(1)
+    for n in (1, 2, 3, 17, 300):
+        values, low, high = np.round(draw.normal(size=n), 1), draw.integers(0, n + 1, 200), draw.integers(0, n + 1, 200)
+        want = [np.median(values[a:b]) if a < b else np.nan for a, b in zip(low, high, strict=True)]
+        assert np.array_equal(stretch_medians(values, low, high), want, equal_nan=True)
+
+
+def test_medians_cost_the_same_however_long_the_windows(spark):
+    """3 * 10^9 values in windows: to sort each window took minutes."""
+    values, low = np.random.default_rng(2).normal(size=100_000), np.arange(100_000) // 2
+    began = time.process_time()
+    found = stretch_medians(values, low, low + 30_000)
+    assert time.process_time() - began < 10 and found[7] == np.median(values[3:30_003])
+
+
+def test_runs_that_go_on_over_batches():
+    draw = np.random.default_rng(3)
+    for _ in range(50):
+        key = np.sort(draw.integers(0, draw.integers(1, 12), draw.integers(1, 60)))
+        batches = [pa.record_batch([pa.array(x)], ["k"]) for x in np.split(key, np.sort(draw.integers(0, len(key) + 1, 6)))]
+        got = [np.asarray(t.column("k"))[a:b].tolist() for t, ends in f.runs(iter(batches), ("k",)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        assert got == [key[key == x].tolist() for x in np.unique(key)]
+
+
+def test_a_larger_table_has_more_partitions(spark, monkeypatch):
+    """The count was the session's, so one task's rows and memory grew with the table."""
+    trips = from_events(spark.read.parquet(EVENTS))
+    monkeypatch.setattr(f, "LINE_BYTES", 4_000)
+    assert f.trailing(trips, trips, f.TRAILING[:1]).rdd.getNumPartitions() > 8

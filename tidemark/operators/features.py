@@ -17,12 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.medians import stretch_medians
 from tidemark.functions.scalar import implied_pack, rush_hour
 from tidemark.model import COLD_START_PACK_MINUTES, MINUTE_US, RETAIN_MINUTES, LeakageError, TidemarkError
+from tidemark.operators.selection import partitions
 from tidemark.sources.trips import finished
 
-#: Values of windows that are sorted side by side.
-MEDIAN_VALUES = 1 << 20
 ENTITY_COLUMN = {"driver": "driver_id", "store": "store_id"}
 
 
@@ -140,6 +140,8 @@ def _history(trips: DataFrame, entity: str, at: str, features: tuple[Trailing, .
 
 #: Widths of the widest window in a slice of time. History that a later slice looks back on is copied there.
 SLICE_WINDOWS = 4
+#: Bytes of input that one partition of a time line should hold.
+LINE_BYTES = 4 * 2**20
 
 
 def _line(probes: DataFrame, known: DataFrame, entity: str, widest: int, leaves: list[int], halved: tuple[int, ...] = ()) -> DataFrame:
@@ -158,7 +160,9 @@ def _line(probes: DataFrame, known: DataFrame, entity: str, widest: int, leaves:
     known = known.select(*(c for c in known.columns if c != "h_t"), step).select("*", "step.*").drop("step").withColumn("h_probe", F.lit(False))
     at = instant(probes)
     asked = probes.withColumns({"h_key": F.col(entity_column(entity)), "h_t": at, "h_slice": F.floor(at / width), "h_probe": F.lit(True)})
-    return asked.unionByName(known, allowMissingColumns=True).repartition("h_key", "h_slice").sortWithinPartitions("h_key", "h_slice", "h_t", "h_probe")
+    line = asked.unionByName(known, allowMissingColumns=True)
+    n = partitions(line, LINE_BYTES)  # the session's count is left to be coalesced
+    return line.repartition(*([n] if n > int(line.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []), "h_key", "h_slice").sortWithinPartitions("h_key", "h_slice", "h_t", "h_probe")
 
 
 def _sliding(aggregate: Callable[[Column], Column], merge: Callable[[Column, Column], Column], value: Column, width: int) -> Column:
@@ -177,8 +181,8 @@ def trailing(probes: DataFrame, trips: DataFrame, features: tuple[Trailing, ...]
     """probes with a column for each feature (null where its window is empty); all features of one entity.
 
     Means and counts are running totals along the time line, of trips that enter and leave, so a row costs the same
-    however much its window holds; they are exact, because times are decimals. Medians sort each window's values (see
-    ``_medians``). Custom aggregates that merge are running ones, too (see ``_sliding``); others use RANGE frames, whose
+    however much its window holds; they are exact, because times are decimals. Medians look at a row once for each
+    binary digit of a slice's size (see ``_medians``). Custom aggregates that merge are running ones, too (see ``_sliding``); others use RANGE frames, whose
     work grows with the window. guarded: the job fails with the
     message of ``guard`` if a window holds a trip delivered after the probe's instant; no job of its own is needed.
     """
@@ -238,27 +242,12 @@ def _medians(line: DataFrame, widths: dict[str, int]) -> DataFrame:
     """The probes of a time line with the interpolated median of h_pack over each width. Null and NaN packs don't count.
 
     Runs of one key and slice are handled whole, in numpy; at most one of them is held. A probe's window is a stretch of
-    the run's values in the order of time. Windows of like size are looked at side by side, so many that they hold
-    at most ``MEDIAN_VALUES`` values, and each sorts its own.
+    the run's values in the order of time; see ``stretch_medians``.
     """
     schema = T.StructType([*line.schema, *(T.StructField(n, T.DoubleType()) for n in widths)])
 
     def medians(t: np.ndarray, pack: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-        low, high = np.searchsorted(t, at - width, side="right"), np.searchsorted(t, at, side="right")
-        out, size = np.full(len(at), np.nan), high - low
-        order = np.argsort(size, kind="stable")
-        i = int(np.searchsorted(size[order], 1))
-        while i < len(order):
-            most = int(size[order[i]])
-            end = min(len(order), i + max(1, MEDIAN_VALUES // (2 * most)))
-            end = i + int(np.searchsorted(size[order[i:end]], 2 * most, side="right"))  # none holds twice as many
-            own = order[i:end]
-            place = low[own, None] + np.arange(int(size[own].max()))
-            values = np.sort(np.where(place < high[own, None], pack[np.minimum(place, len(pack) - 1)], np.inf), axis=1)
-            n, row = size[own], np.arange(len(own))
-            out[own] = (values[row, (n - 1) // 2] + values[row, n // 2]) / 2
-            i = end
-        return out
+        return stretch_medians(pack, np.searchsorted(t, at - width, side="right"), np.searchsorted(t, at, side="right"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, ends in runs(batches, ("h_key", "h_slice")):
@@ -281,19 +270,25 @@ def _medians(line: DataFrame, widths: dict[str, int]) -> DataFrame:
 
 def runs(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Rows sorted by key as tables that hold whole runs of it, with the runs' offsets."""
-    held: pa.Table | None = None
+    held: list[pa.Table] = []  # parts of one run, but for the last, which may hold the end of it and whole others
+
+    def whole() -> tuple[pa.Table, np.ndarray]:
+        table = pa.concat_tables(held)
+        return table, _edges(table, key)
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        whole = pa.Table.from_batches([batch])
-        held = whole if held is None else pa.concat_tables([held, whole])
-        ends = _edges(held, key)
-        if len(ends) > 2:
-            cut = int(ends[-2])
-            yield held.slice(0, cut), ends[:-1]
-            held = held.slice(cut)
-    if held is not None:
-        yield held, _edges(held, key)
+        new = pa.Table.from_batches([batch])
+        last = pa.concat_tables([held[-1].slice(held[-1].num_rows - 1), new]) if held else new  # a run that goes on is looked at once
+        cut = int(_edges(last, key)[-2]) - bool(held)
+        if cut > 0 or (held and cut == 0):
+            held.append(new.slice(0, cut))
+            yield whole()
+            held = []
+        held.append(new.slice(max(cut, 0)))
+    if held:
+        yield whole()
 
 
 def _edges(table: pa.Table, key: tuple[str, ...]) -> np.ndarray:

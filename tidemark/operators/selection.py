@@ -42,6 +42,16 @@ def percentiles(rows: DataFrame, by: tuple[str, ...], value: str, wanted: dict[s
     return rows.sparkSession.createDataFrame(out, schema)
 
 
+def partitions(df: DataFrame, bytes_each: int) -> int:
+    """Partitions for a shuffle of df: the session's count, or more if the size of the tables that it reads asks for it.
+
+    Tables of unknown size (such as a stream's batches) don't count.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(s for s in sizes if s < 2**60) // bytes_each)
+
+
 def with_percentiles(grouped: DataFrame, rows: DataFrame, by: tuple[str, ...], value: str, wanted: dict[str, tuple[str, float]]) -> DataFrame:
     """grouped, which has a row for each group of rows, with percentiles of a value added."""
     found = percentiles(rows, by, value, wanted)
