@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +109,32 @@ def test_sliding_windows_close_above(spark, tmp_path):
     stream = spark.readStream.schema("trip_id long, served_us long, pred_minutes double, fallback boolean").parquet(str(tmp_path / "p"))
     got = {int(r.as_of.timestamp()) // 60: r.requests for r in played(store.sliding_health(stream)).collect()}
     assert got[60] == 1 and got[65] == 2 and got[115] == 2 and got[120] == 1
+
+
+def test_rows_of_a_trigger_are_put_without_reading(spark):
+    """Rows of one bucket in many parts: each part read and wrote all that came before it."""
+
+    class State(dict):
+        read = 0
+
+        def getValue(self, key):  # noqa: N802
+            State.read += 1
+            return self[key]
+
+        updateValue, removeKey = dict.__setitem__, dict.pop  # noqa: N815
+
+    class Handle:
+        def getMapState(self, *_):  # noqa: N802
+            return State()
+
+        def getValueState(self, *_):  # noqa: N802
+            return type("Value", (), {"exists": lambda s: hasattr(s, "v"), "get": lambda s: s.v, "update": lambda s, v: setattr(s, "v", v)})()
+
+        registerTimer = deleteTimer = lambda *_: None  # noqa: N815
+
+    own = store.Store(tuple(x for x in f.TRAILING if x.entity == "store"), 100, 1440)
+    own.init(Handle())
+    rows = [pd.DataFrame({"key": ["a", "a"], "t": [i, i + 1], "trip_id": [str(i), None], "parts": [None, 5], "pack": [None, 1.0]}) for i in range(0, 100, 2)]
+    list(own.handleInputRows(("a",), iter(rows), None))
+    assert State.read == 0 and sum(len(v[1]) for v in own.waiting.values()) == 50 == sum(len(v[1]) for v in own.history.values())
+    assert len(own.history) == 1
