@@ -48,6 +48,39 @@ def test_components(docs, n, percent, block, monkeypatch):
     assert got == brute(rows, n, percent)
 
 
+@pytest.mark.parametrize(("block", "whole"), [(16, True), (1, False)])
+def test_a_large_family_is_compared_by_few_rows(spark, monkeypatch, block, whole):
+    """Near copies share many buckets; they are sent with their family, unless it is so large that its buckets are less."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    draw = random.Random(8)
+    base, rows = [f"w{i}" for i in range(200)], []
+    for i in range(160):  # some are copies of the base, others have drifted too far from it
+        copy = list(base)
+        for at in draw.sample(range(200), draw.choice([1, 2, 5, 8])):
+            copy[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(copy)))
+    sent, seen, across, crosswise = [], {}, ngram_join._across, ngram_join._crosswise
+
+    def spied(members, labelled):
+        out = across(members, labelled)
+        seen.update(members=members.count(), classes=labelled.count(), groups=out.count())
+        return out
+
+    def counted(groups):
+        sent.append((out := crosswise(groups)).count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_across", spied)
+    monkeypatch.setattr(ngram_join, "_crosswise", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.k, r.n_shingles, r.component) for r in ngram_join.near_duplicates(docs, 5, 80).collect())
+    assert got == brute(rows, 5, 80)
+    assert seen["classes"] > 100 and seen["members"] > 8 * seen["classes"]
+    if whole:
+        assert 0 < sent[0] <= seen["members"]
+    assert (seen["groups"] <= seen["classes"]) == whole
+
+
 def test_keep_one_takes_the_least_id(docs):
     kept = [r.doc_id for r in ngram_join.keep_one(docs, 3, 90).collect()]
     assert set(kept) >= {7, 400, 402} and not set(kept) & set(range(300, 306))

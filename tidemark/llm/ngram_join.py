@@ -9,10 +9,12 @@ Classes that share a signature form a bucket, whose pairs are verified on the se
 
 Buckets that overlap are merged into families, so that each set is sent once instead of with every bucket. A
 family that one task can hold is compared whole. In a larger one links are first looked for within blocks of
-members and with a few hubs that every block gets, which joins up groups of near copies. What is left are buckets
+members and with a few hubs that every block gets, which joins up groups of near copies. What is left are families
 whose members aren't all connected. There, counts of shingles by bin tell which sets may be similar at all, and
 members of different components that may be are compared block by block: those of the largest component with
-each block of the rest, not with each other. Tasks emit connected members, never all pairs.
+each block of the rest, not with each other. A set is in many buckets, which hardly differ in a group of near
+copies, so a family is taken as a whole unless it is so large that this sends more rows than its buckets have.
+Tasks emit connected members, never all pairs.
 """
 
 from __future__ import annotations
@@ -342,16 +344,16 @@ def _linked(of_class: DataFrame, members: DataFrame, family: DataFrame, sets: Da
     near = components(links(tasks.select("g", "c", F.lit(0).alias("side"), F.col("c").alias("l")))).select(F.col("node").alias("c"), F.col("component").alias("l"))
     if large.isEmpty():
         return near
-    of_large = large.select("c").join(near, "c", "left").select("c", F.coalesce("l", "c").alias("l"))
+    of_large = cut(large.join(near, "c", "left").select("f", "c", F.coalesce("l", "c").alias("l")))
     here = of_class.groupBy("c").agg(F.first("bins").alias("bins"), F.first("n_shingles").alias("size"))
-    apart = _crosswise(members.select("g", "c").distinct().join(of_large, "c").select("g", "c", "l"))
+    apart = _crosswise(cut(_across(members, of_large)))
 
     def may_link(table: pa.Table) -> np.ndarray:
         counts = np.frombuffer(b"".join(x.as_py() for x in table.column("bins")), np.uint8).reshape(-1, BINS)
         return possible(counts, np.asarray(table.column("size")), percent)
 
     may = apart.join(here.join(of_large.select("c"), "c"), "c").repartition(n, "g").sortWithinPartitions("g").mapInArrow(compare(may_link), "a long, b long")
-    again = components(may).select(F.col("component").alias("g"), F.col("node").alias("c")).join(of_large, "c")
+    again = components(may).select(F.col("component").alias("g"), F.col("node").alias("c")).join(of_large.select("c", "l"), "c")
     more = links(_crosswise(again.select("g", "c", "l")), ("l",)).select(F.col("al").alias("a"), F.col("bl").alias("b"))
     joined = components(more).select(F.col("node").alias("l"), F.col("component").alias("m"))
     left = near.unionByName(of_large.select("c", "l")).distinct()
@@ -407,14 +409,35 @@ def _blocks(families: DataFrame) -> DataFrame:
     return families.select("f", "c", F.explode(of).alias("block")).select(F.xxhash64("f", "block").alias("g"), "c")
 
 
+def _across(members: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Groups g, c, l that hold all pairs of buckets across labels l of families f (labelled: f, c, l): whole families, or their buckets.
+
+    Families of one label have none. The others' rows, if whole, grow with the square of the family over ``BLOCK``,
+    and those of its buckets with the buckets that a member is in; the fewer decide.
+    """
+    sizes = _by_label(labelled.withColumnRenamed("f", "g")).withColumnRenamed("g", "f")
+    held = members.groupBy("c").agg(F.count(F.lit(1)).alias("n")).join(labelled, "c").groupBy("f").agg(F.sum("n").alias("held"))
+    rest = F.col("n_all") - F.col("n_main")
+    blocks = lambda n: F.ceil(n / BLOCK)
+    sent = F.col("n_main") * blocks(rest) + rest * (blocks(rest) + blocks(F.col("n_main")))
+    placed = cut(labelled.join(sizes.join(held, "f").select("f", (sent <= F.col("held")).alias("whole")), "f"))
+    whole = placed.where("whole").select(F.col("f").alias("g"), "c", "l")
+    return whole.unionByName(members.select("g", "c").distinct().join(placed.where("NOT whole").select("c", "l"), "c").select("g", "c", "l"))
+
+
+def _by_label(groups: DataFrame) -> DataFrame:
+    """Of each group g of several labels: main, its largest, and the numbers of that one's members and of all, n_main and n_all."""
+    counted = groups.groupBy("g", "l").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy("g").agg(F.max_by("l", F.struct("n", "l")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all")).where("n_main < n_all")
+
+
 def _crosswise(groups: DataFrame) -> DataFrame:
     """Tasks g, c, side, l that compare members c of a group g across labels l; groups of one label need none.
 
     Members of a group's largest label are only compared with the rest, which is cut into blocks: each of the
     largest goes with every block of the rest, and each of the rest with every block of both.
     """
-    counted = groups.groupBy("g", "l").agg(F.count(F.lit(1)).alias("n")).groupBy("g").agg(F.max_by("l", F.struct("n", "l")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"))
-    mixed = groups.join(counted.where("n_main < n_all"), "g")
+    mixed = groups.join(_by_label(groups), "g")
     main, one = F.col("l") == F.col("main"), F.col("n_all") <= BLOCK
     at_most = lambda n: F.when(one, 1).otherwise(F.ceil(n / BLOCK)).cast("int")
     placed = mixed.withColumns({"mains": at_most(F.col("n_main")), "rests": at_most(F.col("n_all") - F.col("n_main")), "is_main": main & ~one})
