@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from tidemark.llm import substring_dedup, suffix_dedup
-from tidemark.llm.repeats import ALONE, CROWDED, SHARED, Bucketed, bucket_kinds
+from tidemark.llm.repeats import ALONE, CROWDED, SHARED, Bucketed, bucket_kinds, seeds_of
 from tidemark.llm.spread import order_key
 from tidemark.llm.substring_dedup import extend, remove_repeated_passages
 from tidemark.llm.suffix_dedup import pointers, refine, remove_repeated_bytes
@@ -157,3 +157,16 @@ def test_a_passage_in_all_documents_meets_nowhere(spark):
     rows = [(i, " ".join([*(f"w{draw.randrange(10**6)}" for _ in range(15)), passage, *(f"w{draw.randrange(10**6)}" for _ in range(15))])) for i in range(600)]
     got = {r.doc_id: r.n_removed for r in remove_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
     assert got == {i: 24 * (i > 0) for i in range(600)}
+
+
+def test_seeds_are_the_leftmost_least():
+    """For texts of few different grams, too; and a run of one value costs no more than its length."""
+    rng = np.random.default_rng(3)
+    for alphabet in (1, 2, 5, 10**9):
+        for _ in range(60):
+            width = int(rng.integers(1, 12))
+            grams = rng.integers(0, alphabet, int(rng.integers(width, 120))).astype(np.uint64)
+            begin, seed = seeds_of(grams, width)
+            got = seed[np.searchsorted(begin, np.arange(len(grams) - width + 1), side="right") - 1]
+            assert got.tolist() == [i + int(np.argmin(grams[i : i + width])) for i in range(len(grams) - width + 1)]
+            assert begin[0] == 0 and (np.diff(begin) > 0).all() and (np.diff(seed) > 0).all()

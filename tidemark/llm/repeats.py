@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import arrays
-from tidemark.llm.arrays import Rolling, covered, inside_texts, lists, mix, pieces, sliding
+from tidemark.llm.arrays import Rolling, covered, lists, mix, pieces, sliding
 from tidemark.llm.spread import order_key, partitions, whole_runs
 
 ALONE, SHARED, CROWDED = 0, 1, 2
@@ -73,23 +73,14 @@ class Spans:
             self.gram = self.span = np.zeros(0, np.int64)
             return
         grams = self.rolling.every(gram)
-        least = sliding(grams, width)
-        edge = np.zeros(width - 1, np.uint64)
-        least_here = sliding(np.concatenate([edge, least, edge]), width, np.maximum) == grams
-        picked = np.flatnonzero(least_here)
-        at = np.cumsum(least_here[:n]) - least_here[:n]  # seeds before each start
-        open_ = np.flatnonzero(grams[picked[at]] != least)
-        while len(open_):
-            at[open_] += 1
-            open_ = open_[grams[picked[at[open_]]] != least[open_]]
-        starts = np.flatnonzero(inside_texts(ends, length, n))
-        seed = picked[at[starts]]
-        if not len(starts):
-            first = np.zeros(0, np.int64)
-        else:
-            first = np.flatnonzero(np.concatenate([[True], (np.diff(seed) != 0) | (np.diff(starts) != 1)]))
-        last = np.concatenate([first[1:], [len(starts)]]) - 1 if len(first) else first
-        self.low, self.high, self.seed = starts[first], starts[last], seed[first]
+        begin, seed = seeds_of(grams, width)
+        last = ends[1:] - length  # last start in each text
+        cuts = np.sort(np.concatenate([begin, ends[:-1], last + 1]), kind="stable")
+        cuts = cuts[(cuts >= 0) & (cuts < n) & (np.diff(cuts, prepend=-1) > 0)]
+        text = np.searchsorted(ends, cuts, side="right") - 1
+        here = np.flatnonzero(cuts <= last[text])
+        self.low, self.high = cuts[here], np.append(cuts[1:], n)[here] - 1
+        self.seed = seed[np.searchsorted(begin, self.low, side="right") - 1]
         self.text = np.searchsorted(ends, self.low, side="right") - 1
         self.gram = grams[self.seed].view(np.int64)
         place = ((self.seed - self.low).astype(np.uint64) << np.uint64(32)) | (self.high - self.low).astype(np.uint64)
@@ -134,6 +125,42 @@ class Spans:
         return out
 
 
+def seeds_of(grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the leftmost least of each stretch of width grams changes, and its place from there on.
+
+    Where the least value falls, the gram that comes in is it; where it rises, it is looked for. While it stays, each
+    gram of the same value takes over from the one before.
+    """
+    least = sliding(grams, width)
+    rows = np.lib.stride_tricks.sliding_window_view(grams, width)
+    begin = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
+    stop = np.append(begin[1:], len(least))
+    seed = begin + width - 1
+    rises = np.flatnonzero(least[begin] >= least[np.maximum(begin - 1, 0)])
+    seed[rises] = _leftmost(rows, begin[rises])
+    twice = np.flatnonzero(seed < stop - 1)
+    if not len(twice):
+        return begin, seed
+    n = stop[twice] + width - 2 - seed[twice]  # what comes after the seed, to the end of the last stretch
+    which = np.repeat(np.arange(len(twice)), n)
+    at = seed[twice][which] + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    equal = np.flatnonzero(grams[at] == least[begin[twice]][which])
+    which, at = which[equal], at[equal]
+    start = np.concatenate([[0], at[:-1] + 1])
+    first = np.concatenate([[True], which[1:] != which[:-1]])
+    start[first] = seed[twice][which[first]] + 1
+    need = start < stop[twice][which]
+    begin, seed = np.concatenate([begin, start[need]]), np.concatenate([seed, at[need]])
+    order = np.argsort(begin, kind="stable")
+    return begin[order], seed[order]
+
+
+def _leftmost(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The places of the least values of some rows, the row of a place beginning there."""
+    step = 1 << 14  # bounds what is copied
+    return at + np.concatenate([np.zeros(0, np.int64), *(rows[at[i : i + step]].argmin(1) for i in range(0, len(at), step))])
+
+
 def depths(length: int, gram: int) -> np.ndarray:
     """Depths, each twice the one before, to which the surroundings of a crowded seed are compared."""
     least = max(1, (length - gram) // 16)
@@ -192,14 +219,6 @@ def _listed(text: np.ndarray, key: np.ndarray, column: pa.Array) -> np.ndarray:
     return _found(text, (key,), (values,), ends) >= 0
 
 
-def _first(gram: np.ndarray, span: np.ndarray) -> np.ndarray:
-    """In the order of gram and span: where another pair begins."""
-    order = np.lexsort((span, gram))
-    new = np.ones(len(order), bool)
-    new[1:] = (gram[order][1:] != gram[order][:-1]) | (span[order][1:] != span[order][:-1])
-    return new
-
-
 def _clash(gram: np.ndarray, column: pa.Array) -> np.ndarray:
     """Which spans have a seed of which a span shares its hash with another text. The column holds one list in all rows."""
     values = lists(column.slice(0, 1))[0]
@@ -262,9 +281,13 @@ def repeated(docs: DataFrame, units: Callable[[np.ndarray, np.ndarray], Units],
         for batch in batches:
             if parts := [(s.gram, s.span, k[s.text]) for *_, s, k in each(batch)]:
                 gram_, span, k = (np.concatenate(c) for c in zip(*parts, strict=True))
-                keep = _least(k, span, gram_)
-                many = np.diff(np.append(np.flatnonzero(_first(gram_, span)), len(span)))  # by gram and span, as keep is
-                yield pa.record_batch([pa.array(c) for c in (gram_[keep], span[keep], k[keep], many)], ["gram", "span", "k", "many"])
+                order = np.argsort(mix(gram_.view(np.uint64) + mix(span.view(np.uint64))))  # pairs that share this are rows of their own
+                gram_, span, k = gram_[order], span[order], k[order]
+                new = np.ones(len(order), bool)
+                new[1:] = (gram_[1:] != gram_[:-1]) | (span[1:] != span[:-1])
+                rows = np.flatnonzero(new)
+                least = np.minimum.reduceat(k, rows) if len(rows) else k
+                yield pa.record_batch([pa.array(c) for c in (gram_[rows], span[rows], least, np.diff(np.append(rows, len(order))))], ["gram", "span", "k", "many"])
 
     def bodies_of(data: np.ndarray, u: Units, s: Spans, at: np.ndarray) -> list[bytes]:
         return [data[a:b].tobytes() for a, b in zip(u.start[s.low[at]], u.end[s.high[at] + length - 1], strict=True)]

@@ -34,10 +34,8 @@ def pointers(data: np.ndarray, room: np.ndarray, depth: int) -> tuple[np.ndarray
     the order of suffixes; places with less room than the depth have none that means anything.
     """
     first = min(FIRST_BYTES, depth)
-    value = np.zeros(len(data), np.uint64)
-    for i in range(first):
-        value <<= np.uint64(8)
-        value[: len(data) - i] |= data[i:].astype(np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    value = np.ndarray(len(data), ">u8", padded, strides=(1,)).astype(np.uint64) >> np.uint64(8 * (8 - first))
     pointer = np.full(len(data), -1, np.int64)
     places = np.flatnonzero(room >= first)
     order = places[np.argsort(value[places])]
@@ -62,7 +60,7 @@ def pointers(data: np.ndarray, room: np.ndarray, depth: int) -> tuple[np.ndarray
         if not len(open_):
             return pointer, rounds
         own, later = pointer[open_], pointer[open_ + step]
-        by = np.lexsort((later, own))
+        by = np.argsort(own * len(data) + later)
         order, key, base = open_[by], later[by], own[by]
         reached += step
         rounds += 1
@@ -78,10 +76,9 @@ def refine(b: Bucketed, length: int, width: int) -> np.ndarray:
     which = np.repeat(np.arange(len(sizes)), b.windows)
     within = np.arange(len(which)) - np.repeat(np.cumsum(b.windows) - b.windows, b.windows)
     own, key = b.owner[which], pointer[(ends - sizes)[which] + within]
-    order = np.lexsort((own, key))
-    new = np.ones(len(order), bool)
-    new[1:] = np.diff(key[order]) != 0
-    least = own[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    order = np.argsort(key)
+    first = np.flatnonzero(np.diff(key[order], prepend=-2))  # pointers are -1 at least
+    least = np.repeat(np.minimum.reduceat(own[order], first), np.diff(np.append(first, len(order))))
     out = np.zeros((len(sizes), width), bool)
     out[which[order], within[order]] = own[order] == least
     return out
