@@ -72,6 +72,20 @@ def test_psi(spark):
         psi(spark, ref, ref, bins=1)
 
 
+def test_values_are_not_dealt_by_their_few_groups(spark):
+    """Edges go to the values, so a group's values meet in no task, whatever the optimizer thinks of the edges' size."""
+    rows = spark.range(1000).selectExpr("CAST(id % 3 AS STRING) AS feature", "CAST(id AS DOUBLE) AS value")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = drift.psi(rows, rows, ["feature"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin [feature") == 2
+        assert [r.psi for r in out.collect()] == [0.0] * 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_bins_close_above(spark):
     """Half of the reference lies on the edge, in the lower bin."""
     got = psi(spark, [1, 2, 2, 3], [2, 2, 2, 2], bins=2)

@@ -41,7 +41,8 @@ def edges_of(reference: DataFrame, by: list[str], bins: int = PSI_BINS, sketch:
     if sketch is None:
         inner = {f"edge_{i}": ("linear", i / bins) for i in range(1, bins)}
         enough = reference.groupBy(*by).agg(F.count(F.lit(1)).alias("n_ref")).where("n_ref >= 2").drop("n_ref")
-        return with_percentiles(enough, reference, tuple(by), "value", inner).select(*by, F.array_distinct(F.array(*inner)).alias("edges"))
+        edges = with_percentiles(enough, reference, tuple(by), "value", inner).select(*by, F.array_distinct(F.array(*inner)).alias("edges"))
+        return F.broadcast(edges)  # few rows, which the driver has held; else values would be dealt by their few groups
     made = reference.where("value IS NOT NULL").groupBy(*by).agg(F.kll_sketch_agg_double("value", sketch).alias("s"), F.count(F.lit(1)).alias("n_ref"))
     ranks = F.array(*(F.lit(i / bins) for i in range(1, bins)))
     return made.where("n_ref >= 2").select(*by, F.array_distinct(F.kll_sketch_get_quantile_double("s", ranks)).alias("edges"))
@@ -53,7 +54,7 @@ def profile(reference: DataFrame, by: list[str], bins: int = PSI_BINS, sketch: i
 
 
 def _filled(side: DataFrame, edges: DataFrame, by: list[str], keys: list[str], name: str) -> DataFrame:
-    # The table of edges has a row for each group, which the optimizer sees to.
+    # Exact edges are broadcast; those of sketches have a row for each group, which the optimizer sees to.
     counted = side.join(edges, by).groupBy(*keys, "edges", bin_of(F.col("edges"), F.col("value")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     at = F.map_from_entries(F.collect_list(F.struct("bin", "n")))
     return counted.groupBy(*keys, "edges").agg(F.sum("n").alias(f"n_{name}"), at.alias(name))
