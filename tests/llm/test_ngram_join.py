@@ -6,8 +6,9 @@ import re
 import numpy as np
 import pytest
 
+from tidemark.llm import components as components_module
 from tidemark.llm import ngram_join
-from tidemark.llm.components import components
+from tidemark.llm.components import components, forest
 from tidemark.llm.spread import order_key
 
 
@@ -128,6 +129,75 @@ def test_components_of_chains_and_hubs(spark):
     assert got == {i: 0 for i in range(61)} | {1000 + i: 1000 for i in range(80)}
 
 
+def least_nodes(links):
+    root = {x: x for link in links for x in link}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {x: find(x) for x in root}
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_forest(seed):
+    draw = random.Random(seed)
+    links = [(draw.randrange(-60, 60), draw.randrange(-60, 60)) for _ in range(10 * seed)]
+    x, y = forest(np.array([a for a, _ in links], np.int64), np.array([b for _, b in links], np.int64))
+    assert dict(zip(x.tolist(), y.tolist(), strict=True)) == {k: v for k, v in least_nodes(links).items() if k != v}
+
+
+@pytest.mark.parametrize("held", [3, 2**19])
+def test_components_of_odd_graphs(spark, held, monkeypatch):
+    """A long path in no order, a hub above its nodes, and sparse and negative nodes."""
+    monkeypatch.setattr(components_module, "HELD", held)
+    draw = random.Random(6)
+    path = draw.sample(range(10_000, 20_000), 700)
+    links = list(zip(path, path[1:], strict=False)) + [(90_000, 30_000 + i) for i in range(300)]
+    links += [(draw.randrange(-900, 900), draw.randrange(-900, 900)) for _ in range(700)]
+    draw.shuffle(links)
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()}
+    assert got == {k: v for k, v in least_nodes([x for x in links if x[0] != x[1]]).items()}
+
+
+def test_components_start_few_tasks(spark):
+    """A step's cost is its tasks, if there are many partitions and few rows in each."""
+    draw = random.Random(7)
+    links = [(1000 * g + i, 1000 * g + draw.randrange(5)) for g in range(40) for i in range(30) for _ in range(4)]
+    table = spark.createDataFrame(links, "a long, b long").coalesce(1)
+    sc, n = spark.sparkContext, 24
+    conf = {"spark.sql.shuffle.partitions": str(n), "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {key: spark.conf.get(key) for key in conf}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    sc.setJobGroup("few", "")
+    try:
+        got = {r.node: r.component for r in components(table).collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert got == {k: v for k, v in least_nodes([x for x in links if x[0] != x[1]]).items()}
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("few") for s in tracker.getJobInfo(j).stageIds}
+    assert 2 * n < sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s))) < 14 * n
+
+
+def test_families_that_a_task_compares_whole_are_settled_there(docs, monkeypatch):
+    """Components are looked for among buckets, and not again among the links found."""
+    calls = []
+    monkeypatch.setattr(ngram_join, "components", lambda links: calls.append(1) or components(links))
+    rows = [tuple(r) for r in docs.select(order_key(), "text").collect()]
+    got = sorted((r.k, r.n_shingles, r.component) for r in ngram_join.near_duplicates(docs, 3, 90).collect())
+    assert got == brute(rows, 3, 90)
+    assert len(calls) == 1
+
+
 def test_empty(empty):
     assert ngram_join.near_duplicates(empty).collect() == []
     assert ngram_join.keep_one(empty).collect() == []

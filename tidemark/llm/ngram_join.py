@@ -227,7 +227,7 @@ def possible(counts: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
 
 
 def compare(links_of, names: tuple[str, ...] = ("c",)):
-    """A function over a task sorted by g that emits, for each group, pairs a, b of connected members.
+    """A function over a task sorted by g that emits, for each group, pairs a, b of connected members: a, and the first of those that it is connected with.
 
     links_of gives the matrix of links of a part of the table. Members with a label are linked only if theirs
     differ, and if they are on different sides where the group has two. names: the columns to emit of a member.
@@ -245,8 +245,9 @@ def compare(links_of, names: tuple[str, ...] = ("c",)):
                 if side[a:b].any():
                     linked &= side[a:b, None] != side[None, a:b]
                 row, root = connected(linked)
-                rows.append(a + row)
-                roots.append(a + root)
+                first = np.unique(root)
+                rows += [a + row, a + first]
+                roots += [a + root, a + first]
             row, root = np.concatenate(rows), np.concatenate(roots)
             value = [np.asarray(table.column(c)) for c in names]
             columns = [v[at] for v in value for at in (row, root)]
@@ -321,7 +322,7 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         sets = cut(sets.groupBy("c").agg(F.first("shingles").alias("shingles")))
         found = _linked(of_class, members, family, sets, percent, n)
         least = of_class.groupBy("c").agg(F.min("k").alias("least")).where("c <> 0")
-        label = least.join(found, "c", "left")
+        label = cut(least.join(found, "c", "left"))
         linked = label.where("l is not null").withColumn("part", F.pmod(F.xxhash64("c"), F.lit(SALTS)))
         lowest = linked.groupBy("l").agg(F.min("least").alias("component")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         of_linked = linked.join(lowest, ["l", "part"]).select("c", F.col("l").alias("group"), "component")  # a large component is dealt to several tasks
@@ -332,19 +333,22 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
 def _linked(of_class: DataFrame, members: DataFrame, family: DataFrame, sets: DataFrame, percent: int, n: int) -> DataFrame:
     """c and l, the name of its component, for classes that are linked with another."""
 
-    def links(tasks: DataFrame, names: tuple[str, ...] = ("c",)) -> DataFrame:
+    def links(tasks: DataFrame, names: tuple[str, ...]) -> DataFrame:
         both = tasks.join(sets, "c").repartition(n, "g").sortWithinPartitions("g")
         of = lambda table: similar([np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")], percent)
-        return both.mapInArrow(compare(of, names), "a long, b long" if names == ("c",) else "al long, bl long")
+        kinds = {"whole": "boolean"}
+        return both.mapInArrow(compare(of, names), ", ".join(f"{end}{'' if c == 'c' else c} {kinds.get(c, 'long')}" for c in names for end in "ab"))
 
     sizes = family.groupBy("f").agg(F.count(F.lit(1)).alias("size"))
-    sized = family.join(sizes, "f")
-    small, large = sized.where(F.col("size") <= BLOCK), cut(sized.where(F.col("size") > BLOCK))
-    tasks = small.select(F.col("f").alias("g"), "c").unionByName(_blocks(large))
-    near = components(links(tasks.select("g", "c", F.lit(0).alias("side"), F.col("c").alias("l")))).select(F.col("node").alias("c"), F.col("component").alias("l"))
+    sized = cut(family.join(sizes, "f"))
+    large = sized.where(F.col("size") > BLOCK)
+    tasks = sized.where(F.col("size") <= BLOCK).select(F.col("f").alias("g"), "c", F.lit(True).alias("whole")).unionByName(_blocks(large).withColumn("whole", F.lit(False)))
+    within = cut(links(tasks.select("g", "c", F.lit(0).alias("side"), F.col("c").alias("l"), "whole"), ("c", "whole")))
+    settled = within.where("awhole").select(F.col("a").alias("c"), F.col("b").alias("l"))  # a task has compared all of the family
     if large.isEmpty():
-        return near
-    of_large = cut(large.join(near, "c", "left").select("f", "c", F.coalesce("l", "c").alias("l")))
+        return settled
+    of_blocks = components(within.where("NOT awhole")).select(F.col("node").alias("c"), F.col("component").alias("l"))
+    of_large = cut(large.join(of_blocks, "c", "left").select("f", "c", F.coalesce("l", "c").alias("l")))
     here = of_class.groupBy("c").agg(F.first("bins").alias("bins"), F.first("n_shingles").alias("size"))
     apart = _crosswise(cut(_across(members, of_large)))
 
@@ -356,7 +360,7 @@ def _linked(of_class: DataFrame, members: DataFrame, family: DataFrame, sets: Da
     again = components(may).select(F.col("component").alias("g"), F.col("node").alias("c")).join(of_large.select("c", "l"), "c")
     more = links(_crosswise(again.select("g", "c", "l")), ("l",)).select(F.col("al").alias("a"), F.col("bl").alias("b"))
     joined = components(more).select(F.col("node").alias("l"), F.col("component").alias("m"))
-    left = near.unionByName(of_large.select("c", "l")).distinct()
+    left = settled.unionByName(of_large.select("c", "l"))
     return left.join(joined, "l", "left").select("c", F.coalesce("m", "l").alias("l"))
 
 
