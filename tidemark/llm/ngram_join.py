@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.arrays import LOWER, Rolling, mix, pieces, signed, words
 from tidemark.llm.components import components
-from tidemark.llm.spread import cut, order_key, partitions, scratch, whole_runs, with_text
+from tidemark.llm.spread import cut, order_key, partitions, scratch, spent_shuffles_deleted, whole_runs, with_text
 
 #: Shingle size and similarity that near-duplicate operators take unless told otherwise.
 SHINGLE_WORDS, PERCENT = 5, 80
@@ -307,12 +307,13 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                 sets = [key[first[i] : first[i + 1]].tobytes() for i in meant]
                 yield pa.record_batch([piece.column("c").take(pa.array(meant)), pa.array(sets, pa.binary())], ["c", "shingles"])
 
+    spark = docs.sparkSession
     seen = cut(base.mapInArrow(emit_classes, "k long, doc_id long, t long, n_shingles long, c long, bins binary"))
     of_class = seen.where("n_shingles >= 0")
-    with scratch(docs.sparkSession) as keep:
+    with spent_shuffles_deleted(spark), scratch(spark) as keep:
         often = seen.where("n_shingles < 0").groupBy("c").agg(F.sum("n_shingles").alias("n")).where(F.col("n") <= -COMMON_IN_ALL)
         top = often.orderBy("n", "c").limit(COMMON).select("c").toArrow().column("c")  # bounded
-        common = docs.sparkSession.sparkContext.broadcast(np.sort(np.asarray(top).astype(np.int64).view(np.uint64)))
+        common = spark.sparkContext.broadcast(np.sort(np.asarray(top).astype(np.int64).view(np.uint64)))
         n = partitions(docs)
         members = cut(buckets(base.select("text").mapInArrow(emit_signatures, "sig long, c long"), n))
         family = components(members.select(F.col("c").alias("a"), F.col("low").alias("b"))).withColumnsRenamed({"node": "c", "component": "f"})
@@ -339,7 +340,7 @@ def _linked(of_class: DataFrame, members: DataFrame, family: DataFrame, sets: Da
         kinds = {"whole": "boolean"}
         return both.mapInArrow(compare(of, names), ", ".join(f"{end}{'' if c == 'c' else c} {kinds.get(c, 'long')}" for c in names for end in "ab"))
 
-    sizes = family.groupBy("f").agg(F.count(F.lit(1)).alias("size"))
+    sizes = cut(family.groupBy("f").agg(F.count(F.lit(1)).alias("size")))  # read again, the join can split a large family's rows
     sized = cut(family.join(sizes, "f"))
     large = sized.where(F.col("size") > BLOCK)
     tasks = sized.where(F.col("size") <= BLOCK).select(F.col("f").alias("g"), "c", F.lit(True).alias("whole")).unionByName(_blocks(large).withColumn("whole", F.lit(False)))

@@ -129,6 +129,18 @@ def whole_runs(batches: Iterator[pa.RecordBatch], key: str, rows: int = 4096) ->
         yield from whole(True)
 
 
+@contextmanager
+def spent_shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query within are deleted as it ends, not only when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def with_text(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, so that other columns, whatever their names, can't clash with those made here."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
