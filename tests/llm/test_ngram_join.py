@@ -248,3 +248,38 @@ def test_neighbourhoods_stand_in_for_thin_segments():
     assert np.bincount(who).max() > ngram_join.band(int(ngram_join.band_of(np.array([100]), 80)[0]), 80)[2]  # more than one for each segment
     _, shared = np.unique(value, return_counts=True)
     assert shared.max() < 5
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_bits_tell_large_sets_apart_and_refuse_no_similar_ones(percent):
+    """Sets around the numbers at which bits double, at the very threshold and with little in common."""
+    rng = np.random.default_rng(percent)
+    sets = []
+    for n in (1, 2, 9, 255, 256, 257, 511, 514, 1100, 4096, 4100):
+        base = rng.integers(0, 2**64, n, np.uint64)
+        sets += [base, base[: max(1, -(-n * percent // 100))], np.concatenate([base, rng.integers(0, 2**64, n * (100 - percent) // percent, np.uint64)])]
+        sets += [np.concatenate([base[: n // 10], rng.integers(0, 2**64, n - n // 10, np.uint64)])]
+    sets = [np.unique(s) for s in sets]
+    size = np.array([len(s) for s in sets])
+    bits = ngram_join.parities(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)]))
+    may, linked = ngram_join.possible(bits, size, percent), ngram_join.similar(sets, percent)
+    assert (may == may.T).all() and linked.sum() >= 40 and not (linked & ~may).any()
+    if percent >= 80:
+        assert not (may & ~linked)[:, size >= 255][size >= 255].any()
+
+
+def test_long_texts_that_share_a_passage_are_not_sent(spark, monkeypatch):
+    """They meet in buckets if no shingle is known to be common, the more of them the more there are, but only near copies have their sets compared."""
+    monkeypatch.setattr(ngram_join, "COMMON", 0)
+    draw, sent, met = random.Random(12), [], []
+    passage = " ".join(f"p{i}" for i in range(120))
+    texts = [f"{passage} {' '.join(f'w{draw.randrange(10**6)}' for _ in range(2000))}" for _ in range(60)]
+    rows = [*enumerate(texts), *((100 + i, f"{texts[0]} end{i}") for i in range(3))]
+    linked, buckets = ngram_join._linked, ngram_join.buckets
+    monkeypatch.setattr(ngram_join, "_linked", lambda *a: sent.append(a[3].count()) or linked(*a))
+    monkeypatch.setattr(ngram_join, "buckets", lambda *a: met.append(buckets(*a)) or met[0])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((r.k, r.n_shingles, r.component) for r in ngram_join.near_duplicates(docs, 5, 80).collect())
+    assert got == brute(rows, 5, 80)
+    assert met[0].select("c").distinct().count() > 30
+    assert sent == [4]

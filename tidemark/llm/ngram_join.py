@@ -7,14 +7,15 @@ leaves one segment at least that two similar sets agree on. A segment too thin t
 cost model picks the allocation of each band, which may mix the three.
 Classes that share a signature form a bucket, whose pairs are verified on the sets themselves.
 
-Buckets that overlap are merged into families, so that each set is sent once instead of with every bucket. A
-family that one task can hold is compared whole. In a larger one links are first looked for within blocks of
+Buckets that overlap are merged into families, so that each set is sent once instead of with every bucket. Texts
+that share a passage may meet by chance, the more of them the longer they are and the larger the table is, so families
+are narrowed before any set is sent: parity bits, some for each shingle, tell which sets may be similar at all.
+A family that one task can hold is compared whole. In a larger one links are first looked for within blocks of
 members and with a few hubs that every block gets, which joins up groups of near copies. What is left are families
-whose members aren't all connected. There, counts of shingles by bin tell which sets may be similar at all, and
-members of different components that may be are compared block by block: those of the largest component with
-each block of the rest, not with each other. A set is in many buckets, which hardly differ in a group of near
-copies, so a family is taken as a whole unless it is so large that this sends more rows than its buckets have.
-Tasks emit connected members, never all pairs.
+whose members aren't all connected. There, members of different components that may be similar by their bits are
+compared block by block: those of the largest component with each block of the rest, not with each other. A set is in
+many buckets, which hardly differ in a group of near copies, so a family is taken as a whole unless it is so large
+that this sends more rows than its buckets have. Tasks emit connected members, never all pairs.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ BAND_RATIO = 1.25
 BLOCK, HUBS = 384, 16
 #: Parts that members of a component are dealt to where its least id comes back to them.
 SALTS = 16
-#: Bins that the shingles of a set are counted in: the counts of two sets differ by no more than the sets do.
-BINS = 64
+#: Parity bits of a set at least; more, if it has more shingles.
+LEAST_BITS = 256
 #: Cost of a chance agreement of small segments against that of a signature.
 CHANCE = 30.0
 #: Steps from no segment with a one-deletion neighbourhood to all of them, of which the cost model picks one.
@@ -207,21 +208,40 @@ def similar(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return linked
 
 
-def bins(key: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """How many shingles of each set fall into each bin, 255 standing for more."""
-    n = len(first) - 1
-    cell = np.repeat(np.arange(n), np.diff(first)) * BINS + (mix(key) % np.uint64(BINS)).astype(np.int64)
-    return np.minimum(np.bincount(cell, minlength=n * BINS).reshape(n, BINS), 255).astype(np.uint8)
+def parities(key: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """For each set bits that tell whether it has an odd number of the shingles that hash there: one bit to two for each shingle.
+
+    The bits of two sets differ in no more places than the sets do.
+    """
+    n = np.diff(first)
+    width = np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    ends = np.concatenate([[0], np.cumsum(width)])
+    cell = np.repeat(ends[:-1], n) + (mix(key) & np.repeat(width - 1, n).astype(np.uint64)).astype(np.int64)
+    odd = np.packbits((np.bincount(cell, minlength=ends[-1]) & 1).astype(bool), bitorder="little")
+    return [odd[a:b].tobytes() for a, b in zip(ends[:-1] // 8, ends[1:] // 8, strict=True)]
 
 
-def possible(counts: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs may be similar: those whose bins, and so whose sets, needn't differ by more than similar ones do."""
+def possible(bits: list[bytes], size: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs may be similar: those whose bits, and so whose sets, needn't differ by more than similar ones do.
+
+    Sets that have more than twice the bits of another have too many shingles to be similar; twice as many are
+    folded.
+    """
     out = np.zeros((len(size), len(size)), bool)
-    wide = counts.astype(np.int16)
-    for low in range(0, len(size), 32):
-        apart = np.abs(wide[low : low + 32, None] - wide[None]).sum(2, dtype=np.int64)
-        both = size[low : low + 32, None] + size[None, :]
-        out[low : low + 32] = (100 - percent) * both >= (100 + percent) * apart
+    width = np.array([len(x) for x in bits], np.int64)
+    for w in np.unique(width):
+        at = np.flatnonzero((width == w) | (width == 2 * w))
+        folded = np.zeros((len(at), w // 8), np.uint64)
+        for row, i in enumerate(at):
+            folded[row] = np.bitwise_xor.reduce(np.frombuffer(bits[i], np.uint64).reshape(-1, w // 8))
+        own = width[at] == w
+        rows = max(1, 2**20 // folded.size)
+        for low in range(0, len(at), rows):
+            some = slice(low, low + rows)
+            apart = np.bitwise_count(folded[some, None] ^ folded[None]).sum(2, dtype=np.int64)
+            both = size[at[some], None] + size[None, at]
+            may = ((100 - percent) * both >= (100 + percent) * apart) & (own[some, None] | own[None])
+            out[np.ix_(at[some], at)] |= may
     np.fill_diagonal(out, False)
     return out
 
@@ -276,13 +296,13 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
 
     def emit_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each text; and for each shingle common in a batch a row without k, with its number of sets below zero."""
-        names = ["k", "doc_id", "t", "n_shingles", "c", "bins"]
+        names = ["k", "doc_id", "t", "n_shingles", "c", "bits"]
         for batch in batches:
             keys = [np.zeros(0, np.uint64)]
             for piece, data, ends in pieces(batch):
                 key, first = shingles(data, ends, shingle)
                 c = class_ids(key, first)
-                yield pa.record_batch([piece.column("k"), piece.column("doc_id"), piece.column("t"), pa.array(np.diff(first)), signed(c), pa.array([x.tobytes() for x in bins(key, first)], pa.binary())], names)
+                yield pa.record_batch([piece.column("k"), piece.column("doc_id"), piece.column("t"), pa.array(np.diff(first)), signed(c), pa.array(parities(key, first), pa.binary())], names)
                 keys.append(np.concatenate([key[first[i] : first[i + 1]] for i in np.unique(c, return_index=True)[1]] or keys[:1]))
             key, n = np.unique(np.concatenate(keys), return_counts=True)
             key, n = key[n >= COMMON_IN_BATCH], n[n >= COMMON_IN_BATCH]
@@ -308,7 +328,7 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                 yield pa.record_batch([piece.column("c").take(pa.array(meant)), pa.array(sets, pa.binary())], ["c", "shingles"])
 
     spark = docs.sparkSession
-    seen = cut(base.mapInArrow(emit_classes, "k long, doc_id long, t long, n_shingles long, c long, bins binary"))
+    seen = cut(base.mapInArrow(emit_classes, "k long, doc_id long, t long, n_shingles long, c long, bits binary"))
     of_class = seen.where("n_shingles >= 0")
     with spent_shuffles_deleted(spark), scratch(spark) as keep:
         often = seen.where("n_shingles < 0").groupBy("c").agg(F.sum("n_shingles").alias("n")).where(F.col("n") <= -COMMON_IN_ALL)
@@ -317,11 +337,13 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         n = partitions(docs)
         members = cut(buckets(base.select("text").mapInArrow(emit_signatures, "sig long, c long"), n))
         family = components(members.select(F.col("c").alias("a"), F.col("low").alias("b"))).withColumnsRenamed({"node": "c", "component": "f"})
-        first_k = of_class.groupBy("c").agg(F.min("k").alias("k"))
-        wanted = family.join(first_k, "c").select("c", "k")
+        of_one = of_class.groupBy("c").agg(F.min("k").alias("k"), F.first("bits").alias("bits"), F.first("n_shingles").alias("size"))
+        known = cut(family.join(of_one, "c"))
+        family = cut(_narrowed(known, members, percent, n))
+        wanted = known.join(family, "c", "left_semi").select("c", "k")
         sets = base.select("k", "text").join(wanted, "k").select("c", "text").mapInArrow(emit_sets, "c long, shingles binary")
         sets = cut(sets.groupBy("c").agg(F.first("shingles").alias("shingles")))
-        found = _linked(of_class, members, family, sets, percent, n)
+        found = _linked(known, members, family, sets, percent, n)
         least = of_class.groupBy("c").agg(F.min("k").alias("least")).where("c <> 0")
         label = cut(least.join(found, "c", "left"))
         linked = label.where("l is not null").withColumn("part", F.pmod(F.xxhash64("c"), F.lit(SALTS)))
@@ -331,7 +353,29 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     return of_class.join(named, "c", "left").select("doc_id", "k", "t", "n_shingles", "group", F.coalesce("component", "k").alias("component"))
 
 
-def _linked(of_class: DataFrame, members: DataFrame, family: DataFrame, sets: DataFrame, percent: int, n: int) -> DataFrame:
+def _may_link(tasks: DataFrame, known: DataFrame, percent: int, n: int) -> DataFrame:
+    """Pairs a, b that connect the classes of tasks (g, c, side, l) that may be similar by their bits (known: c, bits, size)."""
+
+    def links(table: pa.Table) -> np.ndarray:
+        return possible(table.column("bits").to_pylist(), np.asarray(table.column("size")), percent)
+
+    return tasks.join(known.select("c", "bits", "size"), "c").repartition(n, "g").sortWithinPartitions("g").mapInArrow(compare(links), "a long, b long")
+
+
+def _narrowed(known: DataFrame, members: DataFrame, percent: int, n: int) -> DataFrame:
+    """Families f of classes c that may be similar by their bits, cut out of those of known (f, c, bits, size). Others are left out."""
+    sizes = cut(known.groupBy("f").agg(F.count(F.lit(1)).alias("n_all")))  # read again, the join can split a large family's rows
+    sized = known.select("f", "c").join(sizes, "f")
+    small = sized.where(F.col("n_all") <= BLOCK).select(F.col("f").alias("g"), "c", F.lit(0).alias("side"), F.col("c").alias("l"))
+    out = _may_link(small, known, percent, n).select(F.col("a").alias("c"), F.col("b").alias("f"))
+    large = cut(sized.where(F.col("n_all") > BLOCK).select("f", "c"))
+    if large.isEmpty():
+        return out
+    apart = _crosswise(cut(_across(members, large)))
+    return out.unionByName(components(_may_link(apart, known, percent, n)).select(F.col("node").alias("c"), F.col("component").alias("f")))
+
+
+def _linked(known: DataFrame, members: DataFrame, family: DataFrame, sets: DataFrame, percent: int, n: int) -> DataFrame:
     """c and l, the name of its component, for classes that are linked with another."""
 
     def links(tasks: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -350,16 +394,9 @@ def _linked(of_class: DataFrame, members: DataFrame, family: DataFrame, sets: Da
         return settled
     of_blocks = components(within.where("NOT awhole")).select(F.col("node").alias("c"), F.col("component").alias("l"))
     of_large = cut(large.join(of_blocks, "c", "left").select("f", "c", F.coalesce("l", "c").alias("l")))
-    here = of_class.groupBy("c").agg(F.first("bins").alias("bins"), F.first("n_shingles").alias("size"))
-    apart = _crosswise(cut(_across(members, of_large)))
-
-    def may_link(table: pa.Table) -> np.ndarray:
-        counts = np.frombuffer(b"".join(x.as_py() for x in table.column("bins")), np.uint8).reshape(-1, BINS)
-        return possible(counts, np.asarray(table.column("size")), percent)
-
-    may = apart.join(here.join(of_large.select("c"), "c"), "c").repartition(n, "g").sortWithinPartitions("g").mapInArrow(compare(may_link), "a long, b long")
-    again = components(may).select(F.col("component").alias("g"), F.col("node").alias("c")).join(of_large.select("c", "l"), "c")
-    more = links(_crosswise(again.select("g", "c", "l")), ("l",)).select(F.col("al").alias("a"), F.col("bl").alias("b"))
+    may = _may_link(_crosswise(cut(_whole_or_buckets(members, of_large))), known, percent, n)
+    again = components(may).select(F.col("component").alias("f"), F.col("node").alias("c")).join(of_large.select("c", "l"), "c")
+    more = links(_crosswise(cut(_whole_or_buckets(members, again))), ("l",)).select(F.col("al").alias("a"), F.col("bl").alias("b"))
     joined = components(more).select(F.col("node").alias("l"), F.col("component").alias("m"))
     left = settled.unionByName(of_large.select("c", "l"))
     return left.join(joined, "l", "left").select("c", F.coalesce("m", "l").alias("l"))
@@ -414,7 +451,12 @@ def _blocks(families: DataFrame) -> DataFrame:
     return families.select("f", "c", F.explode(of).alias("block")).select(F.xxhash64("f", "block").alias("g"), "c")
 
 
-def _across(members: DataFrame, labelled: DataFrame) -> DataFrame:
+def _across(members: DataFrame, families: DataFrame) -> DataFrame:
+    """As _whole_or_buckets, for families of which no link is known yet: each member has a label of its own."""
+    return _whole_or_buckets(members, families.withColumn("l", F.col("c")))
+
+
+def _whole_or_buckets(members: DataFrame, labelled: DataFrame) -> DataFrame:
     """Groups g, c, l that hold all pairs of buckets across labels l of families f (labelled: f, c, l): whole families, or their buckets.
 
     Families of one label have none. The others' rows, if whole, grow with the square of the family over ``BLOCK``,
